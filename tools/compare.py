@@ -39,7 +39,7 @@ def main() -> int:
     args = parser.parse_args()
     folder = f"/root/testdata/sf{args.sf}"
     spark = build_session("compare", "local[8]", **{
-        "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g"})
+        "spark.sql.shuffle.partitions": "8", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g"})
     spark.sparkContext.setLogLevel("ERROR")
     if args.area:
         import importlib
