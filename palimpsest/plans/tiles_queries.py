@@ -98,7 +98,7 @@ def photo_routes(t: Tables) -> DataFrame:
 
 @query("gated_call", f"""WITH {TILES.replace('stddev_pop(gray)', '1.6 * stddev_pop(gray)')}, {ROUTES},
 m AS (SELECT vec_id, max(gray) AS top FROM pixels GROUP BY vec_id)
-SELECT vec_id, CASE WHEN routes <> '' THEN 1 ELSE 0 END AS n_boxes, CASE WHEN routes <> '' THEN top ELSE -1 END AS best FROM routes JOIN m USING (vec_id)""")
+SELECT vec_id, CASE WHEN routes <> '' THEN 1::BIGINT ELSE 0 END AS n_boxes, CASE WHEN routes <> '' THEN top ELSE -1 END AS best FROM routes JOIN m USING (vec_id)""")
 def gated_call(t: Tables) -> DataFrame:
     """A stand-in localizer runs on eligible tiles only and marks their brightest value."""
     gate = px.photo_routes(contrasted(t)).select("vec_id", "eligible")
