@@ -163,11 +163,17 @@ def pixel_confusion(pixels: DataFrame, image: list[str]) -> DataFrame:
 
 
 def merge_intervals(df: DataFrame, keys: list[str], start: str = "start", end: str = "end",
-                    chunk_width: float = 4096.0) -> DataFrame:
-    """Merge intervals that overlap or touch, for groups of any size."""
-    first = df.groupBy(*keys, F.col(start).alias("start")).agg(F.max(end).alias("end"))
+                    chunk_width: float = 4096.0, sums: tuple[str, ...] = ()) -> DataFrame:
+    """Merge intervals that overlap or touch, for groups of any size; `sums` columns are added up.
+
+    Intervals with one start are combined first; what a chunk of starts must know
+    of earlier ones is the furthest end, then the start of the open island.
+    """
+    first = df.groupBy(*keys, F.col(start).alias("start")).agg(
+        F.max(end).alias("end"), *[F.sum(c).alias(c) for c in sums])
     chunk, order = F.floor(F.col("start") / chunk_width), [F.col("start")]
     reached = running(first, keys, order, chunk, {"_reached": ("max", F.col("end"))}, inclusive=False)
     opens = F.when(F.col("_reached").isNull() | (F.col("start") > F.col("_reached")), F.col("start"))
     islands = running(reached, keys, order, chunk, {"_island": ("max", opens)})
-    return (islands.groupBy(*keys, F.col("_island").alias("start")).agg(F.max("end").alias("end")))
+    return islands.groupBy(*keys, F.col("_island").alias("start")).agg(
+        F.max("end").alias("end"), *[F.sum(c).alias(c) for c in sums])
