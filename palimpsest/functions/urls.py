@@ -3,7 +3,7 @@ so a malformed address gives empty parts instead of failing the job."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # What ends an address inside running text, and what is cut from its end.
@@ -33,6 +33,19 @@ def split_url(url: Column) -> dict[str, Column]:
     }
 
 
+PARTS = ("scheme", "authority", "userinfo", "host", "port", "path", "query")
+
+
+def with_parts(df: DataFrame, url: Column, prefix: str = "_u_") -> DataFrame:
+    """Add the parts of an address as columns, so that rules on them split it only once."""
+    found = split_url(url)
+    return df.withColumns({prefix + name: found[name] for name in PARTS})
+
+
+def parts_of(prefix: str = "_u_") -> dict[str, Column]:
+    return {name: F.col(prefix + name) for name in PARTS}
+
+
 def share_links(text: Column) -> Column:
     """All addresses in running text, without trailing punctuation."""
     found = F.regexp_extract_all(text, F.lit(URL_IN_TEXT), F.lit(0))
@@ -77,9 +90,9 @@ def path_id(url: Column, shapes: list[tuple[str, ...]] = (("explore",), ("item",
     return F.when(fits & last.rlike(pattern), last)
 
 
-def media_status(url: Column, media_host: str) -> Column:
+def media_status(url: Column, media_host: str, parts: dict[str, Column] | None = None) -> Column:
     """First rule a page-declared media address breaks; http is allowed and upgraded."""
-    p = split_url(url)
+    p = parts or split_url(url)
     own = (p["host"] == media_host) | F.endswith(p["host"], F.lit("." + media_host))
     return (F.when(url.isNull() | (F.length(url) > MAX_MEDIA_URL), "MEDIA_URL_INVALID")
             .when(~p["scheme"].isin("http", "https"), "MEDIA_HTTPS_REQUIRED")
@@ -88,16 +101,16 @@ def media_status(url: Column, media_host: str) -> Column:
             .when(p["path"].isin("", "/"), "MEDIA_URL_INVALID").otherwise("OK"))
 
 
-def media_url(url: Column, media_host: str) -> Column:
+def media_url(url: Column, media_host: str, parts: dict[str, Column] | None = None) -> Column:
     """The https form of an accepted media address, else null."""
-    p = split_url(url)
+    p = parts or split_url(url)
     fixed = F.concat(F.lit("https://"), p["host"], p["path"], F.when(p["query"] != "?", p["query"]).otherwise(""))
-    return F.when(media_status(url, media_host) == "OK", fixed)
+    return F.when(media_status(url, media_host, parts) == "OK", fixed)
 
 
-def url_join(base: Column, ref: Column) -> Column:
+def url_join(base: Column, ref: Column, parts: dict[str, Column] | None = None) -> Column:
     """Resolve a reference against a page address (without dot segments)."""
-    p = split_url(base)
+    p = parts or split_url(base)
     origin = F.concat(p["scheme"], F.lit("://"), p["authority"])
     folder = F.regexp_extract(p["path"], r"^(.*/)[^/]*$", 1)
     folder = F.when(folder == "", "/").otherwise(folder)

@@ -88,15 +88,16 @@ class Grid:
         x, y = self.x(pos), self.y(pos)
         return (x >= x0 - grow) & (x < x1 + grow) & (y >= y0 - grow) & (y < y1 + grow)
 
-    def eroded(self, flags: Column, pos: Column, radius: int) -> Column:
-        """Every pixel of the square around the position that lies in the image is set."""
-        keep = F.lit(True)
-        for dy in range(-radius, radius + 1):
-            for dx in range(-radius, radius + 1):
-                x, y = self.x(pos) + dx, self.y(pos) + dy
-                out = (x < 0) | (y < 0) | (x >= self.width) | (y >= self.height)
-                keep = keep & (out | F.coalesce(F.get(flags, (y * self.width + x).cast("int")), F.lit(False)))
-        return keep
+    def eroded(self, flags: Column, radius: int) -> Column:
+        """Flags whose whole square neighbourhood inside the image is set, first along rows, then along columns."""
+        def along(values: Column, step: int, place, size: int) -> Column:
+            def all_set(pos: Column) -> Column:
+                near = F.sequence(F.greatest(place(pos) - radius, F.lit(0)), F.least(place(pos) + radius, F.lit(size - 1)))
+                return F.forall(near, lambda i: F.get(values, (pos + (i - place(pos)) * step).cast("int")))
+
+            return F.transform(self.positions, all_set)
+
+        return along(along(flags, 1, self.x, self.width), self.width, self.y, self.height)
 
 
 def unroll(tiles: DataFrame, grid: Grid) -> DataFrame:
@@ -242,9 +243,10 @@ def reconstruction(tiles: DataFrame, image: list[str], grid: Grid, clean: str, m
     pos = F.col("pos")
     c, m, r = [F.get(F.col(name), pos) for name in (clean, marked, repaired)]
     inside = F.get(F.col(mask), pos)
-    edge = inside & ~grid.eroded(F.col(mask), pos, 2)
+    edge = inside & ~F.get("_core", pos)
     error = F.abs(r - c)
-    sums = unroll(tiles, grid).groupBy(*image).agg(
+    cored = tiles.withColumn("_core", grid.eroded(F.col(mask), 2))
+    sums = unroll(cored, grid).groupBy(*image).agg(
         F.avg(F.when(inside, F.abs(m - c))).alias("input_masked_mae"), F.avg(F.when(inside, error)).alias("masked_mae"),
         F.sqrt(F.avg(F.when(inside, error * error))).alias("masked_rmse"), F.avg(F.when(edge, error)).alias("boundary_mae"),
         F.coalesce(F.avg(F.when(~inside, error)), F.lit(0.0)).alias("outside_mae"),

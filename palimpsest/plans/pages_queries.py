@@ -171,16 +171,14 @@ def declared_media(t: Tables) -> DataFrame:
 @query("dedupe_fill", f"""WITH {MEDIA}
 SELECT page_id, url, min(pos) AS pos, count(*) AS n_declared, coalesce(arg_min(width, pos) FILTER (width IS NOT NULL), -1) AS width, coalesce(arg_min(height, pos) FILTER (height IS NOT NULL), -1) AS height FROM usable GROUP BY ALL""")
 def dedupe_fill(t: Tables) -> DataFrame:
-    joined = urls.url_join(F.col("page_url"), F.col("url"))
-    usable = declared_media(t).withColumn("url", urls.media_url(joined, "example.com")).filter("url IS NOT NULL")
+    usable = links.usable_media(declared_media(t), "page_url", "example.com")
     return links.dedupe_fill(usable, ["page_id", "url"], "pos", ["width", "height"]).fillna(-1, ["width", "height"])
 
 
 @query("media_positions", f"""WITH {MEDIA}, u AS (SELECT page_id, url, min(pos) AS pos FROM usable GROUP BY ALL)
 SELECT page_id, url, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS position, CASE WHEN row_number() OVER (PARTITION BY page_id ORDER BY pos) = 1 THEN 'cover' ELSE 'gallery' END AS role FROM u""")
 def media_positions(t: Tables) -> DataFrame:
-    joined = urls.url_join(F.col("page_url"), F.col("url"))
-    usable = declared_media(t).withColumn("url", urls.media_url(joined, "example.com")).filter("url IS NOT NULL")
+    usable = links.usable_media(declared_media(t), "page_url", "example.com")
     unique = links.dedupe_fill(usable, ["page_id", "url"], "pos", [])
     return links.positions(unique, ["page_id"]).select("page_id", "url", "position", "role")
 
