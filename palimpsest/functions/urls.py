@@ -3,7 +3,9 @@ so a malformed address gives empty parts instead of failing the job."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # What ends an address inside running text, and what is cut from its end.
@@ -18,32 +20,22 @@ GENERIC = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(\?[^#]*)?(
 AUTHORITY = r"^(?:(.*)@)?([^@:]*)(?::(.*))?$"
 
 
-def split_url(url: Column) -> dict[str, Column]:
-    """scheme, authority, userinfo (null if absent), host, port text, path, query with its mark."""
-    authority = F.regexp_extract(url, GENERIC, 2)
-    has_user = F.contains(authority, F.lit("@"))
-    return {
-        "scheme": F.lower(F.regexp_extract(url, GENERIC, 1)),
-        "authority": authority,
-        "userinfo": F.when(has_user, F.regexp_extract(authority, AUTHORITY, 1)),
-        "host": F.lower(F.regexp_extract(authority, AUTHORITY, 2)),
-        "port": F.regexp_extract(authority, AUTHORITY, 3),
-        "path": F.regexp_extract(url, GENERIC, 3),
-        "query": F.regexp_extract(url, GENERIC, 4),
-    }
-
-
-PARTS = ("scheme", "authority", "userinfo", "host", "port", "path", "query")
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Compute a value once and use it many times in `body`.
 
+    A filter on a derived column is pushed below it by substitution, which would copy
+    a long expression at every use; a lambda variable is never substituted.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-def with_parts(df: DataFrame, url: Column, prefix: str = "_u_") -> DataFrame:
-    """Add the parts of an address as columns, so that rules on them split it only once."""
-    found = split_url(url)
-    return df.withColumns({prefix + name: found[name] for name in PARTS})
 
-
-def parts_of(prefix: str = "_u_") -> dict[str, Column]:
-    return {name: F.col(prefix + name) for name in PARTS}
+def split_url(url: Column) -> Column:
+    """Struct of scheme, authority, userinfo (null if absent), host, port text, path, query with its mark."""
+    return let(F.regexp_extract(url, GENERIC, 2), lambda authority: F.struct(
+        F.lower(F.regexp_extract(url, GENERIC, 1)).alias("scheme"), authority.alias("authority"),
+        F.when(F.contains(authority, F.lit("@")), F.regexp_extract(authority, AUTHORITY, 1)).alias("userinfo"),
+        F.lower(F.regexp_extract(authority, AUTHORITY, 2)).alias("host"), F.regexp_extract(authority, AUTHORITY, 3).alias("port"),
+        F.regexp_extract(url, GENERIC, 3).alias("path"), F.regexp_extract(url, GENERIC, 4).alias("query")))
 
 
 def share_links(text: Column) -> Column:
@@ -58,41 +50,43 @@ def share_status(links: Column) -> Column:
 
 def url_status(url: Column, allowed_hosts: list[str]) -> Column:
     """First rule an address breaks. `allowed_hosts` entries starting with a dot allow sub-domains too."""
-    p = split_url(url)
     exact = [h for h in allowed_hosts if not h.startswith(".")]
     suffixes = [h for h in allowed_hosts if h.startswith(".")]
-    known = p["host"].isin(*exact) if exact else F.lit(False)
-    for suffix in suffixes:
-        known = known | F.endswith(p["host"], F.lit(suffix)) | (p["host"] == suffix[1:])
-    bad_port = (p["port"] != "") & ~p["port"].rlike(r"^\d{1,5}$")
-    return (F.when(url.isNull() | (F.length(url) > MAX_PAGE_URL) | bad_port, "LINK_INVALID")
-            .when(p["scheme"] != "https", "HTTPS_REQUIRED")
-            .when(p["userinfo"].isNotNull() | ~p["port"].isin("", "443"), "LINK_INVALID")
-            .when(~known, "HOST_NOT_ALLOWED").otherwise("OK"))
+
+    def rule(p: Column) -> Column:
+        known = p["host"].isin(*exact) if exact else F.lit(False)
+        for suffix in suffixes:
+            known = known | F.endswith(p["host"], F.lit(suffix)) | (p["host"] == suffix[1:])
+        bad_port = (p["port"] != "") & ~p["port"].rlike(r"^\d{1,5}$")
+        return (F.when(url.isNull() | (F.length(url) > MAX_PAGE_URL) | bad_port, "LINK_INVALID")
+                .when(p["scheme"] != "https", "HTTPS_REQUIRED")
+                .when(p["userinfo"].isNotNull() | ~p["port"].isin("", "443"), "LINK_INVALID")
+                .when(~known, "HOST_NOT_ALLOWED").otherwise("OK"))
+
+    return let(split_url(url), rule)
 
 
 def canonical(url: Column) -> Column:
     """https, lower-case host and path; no query, fragment, port or user."""
-    p = split_url(url)
-    path = F.when(p["path"] == "", "/").otherwise(p["path"])
-    return F.concat(F.lit("https://"), p["host"], path)
+    return let(split_url(url), lambda p: F.concat(
+        F.lit("https://"), p["host"], F.when(p["path"] == "", "/").otherwise(p["path"])))
 
 
 def path_id(url: Column, shapes: list[tuple[str, ...]] = (("explore",), ("item",), ("discovery", "item")),
             pattern: str = NOTE_ID) -> Column:
     """Last path segment where the segments before it have one of the given shapes, else null."""
-    segments = F.filter(F.split(split_url(url)["path"], "/"), lambda s: s != "")
-    last = F.try_element_at(segments, F.lit(-1))
-    fits = F.lit(False)
-    for shape in shapes:
-        head = F.slice(segments, 1, len(shape))
-        fits = fits | ((F.size(segments) == len(shape) + 1) & (F.array_join(head, "/") == "/".join(shape)))
-    return F.when(fits & last.rlike(pattern), last)
+    def rule(segments: Column) -> Column:
+        last = F.try_element_at(segments, F.lit(-1))
+        fits = F.lit(False)
+        for shape in shapes:
+            head = F.array_join(F.slice(segments, 1, len(shape)), "/")
+            fits = fits | ((F.size(segments) == len(shape) + 1) & (head == "/".join(shape)))
+        return F.when(fits & last.rlike(pattern), last)
 
+    return let(F.filter(F.split(split_url(url)["path"], "/"), lambda s: s != ""), rule)
 
-def media_status(url: Column, media_host: str, parts: dict[str, Column] | None = None) -> Column:
-    """First rule a page-declared media address breaks; http is allowed and upgraded."""
-    p = parts or split_url(url)
+
+def media_rule(url: Column, p: Column, media_host: str) -> Column:
     own = (p["host"] == media_host) | F.endswith(p["host"], F.lit("." + media_host))
     return (F.when(url.isNull() | (F.length(url) > MAX_MEDIA_URL), "MEDIA_URL_INVALID")
             .when(~p["scheme"].isin("http", "https"), "MEDIA_HTTPS_REQUIRED")
@@ -101,24 +95,33 @@ def media_status(url: Column, media_host: str, parts: dict[str, Column] | None =
             .when(p["path"].isin("", "/"), "MEDIA_URL_INVALID").otherwise("OK"))
 
 
-def media_url(url: Column, media_host: str, parts: dict[str, Column] | None = None) -> Column:
+def media_status(url: Column, media_host: str) -> Column:
+    """First rule a page-declared media address breaks; http is allowed and upgraded."""
+    return let(split_url(url), lambda p: media_rule(url, p, media_host))
+
+
+def media_url(url: Column, media_host: str) -> Column:
     """The https form of an accepted media address, else null."""
-    p = parts or split_url(url)
-    fixed = F.concat(F.lit("https://"), p["host"], p["path"], F.when(p["query"] != "?", p["query"]).otherwise(""))
-    return F.when(media_status(url, media_host, parts) == "OK", fixed)
+    def rule(whole: Column) -> Column:
+        return let(split_url(whole), lambda p: F.when(media_rule(whole, p, media_host) == "OK", F.concat(
+            F.lit("https://"), p["host"], p["path"], F.when(p["query"] != "?", p["query"]).otherwise(""))))
+
+    return let(url, rule)
 
 
-def url_join(base: Column, ref: Column, parts: dict[str, Column] | None = None) -> Column:
+def url_join(base: Column, ref: Column) -> Column:
     """Resolve a reference against a page address (without dot segments)."""
-    p = parts or split_url(base)
-    origin = F.concat(p["scheme"], F.lit("://"), p["authority"])
-    folder = F.regexp_extract(p["path"], r"^(.*/)[^/]*$", 1)
-    folder = F.when(folder == "", "/").otherwise(folder)
-    whole = F.concat(origin, p["path"])
-    return (F.when(ref.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), ref)
-            .when(F.startswith(ref, F.lit("//")), F.concat(p["scheme"], F.lit(":"), ref))
-            .when(F.startswith(ref, F.lit("/")), F.concat(origin, ref))
-            .when(ref == "", F.concat(whole, p["query"]))
-            .when(F.startswith(ref, F.lit("?")), F.concat(whole, ref))
-            .when(F.startswith(ref, F.lit("#")), F.concat(whole, p["query"], ref))
-            .otherwise(F.concat(origin, folder, ref)))
+    def rule(p: Column) -> Column:
+        origin = F.concat(p["scheme"], F.lit("://"), p["authority"])
+        folder = F.regexp_extract(p["path"], r"^(.*/)[^/]*$", 1)
+        folder = F.when(folder == "", "/").otherwise(folder)
+        whole = F.concat(origin, p["path"])
+        return (F.when(ref.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), ref)
+                .when(F.startswith(ref, F.lit("//")), F.concat(p["scheme"], F.lit(":"), ref))
+                .when(F.startswith(ref, F.lit("/")), F.concat(origin, ref))
+                .when(ref == "", F.concat(whole, p["query"]))
+                .when(F.startswith(ref, F.lit("?")), F.concat(whole, ref))
+                .when(F.startswith(ref, F.lit("#")), F.concat(whole, p["query"], ref))
+                .otherwise(F.concat(origin, folder, ref)))
+
+    return let(split_url(base), rule)

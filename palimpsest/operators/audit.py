@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.measures import prf_cols
 from palimpsest.functions.text import codes
-from palimpsest.functions.urls import split_url
+from palimpsest.functions.urls import let, split_url
 
 # Default gates of the localization, mask and timing audits.
 LOCALIZATION_GATES = {"precision": 0.75, "recall": 0.85, "sample_count": 20, "negative_count": 10,
@@ -216,8 +216,8 @@ def provenance_status(df: DataFrame) -> DataFrame:
         return F.coalesce(F.length(F.trim(F.col(field))) == 0, F.lit(True))
 
     def not_public(field: str) -> Column:
-        url = split_url(F.col(field))
-        bad = (url["scheme"] != "https") | (url["authority"] == "") | url["userinfo"].isNotNull()
+        bad = let(split_url(F.col(field)), lambda url: (
+            (url["scheme"] != "https") | (url["authority"] == "") | url["userinfo"].isNotNull()))
         return F.coalesce(bad, F.lit(True))
 
     digest_ok = F.coalesce(F.col("source_sha256").rlike("^[0-9a-f]{64}$"), F.lit(False))

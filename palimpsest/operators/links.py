@@ -14,7 +14,7 @@ from palimpsest.functions import html as markup
 from palimpsest.functions.ids import digest_id
 from palimpsest.functions.measures import declared_dimension
 from palimpsest.functions.text import codes
-from palimpsest.functions.urls import media_url, parts_of, url_join, with_parts
+from palimpsest.functions.urls import media_url, url_join
 
 # The tag names that declare a picture, its width and its height.
 MEDIA_KEYS = ("og:image", "og:image:url", "og:image:secure_url", "twitter:image")
@@ -102,11 +102,8 @@ def top_media(declared: DataFrame, page: list[str], url: str = "url", fill: tupl
 
 def usable_media(declared: DataFrame, base: str, media_host: str) -> DataFrame:
     """Declarations whose address, resolved against the page, is accepted; `url` becomes its https form."""
-    resolved = with_parts(declared, F.col(base), "_b_").withColumn(
-        "_joined", url_join(F.col(base), F.col("url"), parts_of("_b_")))
-    split = with_parts(resolved, F.col("_joined"))
-    fixed = media_url(F.col("_joined"), media_host, parts_of())
-    return split.withColumn("url", fixed).filter("url IS NOT NULL").select(*declared.columns)
+    address = media_url(url_join(F.col(base), F.col("url")), media_host)
+    return declared.withColumn("url", address).filter("url IS NOT NULL")
 
 
 def media_candidates(declared: DataFrame, page: list[str], base: str, media_host: str, n: int = MAX_MEDIA) -> DataFrame:
