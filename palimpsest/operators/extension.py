@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.operators.masks import set_sizes
+from palimpsest.operators.masks import both, layered, run_blocks
 
 BatchFn = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 
@@ -45,8 +45,8 @@ def with_masks(images: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], im
     return found.withColumn("status", F.when(fits, "OK").otherwise("WRONG_DIMENSIONS")).drop(width, height)
 
 
-def clipped_size(mask_runs: DataFrame, candidate_runs: DataFrame, image: list[str]) -> DataFrame:
-    """Pixels of refined masks that lie inside the candidate boxes."""
-    runs = mask_runs.withColumn("role", F.lit("mask")).unionByName(candidate_runs.withColumn("role", F.lit("cand")))
-    s = set_sizes(runs, image, {"m": ["mask"], "c": ["cand"], "both": ["mask", "cand"]})
-    return s.select(*image, (F.col("m") + F.col("c") - F.col("both")).alias("clipped_pixels"))
+def clipped(mask_runs: DataFrame, candidate_blocks: DataFrame, image: list[str]) -> DataFrame:
+    """The blocks of refined masks, cut to the candidate boxes (role cand)."""
+    blocks = run_blocks(mask_runs, image, "mask").unionByName(candidate_blocks)
+    return (layered(blocks, image, ["mask", "cand"]).select(*image, "bx", "by", both("mask", "cand").alias("bits"))
+            .filter("bits <> 0"))

@@ -1,34 +1,71 @@
-"""Masks as row runs: interval and area work on pixel sets.
+"""Masks as tables of 8 x 8 pixel blocks, and merged intervals.
 
-A mask is rows of (image, y, x0, x1) with x1 exclusive. Runs that start at the
-same pixel are combined before any shuffle, so an image row holds at most one run
-per start pixel and role, however many shapes cover it.
+A block is one row (image, bx, by) with its 64 pixels as the bits of a whole number,
+bit 8 * row + column. Shapes that cover a block are combined by bit-or before any
+shuffle, set algebra is bit algebra, and sizes are bit counts: no sort, no window and
+no join, and an image of any size is shared by as many tasks as it has blocks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions.boxes import Box, snapped
 from palimpsest.functions.measures import correction_reduction, ratio
 from palimpsest.operators.prefix import running
 
+SIDE = 8
 
-def rect_runs(boxes: DataFrame, image: list[str], width: Column, height: Column, role: str) -> DataFrame:
-    """The pixel rows of boxes, grown to whole pixels and cut to the image."""
+
+def _signed(bits: int) -> int:
+    return bits - (1 << 64) if bits >= 1 << 63 else bits
+
+
+def _pixels(keep: Callable[[int, int], bool]) -> int:
+    """The block whose bits are the (row, column) pairs that `keep` accepts."""
+    return _signed(sum(1 << (SIDE * r + c) for r in range(SIDE) for c in range(SIDE) if keep(r, c)))
+
+
+def _band(low: Column, high: Column, by_row: bool) -> Column:
+    """Bits of the rows (or columns) low <= i < high of a block, from a table of all 81 bands."""
+    table = [_pixels(lambda r, c, a=a, b=b: a <= (r if by_row else c) < b) for a in range(SIDE + 1) for b in range(SIDE + 1)]
+    return F.get(F.array(*[F.lit(v) for v in table]), (low * (SIDE + 1) + high).cast("int"))
+
+
+def _blocks_along(low: Column, high: Column) -> Column:
+    return F.explode(F.sequence(F.floor(low / SIDE), F.floor((high - 1) / SIDE)))
+
+
+def _part(low: Column, high: Column, block: str) -> tuple[Column, Column]:
+    """The stretch of a block between two pixel positions."""
+    first = F.col(block) * SIDE
+    return F.greatest(low - first, F.lit(0)), F.least(high - first, F.lit(SIDE))
+
+
+def rect_blocks(boxes: DataFrame, image: list[str], width: Column, height: Column, role: str) -> DataFrame:
+    """The blocks of boxes, grown to whole pixels and cut to the image."""
     b = snapped(Box.of())
     cut = boxes.select(*image, F.greatest(b.x0, F.lit(0)).alias("x0"), F.least(b.x1, width).alias("x1"),
-                       F.greatest(b.y0, F.lit(0)).alias("_y0"), F.least(b.y1, height).alias("_y1"))
-    return (cut.filter("x0 < x1 AND _y0 < _y1")
-            .select(*image, F.lit(role).alias("role"), F.explode(F.sequence("_y0", F.col("_y1") - 1)).alias("y"),
-                    F.col("x0").cast("bigint").alias("x0"), F.col("x1").cast("bigint").alias("x1")))
+                       F.greatest(b.y0, F.lit(0)).alias("y0"), F.least(b.y1, height).alias("y1")).filter("x0 < x1 AND y0 < y1")
+    x0, y0, x1, y1 = Box.of()
+    placed = cut.withColumn("bx", _blocks_along(x0, x1)).withColumn("by", _blocks_along(y0, y1))
+    bits = _band(*_part(x0, x1, "bx"), by_row=False).bitwiseAND(_band(*_part(y0, y1, "by"), by_row=True))
+    return placed.select(*image, F.lit(role).alias("role"), "bx", "by", bits.alias("bits"))
+
+
+def run_blocks(runs: DataFrame, image: list[str], role: str) -> DataFrame:
+    """The blocks of pixel runs (image, y, x0, x1 with x1 exclusive)."""
+    placed = runs.withColumn("bx", _blocks_along(F.col("x0"), F.col("x1")))
+    row = F.col("y") % SIDE
+    bits = _band(*_part(F.col("x0"), F.col("x1"), "bx"), by_row=False).bitwiseAND(_band(row, row + 1, by_row=True))
+    return placed.select(*image, F.lit(role).alias("role"), "bx", F.floor(F.col("y") / SIDE).alias("by"), bits.alias("bits"))
 
 
 def polygon_runs(polys: DataFrame, image: list[str], width: Column, height: Column, role: str) -> DataFrame:
-    """The pixel rows of polygons with rounded corners, filled between pairs of edge crossings.
+    """The pixel runs of polygons with rounded corners, filled between pairs of edge crossings.
 
     Pixels on the outline between two crossings are included; flat edges are added whole.
     """
@@ -65,74 +102,74 @@ def polygon_runs(polys: DataFrame, image: list[str], width: Column, height: Colu
                         F.least(F.col("_r.b") + 1, F.col("_w")).alias("x1")).filter("x0 < x1"))
 
 
-def combined(runs: DataFrame, image: list[str]) -> DataFrame:
-    """The longest run per start pixel and role."""
-    return runs.groupBy(*image, "y", "role", "x0").agg(F.max("x1").alias("x1"))
+def layered(blocks: DataFrame, image: list[str], roles: list[str]) -> DataFrame:
+    """One row per block with the combined bits of each role as a column."""
+    bits = [F.coalesce(F.bit_or(F.when(F.col("role") == r, F.col("bits"))), F.lit(0).cast("bigint")).alias(r) for r in roles]
+    return blocks.groupBy(*image, "bx", "by").agg(*bits)
 
 
-def set_sizes(runs: DataFrame, image: list[str], sets: Mapping[str, list[str]]) -> DataFrame:
-    """Pixel count of the union of the given roles, for several unions in one pass.
+def size(bits: Column) -> Column:
+    """Pixels of a block expression, summed over blocks."""
+    return F.sum(F.bit_count(bits)).cast("bigint")
 
-    Any other set size follows from these: |A and B| = |A| + |B| - |A or B|.
-    """
-    before = (Window.partitionBy(*image, "y").orderBy("x0", "role")
-              .rowsBetween(Window.unboundedPreceding, -1))
-    columns = []
-    for name, roles in sets.items():
-        member = F.col("role").isin(*roles)
-        reached = F.max(F.when(member, F.col("x1"))).over(before)
-        fresh = F.col("x1") - F.greatest(F.col("x0"), F.coalesce(reached, F.col("x0")))
-        columns.append(F.when(member, F.greatest(fresh, F.lit(0))).otherwise(0).alias(name))
-    sized = combined(runs, image).select(*image, *columns)
-    return sized.groupBy(*image).agg(*[F.sum(name).cast("bigint").alias(name) for name in sets])
-
-
-def effective_runs(runs: DataFrame, image: list[str], mask: str = "mask", protect: str = "protect") -> DataFrame:
-    """Runs of the mask without the protected pixels, merged where they touch.
-
-    Along a pixel row, starts and ends add to two open counts; a stretch belongs to
-    the result while the first is open and the second is not.
-    """
-    sign = {mask: "_m", protect: "_p"}
-    ends = F.explode(F.array(F.struct(F.col("x0").alias("x"), F.lit(1).alias("d")),
-                             F.struct(F.col("x1").alias("x"), F.lit(-1).alias("d"))))
-    steps = (combined(runs, image).select(*image, "y", "role", ends.alias("_s"))
-             .groupBy(*image, "y", F.col("_s.x").alias("x"))
-             .agg(*[F.sum(F.when(F.col("role") == role, F.col("_s.d")).otherwise(0)).alias(name)
-                    for role, name in sign.items()]))
-    row = Window.partitionBy(*image, "y").orderBy("x")
-    upto = row.rowsBetween(Window.unboundedPreceding, 0)
-    stretches = steps.select(
-        *image, "y", "x", F.lead("x").over(row).alias("_to"),
-        ((F.sum("_m").over(upto) > 0) & (F.sum("_p").over(upto) == 0)).alias("_in")).filter("_in")
-    new = F.coalesce(F.lag("_to").over(row) != F.col("x"), F.lit(True)).cast("int")
-    return (stretches.withColumn("_new", new).withColumn("_run", F.sum("_new").over(upto))
-            .groupBy(*image, "y", "_run").agg(F.min("x").alias("x0"), F.max("_to").alias("x1")).drop("_run"))
+
+def set_sizes(blocks: DataFrame, image: list[str], roles: list[str], sets: Mapping[str, Column]) -> DataFrame:
+    """Pixel counts per image of any bit expressions over the roles."""
+    return layered(blocks, image, roles).groupBy(*image).agg(*[size(bits).alias(name) for name, bits in sets.items()])
+
+
+def without(a: str, b: str) -> Column:
+    return F.col(a).bitwiseAND(F.bitwise_not(F.col(b)))
+
+
+def both(a: str, b: str) -> Column:
+    return F.col(a).bitwiseAND(F.col(b))
+
+
+def effective(blocks: DataFrame, image: list[str], mask: str = "mask", protect: str = "protect") -> DataFrame:
+    """Blocks of the mask without the protected pixels; empty blocks are left out."""
+    return (layered(blocks, image, [mask, protect]).select(*image, "bx", "by", without(mask, protect).alias("bits"))
+            .filter("bits <> 0"))
+
+
+def mask_state(blocks: DataFrame, image: list[str]) -> DataFrame:
+    """Pixel count of each effective mask, and whether protection leaves nothing of it."""
+    sizes = set_sizes(blocks, image, ["mask", "protect"], {"covered_pixels": without("mask", "protect")})
+    return sizes.withColumn("status", F.when(F.col("covered_pixels") == 0, "EMPTY_EFFECTIVE_MASK").otherwise("OK"))
+
+
+def coordinate_sums(blocks: DataFrame, image: list[str]) -> DataFrame:
+    """Pixel count and sums of x and y over set pixels: enough to find a mask's centre, or to compare masks."""
+    def weighted(by_row: bool) -> Column:
+        total = F.lit(0)
+        for k in range(1, SIDE):
+            line = _pixels(lambda r, c, k=k: (r if by_row else c) == k)
+            total = total + F.bit_count(F.col("bits").bitwiseAND(F.lit(line))) * k
+        return total
+
+    n = F.bit_count("bits")
+    return blocks.groupBy(*image).agg(
+        F.sum(n).cast("bigint").alias("pixels"), F.sum(F.col("bx") * SIDE * n + weighted(False)).cast("bigint").alias("x_sum"),
+        F.sum(F.col("by") * SIDE * n + weighted(True)).cast("bigint").alias("y_sum"))
 
 
 def coverage(rects: DataFrame, protect: DataFrame, image: list[str], width: Column, height: Column) -> DataFrame:
     """Area of the union of rectangles, and of that union without the protected ones."""
-    runs = rect_runs(rects, image, width, height, "mask").unionByName(
-        rect_runs(protect, image, width, height, "protect"))
-    sizes = set_sizes(runs, image, {"mask": ["mask"], "protect": ["protect"], "both": ["mask", "protect"]})
-    return sizes.select(*image, F.col("mask").alias("union_area"),
-                        (F.col("both") - F.col("protect")).alias("effective_area"))
+    blocks = rect_blocks(rects, image, width, height, "mask").unionByName(
+        rect_blocks(protect, image, width, height, "protect"))
+    return set_sizes(blocks, image, ["mask", "protect"], {
+        "union_area": F.col("mask"), "effective_area": without("mask", "protect")})
 
 
 def mask_score(truth: DataFrame, pred: DataFrame, cand: DataFrame, image: list[str]) -> DataFrame:
-    """Pixel counts and scores per image from runs of the three masks."""
-    runs = truth.unionByName(pred).unionByName(cand)
-    s = set_sizes(runs, image, {
-        "t": ["truth"], "p": ["pred"], "c": ["cand"], "tp": ["truth", "pred"],
-        "tc": ["truth", "cand"], "pc": ["pred", "cand"]})
-    hit = F.col("t") + F.col("p") - F.col("tp")
-    counted = s.select(
-        *image, hit.alias("true_positive_pixels"), (F.col("p") - hit).alias("false_positive_pixels"),
-        (F.col("t") - hit).alias("false_negative_pixels"),
-        (F.col("tc") * 2 - F.col("t") - F.col("c")).alias("candidate_correction_pixels"),
-        (F.col("tp") * 2 - F.col("t") - F.col("p")).alias("refined_correction_pixels"),
-        (F.col("pc") - F.col("c")).alias("outside_candidate_pixels"))
-    return with_mask_scores(counted)
+    """Pixel counts and scores per image from the blocks (roles truth, pred, cand) of three masks."""
+    blocks = truth.unionByName(pred).unionByName(cand)
+    return with_mask_scores(set_sizes(blocks, image, ["truth", "pred", "cand"], {
+        "true_positive_pixels": both("truth", "pred"), "false_positive_pixels": without("pred", "truth"),
+        "false_negative_pixels": without("truth", "pred"),
+        "candidate_correction_pixels": F.col("cand").bitwiseXOR(F.col("truth")),
+        "refined_correction_pixels": F.col("pred").bitwiseXOR(F.col("truth")),
+        "outside_candidate_pixels": without("pred", "cand")}))
 
 
 def with_mask_scores(counted: DataFrame) -> DataFrame:
@@ -152,14 +189,11 @@ def mask_totals(per_image: DataFrame) -> DataFrame:
     return with_mask_scores(totals)
 
 
-def pixel_confusion(pixels: DataFrame, image: list[str]) -> DataFrame:
-    """Counts from decoded mask pixels (image, y, x, role), by one combinable pass instead of joins."""
-    flags = pixels.groupBy(*image, "y", "x").agg(*[F.bool_or(F.col("role") == r).alias(r) for r in ("truth", "pred", "cand")])
-    t, p, c = F.col("truth"), F.col("pred"), F.col("cand")
-    return with_mask_scores(flags.groupBy(*image).agg(
-        F.count_if(t & p).alias("true_positive_pixels"), F.count_if(~t & p).alias("false_positive_pixels"),
-        F.count_if(t & ~p).alias("false_negative_pixels"), F.count_if(t != c).alias("candidate_correction_pixels"),
-        F.count_if(t != p).alias("refined_correction_pixels"), F.count_if(p & ~c).alias("outside_candidate_pixels")))
+def pixel_blocks(pixels: DataFrame, image: list[str]) -> DataFrame:
+    """The blocks of decoded mask pixels (image, y, x, role)."""
+    x, y = F.col("x"), F.col("y")
+    bits = _band(x % SIDE, x % SIDE + 1, by_row=False).bitwiseAND(_band(y % SIDE, y % SIDE + 1, by_row=True))
+    return pixels.select(*image, "role", F.floor(x / SIDE).alias("bx"), F.floor(y / SIDE).alias("by"), bits.alias("bits"))
 
 
 def merge_intervals(df: DataFrame, keys: list[str], start: str = "start", end: str = "end",

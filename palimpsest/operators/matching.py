@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions.boxes import Box, area_ratio, containment, iou
-from palimpsest.operators.overlap import CELL, iou_pairs
+from palimpsest.operators.overlap import BOX, CELL, iou_pairs
 from palimpsest.session import cut_lineage
 
 # Default thresholds of matching and confirmation.
@@ -14,6 +14,23 @@ IOU_MATCH, CONTAINMENT, AREA_RATIO = 0.5, 0.9, 0.15
 EDGES_PER_SAMPLE = 500
 
 
+def matchable(pred: DataFrame, truth: DataFrame, sample: list[str], threshold: float = IOU_MATCH,
+              cell: int = CELL) -> tuple[DataFrame, DataFrame]:
+    """The predicted and expected rows that reach the threshold with anything.
+
+    Equal boxes are compared once. All other rows stay unmatched, so identifiers and
+    the matching itself are only needed for what is left.
+    """
+    def shapes(df: DataFrame) -> DataFrame:
+        return df.select(*sample, *BOX).distinct()
+
+    near = cut_lineage(iou_pairs(shapes(pred), shapes(truth), sample, threshold, cell).select(
+        *sample, *BOX, *[f"r_{c}" for c in BOX]))
+    left = pred.join(near.select(*sample, *BOX), [*sample, *BOX], "left_semi")
+    right = truth.join(near.select(*sample, *[F.col(f"r_{c}").alias(c) for c in BOX]), [*sample, *BOX], "left_semi")
+    return left, right
+
+
 def match_boxes(
     pred: DataFrame,
     truth: DataFrame,
@@ -33,11 +50,11 @@ def match_boxes(
     so the work is on those. Samples with few of them are folded in one row each;
     larger samples are solved by rounds of proposals with the same result.
     """
-    edges = iou_pairs(pred, truth, sample, threshold, cell).select(
+    edges = cut_lineage(iou_pairs(pred, truth, sample, threshold, cell).select(
         *sample,
         F.struct((-F.col(confidence)).alias("c"), F.col(pred_id).alias("id")).alias("p"),
         F.struct((-F.col("iou")).alias("i"), (-F.col(f"r_{truth_rank}")).alias("r"),
-                 F.col(f"r_{truth_id}").alias("id")).alias("t"))
+                 F.col(f"r_{truth_id}").alias("id")).alias("t")))
     large = (edges.groupBy(*sample).agg(F.count(F.lit(1)).alias("_n"))
              .filter(F.col("_n") > edges_per_sample).select(*sample))
     matched = fold_small(edges.join(large, sample, "left_anti"), sample)

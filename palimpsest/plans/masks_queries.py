@@ -1,4 +1,4 @@
-"""Queries over masks as pixel runs and over merged intervals."""
+"""Queries over masks as pixel blocks and over merged intervals."""
 
 from __future__ import annotations
 
@@ -15,8 +15,8 @@ WIDTH, HEIGHT = 50, 40
 IMAGE = ["page"]
 
 
-def runs(df: DataFrame, role: str) -> DataFrame:
-    return masks.rect_runs(df, IMAGE, F.lit(WIDTH), F.lit(HEIGHT), role)
+def blocks(df: DataFrame, role: str) -> DataFrame:
+    return masks.rect_blocks(df, IMAGE, F.lit(WIDTH), F.lit(HEIGHT), role)
 
 
 PIXELS = f"""
@@ -32,11 +32,9 @@ e AS (SELECT * FROM m EXCEPT SELECT * FROM p)
 SELECT page, count(*) AS effective_pixels, CAST(sum(y * 1000 + x) AS BIGINT) AS position_sum FROM e GROUP BY page""")
 def mask_algebra(t: Tables) -> DataFrame:
     """Odd lines are masked, even lines protected; pixels left per order and a sum of their positions."""
-    all_runs = runs(boxes(t).filter("line % 2 = 1"), "mask").unionByName(runs(boxes(t).filter("line % 2 = 0"), "protect"))
-    length = F.col("x1") - F.col("x0")
-    positions = F.col("y") * 1000 * length + (F.col("x0") + F.col("x1") - 1) * length / 2
-    return masks.effective_runs(all_runs, IMAGE).groupBy("page").agg(
-        F.sum(length).cast("bigint").alias("effective_pixels"), F.sum(positions).cast("bigint").alias("position_sum"))
+    shapes = blocks(boxes(t).filter("line % 2 = 1"), "mask").unionByName(blocks(boxes(t).filter("line % 2 = 0"), "protect"))
+    return masks.coordinate_sums(masks.effective(shapes, IMAGE), IMAGE).select(
+        "page", F.col("pixels").alias("effective_pixels"), (F.col("y_sum") * 1000 + F.col("x_sum")).alias("position_sum"))
 
 
 @query("mask_clip", f"""
@@ -45,9 +43,8 @@ c AS (SELECT page, x, y FROM cands JOIN grid ON x >= x0 AND x < x1 AND y >= y0 A
 SELECT page, count(*) AS clipped_pixels FROM (SELECT DISTINCT page, x, y FROM px) SEMI JOIN c USING (page, x, y) GROUP BY page""")
 def mask_clip(t: Tables) -> DataFrame:
     """Pixels of an order's lines that lie in its candidate box."""
-    all_runs = runs(boxes(t), "mask").unionByName(runs(candidates(t), "cand"))
-    s = masks.set_sizes(all_runs, IMAGE, {"m": ["mask"], "c": ["cand"], "both": ["mask", "cand"]})
-    return s.select("page", (F.col("m") + F.col("c") - F.col("both")).alias("clipped_pixels")).filter("clipped_pixels > 0")
+    shapes = blocks(boxes(t), "mask").unionByName(blocks(candidates(t), "cand"))
+    return masks.set_sizes(shapes, IMAGE, ["mask", "cand"], {"clipped_pixels": masks.both("mask", "cand")}).filter("clipped_pixels > 0")
 
 
 @query("xor_size", f"""
@@ -55,9 +52,8 @@ WITH {BOXES}, {PIXELS},
 f AS (SELECT page, x, y, bool_or(line = 1) AS a, bool_or(line <> 1) AS b FROM px GROUP BY ALL)
 SELECT page, count(*) FILTER (a <> b) AS xor_pixels FROM f GROUP BY page""")
 def xor_size(t: Tables) -> DataFrame:
-    all_runs = runs(boxes(t).filter("line = 1"), "a").unionByName(runs(boxes(t).filter("line <> 1"), "b"))
-    s = masks.set_sizes(all_runs, IMAGE, {"a": ["a"], "b": ["b"], "ab": ["a", "b"]})
-    return s.select("page", (F.col("ab") * 2 - F.col("a") - F.col("b")).alias("xor_pixels"))
+    shapes = blocks(boxes(t).filter("line = 1"), "a").unionByName(blocks(boxes(t).filter("line <> 1"), "b"))
+    return masks.set_sizes(shapes, IMAGE, ["a", "b"], {"xor_pixels": F.col("a").bitwiseXOR(F.col("b"))})
 
 
 MASK_SCORE = f"""
@@ -79,8 +75,8 @@ round(CASE WHEN candidate_correction_pixels = 0 THEN CASE WHEN refined_correctio
 
 
 def scored(t: Tables) -> DataFrame:
-    return masks.mask_score(runs(boxes(t).filter("line = 1"), "truth"), runs(boxes(t).filter("line <> 1"), "pred"),
-                            runs(candidates(t), "cand"), IMAGE)
+    return masks.mask_score(blocks(boxes(t).filter("line = 1"), "truth"), blocks(boxes(t).filter("line <> 1"), "pred"),
+                            blocks(candidates(t), "cand"), IMAGE)
 
 
 @query("mask_score", f"WITH {BOXES}, {CANDIDATES}, {MASK_SCORE} SELECT *, {RATES} FROM s")

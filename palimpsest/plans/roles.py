@@ -28,18 +28,21 @@ boxes AS (SELECT l_orderkey AS page, l_linenumber AS line, l_partkey % 40 AS x0,
 """
 
 
-def known_boxes(t: Tables) -> DataFrame:
-    """Boxes with an identity: the row's own values and a number among equal rows."""
-    rows = number_copies(t.lineitem, t.lineitem.columns)
+def placed(rows: DataFrame) -> DataFrame:
+    """Line items with their box added."""
+    part, supp = F.col("l_partkey"), F.col("l_suppkey")
+    x0, y0 = part % 40, supp % 30
+    return rows.withColumns({"page": F.col("l_orderkey"), "x0": x0, "y0": y0, "x1": x0 + 4 + supp % 16, "y1": y0 + 4 + part % 12})
+
+
+def identified(rows: DataFrame) -> DataFrame:
+    """Placed line items with an identity: the row's own values and a number among equal rows."""
+    known = number_copies(rows, rows.columns)
     key = F.concat_ws("-", F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey"), cents("l_quantity"),
                       cents("l_extendedprice"), cents("l_discount"), cents("l_tax"), F.col("l_returnflag"),
                       F.col("l_linestatus"), F.date_format("l_shipdate", "yyyyMMdd"), F.col("copy"))
-    part, supp = F.col("l_partkey"), F.col("l_suppkey")
-    x0, y0 = part % 40, supp % 30
-    return rows.select(
-        F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("line"), x0.alias("x0"), y0.alias("y0"),
-        (x0 + 4 + supp % 16).alias("x1"), (y0 + 4 + part % 12).alias("y1"), key.alias("row_id"),
-        cents("l_extendedprice").alias("price"), (cents("l_discount") / 10).alias("confidence"))
+    return known.select("page", "x0", "y0", "x1", "y1", key.alias("row_id"), cents("l_extendedprice").alias("price"),
+                        (cents("l_discount") / 10).alias("confidence"))
 
 
 KNOWN = BOXES + """,

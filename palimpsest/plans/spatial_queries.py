@@ -11,7 +11,7 @@ from palimpsest.functions.ids import transform_id
 from palimpsest.operators import matching, overlap, regions
 from palimpsest.plans.registry import Tables, query
 from palimpsest.plans.roles import (
-    BOXES, CANDIDATES, FRAMES, KNOWN, PAIR_AREA, PAIR_IOU, PAIR_OVERLAP, boxes, candidates, frames, known_boxes)
+    BOXES, CANDIDATES, FRAMES, KNOWN, PAIR_AREA, PAIR_IOU, PAIR_OVERLAP, boxes, candidates, frames, identified, placed)
 
 
 LEAVES = "(x0 < 0 OR y0 < 0 OR x1 > width OR y1 > height OR x0 >= x1 OR y0 >= y1)"
@@ -144,11 +144,12 @@ matches AS (SELECT page, p, t, iou FROM walk WHERE hit)
 
 
 def matched(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
-    known = known_boxes(t)
-    pred, truth = known.filter("line <> 1"), known.filter("line = 1")
+    rows = placed(t.lineitem)
+    pred, truth = rows.filter("l_linenumber <> 1"), rows.filter("l_linenumber = 1")
+    left, right = matching.matchable(pred, truth, ["page"], 0.3)
     found = matching.match_boxes(
-        pred.withColumnRenamed("row_id", "pred_id").drop("price", "line"),
-        truth.withColumnRenamed("row_id", "truth_id").drop("confidence", "line"),
+        identified(left).withColumnRenamed("row_id", "pred_id").drop("price"),
+        identified(right).withColumnRenamed("row_id", "truth_id").drop("confidence"),
         ["page"], "confidence", "pred_id", "truth_id", "price", 0.3)
     return pred, truth, found
 
