@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions.boxes import finite
 from palimpsest.functions.measures import ratio
 from palimpsest.operators.prefix import numbered
-from palimpsest.operators.quantile import exact_percentile
+from palimpsest.operators.quantile import exact_percentiles
 
 # Workflows in their counter-balanced order, and accepted failure reasons.
 WORKFLOWS = ("manual", "box", "refined")
@@ -33,10 +33,9 @@ def workflow_summary(trials: DataFrame, workflow: str = "workflow") -> DataFrame
     """Counts, failure rate (1 without trials) and exact medians of completed trials per workflow."""
     done = F.col("status") == "completed"
     counts = trials.groupBy(workflow).agg(F.count(F.lit(1)).alias("trial_count"), F.count_if(done).alias("completed_count"))
-    finished = trials.filter(done)
-    medians = [exact_percentile(finished, [workflow], f"{kind}_seconds", 0.5, f"{kind}_median_seconds")
-               for kind in ("total", "correction")]
-    out = counts.join(medians[0], workflow, "left").join(medians[1], workflow, "left")
+    medians = exact_percentiles(trials.filter(done), [workflow], {
+        f"{kind}_median_seconds": F.col(f"{kind}_seconds") for kind in ("total", "correction")}, 0.5)
+    out = counts.join(medians, workflow, "left")
     failures = F.col("trial_count") - F.col("completed_count")
     return out.select(
         workflow, "trial_count", "completed_count", failures.alias("failure_count"),
@@ -72,7 +71,7 @@ def runtime_summary(rows: DataFrame, keys: list[str]) -> DataFrame:
         F.count_if(good).alias("n"), F.count_if(~F.coalesce(good, F.lit(False))).alias("rejected"),
         F.round(F.avg(F.when(good, F.col("duration_ms"))), 6).alias("duration_mean"),
         F.max(F.when(good, F.col("peak_memory_mb"))).alias("peak_memory_max"))
-    median = exact_percentile(kept, keys, "duration_ms", 0.5, "duration_median")
+    median = exact_percentiles(kept, keys, {"duration_median": F.col("duration_ms")}, 0.5)
     return sums.join(median.withColumn("duration_median", F.round("duration_median", 6)), keys, "left")
 
 

@@ -35,7 +35,7 @@ def relations(t: Tables) -> DataFrame:
                     F.concat(F.lit("../../media/"), name), F.concat(F.lit("media%2F"), name))
     target = F.element_at(forms, (F.col("l_suppkey") % 5 + 1).cast("int"))
     kind = F.when(F.col("l_linestatus") == "O", "http://x/relationships/image").otherwise("http://x/relationships/hyperlink")
-    return t.lineitem.select(
+    return t.wide("lineitem").select(
         F.col("l_orderkey").alias("asset"), F.concat(F.lit("word/header"), line, F.lit(".xml")).alias("owner"), target.alias("target"),
         F.when(F.col("l_tax") > 0.06, "External").alias("target_mode"), kind.alias("type"), F.lit(1).alias("package"))
 

@@ -83,7 +83,7 @@ joined AS (SELECT page_id, pos, regexp_extract(page_url, '^(https?://[^/?#]*)',
 
 def link_rows(t: Tables) -> DataFrame:
     """Links of each page with their target as written."""
-    rows = links.tags(t.pages, ["page_id", "url"], "html")
+    rows = links.tags(t.wide("pages"), ["page_id", "url"], "html")
     href = markup.attribute(F.col("tag"), "href")
     return rows.filter(markup.tag_name(F.col("tag")) == "a").select("page_id", "url", F.col("pos").cast("bigint").alias("pos"), href.alias("href"))
 
@@ -115,7 +115,7 @@ def html_meta(t: Tables) -> DataFrame:
 SELECT page_id, name, min(pos) AS pos, arg_min(tag, pos) AS content FROM named GROUP BY page_id, name""")
 def first_meta(t: Tables) -> DataFrame:
     """First start tag of each name per page."""
-    rows = links.tags(t.pages, ["page_id"], "html").select(
+    rows = links.tags(t.wide("pages"), ["page_id"], "html").select(
         "page_id", markup.tag_name(F.col("tag")).alias("name"), F.col("pos").cast("bigint").alias("pos"), F.col("tag").alias("content"))
     return links.first_meta(rows, ["page_id", "name"])
 
@@ -133,7 +133,7 @@ def dim(t: Tables) -> DataFrame:
 
 def tag_roles(t: Tables) -> DataFrame:
     """Links declare media; paragraphs after them give widths and line breaks heights by their position."""
-    rows = links.tags(t.pages, ["page_id", "url"], "html").withColumn("pos", F.col("pos").cast("bigint"))
+    rows = links.tags(t.wide("pages"), ["page_id", "url"], "html").withColumn("pos", F.col("pos").cast("bigint"))
     name = markup.tag_name(F.col("tag"))
     role = F.when(name == "a", "media").when(name.isin("li", "p"), "width").when(name.isin("br", "div"), "height").otherwise("other")
     number = F.when(F.col("pos") % 3 == 0, "n/a").otherwise(F.col("pos").cast("string"))

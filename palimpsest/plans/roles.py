@@ -17,7 +17,7 @@ def boxes(t: Tables, *extra: str | Column) -> DataFrame:
     """Line items as boxes on the page of their order."""
     part, supp = F.col("l_partkey"), F.col("l_suppkey")
     x0, y0 = part % 40, supp % 30
-    return t.lineitem.select(
+    return t.wide("lineitem").select(
         F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("line"),
         x0.alias("x0"), y0.alias("y0"), (x0 + 4 + supp % 16).alias("x1"), (y0 + 4 + part % 12).alias("y1"), *extra)
 

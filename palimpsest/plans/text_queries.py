@@ -30,7 +30,7 @@ SHARE = 0.1
 
 
 def lines(t: Tables) -> DataFrame:
-    return frag.fragments(t.documents, "text", ["doc_id", "source", "lang"])
+    return frag.fragments(t.wide("documents"), "text", ["doc_id", "source", "lang"])
 
 
 def repeats(t: Tables) -> DataFrame:

@@ -17,7 +17,7 @@ def gray_tiles(t: Tables) -> DataFrame:
     """Vectors as gray values 0..255, with a 2 x 2 region per tile."""
     gray = F.transform("embedding", lambda e: F.least(F.greatest(F.floor((e.cast("double") + 1) * 127.5), F.lit(0)), F.lit(255)).cast("int"))
     x0, y0 = (F.col("vec_id") % 7).cast("int"), (F.floor(F.col("vec_id") / 7) % 7).cast("int")
-    return t.embeddings.select("vec_id", "label", gray.alias("gray"), x0.alias("x0"), y0.alias("y0"),
+    return t.wide("embeddings").select("vec_id", "label", gray.alias("gray"), x0.alias("x0"), y0.alias("y0"),
                                (x0 + 2).alias("x1"), (y0 + 2).alias("y1"))
 
 
