@@ -136,7 +136,8 @@ def gate_quality(rows: DataFrame, expected: str, eligible: str, pair: str) -> Da
     scores = prf_cols(*[F.col(name) for name in COUNTS])
     specificity = F.coalesce(
         F.try_divide(F.col("true_negative"), F.col("true_negative") + F.col("false_positive")), F.lit(1.0))
-    return totals.crossJoin(pairs).select(  # two one-row tables
+    counts = ("pair_count", "stable_pair_count")
+    return totals.withColumns({name: pairs.select(name).scalar() for name in counts}).select(
         *COUNTS, "true_negative", "pair_count", "stable_pair_count",
         F.round(scores["precision"], 6).alias("precision"), F.round(scores["recall"], 6).alias("recall"),
         F.round(specificity, 6).alias("specificity"))

@@ -61,7 +61,7 @@ def repeated_text(
         listed = pages.withColumn("_page", F.struct(asset, page))
     totals = listed.select(*keys, page_key).distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("_total"))
     repeats = pages_per_value(rows, keys, page_key, "norm_text").filter(F.col("n_pages") >= min_pages)
-    joined = repeats.join(totals, keys) if keys else repeats.crossJoin(totals)  # totals: one row
+    joined = repeats.join(totals, keys) if keys else repeats.withColumn("_total", totals.select("_total").scalar())
     chosen = (joined.filter(F.col("n_pages") / F.col("_total") >= min_share)
               .select(*keys, "norm_text", "n_pages"))
     how = "left" if target else "inner"

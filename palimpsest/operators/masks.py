@@ -89,15 +89,19 @@ def polygon_runs(polys: DataFrame, image: list[str], width: Column, height: Colu
             low, high = F.least(e["p"]["y"], e["q"]["y"]), F.greatest(e["p"]["y"], e["q"]["y"])
             return (low <= y) & (y < high) if low_closed else (low < y) & (y <= high)
 
-        found = F.array_sort(F.transform(F.filter("_edges", crosses), at))
-        pairs = F.transform(F.sequence(F.lit(0), F.size(found) / 2 - 1), lambda i: F.struct(
-            F.ceil(F.get(found, (i * 2).cast("int"))).alias("a"), F.floor(F.get(found, (i * 2 + 1).cast("int"))).alias("b")))
-        return F.when(F.size(found) >= 2, pairs).otherwise(F.array().cast("array<struct<a:bigint,b:bigint>>"))
+        return F.array_sort(F.transform(F.filter("_edges", crosses), at))
+
+    def pairs(name: str) -> Column:
+        found = F.col(name)
+        between = F.transform(F.sequence(F.lit(0), (F.size(found) / 2).cast("int") - 1), lambda i: F.struct(
+            F.ceil(F.get(found, i * 2)).alias("a"), F.floor(F.get(found, i * 2 + 1)).alias("b")))
+        return F.when(F.size(found) >= 2, between).otherwise(F.array().cast("array<struct<a:bigint,b:bigint>>"))
 
     flat = F.transform(
         F.filter("_edges", lambda e: (e["p"]["y"] == y) & (e["q"]["y"] == y)),
         lambda e: F.struct(F.least(e["p"]["x"], e["q"]["x"]).alias("a"), F.greatest(e["p"]["x"], e["q"]["x"]).alias("b")))
-    runs = rows.select(*image, "y", "_w", F.explode(F.concat(crossings(True), crossings(False), flat)).alias("_r"))
+    runs = (rows.withColumns({"_lower": crossings(True), "_upper": crossings(False)})
+            .select(*image, "y", "_w", F.explode(F.concat(pairs("_lower"), pairs("_upper"), flat)).alias("_r")))
     return (runs.select(*image, F.lit(role).alias("role"), "y", F.greatest("_r.a", F.lit(0)).alias("x0"),
                         F.least(F.col("_r.b") + 1, F.col("_w")).alias("x1")).filter("x0 < x1"))
 
