@@ -178,7 +178,7 @@ def texture_p90(tiles: DataFrame, image: list[str], grid: Grid, gray: str) -> Da
     value = F.when(ring, F.abs(grid.laplacian(F.col("_s"))))
     return unroll(smooth, grid).groupBy(*image).agg(
         F.count_if(ring).alias("context_pixels"),
-        F.coalesce(F.least(F.percentile(value, 0.9) / TEXTURE_NORM, F.lit(1.0)), F.lit(0.0)).alias("texture_score"))
+        F.least(F.coalesce(F.percentile(value, 0.9) / TEXTURE_NORM, F.lit(0.0)), F.lit(1.0)).alias("texture_score"))
 
 
 def edge_density(tiles: DataFrame, image: list[str], grid: Grid, gray: str, magnitude: float) -> DataFrame:
@@ -221,7 +221,7 @@ def periodicity(signals: DataFrame, image: list[str], signal: str, length: int)
     sums = pairs.groupBy(*image, "_lag").agg(
         F.sum(a * b).alias("_ab"), F.sqrt(F.sum(a * a) * F.sum(b * b)).alias("_d"), F.max("_energy").alias("_e"))
     score = F.when((F.col("_e") >= 1e-3) & (F.col("_d") > 1e-6), F.abs("_ab") / F.col("_d"))
-    return sums.groupBy(*image).agg(F.coalesce(F.least(F.max(score), F.lit(1.0)), F.lit(0.0)).alias("periodicity"))
+    return sums.groupBy(*image).agg(F.least(F.coalesce(F.max(score), F.lit(0.0)), F.lit(1.0)).alias("periodicity"))
 
 
 def luma_delta(tiles: DataFrame, image: list[str], grid: Grid, gray: str) -> DataFrame:

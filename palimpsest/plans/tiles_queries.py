@@ -151,7 +151,7 @@ detrended AS (SELECT vec_id, pos, gray - ({TREND}) AS v FROM near),
 energy AS (SELECT vec_id, sum(v * v) AS e FROM detrended GROUP BY vec_id),
 lags AS (SELECT a.vec_id, b.pos - a.pos AS lag, sum(a.v * b.v) AS ab, sqrt(sum(a.v * a.v) * sum(b.v * b.v)) AS d
   FROM detrended a JOIN detrended b ON a.vec_id = b.vec_id AND b.pos - a.pos BETWEEN 3 AND 32 GROUP BY ALL),
-periodic AS (SELECT vec_id, coalesce(least(1.0, max(CASE WHEN e >= 0.001 AND d > 0.000001 THEN abs(ab) / d END)), 0.0) AS periodicity
+periodic AS (SELECT vec_id, least(1.0, coalesce(max(CASE WHEN e >= 0.001 AND d > 0.000001 THEN abs(ab) / d END), 0.0)) AS periodicity
   FROM lags JOIN energy USING (vec_id) GROUP BY vec_id)
 """
 
