@@ -24,7 +24,8 @@ def decode(text: Column) -> Column:
 
 
 def title(html: Column) -> Column:
-    return F.nullif(F.trim(decode(F.regexp_extract(html, TITLE, 1))), F.lit(""))
+    text = F.regexp_replace(decode(F.regexp_extract(html, TITLE, 1)), r"^\s+|\s+$", "")
+    return F.nullif(text, F.lit(""))
 
 
 def start_tags(html: Column) -> Column:

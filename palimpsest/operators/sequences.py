@@ -42,6 +42,8 @@ def sequence_match(ops: DataFrame, page: list[str], pattern: tuple[Step, ...] =
     in many tasks without losing a match across a border.
     """
     longest = len(pattern)
+    if chunk < longest - 1:
+        raise ValueError("a chunk must hold at least one signature less a step")
     own = F.floor(F.col(pos) / chunk)
     seen_in = F.when((F.col(pos) % chunk < longest - 1) & (own > 0), F.array(own, own - 1)).otherwise(F.array(own))
     rows = ops.select(*page, pos, "op", "name", own.alias("_own"), F.explode(seen_in).alias("_chunk"))

@@ -19,7 +19,8 @@ SCHEMA = "path string, modificationTime timestamp, length bigint, content binary
 
 
 def scan_assets(spark: SparkSession, path: str, name_glob: str | None = None) -> DataFrame:
-    """Whole files below a folder with size and digest."""
+    """Whole files below a folder with size and digest. The file source lists no empty files;
+    they are rejected where rows come from elsewhere, such as an upload log."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if name_glob:
         reader = reader.option("pathGlobFilter", name_glob)
