@@ -21,8 +21,9 @@ COUNTS = ("true_positive", "false_positive", "false_negative")
 
 def key_diff(expected: DataFrame, actual: DataFrame, keys: list[str]) -> DataFrame:
     """Keys on one side only: MISSING from actual, or UNKNOWN to expected."""
-    missing = expected.select(*keys).distinct().join(actual, keys, "left_anti").withColumn("status", F.lit("MISSING"))
-    unknown = actual.select(*keys).distinct().join(expected, keys, "left_anti").withColumn("status", F.lit("UNKNOWN"))
+    sides = expected.select(*keys).distinct(), actual.select(*keys).distinct()
+    missing = sides[0].join(sides[1], keys, "left_anti").withColumn("status", F.lit("MISSING"))
+    unknown = sides[1].join(sides[0], keys, "left_anti").withColumn("status", F.lit("UNKNOWN"))
     return missing.unionByName(unknown)
 
 

@@ -115,7 +115,7 @@ def recent(df: DataFrame, when: str, tie: str, n: int = 100) -> DataFrame:
 
 def expired_assets(assets: DataFrame, plans: DataFrame, cutoff: Column) -> DataFrame:
     """Assets older than the cutoff that no plan refers to."""
-    return assets.filter(F.col("created_at") < cutoff).join(plans, "asset_id", "left_anti")
+    return assets.filter(F.col("created_at") < cutoff).join(plans.select("asset_id").distinct(), "asset_id", "left_anti")
 
 
 def cleanup_summary(tasks: DataFrame, artifacts: DataFrame, assets: DataFrame, plans: DataFrame, temporary: DataFrame,

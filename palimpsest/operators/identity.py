@@ -11,18 +11,21 @@ COPY_BLOCK = 10_000
 def number_copies(df: DataFrame, columns: list[str], name: str = "copy") -> DataFrame:
     """Give every row a copy number, 0 for the first of its kind.
 
-    Identical rows are first counted (combined before the shuffle) and then
-    written out again in blocks, so that even a third of the table being copies
-    of one row neither meets in one window nor unrolls in one task.
+    Identical rows are first counted (combined before the shuffle) and then written
+    out again. A row with very many copies is cut into blocks that are spread over
+    the tasks before they unroll, so even a third of the table being copies of one
+    row neither meets in one window nor unrolls in one task.
     """
     counted = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
+    few = counted.filter(F.col("_n") <= COPY_BLOCK).select(
+        *columns, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1)).alias(name))
     last_block = F.floor((F.col("_n") - 1) / COPY_BLOCK)
-    blocks = counted.select(
-        *columns, "_n", F.explode(F.sequence(F.lit(0).cast("bigint"), last_block)).alias("_block")
-    )
+    blocks = counted.filter(F.col("_n") > COPY_BLOCK).select(
+        *columns, "_n", F.explode(F.sequence(F.lit(0).cast("bigint"), last_block)).alias("_block"))
     first = F.col("_block") * COPY_BLOCK
     end = F.least(first + COPY_BLOCK, F.col("_n")) - 1
-    return blocks.select(*columns, F.explode(F.sequence(first, end)).alias(name))
+    many = blocks.repartition(*columns, "_block").select(*columns, F.explode(F.sequence(first, end)).alias(name))
+    return few.unionByName(many)
 
 
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -16,27 +16,32 @@ ARTIFACT_AGE, ASSET_AGE, TEMPORARY_AGE, CANCEL_GRACE = "30 days", "7 days", "24
 def task_marks(events: DataFrame, task: list[str], order: Column) -> DataFrame:
     """The first start, cancel request and finish of each task.
 
-    Final states absorb whatever follows, so these three decide the state; each is a
-    minimum that combines before the shuffle, whatever the number of events per task.
+    Final states absorb whatever follows, so these decide the state; each is a minimum
+    that combines before the shuffle, whatever the number of events per task. With a
+    whole number as order they are kept in a hash table without sorting.
     """
-    kind = F.col("event")
-    return events.groupBy(*task).agg(
-        F.min(F.when(kind == "start", order)).alias("started"), F.min(F.when(kind == "cancel", order)).alias("asked"),
-        F.min(F.when(kind.isin(*FINISHES), F.struct(order.alias("at"), kind.alias("kind")))).alias("finished"))
+    def first(kind: str, name: str) -> Column:
+        return F.min(F.when(F.col("event") == kind, order)).alias(name)
+
+    marks = events.groupBy(*task).agg(first("start", "started"), first("cancel", "asked"),
+                                      *[first(kind, f"_{kind}") for kind in FINISHES])
+    at = F.least(*[F.col(f"_{kind}") for kind in FINISHES])
+    kind = F.coalesce(*[F.when(F.col(f"_{kind}") == F.col("finished"), kind) for kind in FINISHES])
+    return marks.withColumn("finished", at).withColumn("finish", kind).drop(*[f"_{kind}" for kind in FINISHES])
 
 
 def state_columns() -> tuple[Column, Column]:
-    """State and the order value at which it was reached, from the columns of `task_marks`."""
-    started, asked, at = F.col("started"), F.col("asked"), F.col("finished")["at"]
-    kind = F.col("finished")["kind"]
+    """State and the order value at which it was reached, from the columns of `task_marks`.
+
+    Events of one moment count in the order start, cancel, finish.
+    """
+    started, asked, at, kind = [F.col(c) for c in ("started", "asked", "finished", "finish")]
     finish_first = at.isNotNull() & (asked.isNull() | (at < asked))
-    was_running = started.isNotNull() & (started < asked)
+    at_once = asked.isNotNull() & ~F.coalesce(started <= asked, F.lit(False))
     state = (F.when(finish_first & (kind == "succeed"), "succeeded").when(finish_first & (kind == "fail"), "failed")
-             .when(finish_first, "cancelled").when(asked.isNotNull() & ~F.coalesce(was_running, F.lit(False)), "cancelled")
-             .when(asked.isNotNull() & at.isNotNull(), "cancelled").when(asked.isNotNull(), "cancelling")
+             .when(finish_first | at_once | (asked.isNotNull() & at.isNotNull()), "cancelled").when(asked.isNotNull(), "cancelling")
              .when(started.isNotNull(), "running").otherwise("queued"))
-    reached = (F.when(finish_first, at).when(asked.isNotNull() & ~F.coalesce(was_running, F.lit(False)), asked)
-               .when(asked.isNotNull(), F.coalesce(at, asked)).otherwise(started))
+    reached = (F.when(finish_first, at).when(at_once, asked).when(asked.isNotNull(), F.coalesce(at, asked)).otherwise(started))
     return state, reached
 
 
@@ -49,8 +54,8 @@ def task_state(events: DataFrame, task: list[str], order: Column) -> DataFrame:
 
 def grace_expired(events: DataFrame, task: list[str], micros: Column, now: Column, grace: int) -> DataFrame:
     """Running tasks whose cancel request was not answered within `grace` microseconds."""
-    started, asked, at = F.col("started"), F.col("asked"), F.col("finished")["at"]
-    cancelling = asked.isNotNull() & started.isNotNull() & (started < asked) & (at.isNull() | (at > asked))
+    started, asked, at = F.col("started"), F.col("asked"), F.col("finished")
+    cancelling = asked.isNotNull() & (started <= asked) & (at.isNull() | (at >= asked))
     waited = F.coalesce(at, now) - asked
     return task_marks(events, task, micros).filter(cancelling & (waited > grace)).select(
         *task, (asked + grace).alias("force_ended_at"))
@@ -73,7 +78,10 @@ def expire(df: DataFrame, at: Column, now: Column, age: str) -> DataFrame:
 
 def first_copies(assets: DataFrame, digest: str, order: list[str]) -> DataFrame:
     """The earliest row per digest and the number of copies, combined before the shuffle."""
-    return assets.groupBy(digest).agg(F.min(F.struct(*order)).alias("_f"), F.count(F.lit(1)).alias("n_copies")).select(digest, "_f.*", "n_copies")
+    copies = F.count(F.lit(1)).alias("n_copies")
+    if len(order) == 1:
+        return assets.groupBy(digest).agg(F.min(order[0]).alias(order[0]), copies)
+    return assets.groupBy(digest).agg(F.min(F.struct(*order)).alias("_f"), copies).select(digest, "_f.*", "n_copies")
 
 
 def outcome_rates(events: DataFrame, at: str, length: str, slide: str | None = None) -> DataFrame:

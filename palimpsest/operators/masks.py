@@ -45,15 +45,18 @@ def _part(low: Column, high: Column, block: str) -> tuple[Column, Column]:
     return F.greatest(low - first, F.lit(0)), F.least(high - first, F.lit(SIDE))
 
 
-def rect_blocks(boxes: DataFrame, image: list[str], width: Column, height: Column, role: str) -> DataFrame:
-    """The blocks of boxes, grown to whole pixels and cut to the image."""
+def rect_blocks(boxes: DataFrame, image: list[str], width: Column, height: Column, role: str | Column) -> DataFrame:
+    """The blocks of boxes, grown to whole pixels and cut to the image.
+
+    A column as role tells the masks of one table apart in a single pass over it.
+    """
     b = snapped(Box.of())
-    cut = boxes.select(*image, F.greatest(b.x0, F.lit(0)).alias("x0"), F.least(b.x1, width).alias("x1"),
+    cut = boxes.select(*image, (F.lit(role) if isinstance(role, str) else role).alias("role"), F.greatest(b.x0, F.lit(0)).alias("x0"), F.least(b.x1, width).alias("x1"),
                        F.greatest(b.y0, F.lit(0)).alias("y0"), F.least(b.y1, height).alias("y1")).filter("x0 < x1 AND y0 < y1")
     x0, y0, x1, y1 = Box.of()
     placed = cut.withColumn("bx", _blocks_along(x0, x1)).withColumn("by", _blocks_along(y0, y1))
     bits = _band(*_part(x0, x1, "bx"), by_row=False).bitwiseAND(_band(*_part(y0, y1, "by"), by_row=True))
-    return placed.select(*image, F.lit(role).alias("role"), "bx", "by", bits.alias("bits"))
+    return placed.select(*image, "role", "bx", "by", bits.alias("bits"))
 
 
 def run_blocks(runs: DataFrame, image: list[str], role: str) -> DataFrame:
@@ -157,17 +160,15 @@ def coordinate_sums(blocks: DataFrame, image: list[str]) -> DataFrame:
         F.sum(F.col("by") * SIDE * n + weighted(True)).cast("bigint").alias("y_sum"))
 
 
-def coverage(rects: DataFrame, protect: DataFrame, image: list[str], width: Column, height: Column) -> DataFrame:
+def coverage(shapes: DataFrame, image: list[str], width: Column, height: Column, protected: Column) -> DataFrame:
     """Area of the union of rectangles, and of that union without the protected ones."""
-    blocks = rect_blocks(rects, image, width, height, "mask").unionByName(
-        rect_blocks(protect, image, width, height, "protect"))
-    return set_sizes(blocks, image, ["mask", "protect"], {
+    role = F.when(protected, "protect").otherwise("mask")
+    return set_sizes(rect_blocks(shapes, image, width, height, role), image, ["mask", "protect"], {
         "union_area": F.col("mask"), "effective_area": without("mask", "protect")})
 
 
-def mask_score(truth: DataFrame, pred: DataFrame, cand: DataFrame, image: list[str]) -> DataFrame:
-    """Pixel counts and scores per image from the blocks (roles truth, pred, cand) of three masks."""
-    blocks = truth.unionByName(pred).unionByName(cand)
+def mask_score(blocks: DataFrame, image: list[str]) -> DataFrame:
+    """Pixel counts and scores per image from the blocks of the roles truth, pred and cand."""
     return with_mask_scores(set_sizes(blocks, image, ["truth", "pred", "cand"], {
         "true_positive_pixels": both("truth", "pred"), "false_positive_pixels": without("pred", "truth"),
         "false_negative_pixels": without("truth", "pred"),

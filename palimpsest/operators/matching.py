@@ -26,8 +26,8 @@ def matchable(pred: DataFrame, truth: DataFrame, sample: list[str], threshold: f
 
     near = cut_lineage(iou_pairs(shapes(pred), shapes(truth), sample, threshold, cell).select(
         *sample, *BOX, *[f"r_{c}" for c in BOX]))
-    left = pred.join(near.select(*sample, *BOX), [*sample, *BOX], "left_semi")
-    right = truth.join(near.select(*sample, *[F.col(f"r_{c}").alias(c) for c in BOX]), [*sample, *BOX], "left_semi")
+    left = pred.join(near.select(*sample, *BOX).distinct(), [*sample, *BOX], "left_semi")
+    right = truth.join(near.select(*sample, *[F.col(f"r_{c}").alias(c) for c in BOX]).distinct(), [*sample, *BOX], "left_semi")
     return left, right
 
 
@@ -127,13 +127,13 @@ def best_match(cands: DataFrame, dets: DataFrame, sample: list[str]) -> DataFram
     """
     shapes = dets.select(*sample, *[F.col(c).alias(f"r_{c}") for c in ("x0", "y0", "x1", "y1")]).distinct()
     c, d = Box.of(), Box.of("r_")
-    present = F.col("r_x0").isNotNull()
     best = {"best_iou": iou(c, d), "best_detection_containment": containment(d, c),
             "best_detection_area_ratio": area_ratio(d, c)}
-    strong = present & (best["best_detection_containment"] >= CONTAINMENT) & (best["best_detection_area_ratio"] >= AREA_RATIO)
-    return cands.join(shapes, sample, "left").groupBy(*cands.columns).agg(
-        *[F.coalesce(F.max(F.when(present, v)), F.lit(0.0)).alias(k) for k, v in best.items()],
-        F.coalesce(F.bool_or(strong), F.lit(False)).alias("contained"))
+    strong = (best["best_detection_containment"] >= CONTAINMENT) & (best["best_detection_area_ratio"] >= AREA_RATIO)
+    # An inner join first: a sample with very many detections can then be split on that side.
+    found = cands.join(shapes, sample).groupBy(*sample).agg(
+        *[F.max(v).alias(k) for k, v in best.items()], F.bool_or(strong).alias("contained"))
+    return cands.join(found, sample, "left").fillna(0.0, list(best)).fillna(False, ["contained"])
 
 
 def confirm(cands: DataFrame, dets: DataFrame, sample: list[str], threshold: float = IOU_MATCH,

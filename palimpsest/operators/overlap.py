@@ -46,11 +46,17 @@ def region_overlaps(regions: DataFrame, content: DataFrame, page: list[str], cel
         "intersection_area", intersection(Box.of(), Box.of("r_")))
 
 
-def outside(words: DataFrame, masks: DataFrame, page: list[str], cell: int = CELL) -> DataFrame:
-    """Words that overlap no mask. Equal boxes are looked up once."""
-    shape = [*page, *BOX]
-    touched = (box_pairs(words.select(*shape).distinct(), masks.select(*shape).distinct(), page, cell)
-               .select(*shape).distinct())
+def outside(words: DataFrame, masks: DataFrame, page: list[str], cell: int = CELL,
+            rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Words that overlap no mask. Equal boxes are looked up once, and a lookup ends at
+    its first hit, so no pairs are listed however crowded a page is."""
+    shape, keys = [*page, *BOX], [*page, "_cx", "_cy"]
+    renamed = masks.select(*page, *[F.col(c).alias(f"r_{c}") for c in BOX]).distinct()
+    a, b = Box.of(), Box.of("r_")
+    left, right = spread(cells(words.select(*shape).distinct(), a, cell), cells(renamed, b, cell), keys, rows_per_task)
+    same_cell = [left[k] == right[k] for k in (*keys, "_salt")]
+    hit = overlaps(Box(*[left[c] for c in BOX]), Box(*[right[f"r_{c}"] for c in BOX]))
+    touched = left.join(right, [*same_cell, hit], "left_semi").select(*shape).distinct()
     return words.join(touched, shape, "left_anti")
 
 

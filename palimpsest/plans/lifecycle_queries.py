@@ -24,12 +24,9 @@ def history(events: DataFrame) -> DataFrame:
                          at.alias("at"), F.unix_micros(at).alias("micros"))
 
 
-def moment():
-    return F.struct(F.col("micros"), F.col("event_id"))
-
-
 HISTORY = """
-hist AS (SELECT event_id, user_id, dayofyear(ts) AS day, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id, dayofyear(ts) ORDER BY ts, event_id) AS k,
+hist AS (SELECT event_id, user_id, dayofyear(ts) AS day, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id, dayofyear(ts) ORDER BY ts,
+ CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 WHEN 'signup' THEN 2 WHEN 'purchase' THEN 3 ELSE 4 END) AS k,
  CASE event_type WHEN 'view' THEN 'queue' WHEN 'click' THEN 'start' WHEN 'purchase' THEN 'succeed' WHEN 'error' THEN 'fail' ELSE 'cancel' END AS event FROM events),
 walk AS (SELECT user_id, day, CAST(0 AS BIGINT) AS k, 'queued' AS state, CAST(-1 AS BIGINT) AS reached, CAST(-1 AS BIGINT) AS asked FROM hist GROUP BY ALL
  UNION ALL SELECT w.user_id, w.day, h.k,
@@ -46,19 +43,19 @@ STATE_SQL = f"WITH RECURSIVE {HISTORY} SELECT user_id, day, state, reached FROM
 
 
 def shown_state(df: DataFrame) -> DataFrame:
-    return df.select(*TASK, "state", F.coalesce(F.col("reached.micros"), F.lit(-1)).alias("reached"))
+    return df.select(*TASK, "state", F.coalesce("reached", F.lit(-1)).alias("reached"))
 
 
 @query("task_state", STATE_SQL)
 def task_state(t: Tables) -> DataFrame:
-    return shown_state(life.task_state(history(t.events), TASK, moment()))
+    return shown_state(life.task_state(history(t.events), TASK, F.col("micros")))
 
 
 @query("task_state_stream", STATE_SQL)
 def task_state_stream(t: Tables) -> DataFrame:
     """The same states from the event files read as a stream."""
     events = history(stream_tables.read_folder(t.spark, t.folder, "events"))
-    return shown_state(stream_tables.latest(stream_tasks.state_stream(events, TASK, moment()), TASK, "task-state"))
+    return shown_state(stream_tables.latest(stream_tasks.state_stream(events, TASK, F.col("micros")), TASK, "task-state"))
 
 
 @query("grace_expired", f"""WITH RECURSIVE {HISTORY}

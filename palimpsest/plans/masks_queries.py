@@ -15,7 +15,7 @@ WIDTH, HEIGHT = 50, 40
 IMAGE = ["page"]
 
 
-def blocks(df: DataFrame, role: str) -> DataFrame:
+def blocks(df: DataFrame, role) -> DataFrame:
     return masks.rect_blocks(df, IMAGE, F.lit(WIDTH), F.lit(HEIGHT), role)
 
 
@@ -32,7 +32,7 @@ e AS (SELECT * FROM m EXCEPT SELECT * FROM p)
 SELECT page, count(*) AS effective_pixels, CAST(sum(y * 1000 + x) AS BIGINT) AS position_sum FROM e GROUP BY page""")
 def mask_algebra(t: Tables) -> DataFrame:
     """Odd lines are masked, even lines protected; pixels left per order and a sum of their positions."""
-    shapes = blocks(boxes(t).filter("line % 2 = 1"), "mask").unionByName(blocks(boxes(t).filter("line % 2 = 0"), "protect"))
+    shapes = blocks(boxes(t), F.when(F.col("line") % 2 == 1, "mask").otherwise("protect"))
     return masks.coordinate_sums(masks.effective(shapes, IMAGE), IMAGE).select(
         "page", F.col("pixels").alias("effective_pixels"), (F.col("y_sum") * 1000 + F.col("x_sum")).alias("position_sum"))
 
@@ -52,7 +52,7 @@ WITH {BOXES}, {PIXELS},
 f AS (SELECT page, x, y, bool_or(line = 1) AS a, bool_or(line <> 1) AS b FROM px GROUP BY ALL)
 SELECT page, count(*) FILTER (a <> b) AS xor_pixels FROM f GROUP BY page""")
 def xor_size(t: Tables) -> DataFrame:
-    shapes = blocks(boxes(t).filter("line = 1"), "a").unionByName(blocks(boxes(t).filter("line <> 1"), "b"))
+    shapes = blocks(boxes(t), F.when(F.col("line") == 1, "a").otherwise("b"))
     return masks.set_sizes(shapes, IMAGE, ["a", "b"], {"xor_pixels": F.col("a").bitwiseXOR(F.col("b"))})
 
 
@@ -75,8 +75,8 @@ round(CASE WHEN candidate_correction_pixels = 0 THEN CASE WHEN refined_correctio
 
 
 def scored(t: Tables) -> DataFrame:
-    return masks.mask_score(blocks(boxes(t).filter("line = 1"), "truth"), blocks(boxes(t).filter("line <> 1"), "pred"),
-                            blocks(candidates(t), "cand"), IMAGE)
+    marks = blocks(boxes(t), F.when(F.col("line") == 1, "truth").otherwise("pred"))
+    return masks.mask_score(marks.unionByName(blocks(candidates(t), "cand")), IMAGE)
 
 
 @query("mask_score", f"WITH {BOXES}, {CANDIDATES}, {MASK_SCORE} SELECT *, {RATES} FROM s")
@@ -129,4 +129,4 @@ WITH {BOXES}, {PIXELS}, f AS (SELECT page, x, y, bool_or(line <> 2) AS m, bool_o
 SELECT page, count(*) FILTER (m) AS union_area, count(*) FILTER (m AND NOT p) AS effective_area FROM f GROUP BY page""")
 def coverage_area(t: Tables) -> DataFrame:
     """Union of an order's boxes, and the same without what its second lines protect."""
-    return masks.coverage(boxes(t).filter("line <> 2"), boxes(t).filter("line = 2"), IMAGE, F.lit(WIDTH), F.lit(HEIGHT))
+    return masks.coverage(boxes(t), IMAGE, F.lit(WIDTH), F.lit(HEIGHT), F.col("line") == 2)

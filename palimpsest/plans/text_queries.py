@@ -11,6 +11,7 @@ from palimpsest.operators.audit import key_diff, level_counts
 from palimpsest.operators.governance import sorted_distinct
 from palimpsest.operators.prefix import chunk_of, numbered
 from palimpsest.plans.registry import Tables, query
+from palimpsest.session import cut_lineage
 from palimpsest.sources.report import golden_diff
 
 SPACE_SQL = r"[\t-\r\x1c-\x20\x85\pZ]+"
@@ -221,7 +222,7 @@ SELECT source, before_rows, coalesce(removed_rows, 0) AS removed_rows, before_ro
 def apply_selection(t: Tables) -> DataFrame:
     """Take the repeated lines out and check that exactly those are gone."""
     keys = ["doc_id", "occurrence"]
-    selected = repeats(t).select("source", *keys)
+    selected = cut_lineage(repeats(t).select("source", *keys))
     rest = frag.apply_selection(lines(t), selected, keys)
     parts = [df.groupBy("source").agg(F.count(F.lit(1)).alias(name)) for df, name in (
         (lines(t), "before_rows"), (selected, "removed_rows"), (rest, "after_rows"))]
@@ -238,7 +239,7 @@ SELECT lang, CASE WHEN sel THEN 'REMOVED_AS_SELECTED' WHEN content <> norm_text
 def invariance(t: Tables) -> DataFrame:
     """Every fragment before and after an edit that drops repeats and folds case elsewhere."""
     keys = ["lang", "doc_id", "occurrence"]
-    selected = repeats(t).select(*keys)
+    selected = cut_lineage(repeats(t).select(*keys))
     after = frag.apply_selection(lines(t), selected, keys).withColumn("content", text.norm(F.col("content")))
     return (frag.unchanged(lines(t), after, selected, keys, "content")
             .groupBy("lang", "status").agg(F.count(F.lit(1)).alias("n")))
