@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.functions.boxes import Box, area_ratio, containment, iou
-from palimpsest.operators.overlap import BOX, CELL, iou_pairs
+from palimpsest.functions.boxes import Box, area_ratio, containment, iou, overlaps
+from palimpsest.operators.overlap import BOX, CELL, iou_pairs, shapes_meeting
 from palimpsest.session import cut_lineage
 
 # Default thresholds of matching and confirmation.
@@ -15,20 +15,16 @@ EDGES_PER_SAMPLE = 500
 
 
 def matchable(pred: DataFrame, truth: DataFrame, sample: list[str], threshold: float = IOU_MATCH,
-              cell: int = CELL) -> tuple[DataFrame, DataFrame]:
-    """The predicted and expected rows that reach the threshold with anything.
+              cell: int = CELL) -> DataFrame:
+    """The predicted rows that reach the threshold with any expected box.
 
-    Equal boxes are compared once. All other rows stay unmatched, so identifiers and
-    the matching itself are only needed for what is left.
+    Equal boxes are compared once and a lookup ends at its first hit. All other rows
+    stay unmatched, so identifiers and the matching are only needed for what is left.
     """
-    def shapes(df: DataFrame) -> DataFrame:
-        return df.select(*sample, *BOX).distinct()
-
-    near = cut_lineage(iou_pairs(shapes(pred), shapes(truth), sample, threshold, cell).select(
-        *sample, *BOX, *[f"r_{c}" for c in BOX]))
-    left = pred.join(near.select(*sample, *BOX).distinct(), [*sample, *BOX], "left_semi")
-    right = truth.join(near.select(*sample, *[F.col(f"r_{c}").alias(c) for c in BOX]).distinct(), [*sample, *BOX], "left_semi")
-    return left, right
+    def near(a: Box, b: Box) -> Column:
+        return overlaps(a, b) & (iou(a, b) >= threshold)
+
+    return pred.join(shapes_meeting(pred, truth, sample, near, cell), [*sample, *BOX], "left_semi")
 
 
 def match_boxes(

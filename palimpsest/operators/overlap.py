@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions.boxes import Box, intersection, iou, overlaps
-from palimpsest.operators.skew import ROWS_PER_TASK, spread
+from palimpsest.operators.skew import BLOCK, SALTS, spread
 
 BOX = ["x0", "y0", "x1", "y1"]
 CELL = 256
@@ -21,7 +23,7 @@ def cells(df: DataFrame, box: Box, cell: int) -> DataFrame:
 
 
 def box_pairs(
-    left: DataFrame, right: DataFrame, page: list[str], cell: int = CELL, rows_per_task: int = ROWS_PER_TASK
+    left: DataFrame, right: DataFrame, page: list[str], cell: int = CELL, block: int = BLOCK
 ) -> DataFrame:
     """Pairs of boxes on one page that overlap with positive area.
 
@@ -33,11 +35,11 @@ def box_pairs(
     keys = [*page, "_cx", "_cy"]
     renamed = right.select(*page, *[F.col(c).alias(f"r_{c}") for c in right.columns if c not in page])
     a, b = Box.of(), Box.of("r_")
-    salted_left, salted_right = spread(cells(left, a, cell), cells(renamed, b, cell), keys, rows_per_task)
-    joined = salted_left.join(salted_right, [*keys, "_salt"])
+    salted_left, salted_right = spread(cells(left, a, cell), cells(renamed, b, cell), keys, block)
+    joined = salted_left.join(salted_right, [*keys, *SALTS])
     home = ((F.floor(F.greatest(a.x0, b.x0) / cell) == F.col("_cx"))
             & (F.floor(F.greatest(a.y0, b.y0) / cell) == F.col("_cy")))
-    return joined.filter(overlaps(a, b) & home).drop("_cx", "_cy", "_salt")
+    return joined.filter(overlaps(a, b) & home).drop("_cx", "_cy", *SALTS)
 
 
 def region_overlaps(regions: DataFrame, content: DataFrame, page: list[str], cell: int = CELL) -> DataFrame:
@@ -46,18 +48,25 @@ def region_overlaps(regions: DataFrame, content: DataFrame, page: list[str], cel
         "intersection_area", intersection(Box.of(), Box.of("r_")))
 
 
-def outside(words: DataFrame, masks: DataFrame, page: list[str], cell: int = CELL,
-            rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """Words that overlap no mask. Equal boxes are looked up once, and a lookup ends at
-    its first hit, so no pairs are listed however crowded a page is."""
+def shapes_meeting(left: DataFrame, right: DataFrame, page: list[str], rule: Callable[[Box, Box], Column],
+                   cell: int = CELL, block: int = BLOCK) -> DataFrame:
+    """The different left boxes that satisfy a rule with any right box they share a cell with.
+
+    A lookup ends at its first hit, so no pairs are listed however crowded a page is.
+    """
     shape, keys = [*page, *BOX], [*page, "_cx", "_cy"]
-    renamed = masks.select(*page, *[F.col(c).alias(f"r_{c}") for c in BOX]).distinct()
+    renamed = right.select(*page, *[F.col(c).alias(f"r_{c}") for c in BOX]).distinct()
     a, b = Box.of(), Box.of("r_")
-    left, right = spread(cells(words.select(*shape).distinct(), a, cell), cells(renamed, b, cell), keys, rows_per_task)
-    same_cell = [left[k] == right[k] for k in (*keys, "_salt")]
-    hit = overlaps(Box(*[left[c] for c in BOX]), Box(*[right[f"r_{c}"] for c in BOX]))
-    touched = left.join(right, [*same_cell, hit], "left_semi").select(*shape).distinct()
-    return words.join(touched, shape, "left_anti")
+    mine, theirs = spread(cells(left.select(*shape).distinct(), a, cell), cells(renamed, b, cell), keys, block)
+    same_place = [mine[k] == theirs[k] for k in (*keys, *SALTS)]
+    hit = rule(Box(*[mine[c] for c in BOX]), Box(*[theirs[f"r_{c}"] for c in BOX]))
+    return mine.join(theirs, [*same_place, hit], "left_semi").select(*shape).distinct()
+
+
+def outside(words: DataFrame, masks: DataFrame, page: list[str], cell: int = CELL, block: int = BLOCK) -> DataFrame:
+    """Words that overlap no mask. Equal boxes are looked up once."""
+    touched = shapes_meeting(words, masks, page, overlaps, cell, block)
+    return words.join(touched, [*page, *BOX], "left_anti")
 
 
 def iou_pairs(pred: DataFrame, truth: DataFrame, sample: list[str], min_iou: float = 0.0, cell: int = CELL) -> DataFrame:

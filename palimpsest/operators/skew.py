@@ -2,27 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ROWS_PER_TASK = 100_000
+BLOCK = 8_000
 
 
-def spread(
-    left: DataFrame, right: DataFrame, keys: list[str], rows_per_task: int = ROWS_PER_TASK
-) -> tuple[DataFrame, DataFrame]:
-    """Add a salt column so that a key with many left rows is shared by many tasks.
+def spread(left: DataFrame, right: DataFrame, keys: list[str], block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """Add salt columns `_ls` and `_rs`, so that a crowded key is shared by many tasks.
 
-    Only keys above `rows_per_task` get more than one salt; the right rows of
-    such a key are repeated once per salt, so every left row still meets every
-    right row of its key. The salt is a hash of the row: repeated tasks agree on it.
+    Where the rows of a key on both sides make more than block x block comparisons, each
+    side is cut into groups of about `block` rows, and every left group meets every right
+    group exactly once: a left row is repeated per right group and the other way round.
+    Other keys stay as they are. Salts are hashes of the row, so repeated tasks agree on
+    them, and the table of crowded keys is small because each of them has many rows.
     """
-    hot = (left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-           .filter(F.col("_n") > rows_per_task)
-           .select(*keys, F.ceil(F.col("_n") / rows_per_task).cast("int").alias("_salts")))
-    salts = F.coalesce(F.col("_salts"), F.lit(1))
-    spread_left = (left.join(hot, keys, "left")
-                   .withColumn("_salt", F.pmod(F.xxhash64(*left.columns), salts).cast("int")).drop("_salts"))
-    spread_right = (right.join(hot, keys, "left")
-                    .withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts"))
-    return spread_left, spread_right
+    def sizes(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
+
+    def groups(name: str) -> Column:
+        return F.ceil(F.col(name) / block).cast("int")
+
+    crowded = (sizes(left, "_nl").join(sizes(right, "_nr"), keys)
+               .filter(F.col("_nl").cast("double") * F.col("_nr") > float(block) * block)
+               .select(*keys, groups("_nl").alias("_gl"), groups("_nr").alias("_gr")))
+
+    def salted(df: DataFrame, own: str, own_groups: str, other: str, other_groups: str) -> DataFrame:
+        mine, others = F.coalesce(F.col(own_groups), F.lit(1)), F.coalesce(F.col(other_groups), F.lit(1))
+        return (df.join(crowded, keys, "left").withColumn(own, F.pmod(F.xxhash64(*df.columns), mine).cast("int"))
+                .withColumn(other, F.explode(F.sequence(F.lit(0), others - 1))).drop("_gl", "_gr"))
+
+    return salted(left, "_ls", "_gl", "_rs", "_gr"), salted(right, "_rs", "_gr", "_ls", "_gl")
+
+
+SALTS = ["_ls", "_rs"]

@@ -146,10 +146,9 @@ matches AS (SELECT page, p, t, iou FROM walk WHERE hit)
 def matched(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
     rows = placed(t.lineitem)
     pred, truth = rows.filter("l_linenumber <> 1"), rows.filter("l_linenumber = 1")
-    left, right = matching.matchable(pred, truth, ["page"], 0.3)
     found = matching.match_boxes(
-        identified(left).withColumnRenamed("row_id", "pred_id").drop("price"),
-        identified(right).withColumnRenamed("row_id", "truth_id").drop("confidence"),
+        identified(matching.matchable(pred, truth, ["page"], 0.3)).withColumnRenamed("row_id", "pred_id").drop("price"),
+        identified(truth).withColumnRenamed("row_id", "truth_id").drop("confidence"),
         ["page"], "confidence", "pred_id", "truth_id", "price", 0.3)
     return pred, truth, found
 

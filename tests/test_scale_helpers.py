@@ -40,9 +40,9 @@ def test_copies_are_numbered_without_gaps(spark):
 def test_spread_keeps_every_pair_of_a_hot_key(spark):
     left = spark.createDataFrame([(0, i) for i in range(500)] + [(1, 1)], "k int, a int")
     right = spark.createDataFrame([(0, i) for i in range(20)] + [(1, 5), (2, 7)], "k int, b int")
-    salted_left, salted_right = spread(left, right, ["k"], rows_per_task=50)
-    assert salted_left.filter("k = 0").select("_salt").distinct().count() > 5
-    got = salted_left.join(salted_right, ["k", "_salt"]).select("k", "a", "b")
+    salted_left, salted_right = spread(left, right, ["k"], block=10)
+    assert salted_left.filter("k = 0").select("_ls", "_rs").distinct().count() > 50
+    got = salted_left.join(salted_right, ["k", "_ls", "_rs"]).select("k", "a", "b")
     assert rows(got) == rows(left.join(right, "k"))
 
 
