@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.boxes import Box, area_ratio, containment, iou, overlaps
 from palimpsest.operators.overlap import BOX, CELL, iou_pairs, shapes_meeting
+from palimpsest.operators.prefix import numbered
 from palimpsest.session import cut_lineage
 
 # Default thresholds of matching and confirmation.
 IOU_MATCH, CONTAINMENT, AREA_RATIO = 0.5, 0.9, 0.15
 EDGES_PER_SAMPLE = 500
+COMPARISONS, TURN = 100_000_000, 2_000
 
 
 def matchable(pred: DataFrame, truth: DataFrame, sample: list[str], threshold: float = IOU_MATCH,
@@ -38,14 +40,34 @@ def match_boxes(
     threshold: float = IOU_MATCH,
     edges_per_sample: int = EDGES_PER_SAMPLE,
     cell: int = CELL,
+    comparisons: int = COMPARISONS,
+    turn: int = TURN,
 ) -> DataFrame:
     """Greedy matching: predictions by falling confidence (then id) take the best free
     expected box with IoU of at least `threshold`; equal IoU prefers the higher rank.
 
-    Returns the matched pairs. Only pairs that reach the threshold can ever match,
-    so the work is on those. Samples with few of them are folded in one row each;
-    larger samples are solved by rounds of proposals with the same result.
+    Returns the matched pairs. Only pairs that reach the threshold can ever match, so
+    those are listed. Samples with few of them are folded in one row each; larger ones
+    are solved by rounds of proposals. A sample whose boxes would make more than
+    `comparisons` pairs is worked off in turns of `turn` predictions. All ways give the
+    same result.
     """
+    def sizes(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy(*sample).agg(F.count(F.lit(1)).alias(name))
+
+    rule = (sample, confidence, pred_id, truth_id, truth_rank, threshold, edges_per_sample, cell)
+    pairs = F.col("_p").cast("double") * F.col("_t")
+    huge = cut_lineage(sizes(pred, "_p").join(sizes(truth, "_t"), sample).filter(pairs > comparisons).select(*sample))
+    if huge.isEmpty():
+        return match_listed(pred, truth, *rule)
+    usual = match_listed(pred.join(huge, sample, "left_anti"), truth.join(huge, sample, "left_anti"), *rule)
+    return usual.unionByName(match_in_turns(
+        pred.join(huge, sample, "left_semi"), truth.join(huge, sample, "left_semi"), *rule, turn))
+
+
+def match_listed(pred: DataFrame, truth: DataFrame, sample: list[str], confidence: str, pred_id: str, truth_id: str,
+                 truth_rank: str, threshold: float, edges_per_sample: int, cell: int) -> DataFrame:
+    """Matching over the list of all pairs that reach the threshold."""
     edges = cut_lineage(iou_pairs(pred, truth, sample, threshold, cell).select(
         *sample,
         F.struct((-F.col(confidence)).alias("c"), F.col(pred_id).alias("id")).alias("p"),
@@ -60,6 +82,34 @@ def match_boxes(
                           (-F.col("t.i")).alias("iou"))
 
 
+def match_in_turns(pred: DataFrame, truth: DataFrame, sample: list[str], confidence: str, pred_id: str, truth_id: str,
+                   truth_rank: str, threshold: float, edges_per_sample: int, cell: int, turn: int) -> DataFrame:
+    """Matching of crowded samples, the first predictions first.
+
+    No later prediction can take a box from an earlier one, so what a turn matches is
+    final. After it, only predictions that still reach a free box are kept, by a lookup
+    that lists no pairs; a crowded sample soon runs out of free boxes. A turn lists
+    only the pairs of its own predictions.
+    """
+    left, rest, done = cut_lineage(truth), pred, None
+    while True:
+        before = F.floor(-F.col(confidence) * 1024)
+        rest = cut_lineage(numbered(matchable(rest, left, sample, threshold, cell), sample,
+                                    [F.desc(confidence), F.col(pred_id)], before, "_turn"))
+        if rest.isEmpty():
+            break
+        now = rest.filter(F.col("_turn") < turn).drop("_turn")
+        got = cut_lineage(match_listed(now, left, sample, confidence, pred_id, truth_id, truth_rank, threshold,
+                                       edges_per_sample, cell))
+        done = got if done is None else done.unionByName(got)
+        left = cut_lineage(left.join(got.select(*sample, truth_id), [*sample, truth_id], "left_anti"))
+        rest = rest.filter(F.col("_turn") >= turn).drop("_turn")
+    if done is None:
+        return match_listed(pred.limit(0), truth, sample, confidence, pred_id, truth_id, truth_rank, threshold,
+                            edges_per_sample, cell)
+    return done
+
+
 def fold_small(edges: DataFrame, sample: list[str]) -> DataFrame:
     """Walk a sample's pairs in order of prediction and take each one whose ends are free."""
     ordered = edges.groupBy(*sample).agg(F.sort_array(F.collect_list(F.struct("p", "t"))).alias("_e"))

@@ -76,6 +76,17 @@ def test_matching_equals_the_greedy_rule(spark, limit):
         assert got.filter("page = 2").count() == (1 if threshold <= 1 / 3 else 0)
 
 
+def test_crowded_samples_in_turns_give_the_same(spark):
+    rng = random.Random(4)
+    pred = [(x, y, x + 10, y + 10, rng.randrange(5) / 4) for x, y in ((float(rng.randrange(9)), float(rng.randrange(9))) for _ in range(50))]
+    truth = [(x, y, x + 10, y + 10) for x, y in ((float(rng.randrange(12)), float(rng.randrange(12))) for _ in range(30))]
+    p = spark.createDataFrame([(1, *b, i) for i, b in enumerate(pred)] + [(2, 0.0, 0.0, 4.0, 4.0, 1.0, 99)], BOX + ", confidence double, pred_id int")
+    t = spark.createDataFrame([(1, *b, i, i) for i, b in enumerate(truth)] + [(2, 0.0, 1.0, 4.0, 5.0, 99, 0)], BOX + ", truth_id int, rank int")
+    got = matching.match_boxes(p, t, ["page"], "confidence", "pred_id", "truth_id", "rank", 0.5, comparisons=100, turn=12)
+    assert rows(got.filter("page = 1").select("pred_id", "truth_id")) == greedy(pred, truth, 0.5)
+    assert got.filter("page = 2").count() == 1
+
+
 def test_matchable_keeps_the_result(spark):
     p = spark.createDataFrame([(1, 0.0, 0.0, 4.0, 4.0), (1, 90.0, 0.0, 94.0, 4.0)], BOX)
     t = spark.createDataFrame([(1, 1.0, 0.0, 5.0, 4.0), (1, 50.0, 0.0, 54.0, 4.0)], BOX)
