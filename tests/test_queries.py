@@ -9,10 +9,11 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 import __spark_entry__ as driver  # noqa: E402
+from palimpsest.plans import catalog  # noqa: E402
 from tools.compare import TABLES, plain  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, ORACLES = driver.queries(), driver.oracle_sql()
+QUERIES, ORACLES = catalog.QUERIES, catalog.ORACLES
 
 
 @pytest.fixture(scope="module")
@@ -27,6 +28,11 @@ def test_every_query_has_a_twin():
     assert set(ORACLES) == set(QUERIES)
 
 
+def test_the_driver_sees_every_query():
+    assert set(QUERIES) <= set(driver.queries())
+    assert set(ORACLES) <= set(driver.oracle_sql()) <= set(driver.queries())
+
+
 def test_entry(spark):
     assert driver.entry(spark).columns[0] == "candidate_id"
 
