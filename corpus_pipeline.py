@@ -1,13 +1,48 @@
-"""From raw documents to token ids: STAGES in order, each reading what its predecessor wrote."""
+"""From raw documents to token ids: STAGES in order, each reading what its predecessor wrote.
+
+A stage takes (spark, docs, sf_dir) and returns the columns of documents, the last one the tokens.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from palimpsest.llm import bpe, decontaminate, langid, lines, simhash
 from palimpsest.llm.store import written
 
-STAGES: list = []
-ORACLE_SQL = None  # the language and near-duplicate stages are no SQL; tests compare them with brute force
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Only documents whose language is told with a margin; learned from the labelled documents of the input."""
+    return langid.identify(docs, langid.learn(docs), prefix="__").where("not __rejected").select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that ten documents share are gone from every document; n_chars follows the text."""
+    store = lines.LineStore.empty(spark, lines.shards_for(docs.count())).insert(docs)
+    return store.clean(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: five-word shingles, similarity 0.8 or more."""
+    return simhash.keep_one(docs, words=5, similarity=0.8)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Only documents that hold no benchmark item, neither as it is nor with other values."""
+    return decontaminate.without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, ids, decoded_sha256): token ids of every document, and the digest of what they decode to."""
+    coded = bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return coded.select("doc_id", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [("language", language), ("line_dedup", line_dedup), ("near_dedup", near_dedup),
+          ("decontamination", decontamination), ("tokens", tokens)]
+ORACLE_SQL = None  # language, near copies and tokens are no SQL; tests compare with brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.blocks import cut, packed, unpacked
+from palimpsest.llm.blocks import apart, carried, cut, packed, restored, unpacked
 from palimpsest.llm.cuckoo import Filter
 from palimpsest.llm.store import written
 
@@ -40,13 +40,15 @@ def _longs(digests: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
 
 
-def block_lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(block, h1, h2, docs): the different line keys of each block and in how many of its documents each is."""
+def block_lines(docs: DataFrame, min_chars: int, whole_rows: bool = False) -> DataFrame:
+    """(block, h1, h2, docs): the different line keys of each block and in how many of its documents each is.
+    whole_rows: the texts are those of `carried`."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for number, _, texts in cut(batches):
             seen: Counter[bytes] = Counter()
             for t in texts:
+                t = apart(t)[1] if whole_rows else t
                 if t:
                     seen.update(set(line_keys(t.encode("utf-8", "surrogatepass"), min_chars)))
             seen.pop(b"", None)
@@ -118,13 +120,14 @@ class LineStore:
         return written(passed.join(self.counts.where(F.col("docs") >= self.min_docs), ["h1", "h2"], "left_semi"), "frequent_lines")
 
     def clean(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-        """(doc_id, text, n_lines, n_dropped): all lines of frequent keys dropped, the others joined by line ends.
+        """`docs` with all lines of frequent keys dropped from the text, and n_lines (before), n_dropped.
 
-        Null and empty texts count one line, which stays. A text of which no line stays is empty.
-        Documents need not be in the store. `docs` must read the same rows in the same order each time, as files do.
+        Null and empty texts count one line, which stays; a null text comes back empty. A text of which no line stays is empty.
+        Columns named n_lines or n_dropped are replaced. Documents need not be in the store. `docs` must read the same rows in
+        the same order each time, as files do.
         """
-        docs = _named(docs, doc_id, text)
-        lines = block_lines(docs, self.min_chars).select("block", "h1", "h2")
+        rows = carried(docs, doc_id, text)
+        lines = block_lines(rows, self.min_chars, True).select("block", "h1", "h2")
         hits = lines.join(self.frequent(lines), ["h1", "h2"], "left_semi")
         min_chars = self.min_chars
 
@@ -134,19 +137,22 @@ class LineStore:
             b = block.iloc[0]
             pairs = hits[["h1", "h2"]].to_numpy("<i8")
             drop = {r.tobytes() for r in pairs}
-            kept, lines, dropped = [], [], []
-            for raw in unpacked(b["sizes"], b["texts"]):
-                keys = line_keys(raw or b"", min_chars)
+            heads, kept, lines, dropped = [], [], [], []
+            for line in unpacked(b["sizes"], b["texts"]):
+                head, whole = apart(line.decode("utf-8", "surrogatepass"))
+                heads.append(head)
+                raw = (whole or "").encode("utf-8", "surrogatepass")
+                keys = line_keys(raw, min_chars)
                 stay = [k not in drop for k in keys]
                 left = sum(stay)
-                kept.append((raw or b"") if left == len(keys) else b"\n".join(x for x, s in zip((raw or b"").split(b"\n"), stay, strict=True) if s))
+                kept.append(raw if left == len(keys) else b"\n".join(x for x, s in zip(raw.split(b"\n"), stay, strict=True) if s))
                 lines.append(len(keys))
                 dropped.append(len(keys) - left)
-            return pd.DataFrame({"doc_id": pd.array([None if pd.isna(x) else int(x) for x in b["ids"]], "Int64"),
-                                 "text": [k.decode("utf-8", "surrogatepass") for k in kept], "n_lines": lines, "n_dropped": dropped})
+            return pd.DataFrame({"head": heads, "text": [k.decode("utf-8", "surrogatepass") for k in kept], "n_lines": lines, "n_dropped": dropped})
 
-        return packed(docs).groupBy("block").cogroup(hits.groupBy("block")).applyInPandas(
-            run, "doc_id long, text string, n_lines long, n_dropped long")
+        out = packed(rows).groupBy("block").cogroup(hits.groupBy("block")).applyInPandas(
+            run, "head string, text string, n_lines long, n_dropped long")
+        return restored(out, docs, text, ("n_lines", "n_dropped"))
 
 
 def shards_for(rows: int) -> int:

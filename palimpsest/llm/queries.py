@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import bpe, langid, lines, simhash, substrings, tokenfile, topk
+from palimpsest.llm import bpe, decontaminate, langid, lines, quotes, simhash, sst, substrings, tokenfile, topk
+from palimpsest.llm.oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,11 +25,21 @@ def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, folder, "documents"))
 
 
+def op2_site_tree(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    return sst.main_text(table(spark, folder, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op3_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Digests of the ids of every document and of the text they decode to."""
     return bpe.digests(bpe.encode_decode(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op4_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold a benchmark item, as it is or with other values."""
+    return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("text_hash")
+
+
 def op5_topk(spark: SparkSession, folder: str) -> DataFrame:
     """The 20 best candidates of every vector whose id is divisible by 20."""
     return topk.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
@@ -48,6 +61,11 @@ def op7_lines(spark: SparkSession, folder: str) -> DataFrame:
     return store.clean(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op8_quotes(spark: SparkSession, folder: str) -> DataFrame:
+    """Every message without quotes, linked to what it answers, with its place in reply order."""
+    return quotes.link_quotes(table(spark, folder, "conversations")).withColumn("reply_path", F.array_join("reply_path", "/"))
+
+
 def op9_substrings(spark: SparkSession, folder: str) -> DataFrame:
     """Every document without the words that runs of 20 words starting earlier cover."""
     return substrings.duplicate_spans(table(spark, folder, "documents"), 20).select(
@@ -63,11 +81,13 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
+    "op2_site_tree": op2_site_tree,
     "op3_bpe": op3_bpe,
+    "op4_decontaminate": op4_decontaminate,
     "op5_topk": op5_topk,
     "op6_langid": op6_langid,
     "op7_lines": op7_lines,
+    "op8_quotes": op8_quotes,
     "op9_substrings": op9_substrings,
     "op10_token_files": op10_token_files,
 }
-ORACLES: dict[str, str] = {}

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.bktree import Forest
+from palimpsest.llm.blocks import apart, carried, cut, packed, restored, unpacked
 from palimpsest.llm.components import components
 from palimpsest.llm.store import written
 
@@ -162,6 +163,10 @@ def shard_links(rows: DataFrame, radius: int, least: float | None = None) -> Dat
     rows: (key long, fp long, node long) and, if `least` is given, (hashes array<int>), the sorted distinct
     shingle hashes; a link then also needs this Jaccard similarity.
     """
+    return _in_shards(rows, radius, least, False)
+
+
+def _in_shards(rows: DataFrame, radius: int, least: float | None, rows_only: bool) -> DataFrame:
     crowded = rows.groupBy("key").count().where(F.col("count") > CHUNK).select(
         "key", F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks"))
     crowded = written(crowded, "crowded")
@@ -171,7 +176,7 @@ def shard_links(rows: DataFrame, radius: int, least: float | None = None) -> Dat
         "other", F.explode(F.sequence(F.lit(0), chunks - 1))).withColumn(
         "shard", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))).withColumn(
         "probe", F.col("own") > F.col("other"))
-    columns = ["shard", "probe", "fp", "node"] + (["hashes"] if least is not None else [])
+    columns = ["shard", "probe", "fp", "node"] + (["key"] if rows_only else []) + (["hashes"] if least is not None else [])
     dealt = dealt.select(*columns).repartition("shard").sortWithinPartitions("shard")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -205,6 +210,11 @@ def shard_links(rows: DataFrame, radius: int, least: float | None = None) -> Dat
             at = stop
             prints = piece["fp"].to_numpy().view(np.uint64)
             query, node, d = _pairs_of(piece["shard"].to_numpy(), piece["probe"].to_numpy().astype(bool), prints, radius)
+            if rows_only:
+                apart = query != node
+                both = np.unique(np.concatenate([query[apart], node[apart]]))
+                yield piece.iloc[both][["key", "fp", "node"]]
+                continue
             sets = [np.asarray(x) for x in piece["hashes"]] if least is not None else None
             links = _grouped(query, node, d, len(piece), sets, least or 0.0)
             root = np.array([links.root(x) for x in range(len(piece))])
@@ -213,7 +223,7 @@ def shard_links(rows: DataFrame, radius: int, least: float | None = None) -> Dat
             if len(moved):
                 yield pd.DataFrame({"a": names[moved], "b": names[root[moved]]})
 
-    return dealt.mapInPandas(run, "a long, b long").distinct()
+    return dealt.mapInPandas(run, "key long, fp long, node long" if rows_only else "a long, b long").distinct()
 
 
 def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 4, radius: int = 4) -> DataFrame:
@@ -232,3 +242,83 @@ def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     component = written(named.groupBy("root").agg(F.min("least").alias("component_id")), "named")
     by_print = written(named.join(component, "root").select("fp", "component_id"), "by_print")
     return prints.join(by_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+KEYS = 6  # shard keys of a document by its shingle set: a pair of similarity s shares none with chance (1 - s) ** KEYS
+WIDE = 16  # bits in which fingerprints of a similarity of 0.8 may differ
+TURNS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93], np.uint64)
+
+
+def _set_keys(shingle_set: np.ndarray) -> list[int]:
+    """The smallest hash of the set under each of KEYS orders."""
+    return [xxhash.xxh64_intdigest(np.uint64((t := shingle_set * turn)[int(np.argmin(t ^ (t >> np.uint64(29))))]).tobytes(), n) - (1 << 63)
+            for n, turn in enumerate(TURNS)] if len(shingle_set) else [0]
+
+
+def _short(shingle_set: np.ndarray) -> np.ndarray:
+    """Sorted distinct 32-bit halves of the hashes."""
+    return np.unique((shingle_set >> np.uint64(32)).astype(np.uint32)).view(np.int32)
+
+
+def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8,
+                radius: int = WIDE) -> DataFrame:
+    """(block, at, doc_id, root): every row of `docs` by its place, and the group of near copies it is in.
+
+    Texts of the same word sequence are one node. Nodes are dealt to shards by the smallest hashes of their sets of word
+    shingles, the BK-tree of a shard finds fingerprints within the radius, and pairs found are kept if the Jaccard similarity
+    of their sets is high enough. Null and empty texts are one node without links. `docs` must read the same rows in the same order each time.
+    """
+    rows = carried(docs, doc_id, text)
+
+    def prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for number, ids, texts in cut(batches):
+            out = []
+            for at, (name, line) in enumerate(zip(ids, texts, strict=True)):
+                hashes = shingles(apart(line)[1], words)
+                same = xxhash.xxh64_intdigest(hashes.tobytes(), len(hashes)) - (1 << 63)
+                out.append((number, at, name, same, int(np.uint64(fingerprint(hashes)).view(np.int64)), _set_keys(np.unique(hashes)), len(hashes)))
+            frame = pd.DataFrame(out, columns=["block", "at", "doc_id", "node", "fp", "keys", "n"])
+            yield frame.assign(doc_id=frame["doc_id"].astype("Int64"))
+
+    every = written(rows.mapInPandas(prints, "block long, at int, doc_id long, node long, fp long, keys array<long>, n int"), "near_prints")
+    nodes = written(every.where("n > 0").groupBy("node").agg(F.min_by(F.struct("block", "at", "fp", "keys"), F.struct("block", "at")).alias("x"))
+                    .select("node", "x.*"), "near_nodes")
+    dealt = nodes.select("node", "fp", F.explode("keys").alias("key"))
+    near = written(shard_matches(dealt, radius), "near")
+    wanted = nodes.join(near.select("node").distinct(), "node", "left_semi").select("block", "at", "node")
+
+    def sets(block: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+        if not len(wanted):
+            return pd.DataFrame({"node": [], "hashes": []})
+        b = block.iloc[0]
+        texts = unpacked(b["sizes"], b["texts"])
+        found = [_short(np.unique(shingles(apart(texts[at].decode("utf-8", "surrogatepass"))[1], words))) for at in wanted["at"]]
+        return pd.DataFrame({"node": wanted["node"].to_numpy(), "hashes": found})
+
+    blocks = packed(rows)
+    with_sets = blocks.groupBy("block").cogroup(wanted.groupBy("block")).applyInPandas(sets, "node long, hashes array<int>")
+    links = shard_links(near.join(with_sets, "node"), radius, similarity)
+    return every.join(components(links), "node", "left").select("block", "at", "doc_id", F.coalesce("root", "node").alias("root"))
+
+
+def shard_matches(rows: DataFrame, radius: int) -> DataFrame:
+    """Those of the rows (key, fp, node) that have another fingerprint within the radius in their shard."""
+    return _in_shards(rows, radius, None, True)
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """`docs` with one row of each group of near copies: that of the smallest id (null ids last), then the first by place."""
+    groups = near_groups(docs, doc_id, text, words, similarity)
+    first = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "block", "at")
+    kept = groups.groupBy("root").agg(F.min(first).alias("x")).select("x.block", "x.at")
+
+    def run(block: pd.DataFrame, kept: pd.DataFrame) -> pd.DataFrame:
+        if not len(kept):
+            return pd.DataFrame({"head": [], "text": []})
+        b = block.iloc[0]
+        texts = unpacked(b["sizes"], b["texts"])
+        parts = [apart(texts[at].decode("utf-8", "surrogatepass")) for at in sorted(kept["at"])]
+        return pd.DataFrame({"head": [h for h, _ in parts], "text": [t for _, t in parts]})
+
+    out = packed(carried(docs, doc_id, text)).groupBy("block").cogroup(kept.groupBy("block")).applyInPandas(run, "head string, text string")
+    return restored(out, docs, text)
