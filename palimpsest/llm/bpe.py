@@ -1,8 +1,8 @@
 """Byte-level BPE through a table of distinct words.
 
-Documents are cut into blocks; a block sends each of its different words once. Spark gathers them into a
-table of distinct words, each word is encoded once, its ids are joined to the vocabulary's pieces to decode it
-again, and both go back to the blocks that hold the word, where ids and pieces are put in place by position.
+Documents are cut into blocks; a block sends each of its different words once, dealt to parts by hash. A part is a piece
+of the table of distinct words: each word is encoded once, and its ids are joined to the vocabulary's pieces, a table of
+bounded size, to decode it again. Ids and pieces go back to the blocks in the order asked and are put in place by position.
 """
 
 from __future__ import annotations
@@ -10,31 +10,44 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import zstandard
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.blocks import cut, packed, unpacked
+from palimpsest.llm.blocks import cut, grown, packed, parts_for, shrunk, unpacked
 from palimpsest.llm.store import kept_in_worker
 
-#: What keeps a text from being cut before every space, line end, comma and full stop.
-IRREGULAR = re.compile(r"[^\x01-\u024F]|[^\S \n]|\s\s|^\s|[\W_][,.]|^[,.]|\s\Z")
+Split = Callable[[str], list[str]]
 CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
+#: Classes of Latin-1 characters: a letter or digit, a comma or full stop, other white space than space and line end, or else.
+KINDS = bytes((b"a" if chr(i).isalnum() else b"," if chr(i) in ",." else b"?" if chr(i).isspace() and chr(i) not in " \n" else b"#")[0] for i in range(256))
+
+
+def _regular(text: str) -> bool:
+    """Whether a text may be cut before every space, line end, comma and full stop."""
+    try:
+        kinds = text.encode("latin-1").translate(KINDS)
+    except UnicodeEncodeError:
+        return False
+    return not (kinds[:1] == b"," or b"#," in kinds or b",," in kinds or b"?" in kinds or text[0] in " \n" or text[-1] in " \n"
+                or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or "\0" in text)
 
 
 def words_of(text: str) -> list[str]:
     """A text in pieces whose encodings, one after the other, are the text's own.
 
-    The vocabulary's own splitting never joins what lies on two sides of a single white-space character
+    The vocabulary's own splitting never joins what lies on two sides of a single space or line end
     between other characters, nor a letter or digit and the punctuation after it.
     """
     if not text:
         return []
-    if IRREGULAR.search(text):
+    if not _regular(text):
         return CUT.split(text)
     return text.replace(" ", "\0 ").replace("\n", "\0\n").replace(",", "\0,").replace(".", "\0.").split("\0")
 
@@ -49,82 +62,131 @@ def _loaded(path: str):
     return found
 
 
-def pieces(spark: SparkSession, path: str) -> DataFrame:
-    """(id int, piece binary): the bytes of every id, special tokens included. As large as the vocabulary."""
+def pieces(path: str) -> dict[int, bytes]:
+    """The bytes of every id, special tokens included. As large as the vocabulary."""
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in the file
     other = [b for b in range(256) if b not in set(printable)]
     byte = {chr(b): b for b in printable} | {chr(256 + n): b for n, b in enumerate(other)}
     with open(path, encoding="utf-8") as f:
         stored = json.load(f)
     special = {t["id"]: t["content"].encode() for t in stored.get("added_tokens", [])}
-    rows = {i: bytes(byte[c] for c in t) for t, i in stored["model"]["vocab"].items() if i not in special} | special
-    frame = pd.DataFrame({"id": np.array(list(rows), np.int32), "piece": list(rows.values())})
-    return spark.createDataFrame(frame, "id int, piece binary")
+    return {i: bytes(byte[c] for c in t) for t, i in stored["model"]["vocab"].items() if i not in special} | special
+
 
+def _parted(words: set[str], parts: int) -> list[list[str]]:
+    out: list[list[str]] = [[] for _ in range(parts)]
+    for w in sorted(words):
+        out[crc32(w.encode("utf-8", "surrogatepass")) % parts].append(w)
+    return out
 
-def distinct_words(docs: DataFrame) -> DataFrame:
-    """(block, place, word): the different words of every block, in order. docs: (doc_id, text)."""
+
+def bare_words(text: str) -> list[str]:
+    """As words_of, for vocabularies that drop white space: the pieces between spaces and line ends."""
+    if not text:
+        return []
+    if _regular(text):
+        return text.replace(",", " ,").replace(".", " .").split()
+    return [w for w in text.replace("\n", " ").split(" ") if w]
+
+
+def distinct_words(docs: DataFrame, parts: int, split: Split) -> DataFrame:
+    """(block, part, sizes, words): the different words of every block by part, in order. docs: (doc_id, text)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        press = zstandard.ZstdCompressor(level=3)
         for number, _, texts in cut(batches):
-            words = sorted(set(chain.from_iterable(words_of(t) for t in texts if t)))
-            yield pd.DataFrame({"block": np.int64(number), "place": np.arange(len(words), dtype=np.int32), "word": words})
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "block long, place int, word string")
+            words: set[str] = set()
+            for t in texts:
+                if t:
+                    words.update(split(t))
+            for part, own in enumerate(_parted(words, parts)):
+                if own:
+                    raw = [w.encode("utf-8", "surrogatepass") for w in own]
+                    yield pd.DataFrame({"block": np.int64(number), "part": np.int32(part), "sizes": [shrunk(np.array([len(r) for r in raw], "<u4"))],
+                                        "words": [press.compress(b"".join(raw))]})
 
+    return docs.mapInPandas(run, "block long, part int, sizes binary, words binary")
 
-def coded_words(words: DataFrame, path: str) -> DataFrame:
-    """(block, place, ids binary, piece binary): every distinct word encoded once and decoded through the id-to-piece join.
 
-    ids are little-endian 32-bit integers. piece is null where it is the word itself.
-    """
+def coded_words(words: DataFrame, path: str, decode: bool) -> DataFrame:
+    """(block, part, counts, ids, odd, pieces): the ids of each word asked, one after the other, and with `decode` the decoded form
+    of those words (by place) that do not decode to themselves. Every distinct word is encoded and decoded once."""
 
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(asked: pd.DataFrame) -> pd.DataFrame:
         tokenizer = kept_in_worker(("bpe", path), lambda: _loaded(path))
-        for batch in batches:
-            found = [e.ids for e in tokenizer.encode_batch_fast(batch.tolist(), add_special_tokens=False)]
-            yield pd.DataFrame({"ids": found, "raw": [np.array(x, "<u4").tobytes() for x in found]})
-
-    table = words.groupBy("word").agg(F.collect_list(F.struct("block", "place")).alias("places"))
-    coded = table.withColumn("code", F.pandas_udf(encode, "ids array<int>, raw binary")("word"))
-    by_id = coded.select("word", "places", F.col("code.raw").alias("ids"), F.posexplode_outer("code.ids").alias("n", "id"))
-    joined = by_id.join(F.broadcast(pieces(words.sparkSession, path)), "id", "left")  # as large as the vocabulary
-    decoded = joined.groupBy("word").agg(
-        F.first("places").alias("places"), F.first("ids").alias("ids"),
-        F.sort_array(F.collect_list(F.struct("n", F.hex("piece").alias("hex")))).alias("found"))
-    piece = F.unhex(F.array_join(F.col("found.hex"), ""))
-    same = piece == F.encode("word", "utf-8")
-    return decoded.select(F.explode("places").alias("p"), "ids", F.when(~same, piece).alias("piece")).select("p.*", "ids", "piece")
+        piece = kept_in_worker(("pieces", path), lambda: pieces(path)) if decode else {}
+        lists = [unpacked(grown(s, "<u4").astype(np.int64), w) for s, w in zip(asked["sizes"], asked["words"], strict=True)]
+        table = list(set(chain.from_iterable(lists)))
+        ids: dict[bytes, np.ndarray] = {}
+        wrong: dict[bytes, bytes] = {}
+        for at in range(0, len(table), 10_000):
+            some = table[at:at + 10_000]
+            for word, e in zip(some, tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
+                ids[word] = np.array(e.ids, "<u4")
+                if decode and (back := b"".join(map(piece.__getitem__, e.ids))) != word:
+                    wrong[word] = back
+        odd = [[i for i, w in enumerate(own) if w in wrong] for own in lists]
+        return pd.DataFrame({
+            "block": asked["block"], "part": asked["part"], "counts": [shrunk(np.array([len(ids[w]) for w in own], "<u4")) for own in lists],
+            "ids": [shrunk(np.concatenate([ids[w] for w in own])) for own in lists],
+            "odd": odd, "pieces": [[wrong[own[i]] for i in at] for own, at in zip(lists, odd, strict=True)]})
+
+    return words.groupBy("part").applyInPandas(run, "block long, part int, counts binary, ids binary, odd array<int>, pieces array<binary>")
 
 
 def encode_decode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, ids array<int>, decoded): the ids of every whole text and the text they decode to.
+    """(doc_id, ids array<int>, decoded): the ids of every whole text and the text they decode to, by a byte-level vocabulary.
 
     Nulls and empty texts have no ids and decode to an empty text. Every row gives a row, whatever its id.
     `docs` must read the same rows in the same order each time, as files do; a block that does not get its own
     words back fails the job.
     """
+    return _encoded(docs, path, doc_id, text, words_of, True, None)
+
+
+def encode_bytes(docs: DataFrame, path: str, end: int | None, kind: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, ids binary, n long): ids as little-endian integers of the given type, `end` appended, by a vocabulary that drops
+    white space. Otherwise as encode_decode."""
+    return _encoded(docs, path, doc_id, text, bare_words, False, (kind, b"" if end is None else np.array([end], "<u4").tobytes()))
+
+
+def _encoded(docs: DataFrame, path: str, doc_id: str, text: str, split: Split, decode: bool, packing: tuple[str, bytes] | None) -> DataFrame:
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    words = coded_words(distinct_words(rows), path).groupBy("block")
+    parts = parts_for(docs.sparkSession)
+    words = coded_words(distinct_words(rows, parts, split), path, decode).groupBy("block")
 
     def run(block: pd.DataFrame, code: pd.DataFrame) -> pd.DataFrame:
         if len(block) != 1:
             raise ValueError("words without their block: the input changed between two reads")
         b = block.iloc[0]
         texts = [None if r is None else r.decode("utf-8", "surrogatepass") for r in unpacked(b["sizes"], b["texts"])]
-        split = [words_of(t) if t else [] for t in texts]
-        own = sorted(set(chain.from_iterable(split)))
-        if len(own) != len(code):
+        own: set[str] = set()
+        for t in texts:
+            if t:
+                own.update(split(t))
+        asked = _parted(own, parts)
+        ids: dict[str, bytes] = {}
+        wrong: dict[str, bytes] = {}
+        for r in code.itertuples():
+            ends, raw, mine = (np.cumsum(grown(r.counts, "<u4").astype(np.int64)) * 4).tolist(), grown(r.ids, "<u4").tobytes(), asked[r.part]
+            ids.update(zip(mine, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
+            wrong.update({mine[i]: p for i, p in zip(r.odd, r.pieces, strict=True)})
+        if len(ids) != len(own):
             raise ValueError("a block has other words than before: the input changed between two reads")
-        code = code.sort_values("place")
-        ids = dict(zip(own, code["ids"].tolist(), strict=True))
-        piece = {w: p if isinstance(p, bytes) else w.encode() for w, p in zip(own, code["piece"].tolist(), strict=True)}
-        return pd.DataFrame({
-            "doc_id": pd.array([None if pd.isna(x) else int(x) for x in b["ids"]], "Int64"),
-            "ids": [np.frombuffer(b"".join(map(ids.__getitem__, w)), "<u4").astype(np.int32) for w in split],
-            "decoded": [b"".join(map(piece.__getitem__, w)).decode("utf-8", "replace") for w in split]})
-
-    return packed(rows).groupBy("block").cogroup(words).applyInPandas(run, "doc_id long, ids array<int>, decoded string")
+        join, get, found, decoded = b"".join, ids.__getitem__, [], []
+        for t in texts:
+            w = split(t) if t else []
+            found.append(join(map(get, w)))
+            if decode:
+                decoded.append("".join(w) if not wrong else join(wrong[x] if x in wrong else x.encode() for x in w).decode("utf-8", "replace"))
+        out = pd.DataFrame({"doc_id": pd.array([None if pd.isna(x) else int(x) for x in b["ids"]], "Int64")})
+        if packing:
+            kind, tail = packing
+            return out.assign(ids=[np.frombuffer(x + tail, "<u4").astype(kind).tobytes() for x in found], n=[(len(x) + len(tail)) // 4 for x in found])
+        return out.assign(ids=[np.frombuffer(x, "<i4") for x in found], decoded=decoded)
+
+    schema = "doc_id long, ids binary, n long" if packing else "doc_id long, ids array<int>, decoded string"
+    return packed(rows).groupBy("block").cogroup(words).applyInPandas(run, schema)
 
 
 def digests(coded: DataFrame) -> DataFrame:

@@ -7,7 +7,6 @@ Records are independent, so a reader can start at any of them and, within a bloc
 
 from __future__ import annotations
 
-import os
 import posixpath
 import struct
 import uuid
@@ -21,85 +20,28 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from palimpsest.llm.bpe import encode_bytes
 from palimpsest.llm.rans import LANES, Table, decode, encode
-from palimpsest.llm.store import kept_in_worker, new_folder, written
+from palimpsest.llm.store import new_folder, written
 
 MAGIC = b"RTOK"
 HEAD = "<4sQI"  # magic, length and CRC-32 of the body
 BLOCK_IDS = 1 << 20  # a block holds this many ids, or one longer document
 FILE_IDS = 16 << 20  # ids a file is planned for
-CACHE_WORDS = 300_000  # words a worker remembers
 
 
-class WordCoder:
-    """Ids of texts by a vocabulary that drops white space, so that words between spaces and line ends are encoded alone.
-
-    Equal words are looked up; at most CACHE_WORDS are remembered.
-    """
-
-    def __init__(self, path: str) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.known: dict[str, bytes] = {}
-
-    def learn(self, words: set[str]) -> None:
-        if len(self.known) + len(words) > CACHE_WORDS:
-            self.known = {}
-        new = list(words)
-        found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        known = self.known
-        for word, e in zip(new, found, strict=True):
-            known[word] = struct.pack(f"<{len(e.ids)}I", *e.ids)
-
-    def encode(self, texts: list[str | None], end: int | None = None) -> list[np.ndarray]:
-        """Ids of each text as uint32, with the end id appended."""
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        tail = b"" if end is None else struct.pack("<I", end)
-        out = []
-        for at in range(0, len(split), 64):
-            part = split[at:at + 64]
-            words = set().union(*part)
-            missing = words - self.known.keys()
-            if missing:
-                before = len(self.known)
-                self.learn(missing)
-                if len(self.known) < before + len(missing):  # emptied in between
-                    self.learn(words - self.known.keys())
-            get = self.known.__getitem__
-            out += [np.frombuffer(b"".join(map(get, w)) + tail, "<u4") for w in part]
-        return out
-
-
-def tokenise(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", end: int | None = None) -> DataFrame:
-    """(doc_id, ids binary, n long): ids as little-endian integers of two bytes, or four for large vocabularies."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder = kept_in_worker(("words", path), lambda: WordCoder(path))
-        kind = "<u2" if coder.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        for batch in batches:
-            ids = coder.encode([t if isinstance(t, str) else None for t in batch["text"]], end)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "ids": [x.astype(kind).tobytes() for x in ids],
-                                "n": [len(x) for x in ids]})
-
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInPandas(run, "doc_id long, ids binary, n long")
+def _kind(vocabulary: int) -> str:
+    return "<u2" if vocabulary <= 1 << 16 else "<u4"
 
 
 def frequencies(tokens: DataFrame, vocabulary: int) -> np.ndarray:
     """How often each id occurs in all documents; tasks send one row per id, at most the vocabulary's size each."""
-    kind = "<u2" if vocabulary <= 1 << 16 else "<u4"
+    kind = _kind(vocabulary)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(vocabulary, np.int64)
         for batch in batches:
-            for ids in batch["ids"]:
-                if len(ids):
-                    seen, times = np.unique(np.frombuffer(ids, kind), return_counts=True)
-                    total[seen] += times
+            total += np.bincount(np.frombuffer(b"".join(batch["ids"]), kind), minlength=vocabulary)
         at = np.flatnonzero(total)
         yield pd.DataFrame({"id": at, "n": total[at]})
 
@@ -170,7 +112,7 @@ def write_files(tokens: DataFrame, folder: str, counts: np.ndarray) -> DataFrame
     """
     vocabulary, table = len(counts), Table.of_counts(counts)
     freq, bits = table.freq.astype(np.int64), table.bits
-    kind = "<u2" if vocabulary <= 1 << 16 else "<u4"
+    kind = _kind(vocabulary)
     spark = tokens.sparkSession
     files = max(1, -(-int(counts.sum()) // FILE_IDS), int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -235,12 +177,13 @@ def token_files(docs: DataFrame, path: str, end: int | None, folder: str | None
                 text: str = "text") -> tuple[str, DataFrame]:
     """Encode documents with a vocabulary and write them as token files; returns the folder and its manifest.
 
-    A null text has no ids but the end id. Rows of a null or repeated id are kept, ordered null first and then by ids.
+    A null text has no ids but the end id. Rows of a null or repeated id are kept, ordered null first and then by ids. The
+    vocabulary must drop white space. `docs` must read the same rows in the same order each time, as files do.
     """
     from tokenizers import Tokenizer
 
     spark = docs.sparkSession
     folder = folder or new_folder(spark, "tokens")
-    tokens = written(tokenise(docs, path, doc_id, text, end), "token_rows")
     vocabulary = max(Tokenizer.from_file(path).get_vocab_size(), 0 if end is None else end + 1)
+    tokens = written(encode_bytes(docs, path, end, _kind(vocabulary), doc_id, text), "token_rows")
     return folder, write_files(tokens, folder, frequencies(tokens, vocabulary))
