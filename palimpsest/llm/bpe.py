@@ -10,7 +10,7 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import chain
 from zlib import crc32
 
@@ -23,13 +23,12 @@ from pyspark.sql import functions as F
 from palimpsest.llm.blocks import cut, grown, packed, parts_for, shrunk, unpacked
 from palimpsest.llm.store import kept_in_worker
 
-Split = Callable[[str], list[str]]
 CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 #: Classes of Latin-1 characters: a letter or digit, a comma or full stop, other white space than space and line end, or else.
 KINDS = bytes((b"a" if chr(i).isalnum() else b"," if chr(i) in ",." else b"?" if chr(i).isspace() and chr(i) not in " \n" else b"#")[0] for i in range(256))
 
 
-def _regular(text: str) -> bool:
+def regular(text: str) -> bool:
     """Whether a text may be cut before every space, line end, comma and full stop."""
     try:
         kinds = text.encode("latin-1").translate(KINDS)
@@ -47,12 +46,12 @@ def words_of(text: str) -> list[str]:
     """
     if not text:
         return []
-    if not _regular(text):
+    if not regular(text):
         return CUT.split(text)
     return text.replace(" ", "\0 ").replace("\n", "\0\n").replace(",", "\0,").replace(".", "\0.").split("\0")
 
 
-def _loaded(path: str):
+def loaded(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -73,32 +72,24 @@ def pieces(path: str) -> dict[int, bytes]:
     return {i: bytes(byte[c] for c in t) for t, i in stored["model"]["vocab"].items() if i not in special} | special
 
 
-def _parted(words: set[str], parts: int) -> list[list[str]]:
+def _parted(words: dict[str, None], parts: int) -> list[list[str]]:
+    """Words by part, in their order of appearance."""
     out: list[list[str]] = [[] for _ in range(parts)]
-    for w in sorted(words):
+    for w in words:
         out[crc32(w.encode("utf-8", "surrogatepass")) % parts].append(w)
     return out
 
 
-def bare_words(text: str) -> list[str]:
-    """As words_of, for vocabularies that drop white space: the pieces between spaces and line ends."""
-    if not text:
-        return []
-    if _regular(text):
-        return text.replace(",", " ,").replace(".", " .").split()
-    return [w for w in text.replace("\n", " ").split(" ") if w]
-
-
-def distinct_words(docs: DataFrame, parts: int, split: Split) -> DataFrame:
-    """(block, part, sizes, words): the different words of every block by part, in order. docs: (doc_id, text)."""
+def distinct_words(docs: DataFrame, parts: int) -> DataFrame:
+    """(block, part, sizes, words): the different words of every block by part, in order of appearance. docs: (doc_id, text)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         press = zstandard.ZstdCompressor(level=3)
         for number, _, texts in cut(batches):
-            words: set[str] = set()
+            words: dict[str, None] = {}
             for t in texts:
                 if t:
-                    words.update(split(t))
+                    words.update(dict.fromkeys(words_of(t)))
             for part, own in enumerate(_parted(words, parts)):
                 if own:
                     raw = [w.encode("utf-8", "surrogatepass") for w in own]
@@ -108,13 +99,13 @@ def distinct_words(docs: DataFrame, parts: int, split: Split) -> DataFrame:
     return docs.mapInPandas(run, "block long, part int, sizes binary, words binary")
 
 
-def coded_words(words: DataFrame, path: str, decode: bool) -> DataFrame:
-    """(block, part, counts, ids, odd, pieces): the ids of each word asked, one after the other, and with `decode` the decoded form
-    of those words (by place) that do not decode to themselves. Every distinct word is encoded and decoded once."""
+def coded_words(words: DataFrame, path: str) -> DataFrame:
+    """(block, part, counts, ids, odd, pieces): the ids of each word asked, one after the other, and the decoded form of those
+    words (by place) that do not decode to themselves. Every distinct word is encoded and decoded once."""
 
     def run(asked: pd.DataFrame) -> pd.DataFrame:
-        tokenizer = kept_in_worker(("bpe", path), lambda: _loaded(path))
-        piece = kept_in_worker(("pieces", path), lambda: pieces(path)) if decode else {}
+        tokenizer = kept_in_worker(("bpe", path), lambda: loaded(path))
+        piece = kept_in_worker(("pieces", path), lambda: pieces(path))
         lists = [unpacked(grown(s, "<u4").astype(np.int64), w) for s, w in zip(asked["sizes"], asked["words"], strict=True)]
         table = list(set(chain.from_iterable(lists)))
         ids: dict[bytes, np.ndarray] = {}
@@ -123,7 +114,7 @@ def coded_words(words: DataFrame, path: str, decode: bool) -> DataFrame:
             some = table[at:at + 10_000]
             for word, e in zip(some, tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
                 ids[word] = np.array(e.ids, "<u4")
-                if decode and (back := b"".join(map(piece.__getitem__, e.ids))) != word:
+                if (back := b"".join(map(piece.__getitem__, e.ids))) != word:
                     wrong[word] = back
         odd = [[i for i, w in enumerate(own) if w in wrong] for own in lists]
         return pd.DataFrame({
@@ -141,29 +132,19 @@ def encode_decode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str
     `docs` must read the same rows in the same order each time, as files do; a block that does not get its own
     words back fails the job.
     """
-    return _encoded(docs, path, doc_id, text, words_of, True, None)
-
-
-def encode_bytes(docs: DataFrame, path: str, end: int | None, kind: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, ids binary, n long): ids as little-endian integers of the given type, `end` appended, by a vocabulary that drops
-    white space. Otherwise as encode_decode."""
-    return _encoded(docs, path, doc_id, text, bare_words, False, (kind, b"" if end is None else np.array([end], "<u4").tobytes()))
-
-
-def _encoded(docs: DataFrame, path: str, doc_id: str, text: str, split: Split, decode: bool, packing: tuple[str, bytes] | None) -> DataFrame:
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     parts = parts_for(docs.sparkSession)
-    words = coded_words(distinct_words(rows, parts, split), path, decode).groupBy("block")
+    words = coded_words(distinct_words(rows, parts), path).groupBy("block")
 
     def run(block: pd.DataFrame, code: pd.DataFrame) -> pd.DataFrame:
         if len(block) != 1:
             raise ValueError("words without their block: the input changed between two reads")
         b = block.iloc[0]
         texts = [None if r is None else r.decode("utf-8", "surrogatepass") for r in unpacked(b["sizes"], b["texts"])]
-        own: set[str] = set()
-        for t in texts:
-            if t:
-                own.update(split(t))
+        split = [words_of(t) if t else [] for t in texts]
+        own: dict[str, None] = {}
+        for w in split:
+            own.update(dict.fromkeys(w))
         asked = _parted(own, parts)
         ids: dict[str, bytes] = {}
         wrong: dict[str, bytes] = {}
@@ -173,20 +154,14 @@ def _encoded(docs: DataFrame, path: str, doc_id: str, text: str, split: Split, d
             wrong.update({mine[i]: p for i, p in zip(r.odd, r.pieces, strict=True)})
         if len(ids) != len(own):
             raise ValueError("a block has other words than before: the input changed between two reads")
-        join, get, found, decoded = b"".join, ids.__getitem__, [], []
-        for t in texts:
-            w = split(t) if t else []
-            found.append(join(map(get, w)))
-            if decode:
-                decoded.append("".join(w) if not wrong else join(wrong[x] if x in wrong else x.encode() for x in w).decode("utf-8", "replace"))
-        out = pd.DataFrame({"doc_id": pd.array([None if pd.isna(x) else int(x) for x in b["ids"]], "Int64")})
-        if packing:
-            kind, tail = packing
-            return out.assign(ids=[np.frombuffer(x + tail, "<u4").astype(kind).tobytes() for x in found], n=[(len(x) + len(tail)) // 4 for x in found])
-        return out.assign(ids=[np.frombuffer(x, "<i4") for x in found], decoded=decoded)
-
-    schema = "doc_id long, ids binary, n long" if packing else "doc_id long, ids array<int>, decoded string"
-    return packed(rows).groupBy("block").cogroup(words).applyInPandas(run, schema)
+        join, get = b"".join, ids.__getitem__
+        decoded = ["".join(w) for w in split] if not wrong else [
+            join(wrong[x] if x in wrong else x.encode() for x in w).decode("utf-8", "replace") for w in split]
+        return pd.DataFrame({
+            "doc_id": pd.array([None if pd.isna(x) else int(x) for x in b["ids"]], "Int64"),
+            "ids": [np.frombuffer(join(map(get, w)), "<i4") for w in split], "decoded": decoded})
+
+    return packed(rows).groupBy("block").cogroup(words).applyInPandas(run, "doc_id long, ids array<int>, decoded string")
 
 
 def digests(coded: DataFrame) -> DataFrame:

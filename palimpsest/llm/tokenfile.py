@@ -20,20 +20,62 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.bpe import encode_bytes
+from palimpsest.llm.blocks import cut
+from palimpsest.llm.bpe import loaded, regular
 from palimpsest.llm.rans import LANES, Table, decode, encode
-from palimpsest.llm.store import new_folder, written
+from palimpsest.llm.store import kept_in_worker, new_folder, written
 
 MAGIC = b"RTOK"
 HEAD = "<4sQI"  # magic, length and CRC-32 of the body
 BLOCK_IDS = 1 << 20  # a block holds this many ids, or one longer document
 FILE_IDS = 16 << 20  # ids a file is planned for
+KNOWN_WORDS = 500_000  # words a worker remembers besides those of its block
 
 
 def _kind(vocabulary: int) -> str:
     return "<u2" if vocabulary <= 1 << 16 else "<u4"
 
 
+def bare_words(text: str) -> list[str]:
+    """A text in pieces whose encodings, one after the other, are the text's own, for vocabularies that drop white space and
+    case: what stands between spaces and line ends and, where that is safe, before commas and full stops."""
+    if not text:
+        return []
+    if regular(text) and "<|" not in text:
+        return text.lower().replace(",", " ,").replace(".", " .").split()
+    return [w for w in text.replace("\n", " ").split(" ") if w]
+
+
+def tokenise(docs: DataFrame, path: str, end: int | None, kind: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, ids binary, n long): ids as little-endian integers of the given type, `end` appended.
+
+    A block of documents has each of its different words encoded once, or not at all if its worker still knows the word.
+    """
+    code = {"<u2": "H", "<u4": "I"}[kind]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tokenizer = kept_in_worker(("bpe", path), lambda: loaded(path))
+        known: dict[str, bytes] = kept_in_worker(("words", path, kind), dict)
+        tail = b"" if end is None else struct.pack(f"<{code}", end)
+        for _, names, texts in cut(batches):
+            split = [bare_words(t) if t else [] for t in texts]
+            words = set().union(*split)
+            new = [w for w in words if w not in known]
+            if len(known) + len(new) > KNOWN_WORDS:
+                for w in [w for w in known if w not in words]:
+                    del known[w]
+            for at in range(0, len(new), 10_000):
+                some = new[at:at + 10_000]
+                for word, e in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                    known[word] = struct.pack(f"<{len(e.ids)}{code}", *e.ids)
+            get, join = known.__getitem__, b"".join
+            ids = [join(map(get, w)) + tail for w in split]
+            yield pd.DataFrame({"doc_id": pd.array(names, "Int64"), "ids": ids, "n": [len(x) // np.dtype(kind).itemsize for x in ids]})
+
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return rows.mapInPandas(run, "doc_id long, ids binary, n long")
+
+
 def frequencies(tokens: DataFrame, vocabulary: int) -> np.ndarray:
     """How often each id occurs in all documents; tasks send one row per id, at most the vocabulary's size each."""
     kind = _kind(vocabulary)
@@ -105,7 +147,7 @@ def read_block(body: bytes, table: Table) -> Iterator[tuple[int | None, np.ndarr
 
 
 def write_files(tokens: DataFrame, folder: str, counts: np.ndarray) -> DataFrame:
-    """Write tokens (doc_id, ids, n) in ascending doc_id order (null first, then by content) to `folder`.
+    """Write tokens (doc_id, ids, n) in ascending doc_id order (null first; equal ids by a hash of their tokens) to `folder`.
 
     Returns (part, path, docs, ids, bytes), one row per file. A task writes under a name of its own attempt
     and renames at the end, so a repeated or speculative task leaves the same file.
@@ -142,7 +184,8 @@ def write_files(tokens: DataFrame, folder: str, counts: np.ndarray) -> DataFrame
         else:
             fs.delete_file(work)
 
-    ordered = tokens.repartitionByRange(files, "doc_id", "ids").sortWithinPartitions("doc_id", "ids")
+    keyed = tokens.select("doc_id", F.xxhash64("ids").alias("h"), "ids")  # the range sample holds keys, not ids
+    ordered = keyed.repartitionByRange(files, "doc_id", "h").sortWithinPartitions("doc_id", "h", "ids")
     manifest = ordered.select("doc_id", "ids").mapInPandas(run, "part long, path string, docs long, ids long, bytes long")
     return written(manifest, "manifest")
 
@@ -177,13 +220,13 @@ def token_files(docs: DataFrame, path: str, end: int | None, folder: str | None
                 text: str = "text") -> tuple[str, DataFrame]:
     """Encode documents with a vocabulary and write them as token files; returns the folder and its manifest.
 
-    A null text has no ids but the end id. Rows of a null or repeated id are kept, ordered null first and then by ids. The
-    vocabulary must drop white space. `docs` must read the same rows in the same order each time, as files do.
+    A null text has no ids but the end id. Rows of a null or repeated id are kept, null first. The vocabulary must drop white
+    space and case.
     """
     from tokenizers import Tokenizer
 
     spark = docs.sparkSession
     folder = folder or new_folder(spark, "tokens")
     vocabulary = max(Tokenizer.from_file(path).get_vocab_size(), 0 if end is None else end + 1)
-    tokens = written(encode_bytes(docs, path, end, _kind(vocabulary), doc_id, text), "token_rows")
+    tokens = written(tokenise(docs, path, end, _kind(vocabulary), doc_id, text), "token_rows")
     return folder, write_files(tokens, folder, frequencies(tokens, vocabulary))
