@@ -48,3 +48,24 @@ def meta_key(tag: Column) -> Column:
     """Lower-case property or name of a meta tag."""
     key = F.coalesce(F.nullif(attribute(tag, "property"), F.lit("")), attribute(tag, "name"))
     return F.when(tag_name(tag) == "meta", F.lower(key))
+
+
+def metas(tags: Column) -> Column:
+    """(key, content) of the meta tags among start tags, in document order; only those with both."""
+    pairs = F.transform(F.filter(tags, lambda t: tag_name(t) == "meta"), lambda t: F.struct(
+        meta_key(t).alias("key"), F.trim(F.coalesce(attribute(t, "content"), F.lit(""))).alias("content")))
+    return F.filter(pairs, lambda m: (m["key"] != "") & (m["content"] != ""))
+
+
+def first_of(pairs: Column, key: str) -> Column:
+    """Content of the first meta tag with a key, null without one."""
+    return F.get(F.filter(pairs, lambda m: m["key"] == key), F.lit(0))["content"]
+
+
+def canonical_link(tags: Column) -> Column:
+    """Address of the last link tag that calls itself canonical."""
+    def canonical(t: Column) -> Column:
+        rel = F.split(F.lower(F.coalesce(attribute(t, "rel"), F.lit(""))), r"\s+")
+        return (tag_name(t) == "link") & F.array_contains(rel, "canonical")
+
+    return attribute(F.element_at(F.concat(F.array(F.lit("")), F.filter(tags, canonical)), -1), "href")

@@ -20,12 +20,6 @@ def prf_cols(tp: Column, fp: Column, fn: Column) -> dict[str, Column]:
     }
 
 
-def entropy_cols(count: Column, total: Column) -> Column:
-    """Base-2 entropy over rows that carry a class count and its group total."""
-    share = count / total
-    return -F.sum(share * F.log2(share))
-
-
 def correction_reduction(candidate: Column, refined: Column) -> Column:
     """Share of correction work saved, clamped to [0, 1]; without any work to do, 1."""
     saved = F.lit(1.0) - F.try_divide(refined, candidate)

@@ -18,9 +18,14 @@ def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, SPACE, " "))
 
 
+def fold(text: Column) -> Column:
+    """Text for comparison without case: lower case, and ss for the sharp s."""
+    return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+
+
 def norm(text: Column) -> Column:
-    """Case-folded, collapsed text. Folding is lower case plus the sharp s."""
-    return collapse(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")))
+    """Case-folded, collapsed text."""
+    return collapse(fold(text))
 
 
 def clean(text: Column, limit: int) -> Column:
@@ -61,13 +66,5 @@ def codes(*pieces: tuple[Column, str]) -> Column:
     return F.array_compact(F.array(*[F.when(cond, F.lit(code)) for cond, code in pieces]))
 
 
-def first_code(*pieces: tuple[Column, str], default: str = "OK") -> Column:
-    """The first code whose condition holds: checks stop at the first failure."""
-    chain = None
-    for cond, code in pieces:
-        chain = F.when(cond, code) if chain is None else chain.when(cond, code)
-    return chain.otherwise(default)
-
-
 def details_json(**fields: Column) -> Column:
     return F.to_json(F.struct(*[value.alias(name) for name, value in fields.items()]))

@@ -86,6 +86,26 @@ def path_id(url: Column, shapes: list[tuple[str, ...]] = (("explore",), ("item",
     return let(F.filter(F.split(split_url(url)["path"], "/"), lambda s: s != ""), rule)
 
 
+def parsed_link(url: Column, hosts: list[str], short_hosts: list[str], home: str) -> Column:
+    """Struct of status, kind (direct or short), normalized address and note id of a share or page address.
+
+    A short address needs a path of the known form; every other one must lead to a note, whose direct form stands at `home`.
+    """
+    def rule(p: Column) -> Column:
+        path, short, note = F.when(p["path"] == "", "/").otherwise(p["path"]), p["host"].isin(*short_hosts), path_id(url)
+        fits = (path != "/") & path.rlike(SHORT_PATH)
+        whole = url_status(url, [*hosts, *short_hosts])
+        status = (F.when(whole != "OK", whole).when(short & ~fits, "LINK_INVALID")
+                  .when(~short & note.isNull(), "NOTE_PATH_UNSUPPORTED").otherwise("OK"))
+        return let(F.struct(status.alias("s"), note.alias("n")), lambda c: F.struct(
+            c["s"].alias("status"), F.when(c["s"] == "OK", F.when(short, "short").otherwise("direct")).alias("kind"),
+            F.when(c["s"] == "OK", F.when(short, F.concat(F.lit("https://"), p["host"], path)).otherwise(
+                F.concat(F.lit(home + "/explore/"), c["n"]))).alias("normalized"),
+            F.when((c["s"] == "OK") & ~short, c["n"]).alias("note_id")))
+
+    return let(split_url(url), rule)
+
+
 def media_rule(url: Column, p: Column, media_host: str) -> Column:
     own = (p["host"] == media_host) | F.endswith(p["host"], F.lit("." + media_host))
     return (F.when(url.isNull() | (F.length(url) > MAX_MEDIA_URL), "MEDIA_URL_INVALID")

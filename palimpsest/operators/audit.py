@@ -58,6 +58,34 @@ def prf(df: DataFrame, keys: list[str], tp: str = COUNTS[0], fp: str = COUNTS[1]
     return totals.select(*keys, *COUNTS, *[F.round(v, digits).alias(k) for k, v in scores.items()])
 
 
+def localization_report(results: DataFrame, scene: str, pair: str, is_model_output: bool,
+                        limits: Mapping[str, float] = LOCALIZATION_GATES) -> DataFrame:
+    """One row: sizes of the corpus, scores, mean IoU of all matches (0 without any), metric and evidence gate, claim flag.
+
+    `results` have kind, the counts and iou_sum per sample. Scenes and pairs are counted apart, so no group holds all samples.
+    """
+    def size(name: str, column: str) -> DataFrame:
+        return results.where(F.col(column).isNotNull()).select(column).distinct().agg(F.count(F.lit(1)).alias(name))
+
+    kind = F.col("kind")
+    totals = results.agg(
+        F.count(F.lit(1)).alias("sample_count"), F.count_if(kind == "positive").alias("positive_count"),
+        F.count_if(kind == "negative").alias("negative_count"),
+        *[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in COUNTS], F.coalesce(F.sum("iou_sum"), F.lit(0.0)).alias("_iou"))
+    scores = prf_cols(*[F.col(c) for c in COUNTS])
+    mean = F.coalesce(F.try_divide(F.col("_iou"), F.col("true_positive")), F.lit(0.0))
+    rows = totals.withColumns({k: size(k, c).scalar() for k, c in (("scene_count", scene), ("pair_count", pair))})
+    rows = rows.select("*", *[F.round(v, 6).alias(k) for k, v in scores.items()], F.round(mean, 6).alias("mean_matched_iou"),
+                       *[v.alias(f"_{k}") for k, v in scores.items()]).drop("_iou")
+    metric = (F.col("_precision") >= limits["precision"]) & (F.col("_recall") >= limits["recall"])
+    evidence = F.lit(True)
+    for name in ("sample_count", "negative_count", "scene_count", "pair_count"):
+        evidence = evidence & (F.col(name) >= limits[name])
+    return rows.select(
+        *[c for c in rows.columns if not c.startswith("_")], metric.alias("metric_gate"), evidence.alias("evidence_gate"),
+        (F.lit(is_model_output) & metric & evidence).alias("release_claim_allowed"))
+
+
 def prf_by(df: DataFrame, scene: str, total_label: str = "(all)", digits: int = 6) -> DataFrame:
     """Per-scene rows and the micro total from one aggregation (rollup)."""
     kind = F.col("kind")
@@ -144,10 +172,12 @@ def gate_quality(rows: DataFrame, expected: str, eligible: str, pair: str) -> Da
         F.round(specificity, 6).alias("specificity"))
 
 
-def gates(summary: DataFrame, minimum: Mapping[str, float], exact: Mapping[str, float] | None = None) -> DataFrame:
-    """One row per gate with value, threshold and result."""
+def gates(summary: DataFrame, minimum: Mapping[str, float], exact: Mapping[str, float] | None = None,
+          maximum: Mapping[str, float] | None = None) -> DataFrame:
+    """One row per gate with value, threshold and result; a missing value does not pass."""
     entries = [(n, F.col(n).cast("double") >= F.lit(float(v)), float(v)) for n, v in minimum.items()]
     entries += [(n, F.col(n).cast("double") == F.lit(float(v)), float(v)) for n, v in (exact or {}).items()]
+    entries += [(n, F.col(n).cast("double") <= F.lit(float(v)), float(v)) for n, v in (maximum or {}).items()]
     gate = F.explode(F.array(*[
         F.struct(F.lit(name).alias("gate"), F.round(F.col(name).cast("double"), 6).alias("value"),
                  F.lit(limit).alias("threshold"), F.coalesce(passed, F.lit(False)).alias("passed"))

@@ -19,11 +19,31 @@ def with_boxes(df: DataFrame, fn: BatchFn, schema: str) -> DataFrame:
 
 
 def gated(df: DataFrame, gate: DataFrame, keys: list[str], flag: str, fn: BatchFn, schema: str) -> DataFrame:
-    """Run the function only on rows that passed the gate; all others give one empty row each."""
+    """Run the function only on rows that passed the gate; all others give one empty row each. One pass over the rows."""
     flags = df.join(gate.select(*keys, F.coalesce(F.col(flag), F.lit(False)).alias("_ok")), keys, "left")
-    passed = with_boxes(flags.filter("_ok").drop("_ok"), fn, schema)
-    rest = flags.filter(~F.coalesce("_ok", F.lit(False))).select(*keys)
-    return passed.unionByName(rest, allowMissingColumns=True)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        stopped: list[pd.DataFrame] = []
+
+        def passed() -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                ok = batch["_ok"].fillna(False).astype(bool)
+                stopped.append(batch.loc[~ok, keys])
+                yield batch.loc[ok].drop(columns="_ok").reset_index(drop=True)
+
+        def empty(left: pd.DataFrame) -> pd.DataFrame:
+            rows = left.reindex(columns=names).astype(object)
+            return rows.where(rows.notna(), None)
+
+        for found in fn(passed()):
+            yield found
+            while stopped:
+                yield empty(stopped.pop())
+        for left in stopped:
+            yield empty(left)
+
+    names = [f.name for f in df.sparkSession.createDataFrame([], schema).schema]
+    return flags.mapInPandas(run, schema)
 
 
 def with_masks(images: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], image: list[str],

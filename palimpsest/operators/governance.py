@@ -10,7 +10,7 @@ from palimpsest.operators.identity import mark_duplicates
 from palimpsest.operators.prefix import numbered
 
 
-def sorted_distinct(df: DataFrame, keys: list[str], value: str, chunk: Column) -> DataFrame:
+def sorted_distinct(df: DataFrame, keys: list[str], value: str, chunk: Column | None = None) -> DataFrame:
     """The sorted distinct values per key as numbered rows (1 is the smallest)."""
     rows = numbered(df.select(*keys, value).distinct(), keys, [F.col(value)], chunk, "position")
     return rows.withColumn("position", (F.col("position") + 1).cast("bigint"))
@@ -102,9 +102,8 @@ def reading_order(artifacts: DataFrame) -> DataFrame:
     """Position of each artifact by role (output, source, result) and page."""
     rank = F.array_position(F.array(F.lit("output"), F.lit("source_preview"), F.lit("result_preview")), F.col("role"))
     page = F.coalesce("page_number", F.lit(0))
-    chunk = rank * 1_000_000 + F.floor(page / 1024)
     ordered = numbered(artifacts.withColumns({"_rank": rank, "_page": page}), ["task_id"],
-                       [F.col("_rank"), F.col("_page"), F.col("path")], chunk, "position")
+                       [F.col("_rank"), F.col("_page"), F.col("path")], None, "position")
     return ordered.drop("_rank", "_page").withColumn("position", F.col("position").cast("bigint"))
 
 
@@ -160,8 +159,3 @@ def page_text_status(pages: DataFrame) -> DataFrame:
         "unsearchable_reason": F.when(lost, "text_layer_insert_failed").when(own | read, F.lit(None).cast("string"))
         .when(tried & (F.col("ocr_attempt") == "failed"), "ocr_failed").when(tried, "ocr_no_text")
         .when(~F.col("ocr_enabled"), "ocr_disabled").otherwise("ocr_unavailable")})
-
-
-def pages_by_status(pages: DataFrame, keys: list[str]) -> DataFrame:
-    """Number of pages per text source."""
-    return pages.groupBy(*keys, "text_source").agg(F.count(F.lit(1)).alias("n_pages"))

@@ -1,20 +1,19 @@
 """Page metadata: tags, declared media with sizes, de-duplication and structure status.
 
-Everything here is grouped by page. A page is one input row under a byte cap (see
-sources/pages.py), and a tag takes at least three bytes, so a page's tags are a
-bounded group and plain windows are safe. All steps share the one shuffle by page.
+Everything about a page comes from its one row, so all steps fold arrays inside the row: nothing is
+shuffled, and no page meets another. Folds sort or scan once, whatever the number of tags.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions import html as markup
 from palimpsest.functions.ids import digest_id
 from palimpsest.functions.measures import declared_dimension
 from palimpsest.functions.text import codes
-from palimpsest.functions.urls import media_url, url_join
+from palimpsest.functions.urls import let, media_url, parsed_link, url_join
 
 # The tag names that declare a picture, its width and its height.
 MEDIA_KEYS = ("og:image", "og:image:url", "og:image:secure_url", "twitter:image")
@@ -28,88 +27,122 @@ def tags(pages: DataFrame, keep: list[str], html: str) -> DataFrame:
     return pages.select(*keep, F.posexplode(markup.start_tags(F.col(html))).alias("pos", "tag"))
 
 
-def meta_tags(tag_rows: DataFrame, keep: list[str]) -> DataFrame:
-    """Meta tags with key and content."""
-    content = F.trim(F.coalesce(markup.attribute(F.col("tag"), "content"), F.lit("")))
-    return (tag_rows.select(*keep, "pos", markup.meta_key(F.col("tag")).alias("key"), content.alias("content"))
-            .filter("key <> '' AND content <> ''"))
+def sorted_heads(rows: Column, key: str) -> Column:
+    """(first, size) of every run of equal keys in an array sorted by key."""
+    starts = F.filter(F.transform(rows, lambda r, i: F.when((i == 0) | ~r[key].eqNullSafe(F.get(rows, i - 1)[key]), i)), lambda i: i.isNotNull())
+    return let(starts, lambda at: F.transform(at, lambda i, k: F.struct(i.alias("first"), (F.coalesce(F.get(at, k + 1), F.size(rows)) - i).alias("size"))))
 
 
-def classify(meta: DataFrame) -> DataFrame:
-    """Add the role of a tag: media, width, height or other."""
-    key = F.col("key")
-    return meta.withColumn("role", F.when(key.isin(*MEDIA_KEYS), "media").when(key.isin(*WIDTH_KEYS), "width")
-                           .when(key.isin(*HEIGHT_KEYS), "height").otherwise("other"))
+def first_per_key(entries: Column) -> Column:
+    """The first entry (key, pos, content) of each key in document order."""
+    return let(F.array_sort(entries), lambda rows: let(sorted_heads(rows, "key"), lambda heads: F.transform(heads, lambda h: F.get(rows, h["first"]))))
 
 
-def first_meta(rows: DataFrame, keys: list[str], pos: str = "pos", content: str = "content") -> DataFrame:
-    """First value per key in document order."""
-    return rows.groupBy(*keys).agg(F.min(F.struct(pos, content)).alias("_f")).select(*keys, f"_f.{pos}", f"_f.{content}")
+def meta_items(tags: Column) -> Column:
+    """(pos, role, content) of the meta tags among start tags: media, width, height or other."""
+    key = lambda m: m["key"]
+    pairs = F.transform(tags, lambda t, i: F.struct(
+        i.cast("bigint").alias("pos"), F.coalesce(markup.meta_key(t), F.lit("")).alias("key"),
+        F.trim(F.coalesce(markup.attribute(t, "content"), F.lit(""))).alias("content")))
+    return F.transform(F.filter(pairs, lambda m: (m["key"] != "") & (m["content"] != "")), lambda m: F.struct(
+        m["pos"].alias("pos"), F.when(key(m).isin(*MEDIA_KEYS), "media").when(key(m).isin(*WIDTH_KEYS), "width")
+        .when(key(m).isin(*HEIGHT_KEYS), "height").otherwise("other").alias("role"), m["content"].alias("content")))
 
 
-def attach_dims(rows: DataFrame, page: list[str]) -> DataFrame:
+def attached(items: Column) -> Column:
     """Media declarations with the first valid width and height that follow them before the next one.
 
-    `rows` have role, pos and content. Sizes before any picture belong to none.
+    Items have pos, role and content in document order. Sizes before any picture belong to none.
     """
-    is_media = F.col("role") == "media"
-    upto = Window.partitionBy(*page).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    counted = rows.filter(F.col("role") != "other").withColumn("_group", F.count_if(is_media).over(upto))
-    size = declared_dimension(F.col("content"))
+    def side(found: Column, name: str) -> Column:
+        return F.get(F.filter(found, lambda v: (v["role"] == name) & v["v"].isNotNull()), F.lit(0))["v"].alias(name)
 
-    def first(role: str) -> Column:
-        return F.min(F.when((F.col("role") == role) & size.isNotNull(), F.struct("pos", size.alias("v"))))["v"]
+    def one(sized: Column, starts: Column) -> Column:
+        def media(at: Column, k: Column) -> Column:
+            end = F.coalesce(F.get(starts, k + 1), F.size(sized))
+            rest = F.transform(F.slice(sized, at + 2, end - at - 1), lambda v: F.struct(v["role"].alias("role"), declared_dimension(v["content"]).alias("v")))
+            return let(rest, lambda found: F.struct(
+                F.get(sized, at)["pos"].alias("pos"), F.get(sized, at)["content"].alias("url"), side(found, "width"), side(found, "height"),
+                F.size(F.filter(found, lambda v: v["v"].isNull())).cast("bigint").alias("invalid_dims")))
 
-    return (counted.filter("_group > 0").groupBy(*page, "_group").agg(
-        F.min(F.when(is_media, F.col("pos"))).alias("pos"), F.max(F.when(is_media, F.col("content"))).alias("url"),
-        first("width").alias("width"), first("height").alias("height"),
-        F.count_if(~is_media & size.isNull()).alias("invalid_dims")).drop("_group"))
+        return F.transform(starts, media)
 
+    def begun(sized: Column) -> Column:
+        starts = F.filter(F.transform(sized, lambda v, i: F.when(v["role"] == "media", i)), lambda i: i.isNotNull())
+        return let(starts, lambda at: one(sized, at))
 
-def dedupe_fill(rows: DataFrame, keys: list[str], pos: str, fill: list[str]) -> DataFrame:
-    """One row per key at its first position; missing values come from the earliest later duplicate."""
-    return rows.groupBy(*keys).agg(
-        F.min(pos).alias(pos), F.count(F.lit(1)).alias("n_declared"),
-        *[F.min(F.when(F.col(c).isNotNull(), F.struct(pos, c)))[c].alias(c) for c in fill])
+    return let(F.filter(items, lambda v: v["role"] != "other"), begun)
 
 
-def positions(media: DataFrame, page: list[str], pos: str = "pos") -> DataFrame:
-    """Position from 1 and role of each medium: the first is the cover."""
-    place = F.row_number().over(Window.partitionBy(*page).orderBy(pos)).cast("bigint")
-    return media.withColumn("position", place).withColumn("role", media_role(F.col("position")))
+def usable_media(declared: Column, base: Column, media_host: str) -> Column:
+    """Declarations whose address, resolved against the page, is accepted; `url` becomes its https form."""
+    resolved = F.transform(declared, lambda m: m.withField("url", media_url(url_join(base, m["url"]), media_host)))
+    return F.filter(resolved, lambda m: m["url"].isNotNull())
+
+
+def dedupe_fill(media: Column) -> Column:
+    """(pos, url, n_declared, width, height): one entry per address at its first position, in document order; missing
+    sizes come from the earliest later duplicate."""
+    by_url = F.array_sort(F.transform(media, lambda m: F.struct(*[m[c].alias(c) for c in ("url", "pos", "width", "height")])))
+
+    def first(rows: Column, h: Column, side: str) -> Column:
+        return F.get(F.filter(F.slice(rows, h["first"] + 1, h["size"]), lambda m: m[side].isNotNull()), F.lit(0))[side].alias(side)
+
+    def folded(rows: Column) -> Column:
+        return let(sorted_heads(rows, "url"), lambda heads: F.array_sort(F.transform(heads, lambda h: F.struct(
+            F.get(rows, h["first"])["pos"].alias("pos"), F.get(rows, h["first"])["url"].alias("url"), h["size"].cast("bigint").alias("n_declared"),
+            first(rows, h, "width"), first(rows, h, "height")))))
+
+    return let(by_url, folded)
+
+
+def positions(media: Column) -> Column:
+    """Media with their position from 1, their role (the first is the cover) and their identifier."""
+    return F.transform(media, lambda m, i: m.withField("position", (i + 1).cast("bigint")).withField("role", media_role(i + 1))
+                       .withField("candidate_id", digest_id("image-", 20, m["url"])))
 
 
 def media_role(position: Column) -> Column:
     return F.when(position == 1, "cover").otherwise("gallery")
 
 
-def top_media(declared: DataFrame, page: list[str], url: str = "url", fill: tuple[str, ...] = ("width", "height"),
-              n: int = MAX_MEDIA) -> DataFrame:
-    """The first n different media per page, filled from duplicates declared before the n-th one.
+def top_media(media: Column, n: int = MAX_MEDIA) -> Column:
+    """The first n different media, filled from duplicates declared before the n-th one, with positions.
 
     Reading stops at the n-th different address, so later declarations neither fill
     nor count. `overflow` tells that the limit was reached.
     """
-    whole = Window.partitionBy(*page)
-    first = declared.withColumn("_first", F.min("pos").over(Window.partitionBy(*page, url)))
-    ranked = first.withColumn("position", F.dense_rank().over(whole.orderBy("_first")).cast("bigint"))
-    stop = F.max(F.when(F.col("position") == n, F.col("_first"))).over(whole)
-    seen = ranked.withColumn("_stop", stop).filter(F.col("_stop").isNull() | (F.col("pos") <= F.col("_stop")))
-    keys = [*page, url, "position", "overflow"]
-    unique = dedupe_fill(seen.withColumn("overflow", F.col("_stop").isNotNull()), keys, "pos", list(fill))
-    return unique.withColumn("role", media_role(F.col("position")))
+    def cut(stop: Column) -> Column:
+        seen = F.filter(media, lambda m: stop.isNull() | (m["pos"] <= stop))
+        return F.transform(positions(dedupe_fill(seen)), lambda m: m.withField("overflow", stop.isNotNull()))
 
+    return let(F.get(dedupe_fill(media), F.lit(n - 1))["pos"], cut)
 
-def usable_media(declared: DataFrame, base: str, media_host: str) -> DataFrame:
-    """Declarations whose address, resolved against the page, is accepted; `url` becomes its https form."""
-    address = media_url(url_join(F.col(base), F.col("url")), media_host)
-    return declared.withColumn("url", address).filter("url IS NOT NULL")
 
+def page_metadata(pages: DataFrame, keep: list[str], url: str, html: str, hosts: list[str], short_hosts: list[str], home: str) -> DataFrame:
+    """Title, description, author, canonical address and note id of every page, folded inside its row.
 
-def media_candidates(declared: DataFrame, page: list[str], base: str, media_host: str, n: int = MAX_MEDIA) -> DataFrame:
-    """Accepted media per page with identifier, position and role."""
-    found = top_media(usable_media(declared, base, media_host), page, n=n)
-    return found.withColumn("candidate_id", digest_id("image-", 20, F.col("url")))
+    og:url goes before the canonical link, og:title before the title element, og:description before the description. A
+    canonical address counts if it leads directly to a note; `canonical_ignored` tells of one that breaks a rule.
+    """
+    rows = pages.select(*keep, F.col(url).alias("_url"), F.col(html).alias("_html"), markup.start_tags(F.col(html)).alias("_tags"))
+    rows = rows.withColumn("_metas", markup.metas(F.col("_tags")))
+
+    def first(*keys: str) -> Column:
+        return F.coalesce(*[markup.first_of(F.col("_metas"), k) for k in keys])
+
+    declared = F.coalesce(first("og:url"), markup.canonical_link(F.col("_tags")))
+    rows = rows.withColumn("_declared", F.nullif(declared, F.lit("")))
+    rows = rows.withColumns({"_page": parsed_link(F.col("_url"), hosts, short_hosts, home),
+                             "_canonical": parsed_link(url_join(F.col("_url"), F.col("_declared")), hosts, short_hosts, home)})
+    use = F.col("_declared").isNotNull() & F.coalesce(F.col("_canonical.kind") == "direct", F.lit(False))
+    direct = F.col("_page.kind") == "direct"
+    return rows.select(
+        *keep, F.coalesce(first("og:title"), markup.title(F.col("_html"))).alias("title"), first("og:description", "description").alias("description"),
+        first("author", "article:author").alias("author"),
+        F.when(use, F.col("_canonical.normalized")).when(direct, F.col("_page.normalized")).alias("canonical_url"),
+        F.when(use, F.col("_canonical.note_id")).when(direct, F.col("_page.note_id")).alias("note_id"),
+        (F.col("_declared").isNotNull() & (F.col("_canonical.status") != "OK")).alias("canonical_ignored"))
 
 
 def structure(known: Column, declared: Column, usable: Column, incomplete: Column, invalid: Column, duplicates: Column) -> tuple[Column, Column]:
@@ -126,14 +159,15 @@ def structure(known: Column, declared: Column, usable: Column, incomplete: Colum
                          (unsized, "DIMENSIONS_MISSING"), (invalid > 0, "DIMENSIONS_INVALID"), (duplicates > 0, "DUPLICATES_COLLAPSED"))
 
 
-def page_status(pages: DataFrame, declared: DataFrame, candidates: DataFrame, page: list[str], known: Column) -> DataFrame:
-    """Structure status of every page; `known` tells that the page has any text metadata."""
-    d = declared.groupBy(*page).agg(F.count(F.lit(1)).alias("_declared"), F.sum("invalid_dims").alias("_invalid"))
-    c = candidates.groupBy(*page).agg(
-        F.count(F.lit(1)).alias("candidate_count"), F.sum(F.col("n_declared") - 1).alias("_duplicates"),
-        F.count_if(F.col("width").isNull() | F.col("height").isNull()).alias("_incomplete"))
-    counts = ["_declared", "_invalid", "candidate_count", "_duplicates", "_incomplete"]
-    rows = pages.join(d, page, "left").join(c, page, "left").fillna(0, counts)
+def page_status(pages: DataFrame, keep: list[str], declared: str, media: str, known: Column) -> DataFrame:
+    """Structure status of every page from its declared and its different usable media (array columns);
+    `known` tells that the page has any text metadata."""
+    def total(array: str, value) -> Column:
+        return F.aggregate(F.transform(array, lambda m: value(m).cast("bigint")), F.lit(0).cast("bigint"), lambda acc, v: acc + v)
+
+    rows = pages.withColumns({"_declared": F.size(declared), "candidate_count": F.size(media).cast("bigint"), "_invalid": total(declared, lambda m: m["invalid_dims"]),
+                              "_duplicates": total(media, lambda m: m["n_declared"] - 1),
+                              "_incomplete": F.size(F.filter(media, lambda m: m["width"].isNull() | m["height"].isNull()))})
     status, found = structure(known | (F.col("_declared") > 0), F.col("_declared"), F.col("candidate_count"),
                               F.col("_incomplete"), F.col("_invalid"), F.col("_duplicates"))
-    return rows.select(*page, "candidate_count", status.alias("status"), found.alias("diagnostic_codes"))
+    return rows.select(*keep, "candidate_count", status.alias("status"), found.alias("diagnostic_codes"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions.boxes import Box, area_ratio, containment, iou, overlaps
 from palimpsest.operators.overlap import BOX, CELL, iou_pairs, shapes_meeting
 from palimpsest.operators.prefix import numbered
+from palimpsest.operators.skew import SALTS, spread
 from palimpsest.session import cut_lineage
 
 # Default thresholds of matching and confirmation.
@@ -93,9 +94,8 @@ def match_in_turns(pred: DataFrame, truth: DataFrame, sample: list[str], confide
     """
     left, rest, done = cut_lineage(truth), pred, None
     while True:
-        before = F.floor(-F.col(confidence) * 1024)
         rest = cut_lineage(numbered(matchable(rest, left, sample, threshold, cell), sample,
-                                    [F.desc(confidence), F.col(pred_id)], before, "_turn"))
+                                    [F.desc(confidence), F.col(pred_id)], None, "_turn"))
         if rest.isEmpty():
             break
         now = rest.filter(F.col("_turn") < turn).drop("_turn")
@@ -124,18 +124,19 @@ def fold_small(edges: DataFrame, sample: list[str]) -> DataFrame:
             .select(*sample, "_m.p", "_m.t"))
 
 
-def propose(edges: DataFrame, sample: list[str], max_rounds: int = 10_000) -> DataFrame:
+def propose(edges: DataFrame, sample: list[str]) -> DataFrame:
     """Rounds of proposals over all pairs at once.
 
     Every prediction asks its best remaining box; a box keeps the earliest
     prediction that asked and strikes out all later ones for good. When a round
     strikes nothing, the standing proposals are the greedy matching, because all
     boxes rank the predictions in the same order. Each round is two
-    combinable aggregations and a join, written once.
+    combinable aggregations and a join, written once; every round but the last strikes a
+    pair, so the rounds end by themselves.
     """
     left = cut_lineage(edges)
     size = left.count()
-    for _ in range(max_rounds):
+    while True:
         asked = left.groupBy(*sample, "p").agg(F.min("t").alias("t"))
         held = asked.groupBy(*sample, F.col("t.id").alias("_tid")).agg(F.min("p").alias("_holder"))
         kept = cut_lineage(
@@ -146,7 +147,6 @@ def propose(edges: DataFrame, sample: list[str], max_rounds: int = 10_000) -> Da
         if remaining == size:
             return asked
         left, size = kept, remaining
-    raise RuntimeError("MATCHING_DID_NOT_SETTLE")
 
 
 def sample_scores(corpus: DataFrame, pred: DataFrame, truth: DataFrame, matches: DataFrame, sample: list[str]) -> DataFrame:
@@ -176,8 +176,9 @@ def best_match(cands: DataFrame, dets: DataFrame, sample: list[str]) -> DataFram
     best = {"best_iou": iou(c, d), "best_detection_containment": containment(d, c),
             "best_detection_area_ratio": area_ratio(d, c)}
     strong = (best["best_detection_containment"] >= CONTAINMENT) & (best["best_detection_area_ratio"] >= AREA_RATIO)
-    # An inner join first: a sample with very many detections can then be split on that side.
-    found = cands.join(shapes, sample).groupBy(*sample).agg(
+    # The salts of a crowded sample spread its detections; what they find is combined before the next shuffle.
+    mine, theirs = spread(cands, shapes, sample)
+    found = mine.join(theirs, [*sample, *SALTS]).groupBy(*sample).agg(
         *[F.max(v).alias(k) for k, v in best.items()], F.bool_or(strong).alias("contained"))
     return cands.join(found, sample, "left").fillna(0.0, list(best)).fillna(False, ["contained"])
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.functions.html import decode
 from palimpsest.functions.ids import digest_id
 from palimpsest.functions.paths import part_path, unsafe
-from palimpsest.functions.text import collapse, evidence
+from palimpsest.functions.text import evidence, fold
 from palimpsest.operators.prefix import running
 
 # Header and footer part names, the shape type of built-in marks, image relationships.
@@ -22,11 +23,11 @@ def select_parts(parts: DataFrame, name: str = "part_name") -> DataFrame:
     return parts.filter(F.col(name).rlike(HEADER_PARTS))
 
 
-def package_status(entries: DataFrame, asset: str, order: list[str], chunk: Column, max_entries: int = MAX_ENTRIES,
+def package_status(entries: DataFrame, asset: str, order: list[str], chunk: Column | None = None, max_entries: int = MAX_ENTRIES,
                    max_bytes: int = MAX_BYTES) -> DataFrame:
     """First limit each package breaks: entry count, then entry by entry encryption, path and total size.
 
-    Entries have part_name, size_bytes and encrypted; `chunk` must not decrease along `order`.
+    Entries have part_name, size_bytes and encrypted; a `chunk` rule, if given, must not decrease along `order`.
     """
     run = running(entries, [asset], [F.col(c) for c in order], chunk, {"_total": ("sum", F.col("size_bytes"))})
     bad = (F.when(F.col("encrypted"), "PASSWORD_REQUIRED").when(unsafe(F.col("part_name")), "INVALID_DOCX")
@@ -65,9 +66,9 @@ def each(xml: Column, tag: str) -> Column:
 
 
 def attr(element: Column, name: str, tag: str = r"[\w:]+") -> Column:
-    """First value of an attribute by local name on a start tag; null where missing."""
+    """First value of an attribute by local name on a start tag, entities decoded; null where missing."""
     form = rf"""<(?:\w+:)?{tag}\b[^>]*?\s(?:\w+:)?{name}\s*=\s*(?:"([^"]*)"|'([^']*)')"""
-    return F.when(element.rlike(form), F.concat(F.regexp_extract(element, form, 1), F.regexp_extract(element, form, 2)))
+    return F.when(element.rlike(form), decode(F.concat(F.regexp_extract(element, form, 1), F.regexp_extract(element, form, 2))))
 
 
 def shape_candidates(parts: DataFrame, asset: str, target: str | None = None) -> DataFrame:
@@ -79,7 +80,7 @@ def shape_candidates(parts: DataFrame, asset: str, target: str | None = None) ->
         asset, "part_name", "shape_index", content.alias("content"), attr(F.col("_s"), "type", "shape").alias("shape_type"),
         attr(F.col("_s"), "style", "shape").alias("style"))
     known = F.coalesce(F.col("shape_type") == MARK_SHAPE, F.lit(False))
-    same = F.coalesce(F.lower("content") == F.lower(F.trim(F.lit(target or ""))), F.lit(False)) if target else F.lit(False)
+    same = F.coalesce(fold(F.col("content")) == fold(F.trim(F.lit(target or ""))), F.lit(False)) if target else F.lit(False)
     return rows.withColumns({
         "classification": F.when(known & same, "confirmed").otherwise("ambiguous"),
         "evidence": evidence((F.lit(True), "HEADER_TEXT_SHAPE"), (known, "BUILT_IN_MARK_SHAPE"), (same, "EXACT_TARGET_TEXT")),
@@ -99,7 +100,7 @@ def drawing_candidates(parts: DataFrame, rels: DataFrame, media: DataFrame, asse
     d = F.col("_d")
     labels = F.array_distinct(F.array_compact(F.flatten(F.transform(
         F.regexp_extract_all(d, F.lit(r"<(?:\w+:)?(?:docPr|cNvPr)\b[^>]*>"), F.lit(0)),
-        lambda e: F.array(*[F.nullif(collapse(F.coalesce(attr(e, k), F.lit(""))), F.lit("")) for k in ("title", "descr", "name")])))))
+        lambda e: F.array(*[F.nullif(F.trim(F.coalesce(attr(e, k), F.lit(""))), F.lit("")) for k in ("title", "descr", "name")])))))
     label = F.coalesce(F.nullif(F.array_join(F.slice(labels, 1, 3), " · "), F.lit("")), F.lit("EMBEDDED_IMAGE"))
     named = rows.select(asset, "owner", "drawing_index", attr(d, "embed", "blip").alias("rel_id"), label.alias("content"),
                         d.rlike(r"^<(?:\w+:)?anchor\b").alias("_anchor"),
@@ -108,7 +109,7 @@ def drawing_candidates(parts: DataFrame, rels: DataFrame, media: DataFrame, asse
     joined = named.join(usable, [asset, "owner", "rel_id"]).join(
         media.select(asset, F.col("part_name").alias("media_part"), "sha256", "media_type"), [asset, "media_part"], "left")
     behind = F.col("_anchor") & F.coalesce(F.col("_behind"), F.lit(False))
-    hit = F.contains(F.lower("content"), F.lower(F.trim(F.lit(target)))) if target and target.strip() else F.lit(False)
+    hit = F.contains(fold(F.col("content")), fold(F.trim(F.lit(target)))) if target and target.strip() else F.lit(False)
     shown = F.col("media_type").isNotNull()
     return joined.select(
         digest_id("docx-", 20, F.col(asset), F.col("owner"), F.lit("drawing"), F.col("drawing_index"), F.col("rel_id"), F.col("sha256")).alias("candidate_id"),

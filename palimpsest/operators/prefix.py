@@ -13,6 +13,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.session import cut_lineage
+
 CHUNK = 65_536
 
 
@@ -25,18 +27,25 @@ def running(
     df: DataFrame,
     keys: list[str],
     order: list[Column],
-    chunk: Column,
+    chunk: Column | None,
     values: Mapping[str, tuple[str, Column]],
     inclusive: bool = True,
 ) -> DataFrame:
     """Add running aggregates per key.
 
+    Without a chunk rule the rows are range-partitioned by key and order, from a sample, and written
+    once; a partition is a chunk then. That follows any distribution but equal order values.
+
     `values` maps an output name to ("sum" | "max" | "min", expression). `chunk`
     must not decrease along `order`. Without rows before it, a sum is 0 and a
     max or min is null when the current row is excluded.
     """
     merge = {"sum": F.sum, "max": F.max, "min": F.min}
-    source = df.withColumn("_chunk", chunk)
+    if chunk is None:
+        ranged = df.repartitionByRange(*[F.col(k) for k in keys], *order)
+        source = cut_lineage(ranged.withColumn("_chunk", F.spark_partition_id()))
+    else:
+        source = df.withColumn("_chunk", chunk)
     inside = (Window.partitionBy(*keys, "_chunk").orderBy(*order)
               .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
     local = source.select(
@@ -64,6 +73,6 @@ def running(
     return joined.select(*df.columns, *combined)
 
 
-def numbered(df: DataFrame, keys: list[str], order: list[Column], chunk: Column, name: str) -> DataFrame:
+def numbered(df: DataFrame, keys: list[str], order: list[Column], chunk: Column | None, name: str) -> DataFrame:
     """Zero-based row number per key."""
     return running(df, keys, order, chunk, {name: ("sum", F.lit(1))}, inclusive=False)

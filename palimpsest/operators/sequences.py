@@ -91,17 +91,30 @@ def nonoverlapping(matches: DataFrame, page: list[str], longest: int, pos: str =
             F.greatest(s["free"] - end, F.lit(0)).cast("int").alias("reach"), s["n"].alias("n")))
 
     maps = F.transform(F.sequence(F.lit(0), F.lit(longest - 1)), folded)
-    chained = grouped.select(*page, "_chunk", maps.alias("_maps")).groupBy(*page).agg(
-        F.sort_array(F.collect_list(F.struct("_chunk", "_maps"))).alias("_c"))
+    tables = grouped.select(*page, F.col("_chunk").alias("_first"), F.col("_chunk").alias("_last"), maps.alias("_maps"))
+    for level in range(1, LEVELS + 1):
+        # tables of neighbouring chunks are put together in rows of at most FAN, level by level
+        group = F.floor(F.col("_first") / FAN**level) if level < LEVELS else F.lit(0)
+        tables = tables.groupBy(*page, group.alias("_group")).agg(
+            F.sort_array(F.collect_list(F.struct("_first", "_last", "_maps"))).alias("_c")).select(*page, composed().alias("_t")).select(*page, "_t.*")
+    return tables.select(*page, F.get("_maps", F.lit(0))["n"].alias("n_matches"))
 
-    def chain(state: Column, c: Column) -> Column:
-        reach = F.when(c["_chunk"] == state["last"] + 1, state["reach"]).otherwise(0)
-        result = F.get(c["_maps"], reach)
-        return F.struct(c["_chunk"].alias("last"), result["reach"].alias("reach"), (state["n"] + result["n"]).alias("n"))
 
-    first = F.struct(F.lit(-2).cast("bigint").alias("last"), F.lit(0).alias("reach"), F.lit(0).cast("bigint").alias("n"))
-    typed = lambda s, c: chain(s, c).cast("struct<last:bigint,reach:int,n:bigint>")
-    return chained.select(*page, F.aggregate("_c", first, typed, lambda s: s["n"]).alias("n_matches"))
+FAN, LEVELS = 256, 4
+
+
+def composed() -> Column:
+    """The tables `_c` of consecutive spans as one: what leaves a span enters the next if that begins right after it."""
+    one = "struct<_first:bigint,_last:bigint,_maps:array<struct<reach:int,n:bigint>>>"
+
+    def both(left: Column, right: Column) -> Column:
+        def through(m: Column) -> Column:
+            result = F.get(right["_maps"], F.when(right["_first"] == left["_last"] + 1, m["reach"]).otherwise(0))
+            return F.struct(result["reach"].alias("reach"), (m["n"] + result["n"]).alias("n"))
+
+        return F.struct(left["_first"].alias("_first"), right["_last"].alias("_last"), F.transform(left["_maps"], through).alias("_maps")).cast(one)
+
+    return F.aggregate(F.slice("_c", 2, 1 << 30), F.get("_c", F.lit(0)).cast(one), both)
 
 
 def resolve_patterns(hits: DataFrame, resources: DataFrame, page: list[str], name: str = "name") -> DataFrame:

@@ -30,10 +30,21 @@ TEXT_ASPECT, TEXT_DELTA = 5.0, 20
 
 
 class Grid:
-    """Index arithmetic on a width x height array; edges mirror without repeating the edge pixel."""
+    """Index arithmetic on a width x height array; edges mirror without repeating the edge pixel.
 
-    def __init__(self, width: int, height: int) -> None:
-        self.width, self.height = width, height
+    Width and height are numbers or the names of columns, so that one table may hold pictures of any sizes.
+    """
+
+    def __init__(self, width: int | str, height: int | str) -> None:
+        self._sides = (width, height)
+
+    @property
+    def width(self) -> Column:
+        return F.col(self._sides[0]) if isinstance(self._sides[0], str) else F.lit(self._sides[0])
+
+    @property
+    def height(self) -> Column:
+        return F.col(self._sides[1]) if isinstance(self._sides[1], str) else F.lit(self._sides[1])
 
     @property
     def positions(self) -> Column:
@@ -45,11 +56,18 @@ class Grid:
     def y(self, pos: Column) -> Column:
         return F.floor(pos / self.width).cast("int")
 
+    def cut(self, low: Column, high: Column, size: Column) -> tuple[Column, Column]:
+        """Whole pixels of an interval, inside the picture."""
+        return F.greatest(F.floor(low).cast("int"), F.lit(0)), F.least(F.ceil(high).cast("int"), size)
+
+    def snapped(self, x0: Column, y0: Column, x1: Column, y1: Column) -> tuple[Column, Column, Column, Column]:
+        """Corners of a region on whole pixels: low ones down, high ones up, cut to the picture."""
+        (left, right), (top, bottom) = self.cut(x0, x1, self.width), self.cut(y0, y1, self.height)
+        return left, top, right, bottom
+
     @staticmethod
-    def mirror(i: Column, n: int) -> Column:
-        if n == 1:
-            return F.lit(0)
-        return F.when(i < 0, -i).when(i >= n, 2 * n - 2 - i).otherwise(i)
+    def mirror(i: Column, n: Column) -> Column:
+        return F.when(n == 1, 0).when(i < 0, -i).when(i >= n, n * 2 - 2 - i).otherwise(i)
 
     def at(self, values: Column, pos: Column, dx: int, dy: int) -> Column:
         index = (self.mirror(self.y(pos) + dy, self.height) * self.width + self.mirror(self.x(pos) + dx, self.width))
@@ -90,14 +108,14 @@ class Grid:
 
     def eroded(self, flags: Column, radius: int) -> Column:
         """Flags whose whole square neighbourhood inside the image is set, first along rows, then along columns."""
-        def along(values: Column, step: int, place, size: int) -> Column:
+        def along(values: Column, step: Column, place, size: Column) -> Column:
             def all_set(pos: Column) -> Column:
-                near = F.sequence(F.greatest(place(pos) - radius, F.lit(0)), F.least(place(pos) + radius, F.lit(size - 1)))
+                near = F.sequence(F.greatest(place(pos) - radius, F.lit(0)), F.least(place(pos) + radius, size - 1).cast("int"))
                 return F.forall(near, lambda i: F.get(values, (pos + (i - place(pos)) * step).cast("int")))
 
             return F.transform(self.positions, all_set)
 
-        return along(along(flags, 1, self.x, self.width), self.width, self.y, self.height)
+        return along(along(flags, F.lit(1), self.x, self.width), self.width, self.y, self.height)
 
 
 def unroll(tiles: DataFrame, grid: Grid) -> DataFrame:
@@ -169,54 +187,107 @@ def photo_routes(stats: DataFrame) -> DataFrame:
     return stats.withColumn("matched_routes", routes).withColumn("eligible", F.size("matched_routes") > 0)
 
 
+AREA = Grid("_aw", "_ah")
+
+
+def around(tiles: DataFrame, grid: Grid, gray: str) -> DataFrame:
+    """Each region (columns x0, y0, x1, y1) with the part of its picture that judges it: the region and a padding of
+    two fifths of its longer side, 16 at least. `gray` is cut to it, the corners are whole pixels in it, and _aw and
+    _ah are its size; all pixels are kept, at any size."""
+    x0, y0, x1, y1 = grid.snapped(*[F.col(c) for c in ("x0", "y0", "x1", "y1")])
+    region = tiles.withColumns({"_x0": x0, "_y0": y0, "_x1": x1, "_y1": y1, "_w": grid.width, "_h": grid.height})
+    padding = F.greatest(F.lit(16), F.bround(F.greatest(F.expr("_x1 - _x0"), F.expr("_y1 - _y0")) * 0.4).cast("int"))
+    sides = region.withColumn("_pad", padding).withColumns({
+        "_ax": F.greatest(F.expr("_x0 - _pad"), F.lit(0)), "_ay": F.greatest(F.expr("_y0 - _pad"), F.lit(0)),
+        "_aw": F.least(F.expr("_x1 + _pad"), F.col("_w")), "_ah": F.least(F.expr("_y1 + _pad"), F.col("_h"))})
+    sides = sides.withColumns({"_aw": F.expr("_aw - _ax"), "_ah": F.expr("_ah - _ay")})
+    rows = F.transform(F.sequence(F.lit(0), F.expr("_ah - 1")), lambda y: F.slice(gray, ((F.col("_ay") + y) * F.col("_w") + F.col("_ax") + 1).cast("int"), F.col("_aw")))
+    return sides.withColumns({
+        gray: F.flatten(rows), "x0": F.expr("_x0 - _ax"), "x1": F.expr("_x1 - _ax"), "y0": F.expr("_y0 - _ay"), "y1": F.expr("_y1 - _ay"),
+    }).drop("_x0", "_y0", "_x1", "_y1", "_pad", "_ax", "_ay", "_w", "_h")
+
+
+def ring() -> Column:
+    """Whether a pixel of the area is more than two away from the region."""
+    return ~AREA.inside(F.col("pos"), *[F.col(c) for c in ("x0", "y0", "x1", "y1")], grow=2)
+
+
 def texture_p90(tiles: DataFrame, image: list[str], grid: Grid, gray: str) -> DataFrame:
-    """90th percentile of the smoothed Laplacian over pixels more than two away from the region
-    (columns x0, y0, x1, y1), as a share of 30. Gray values bound the distinct values per image."""
-    smooth = tiles.withColumn("_s", grid.blurred(F.col(gray)))
-    pos = F.col("pos")
-    ring = ~grid.inside(pos, *[F.col(c) for c in ("x0", "y0", "x1", "y1")], grow=2)
-    value = F.when(ring, F.abs(grid.laplacian(F.col("_s"))))
-    return unroll(smooth, grid).groupBy(*image).agg(
-        F.count_if(ring).alias("context_pixels"),
-        F.least(F.coalesce(F.percentile(value, 0.9) / TEXTURE_NORM, F.lit(0.0)), F.lit(1.0)).alias("texture_score"))
+    """Pixels of the context, and the 90th percentile of their smoothed Laplacian as a share of 30 (0 without context).
+
+    The percentile is taken from counts of at most 1,021 whole values per region.
+    """
+    area = around(tiles, grid, gray)
+    smooth = area.select(*image, "_aw", "_ah", "x0", "y0", "x1", "y1", AREA.blurred(F.col(gray)).alias("_s"))
+    value = F.when(ring(), F.abs(AREA.laplacian(F.col("_s"))).cast("int"))
+    counts = unroll(smooth, AREA).select(*image, value.alias("_v")).groupBy(*image, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    context = F.col("_v").isNotNull()
+    return counts.groupBy(*image).agg(
+        F.coalesce(F.sum(F.when(context, F.col("_n"))), F.lit(0)).alias("context_pixels"),
+        F.least(F.coalesce(F.percentile("_v", 0.9, F.col("_n")) / TEXTURE_NORM, F.lit(0.0)), F.lit(1.0)).alias("texture_score"))
 
 
 def edge_density(tiles: DataFrame, image: list[str], grid: Grid, gray: str, magnitude: float) -> DataFrame:
     """Share of context pixels whose gradient reaches a magnitude."""
-    pos = F.col("pos")
-    ring = ~grid.inside(pos, *[F.col(c) for c in ("x0", "y0", "x1", "y1")], grow=2)
+    area = around(tiles, grid, gray).select(*image, "_aw", "_ah", "x0", "y0", "x1", "y1", gray)
     strong = F.col("_size") >= magnitude
-    return with_gradient(unroll(tiles, grid), grid, gray).groupBy(*image).agg(
-        F.coalesce(F.avg(F.when(ring, strong.cast("double"))), F.lit(0.0)).alias("edge_density"))
+    return with_gradient(unroll(area, AREA), AREA, gray).groupBy(*image).agg(
+        F.coalesce(F.avg(F.when(ring(), strong.cast("double"))), F.lit(0.0)).alias("edge_density"))
+
+
+def context_periodicity(tiles: DataFrame, image: list[str], grid: Grid, gray: str) -> DataFrame:
+    """The largest periodicity of the strips around a region: above and below over the whole width of the area, left and
+    right beside it, each averaged along rows and along columns; 0 without context."""
+    area = around(tiles, grid, gray).select(*image, "_aw", "_ah", "x0", "y0", "x1", "y1", gray)
+    x, y = F.col("_x"), F.col("_y")
+    strip = (F.when(y < F.col("y0"), 0).when(y >= F.col("y1"), 1).when(x < F.col("x0"), 2).when(x >= F.col("x1"), 3))
+    lines = F.explode(F.array(F.struct(F.lit(0).alias("along"), x.alias("at")), F.struct(F.lit(1).alias("along"), y.alias("at"))))
+    means = (unroll(area, AREA).select(*image, strip.alias("_strip"), lines.alias("_l"), F.get(gray, F.col("pos")).alias("_v")).where("_strip IS NOT NULL")
+             .groupBy(*image, "_strip", "_l").agg(F.avg("_v").alias("_v")))
+    signals = means.groupBy(*image, "_strip", "_l.along").agg(  # as long as a side of the area
+        F.transform(F.sort_array(F.collect_list(F.struct("_l.at", "_v"))), lambda v: v["_v"]).alias("_signal"))
+    found = periodicity(signals, [*image, "_strip", "along"], "_signal").groupBy(*image).agg(F.max("periodicity").alias("periodicity"))
+    return tiles.select(*image).distinct().join(found, image, "left").fillna(0.0, ["periodicity"])
+
+
+def complexity_level(texture: Column, edges: Column, periodic: Column, structure: Column, context: Column) -> Column:
+    """high, review or low; without context pixels nothing can be told, which is for review."""
+    high = (((periodic >= PERIODIC_MIN) & (texture >= PERIODIC_TEXTURE_MIN)) | (structure >= STRUCTURE_MIN) | (edges >= EDGE_HIGH))
+    return (F.when(context == 0, "review").when(high, "high")
+            .when((texture >= TEXTURE_REVIEW) | (edges >= EDGE_REVIEW), "review").otherwise("low"))
 
 
-def complexity_level(texture: Column, edges: Column, periodic: Column, structure: Column) -> Column:
-    high = (((periodic >= PERIODIC_MIN) & (texture >= PERIODIC_TEXTURE_MIN)) | (structure >= STRUCTURE_MIN) | (edges >= EDGE_HIGH))
-    return (F.when(high, "high").when((texture >= TEXTURE_REVIEW) | (edges >= EDGE_REVIEW), "review").otherwise("low"))
+# The usual integer-weight kernels for the small sizes.
+SMALL_KERNELS = {3: [1.0, 2.0, 1.0], 5: [1.0, 4.0, 6.0, 4.0, 1.0], 7: [1.0, 3.5, 7.0, 9.0, 7.0, 3.5, 1.0]}
 
 
-def smoothing_kernel(length: int) -> list[float]:
-    """Gaussian weights for the trend of a signal of the given length."""
-    size = max(3, (length // 8) | 1)
-    # The usual integer-weight kernels for the small sizes.
-    small = {3: [1, 2, 1], 5: [1, 4, 6, 4, 1], 7: [1, 3.5, 7, 9, 7, 3.5, 1]}
+def smoothing_weights(length: Column) -> Column:
+    """Weights that add up to one for the trend of a signal of the given length: an eighth of it, odd, 3 at least."""
+    size = F.greatest(F.lit(3), F.floor(length / 8).cast("int").bitwiseOR(F.lit(1)))
     sigma = 0.3 * ((size - 1) * 0.5 - 1) + 0.8
-    raw = small.get(size) or [math.exp(-((i - size // 2) ** 2) / (2 * sigma * sigma)) for i in range(size)]
-    return [w / sum(raw) for w in raw]
-
-
-def periodicity(signals: DataFrame, image: list[str], signal: str, length: int) -> DataFrame:
-    """Largest absolute autocorrelation over lags 3..32 after the trend is taken out; 0 below 12 values."""
-    if length < 12:
-        return signals.select(*image, F.lit(0.0).alias("periodicity"))
-    line = Grid(length, 1)
-    trend = lambda pos: line.weighted(F.col(signal), pos, [smoothing_kernel(length)])
-    rest = signals.select(*image, F.transform(
-        line.positions, lambda pos: F.get(F.col(signal), pos) - trend(pos)).alias("_v"))
+    half = F.floor(size / 2)
+    weights = F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.exp(-F.pow(i - half, F.lit(2)) / (2 * sigma * sigma)))
+    for n, small in SMALL_KERNELS.items():
+        weights = F.when(size == n, F.array(*[F.lit(w) for w in small])).otherwise(weights)
+    total = F.aggregate(weights, F.lit(0.0), lambda acc, w: acc + w)
+    return F.transform(weights, lambda w: w / total)
+
+
+def periodicity(signals: DataFrame, image: list[str], signal: str) -> DataFrame:
+    """Largest absolute autocorrelation over lags 3..32, at most half the length, after the trend is taken out; 0 below 12 values."""
+    rows = signals.select(*image, F.col(signal).alias("_s"), F.size(signal).alias("_n"))
+    rows = rows.withColumn("_k", smoothing_weights(F.col("_n"))).withColumn("_half", F.floor(F.size("_k") / 2).cast("int"))
+    line = Grid("_n", 1)
+
+    def trend(pos: Column) -> Column:
+        parts = F.transform("_k", lambda w, i: w * F.get("_s", line.mirror(pos + i - F.col("_half"), F.col("_n")).cast("int")))
+        return F.aggregate(parts, F.lit(0.0), lambda acc, v: acc + v)
+
+    rest = rows.select(*image, "_n", F.transform("_s", lambda v, pos: v - trend(pos)).alias("_v"))
     energy = F.aggregate("_v", F.lit(0.0), lambda acc, v: acc + v * v)
-    pairs = (rest.withColumn("_energy", energy)
-             .withColumn("_lag", F.explode(F.sequence(F.lit(3), F.lit(min(32, length // 2)))))
-             .withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(length - 1) - F.col("_lag")))))
+    lags = F.when(F.col("_n") >= 12, F.sequence(F.lit(3), F.least(F.lit(32), F.floor(F.col("_n") / 2).cast("int"))))
+    pairs = (rest.withColumn("_energy", energy).withColumn("_lag", F.explode_outer(lags))
+             .withColumn("_i", F.explode_outer(F.sequence(F.lit(0), F.col("_n") - 1 - F.col("_lag")))))
     a, b = F.get("_v", F.col("_i")), F.get("_v", F.col("_i") + F.col("_lag"))
     sums = pairs.groupBy(*image, "_lag").agg(
         F.sum(a * b).alias("_ab"), F.sqrt(F.sum(a * a) * F.sum(b * b)).alias("_d"), F.max("_energy").alias("_e"))
@@ -227,6 +298,7 @@ def periodicity(signals: DataFrame, image: list[str], signal: str, length: int)
 def luma_delta(tiles: DataFrame, image: list[str], grid: Grid, gray: str) -> DataFrame:
     """Difference of mean luma inside the region and in its padded surroundings, and the low-contrast flag."""
     pos = F.col("pos")
+    tiles = tiles.withColumns(dict(zip(("x0", "y0", "x1", "y1"), grid.snapped(*[F.col(c) for c in ("x0", "y0", "x1", "y1")]), strict=True)))
     sides = [F.col(c) for c in ("x0", "y0", "x1", "y1")]
     longer = F.greatest(sides[2] - sides[0], sides[3] - sides[1])
     padding = F.greatest(F.lit(16), F.bround(longer * 0.4).cast("int"))
@@ -238,19 +310,32 @@ def luma_delta(tiles: DataFrame, image: list[str], grid: Grid, gray: str) -> Dat
     return means.withColumn("low_contrast", F.col("mean_luma_delta") < LOW_CONTRAST)
 
 
-def reconstruction(tiles: DataFrame, image: list[str], grid: Grid, clean: str, marked: str, repaired: str, mask: str) -> DataFrame:
-    """Errors of a repaired picture against the clean one inside, around and outside the mask."""
+def reconstruction(tiles: DataFrame, image: list[str], grid: Grid, clean: list[str], marked: list[str], repaired: list[str], mask: str) -> DataFrame:
+    """Errors of a repaired picture against the clean one inside, around and outside the mask, averaged over the channels.
+
+    Pictures are one array per channel. A pixel counts as changed if any of its channels is.
+    """
     pos = F.col("pos")
-    c, m, r = [F.get(F.col(name), pos) for name in (clean, marked, repaired)]
+    c, m, r = [[F.get(F.col(name), pos) for name in names] for names in (clean, marked, repaired)]
+
+    def mean(values: list[Column]) -> Column:
+        total = values[0]
+        for v in values[1:]:
+            total = total + v
+        return total / len(values)
+
     inside = F.get(F.col(mask), pos)
     edge = inside & ~F.get("_core", pos)
-    error = F.abs(r - c)
+    error = mean([F.abs(x - y) for x, y in zip(r, c, strict=True)])
+    square = mean([(x - y) * (x - y) for x, y in zip(r, c, strict=True)])
+    before = mean([F.abs(x - y) for x, y in zip(m, c, strict=True)])
+    changed = F.greatest(F.lit(0), *[(x != y).cast("int") for x, y in zip(r, m, strict=True)])
     cored = tiles.withColumn("_core", grid.eroded(F.col(mask), 2))
     sums = unroll(cored, grid).groupBy(*image).agg(
-        F.avg(F.when(inside, F.abs(m - c))).alias("input_masked_mae"), F.avg(F.when(inside, error)).alias("masked_mae"),
-        F.sqrt(F.avg(F.when(inside, error * error))).alias("masked_rmse"), F.avg(F.when(edge, error)).alias("boundary_mae"),
+        F.avg(F.when(inside, before)).alias("input_masked_mae"), F.avg(F.when(inside, error)).alias("masked_mae"),
+        F.sqrt(F.avg(F.when(inside, square))).alias("masked_rmse"), F.avg(F.when(edge, error)).alias("boundary_mae"),
         F.coalesce(F.avg(F.when(~inside, error)), F.lit(0.0)).alias("outside_mae"),
-        F.avg(F.when(inside, (r != m).cast("double"))).alias("changed_mask_ratio"))
+        F.avg(F.when(inside, changed.cast("double"))).alias("changed_mask_ratio"))
     psnr = F.when(F.col("masked_rmse") == 0, 99.0).otherwise(20 * F.log10(F.try_divide(F.lit(255.0), F.col("masked_rmse"))))
     better = F.coalesce(F.try_divide(F.col("input_masked_mae") - F.col("masked_mae"), F.col("input_masked_mae")) * 100, F.lit(0.0))
     shown = [F.round(n, 4).alias(n) for n in ("input_masked_mae", "masked_mae", "masked_rmse", "boundary_mae", "outside_mae", "changed_mask_ratio")]
@@ -281,22 +366,26 @@ def worst_level(df: DataFrame, image: list[str], level: str, order: tuple[str, .
     return df.groupBy(*image).agg(F.max_by(level, rank).alias(level))
 
 
-def text_contrast(tiles: DataFrame, image: list[str], grid: Grid, gray: str) -> DataFrame:
-    """Pixels of long boxes that stand out from the 3x3 mean around them inside the box.
+def text_contrast(tiles: DataFrame, image: list[str], grid: Grid, channels: list[str]) -> DataFrame:
+    """Pixels of long boxes that stand out, in any channel, from the 3x3 mean around them inside the box.
 
     The box mean stands in for a Gaussian blur of radius 1.5.
     """
     pos = F.col("pos")
     x0, y0, x1, y1 = [F.col(c) for c in ("x0", "y0", "x1", "y1")]
     x, y = grid.x(pos), grid.y(pos)
-    total = F.lit(0)
-    for dy in (-1, 0, 1):
-        for dx in (-1, 0, 1):
-            cx = F.least(F.greatest(x + dx, x0), x1 - 1)
-            cy = F.least(F.greatest(y + dy, y0), y1 - 1)
-            total = total + F.get(F.col(gray), (cy * grid.width + cx).cast("int"))
+
+    def delta(channel: str) -> Column:
+        total = F.lit(0)
+        for dy in (-1, 0, 1):
+            for dx in (-1, 0, 1):
+                cx = F.least(F.greatest(x + dx, x0), x1 - 1)
+                cy = F.least(F.greatest(y + dy, y0), y1 - 1)
+                total = total + F.get(F.col(channel), (cy * grid.width + cx).cast("int"))
+        return F.abs(F.get(F.col(channel), pos) - F.floor(total / 9))
+
     long_box = (x1 - x0) / (y1 - y0) >= TEXT_ASPECT
-    hit = long_box & grid.inside(pos, x0, y0, x1, y1) & (F.abs(F.get(F.col(gray), pos) - F.floor(total / 9)) >= TEXT_DELTA)
+    hit = long_box & grid.inside(pos, x0, y0, x1, y1) & (F.greatest(F.lit(0), *[delta(c) for c in channels]) >= TEXT_DELTA)
     return unroll(tiles, grid).groupBy(*image).agg(F.count_if(hit).alias("text_pixels"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.boxes import finite
 from palimpsest.functions.measures import ratio
+from palimpsest.operators.audit import gates
 from palimpsest.operators.prefix import numbered
 from palimpsest.operators.quantile import exact_percentiles
 
@@ -58,6 +59,23 @@ def paired_samples(trials: DataFrame, sample: str = "sample_id") -> DataFrame:
     return flags.filter(" AND ".join(WORKFLOWS)).select(sample)
 
 
+def timing_report(trials: DataFrame, participant: str = "participant_id", sample: str = "sample_id") -> DataFrame:
+    """The gates of the timing audit over valid trials: enough people and paired samples, at most so many failures in
+    any workflow, and the refined median short enough against the manual and the box median."""
+    people = trials.agg(F.count_distinct(participant).alias("participants"))
+    paired = paired_samples(trials, sample).agg(F.count(F.lit(1)).alias("paired_samples"))
+    summary = workflow_summary(trials)
+    worst = summary.agg(F.max("failure_rate").alias("failure_rate"))
+    ratios = median_ratios(summary).toDF("to_manual", "to_box")
+    parts = [df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("k"), F.col(c).cast("double").alias("v")) for c in df.columns])).alias("e"))
+             for df in (people, paired, worst, ratios)]
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    figures = rows.agg(*[F.max(F.when(F.col("e.k") == g, F.col("e.v"))).alias(g) for g in TIMING_GATES])
+    low = {g: TIMING_GATES[g] for g in ("participants", "paired_samples")}
+    high = {g: v for g, v in TIMING_GATES.items() if g not in low}
+    return gates(figures, low, maximum=high)
+
+
 def timing_means(rows: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("count"),
                                    *[F.round(F.avg(v), 6).alias(f"{v}_mean") for v in values])
@@ -78,14 +96,14 @@ def runtime_summary(rows: DataFrame, keys: list[str]) -> DataFrame:
 def assignments(pairs: DataFrame, participant: str, sample: str, seed: str) -> DataFrame:
     """Counter-balanced workflow per participant, sample and block.
 
-    A participant's samples are ordered by a seeded hash; the leading hash digits
+    `participant` is a pseudonym of hex digits (see functions/ids.py), whose first eight are the offset. A participant's samples are ordered by a seeded hash; the leading hash digits
     cut the order into chunks, so one participant may hold any share of the rows.
     """
     mix = F.sha2(F.concat_ws(":", F.lit(seed), F.col(participant).cast("string"), F.col(sample).cast("string")), 256)
     rows = pairs.select(participant, sample).distinct().withColumn("_mix", mix)
     chunk = F.conv(F.substring("_mix", 1, 3), 16, 10).cast("bigint")
     placed = numbered(rows, [participant], [F.col("_mix")], chunk, "_index")
-    offset = F.conv(F.substring(F.sha2(F.col(participant).cast("string"), 256), 1, 8), 16, 10).cast("bigint")
+    offset = F.conv(F.substring(participant, 1, 8), 16, 10).cast("bigint")
     blocks = placed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(len(WORKFLOWS) - 1))))
     turn = (F.col("_index") + F.col("block") + offset) % len(WORKFLOWS)
     name = F.element_at(F.array(*[F.lit(w) for w in WORKFLOWS]), (turn + 1).cast("int"))

@@ -161,7 +161,7 @@ def artifacts(t: Tables) -> DataFrame:
     path = (F.when(F.col("l_returnflag") == "A", F.concat(F.lit("artifacts/"), order, F.lit("/result.pdf")))
             .otherwise(F.concat(F.lit("artifacts/"), order, F.when(F.col("l_returnflag") == "N", "/source/page-").otherwise("/result/page-"), page, F.lit(".png"))))
     media = F.when(F.col("l_returnflag") == "A", "application/pdf").otherwise("image/png")
-    rows = t.wide("lineitem").select(F.col("l_orderkey").alias("task_id"), path.alias("path"), media.alias("media_type"), F.col("l_partkey").alias("size_bytes"))
+    rows = t.lineitem.select(F.col("l_orderkey").alias("task_id"), path.alias("path"), media.alias("media_type"), F.col("l_partkey").alias("size_bytes"))
     role, number = src.artifact_role(F.col("path"), F.col("media_type"))
     return rows.withColumns({"role": role, "page_number": number})
 
@@ -198,7 +198,7 @@ def changed_parts(t: Tables) -> DataFrame:
     line = F.col("l_linenumber").cast("string")
     part = F.when(F.col("l_returnflag") == "A", F.concat(F.lit("word/header"), line, F.lit(".xml"))).otherwise(F.concat(F.lit("page:"), line))
     rows = t.lineitem.select(F.col("l_orderkey").alias("task_id"), part.alias("part"))
-    return gov.sorted_distinct(rows, ["task_id"], "part", F.ascii("part"))
+    return gov.sorted_distinct(rows, ["task_id"], "part")
 
 
 def tasks(t: Tables) -> DataFrame:

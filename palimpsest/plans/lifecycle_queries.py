@@ -95,11 +95,12 @@ def dedupe_assets(t: Tables) -> DataFrame:
     return life.first_copies(t.documents.select("doc_id", F.sha2("text", 256).alias("sha256")), "sha256", ["doc_id"])
 
 
-@query("dedupe_assets_stream", "SELECT DISTINCT sha256(text) AS sha256 FROM documents")
+@query("dedupe_assets_stream", "SELECT DISTINCT sha256(event_type || ':' || user_id) AS sha256 FROM events")
 def dedupe_assets_stream(t: Tables) -> DataFrame:
-    """Distinct digests from the document files read as a stream."""
-    docs = stream_tables.read_folder(t.spark, t.folder, "documents")
-    rows = docs.select(F.sha2("text", 256).alias("sha256"), F.timestamp_seconds(F.lit(946_684_800)).alias("modificationTime"))
+    """Events read as a stream of uploads at their own times; kind and user are the content, which many events share."""
+    events = stream_tables.read_folder(t.spark, t.folder, "events")
+    content = F.concat(F.col("event_type"), F.lit(":"), F.col("user_id").cast("string"))
+    rows = events.select(F.sha2(content, 256).alias("sha256"), F.col("ts").cast("timestamp").alias("modificationTime"))
     return stream_tables.appended(stream_assets.dedupe_assets(rows), "dedupe").select("sha256")
 
 

@@ -37,6 +37,25 @@ def mask_algebra(t: Tables) -> DataFrame:
         "page", F.col("pixels").alias("effective_pixels"), (F.col("y_sum") * 1000 + F.col("x_sum")).alias("position_sum"))
 
 
+@query("mask_polygons", f"""
+WITH {BOXES}, {PIXELS},
+l AS (SELECT page, x0, y0, x1, y1, (x0 + x1) // 2 AS xm, (y0 + y1) // 2 AS ym FROM boxes WHERE line % 2 = 1),
+m AS (SELECT DISTINCT page, x, y FROM l JOIN grid ON x >= x0 AND x <= x1 AND y >= y0 AND y <= y1 AND (y <= ym OR x <= xm)),
+e AS (SELECT * FROM m EXCEPT SELECT DISTINCT page, x, y FROM px WHERE line % 2 = 0)
+SELECT page, count(*) AS effective_pixels FROM e GROUP BY page""")
+def mask_polygons(t: Tables) -> DataFrame:
+    """L-shaped masks in the boxes of odd lines, outline included, without the pixels that even lines protect."""
+    def corner(x: str, y: str):
+        return F.struct(F.expr(x).cast("double").alias("x"), F.expr(y).cast("double").alias("y"))
+
+    xm, ym = "floor((x0 + x1) / 2)", "floor((y0 + y1) / 2)"
+    shape = F.array(*[corner(x, y) for x, y in (("x0", "y0"), ("x1", "y0"), ("x1", ym), (xm, ym), (xm, "y1"), ("x0", "y1"))])
+    polys = boxes(t).filter("line % 2 = 1").select("page", shape.alias("points"))
+    runs = masks.polygon_runs(polys, IMAGE, F.lit(WIDTH), F.lit(HEIGHT), "mask").drop("role")
+    shapes = masks.run_blocks(runs, IMAGE, "mask").unionByName(blocks(boxes(t).filter("line % 2 = 0"), "protect"))
+    return masks.coordinate_sums(masks.effective(shapes, IMAGE), IMAGE).select("page", F.col("pixels").alias("effective_pixels"))
+
+
 @query("mask_clip", f"""
 WITH {BOXES}, {CANDIDATES}, {PIXELS},
 c AS (SELECT page, x, y FROM cands JOIN grid ON x >= x0 AND x < x1 AND y >= y0 AND y < y1)

@@ -24,7 +24,7 @@ def package_limits(t: Tables) -> DataFrame:
     name = F.concat(F.lit("word/"), F.when(F.col("l_discount") == 0.1, "../").otherwise(""), F.col("l_partkey").cast("string"), F.lit(".xml"))
     entries = t.lineitem.select(F.col("l_orderkey").alias("asset"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"),
                                 F.col("l_suppkey").alias("supp"), cents("l_extendedprice").alias("size_bytes"), (F.col("l_quantity") == 50).alias("encrypted"), name.alias("part_name"))
-    return pk.package_status(entries, "asset", ["line", "part", "supp", "size_bytes"], F.floor("line"), 8, 20_000_000)
+    return pk.package_status(entries, "asset", ["line", "part", "supp", "size_bytes"], max_entries=8, max_bytes=20_000_000)
 
 
 def relations(t: Tables) -> DataFrame:
@@ -35,7 +35,7 @@ def relations(t: Tables) -> DataFrame:
                     F.concat(F.lit("../../media/"), name), F.concat(F.lit("media%2F"), name))
     target = F.element_at(forms, (F.col("l_suppkey") % 5 + 1).cast("int"))
     kind = F.when(F.col("l_linestatus") == "O", "http://x/relationships/image").otherwise("http://x/relationships/hyperlink")
-    return t.wide("lineitem").select(
+    return t.lineitem.select(
         F.col("l_orderkey").alias("asset"), F.concat(F.lit("word/header"), line, F.lit(".xml")).alias("owner"), target.alias("target"),
         F.when(F.col("l_tax") > 0.06, "External").alias("target_mode"), kind.alias("type"), F.lit(1).alias("package"))
 
@@ -67,6 +67,58 @@ def rel_resolve(t: Tables) -> DataFrame:
     return pk.resolve_rels(relations(t), part_names(t), ["package"]).select("asset", "owner", F.coalesce("resolved", F.lit("")).alias("resolved"), "status")
 
 
+HEADERS = """
+h AS (SELECT l_orderkey AS asset, CASE WHEN l_linenumber % 4 = 0 THEN 'word/document.xml' ELSE 'word/header' || l_linenumber || '.xml' END AS part_name, l_linenumber AS line,
+ l_returnflag AS flag, l_linestatus AS status, l_partkey AS part, l_suppkey AS supp FROM lineitem WHERE l_linenumber % 4 <> 0)
+"""
+
+
+def header_parts(t: Tables, xml) -> DataFrame:
+    """Line items as parts: every fourth line is the document itself, the others are headers."""
+    name = F.when(F.col("l_linenumber") % 4 == 0, "word/document.xml").otherwise(F.concat(F.lit("word/header"), F.col("l_linenumber").cast("string"), F.lit(".xml")))
+    return t.lineitem.select(F.col("l_orderkey").alias("asset"), name.alias("part_name"), xml.alias("xml"))
+
+
+@query("header_shapes", f"""WITH {HEADERS},
+s AS (SELECT *, 'Order & ' || flag AS content, status = 'O' AS known, flag = 'R' AS same FROM h)
+SELECT asset, part_name, 1 AS shape_index, content, CASE WHEN known AND same THEN 'confirmed' ELSE 'ambiguous' END AS classification,
+ concat_ws('；', 'HEADER_TEXT_SHAPE', CASE WHEN known THEN 'BUILT_IN_MARK_SHAPE' END, CASE WHEN same THEN 'EXACT_TARGET_TEXT' END) AS evidence,
+ 'docx-' || substr(sha256(asset || '|' || part_name || '|1|' || content), 1, 20) AS candidate_id FROM s""")
+def header_shapes(t: Tables) -> DataFrame:
+    """An empty shape and a text shape per header; open lines use the built-in mark shape."""
+    kind = F.when(F.col("l_linestatus") == "O", "#_x0000_t136").otherwise("#_x0000_t75")
+    xml = F.concat(F.lit('<w:hdr><v:shape type="a"/><v:shape style="z" type="'), kind, F.lit('"><v:textpath string=" Order &amp; '), F.col("l_returnflag"),
+                   F.lit(' "/></v:shape></w:hdr>'))
+    found = pk.shape_candidates(header_parts(t, xml), "asset", "ORDER & r")
+    return found.select("asset", "part_name", F.col("shape_index").cast("int").alias("shape_index"), "content", "classification", "evidence", "candidate_id")
+
+
+@query("header_images", f"""WITH {HEADERS},
+d AS (SELECT *, 'Logo ' || flag || CASE WHEN flag = 'N' THEN '' ELSE ' · A & B' END AS content, status = 'O' AS floating, supp % 3 = 0 AS behind, p_size > 10 AS shown
+  FROM h JOIN part ON p_partkey = part)
+SELECT asset, part_name AS owner, 0 AS drawing_index, 'word/media/img' || part || '.png' AS media_part, content, concat_ws('；', 'HEADER_IMAGE', CASE WHEN floating THEN 'FLOATING' END,
+  CASE WHEN floating AND behind THEN 'BEHIND_TEXT' END, CASE WHEN flag = 'R' THEN 'LABEL_HAS_TARGET' END, CASE WHEN NOT shown THEN 'NOT_PREVIEWABLE' END) AS evidence,
+ CASE WHEN shown THEN 'object' ELSE '' END AS strategies,
+ 'docx-' || substr(sha256(asset || '|' || part_name || '|drawing|0|rId' || part || '|' || sha256(CAST(part AS VARCHAR))), 1, 20) AS candidate_id FROM d""")
+def header_images(t: Tables) -> DataFrame:
+    """One drawing per header, floating on open lines; pictures of parts up to size 10 cannot be shown."""
+    part = F.col("l_partkey").cast("string")
+    kind = F.when(F.col("l_linestatus") == "O", "anchor").otherwise("inline")
+    label = F.when(F.col("l_returnflag") == "N", "").otherwise('descr=" A &amp; B "')
+    xml = F.concat(F.lit("<w:hdr><wp:"), kind, F.lit(' behindDoc="'), F.when(F.col("l_suppkey") % 3 == 0, "1").otherwise("0"), F.lit('"><wp:docPr title="Logo '),
+                   F.col("l_returnflag"), F.lit('" '), label, F.lit('/><a:blip r:embed="rId'), part, F.lit('"/></wp:'), kind, F.lit("></w:hdr>"))
+    parts = header_parts(t, xml)
+    media = t.part.select(F.concat(F.lit("word/media/img"), F.col("p_partkey").cast("string"), F.lit(".png")).alias("part_name"),
+                          F.sha2(F.col("p_partkey").cast("string"), 256).alias("sha256"), F.when(F.col("p_size") > 10, "image/png").alias("media_type"))
+    rels = t.lineitem.where("l_linenumber % 4 <> 0").select(
+        F.col("l_orderkey").alias("asset"), F.concat(F.lit("word/header"), F.col("l_linenumber").cast("string"), F.lit(".xml")).alias("owner"),
+        F.concat(F.lit("rId"), part).alias("rel_id"), F.concat(F.lit("word/media/img"), part, F.lit(".png")).alias("resolved"), F.lit("OK").alias("status")).distinct()
+    owned = rels.select("asset", F.col("resolved").alias("part_name")).distinct().join(media, "part_name")
+    found = pk.drawing_candidates(parts, rels, owned, "asset", "Logo R")
+    return found.select("asset", "owner", F.col("drawing_index").cast("int").alias("drawing_index"), "media_part", "content", "evidence",
+                        F.array_join("allowed_strategies", ",").alias("strategies"), "candidate_id")
+
+
 @query("dangling_refs", f"""WITH {RELS}
 SELECT asset, owner, coalesce(resolved, '') AS resolved FROM rels r WHERE NOT external AND NOT EXISTS (SELECT 1 FROM names n WHERE n.resolved = r.resolved)""")
 def dangling_refs(t: Tables) -> DataFrame:

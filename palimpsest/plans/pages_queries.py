@@ -76,25 +76,36 @@ LINKS = r"""
 vis AS (SELECT page_id, url AS page_url, html, regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', '', 'g') AS vis FROM pages),
 arr AS (SELECT page_id, page_url, regexp_extract_all(vis, '<[A-Za-z](?:"[^"]*"|''[^'']*''|[^''">])*>') AS tags FROM vis),
 tags AS (SELECT page_id, page_url, unnest(tags) AS tag, generate_subscripts(tags, 1) - 1 AS pos FROM arr),
-named AS (SELECT *, lower(regexp_extract(tag, '^<([A-Za-z][A-Za-z0-9]*)', 1)) AS name, regexp_extract(tag, '(?is)\shref\s*=\s*"([^"]*)"', 1) AS href FROM tags),
-joined AS (SELECT page_id, pos, regexp_extract(page_url, '^(https?://[^/?#]*)', 1) || href AS link FROM named WHERE name = 'a' AND href LIKE '/%')
+named AS (SELECT *, lower(regexp_extract(tag, '^<([A-Za-z][A-Za-z0-9]*)', 1)) AS name, regexp_extract(tag, '(?is)\shref\s*=\s*"([^"]*)"', 1) AS href FROM tags)
 """
 
 
 def link_rows(t: Tables) -> DataFrame:
     """Links of each page with their target as written."""
-    rows = links.tags(t.wide("pages"), ["page_id", "url"], "html")
+    rows = links.tags(t.pages, ["page_id", "url"], "html")
     href = markup.attribute(F.col("tag"), "href")
     return rows.filter(markup.tag_name(F.col("tag")) == "a").select("page_id", "url", F.col("pos").cast("bigint").alias("pos"), href.alias("href"))
 
 
-@query("url_join", f"WITH {LINKS} SELECT page_id, pos, link FROM joined")
-def url_join(t: Tables) -> DataFrame:
-    joined = urls.url_join(F.col("url"), F.col("href"))
-    return link_rows(t).filter(F.startswith("href", F.lit("/"))).select("page_id", "pos", joined.alias("link"))
+DECODE = "replace(replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&apos;', ''''), '&amp;', '&')"
 
 
-DECODE = "replace(replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&apos;', ''''), '&amp;', '&')"
+@query("url_join", rf"""WITH {LINKS},
+h AS (SELECT page_id, pos, page_url, {DECODE.format('href')} AS href FROM named WHERE name = 'a' AND href <> ''),
+r AS (SELECT *, CASE pos % 7 WHEN 1 THEN 'ftp://other.example/a' WHEN 2 THEN '//cdn.example' || href WHEN 3 THEN substr(href, 2) WHEN 4 THEN '' WHEN 5 THEN '?q=' || pos
+  WHEN 6 THEN '#top' ELSE href END AS ref, lower(regexp_extract(page_url, '^([A-Za-z]+):', 1)) AS scheme, regexp_extract(page_url, '^[A-Za-z]+://([^/?#]*)', 1) AS host,
+  regexp_extract(page_url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(page_url, '^[^?#]*(\?[^#]*)', 1) AS q FROM h),
+f AS (SELECT *, scheme || '://' || host AS origin, coalesce(nullif(regexp_extract(path, '^(.*/)[^/]*$', 1), ''), '/') AS folder FROM r)
+SELECT page_id, pos, CASE WHEN regexp_matches(ref, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN ref WHEN ref LIKE '//%' THEN scheme || ':' || ref WHEN ref LIKE '/%' THEN origin || ref
+ WHEN ref = '' THEN origin || path || q WHEN ref LIKE '?%' THEN origin || path || ref WHEN ref LIKE '#%' THEN origin || path || q || ref ELSE origin || folder || ref END AS link FROM f""")
+def url_join(t: Tables) -> DataFrame:
+    """Every link of every page, as it is and rewritten into the other kinds of reference."""
+    pos, href = F.col("pos"), F.col("href")
+    kind = pos % 7
+    ref = (F.when(kind == 1, "ftp://other.example/a").when(kind == 2, F.concat(F.lit("//cdn.example"), href)).when(kind == 3, F.substring(href, 2, 1 << 30))
+           .when(kind == 4, "").when(kind == 5, F.concat(F.lit("?q="), pos.cast("string"))).when(kind == 6, "#top").otherwise(href))
+    rows = link_rows(t).filter(href != "").withColumn("ref", ref)
+    return rows.select("page_id", "pos", urls.url_join(F.col("url"), F.col("ref")).alias("link"))
 
 
 @query("html_meta", rf"""WITH {LINKS},
@@ -111,13 +122,44 @@ def html_meta(t: Tables) -> DataFrame:
     return rows.select("page_id", "title", count("meta").alias("n_meta"), count("a").alias("n_links"), F.size("_names").cast("bigint").alias("n_tags"))
 
 
+@query("page_metadata", rf"""WITH {LINKS},
+t AS (SELECT page_id, nullif(trim({DECODE.format("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title', 1)")}, ' ' || chr(9) || chr(10) || chr(13)), '') AS title FROM vis)
+SELECT page_id, coalesce(CASE WHEN page_id % 3 = 0 THEN 'A & B ' || page_id END, title, '') AS title,
+ CASE WHEN page_id % 5 = 0 THEN 'first' WHEN page_id % 5 = 1 THEN 'plain' ELSE '' END AS description, CASE WHEN page_id % 4 = 0 THEN 'someone' ELSE '' END AS author,
+ CASE page_id % 6 WHEN 0 THEN 'https://www.notes.example/explore/url_' || (10000 + page_id) WHEN 1 THEN 'https://www.notes.example/explore/link_' || (10000 + page_id)
+  WHEN 5 THEN '' ELSE 'https://www.notes.example/explore/page-' || (10000 + page_id) END AS canonical_url,
+ CASE page_id % 6 WHEN 0 THEN 'url_' || (10000 + page_id) WHEN 1 THEN 'link_' || (10000 + page_id) WHEN 5 THEN '' ELSE 'page-' || (10000 + page_id) END AS note_id,
+ page_id % 6 IN (2, 3) AS canonical_ignored FROM t""")
+def page_metadata(t: Tables) -> DataFrame:
+    """Pages under note addresses, with declarations ahead of their own markup: og:url before a canonical link, a canonical link
+    alone, one on another host, one without a note, none, and none on a short address."""
+    page, number = F.col("page_id"), (F.col("page_id") + 10_000).cast("string")
+
+    def tag(when, before: str, value, after: str = '">'):
+        return F.when(when, F.concat(F.lit(before), value, F.lit(after))).otherwise("")
+
+    link = '<link rel="alternate Canonical" href="'
+    head = F.concat(
+        tag(page % 6 == 0, '<meta property="og:url" content="https://www.notes.example/discovery/item/url_', number),
+        tag(page % 6 == 0, link + "/item/never_", number), tag(page % 6 == 1, link + "/item/link_", number),
+        tag(page % 6 == 2, link + "https://elsewhere.example/item/far_", number), tag(page % 6 == 3, link + "/about/", number),
+        tag(page % 3 == 0, '<META PROPERTY="OG:title" content=" A &amp; B ', page.cast("string")),
+        tag(page % 5 == 1, '<meta name="description" content="', F.lit("plain")), tag(page % 5 == 0, '<meta name="description" content="', F.lit("second")),
+        tag(page % 5 == 0, "<meta name='og:description' content='", F.lit("first"), "'>"), tag(page % 4 == 0, '<meta name="article:author" content="', F.lit("someone")))
+    url = F.when(page % 6 == 5, F.concat(F.lit("https://n.example/a/"), number)).otherwise(F.concat(F.lit("https://www.notes.example/explore/page-"), number))
+    rows = t.pages.select("page_id", url.alias("url"), F.concat(head, "html").alias("html"))
+    found = links.page_metadata(rows, ["page_id"], "url", "html", ["www.notes.example"], ["n.example"], "https://www.notes.example")
+    return found.fillna("", ["title", "description", "author", "canonical_url", "note_id"])
+
+
 @query("first_meta", f"""WITH {LINKS}
 SELECT page_id, name, min(pos) AS pos, arg_min(tag, pos) AS content FROM named GROUP BY page_id, name""")
 def first_meta(t: Tables) -> DataFrame:
     """First start tag of each name per page."""
-    rows = links.tags(t.wide("pages"), ["page_id"], "html").select(
-        "page_id", markup.tag_name(F.col("tag")).alias("name"), F.col("pos").cast("bigint").alias("pos"), F.col("tag").alias("content"))
-    return links.first_meta(rows, ["page_id", "name"])
+    entries = F.transform(markup.start_tags(F.col("html")), lambda tag, i: F.struct(
+        markup.tag_name(tag).alias("key"), i.cast("bigint").alias("pos"), tag.alias("content")))
+    found = t.pages.select("page_id", F.explode(links.first_per_key(entries)).alias("f"))
+    return found.select("page_id", F.col("f.key").alias("name"), "f.pos", "f.content")
 
 
 @query("dim", """
@@ -131,14 +173,22 @@ def dim(t: Tables) -> DataFrame:
     return t.events.select("event_id", F.coalesce(declared_dimension(text), F.lit(-1)).alias("dimension"))
 
 
-def tag_roles(t: Tables) -> DataFrame:
+def with_media(t: Tables) -> DataFrame:
     """Links declare media; paragraphs after them give widths and line breaks heights by their position."""
-    rows = links.tags(t.wide("pages"), ["page_id", "url"], "html").withColumn("pos", F.col("pos").cast("bigint"))
-    name = markup.tag_name(F.col("tag"))
-    role = F.when(name == "a", "media").when(name.isin("li", "p"), "width").when(name.isin("br", "div"), "height").otherwise("other")
-    number = F.when(F.col("pos") % 3 == 0, "n/a").otherwise(F.col("pos").cast("string"))
-    content = F.when(name == "a", F.coalesce(markup.attribute(F.col("tag"), "href"), F.lit(""))).otherwise(number)
-    return rows.select("page_id", F.col("url").alias("page_url"), "pos", role.alias("role"), content.alias("content")).filter("content <> ''")
+    def item(tag, i):
+        name = markup.tag_name(tag)
+        role = F.when(name == "a", "media").when(name.isin("li", "p"), "width").when(name.isin("br", "div"), "height").otherwise("other")
+        number = F.when(i % 3 == 0, "n/a").otherwise(i.cast("string"))
+        content = F.when(name == "a", F.coalesce(markup.attribute(tag, "href"), F.lit(""))).otherwise(number)
+        return F.struct(i.cast("bigint").alias("pos"), role.alias("role"), content.alias("content"))
+
+    items = F.filter(F.transform(markup.start_tags(F.col("html")), item), lambda v: v["content"] != "")
+    rows = t.pages.select("page_id", "url", links.attached(items).alias("declared"))
+    return rows.withColumn("usable", links.usable_media(F.col("declared"), F.col("url"), "example.com"))
+
+
+def listed(rows: DataFrame, media, *columns: str) -> DataFrame:
+    return rows.select("page_id", F.explode(media).alias("m")).select("page_id", *[f"m.{c}" for c in columns])
 
 
 DIMS = f"""
@@ -154,7 +204,7 @@ decl AS (SELECT page_id, page_url, min(pos) FILTER (role = 'media') AS pos, max(
 
 @query("attach_dims", f"""WITH {DIMS} SELECT page_id, pos, ref AS url, coalesce(width, -1) AS width, coalesce(height, -1) AS height, invalid_dims FROM decl""")
 def attach_dims(t: Tables) -> DataFrame:
-    return links.attach_dims(tag_roles(t).drop("page_url"), ["page_id"]).fillna(-1, ["width", "height"])
+    return listed(with_media(t), F.col("declared"), "pos", "url", "width", "height", "invalid_dims").fillna(-1, ["width", "height"])
 
 
 MEDIA = f"""
@@ -164,23 +214,17 @@ usable AS (SELECT page_id, pos, width, height, 'https://' || regexp_extract(page
 """
 
 
-def declared_media(t: Tables) -> DataFrame:
-    return links.attach_dims(tag_roles(t), ["page_id", "page_url"])
-
-
 @query("dedupe_fill", f"""WITH {MEDIA}
 SELECT page_id, url, min(pos) AS pos, count(*) AS n_declared, coalesce(arg_min(width, pos) FILTER (width IS NOT NULL), -1) AS width, coalesce(arg_min(height, pos) FILTER (height IS NOT NULL), -1) AS height FROM usable GROUP BY ALL""")
 def dedupe_fill(t: Tables) -> DataFrame:
-    usable = links.usable_media(declared_media(t), "page_url", "example.com")
-    return links.dedupe_fill(usable, ["page_id", "url"], "pos", ["width", "height"]).fillna(-1, ["width", "height"])
+    media = links.dedupe_fill(F.col("usable"))
+    return listed(with_media(t), media, "url", "pos", "n_declared", "width", "height").fillna(-1, ["width", "height"])
 
 
 @query("media_positions", f"""WITH {MEDIA}, u AS (SELECT page_id, url, min(pos) AS pos FROM usable GROUP BY ALL)
 SELECT page_id, url, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS position, CASE WHEN row_number() OVER (PARTITION BY page_id ORDER BY pos) = 1 THEN 'cover' ELSE 'gallery' END AS role FROM u""")
 def media_positions(t: Tables) -> DataFrame:
-    usable = links.usable_media(declared_media(t), "page_url", "example.com")
-    unique = links.dedupe_fill(usable, ["page_id", "url"], "pos", [])
-    return links.positions(unique, ["page_id"]).select("page_id", "url", "position", "role")
+    return listed(with_media(t), links.positions(links.dedupe_fill(F.col("usable"))), "url", "position", "role")
 
 
 @query("top_media", f"""WITH {MEDIA}, u AS (SELECT page_id, url, min(pos) AS pos FROM usable GROUP BY ALL),
@@ -188,8 +232,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS positio
 SELECT page_id, 'image-' || substr(sha256(url), 1, 20) AS candidate_id, position, n >= 4 AS overflow FROM r WHERE position <= 4""")
 def top_media(t: Tables) -> DataFrame:
     """The first four different media per page."""
-    found = links.media_candidates(declared_media(t), ["page_id"], "page_url", "example.com", 4)
-    return found.select("page_id", "candidate_id", "position", "overflow")
+    return listed(with_media(t), links.top_media(F.col("usable"), 4), "candidate_id", "position", "overflow")
 
 
 @query("page_status", f"""WITH {MEDIA},
@@ -203,9 +246,8 @@ SELECT page_id, k AS candidate_count, CASE WHEN NOT known OR (m > 0 AND k = 0) T
   CASE WHEN bad > 0 THEN 'DIMENSIONS_INVALID' END, CASE WHEN dup > 0 THEN 'DUPLICATES_COLLAPSED' END) AS codes FROM j""")
 def page_status(t: Tables) -> DataFrame:
     """Links as media on example.com; every thirteenth page counts as having no text metadata."""
-    declared = declared_media(t)
-    found = links.media_candidates(declared, ["page_id"], "page_url", "example.com", 1000)
-    out = links.page_status(t.pages, declared, found, ["page_id"], F.col("page_id") % 13 != 0)
+    rows = with_media(t).withColumn("media", links.dedupe_fill(F.col("usable")))
+    out = links.page_status(rows, ["page_id"], "declared", "media", F.col("page_id") % 13 != 0)
     return out.select("page_id", "candidate_count", "status", F.array_join("diagnostic_codes", ",").alias("codes"))
 
 

@@ -21,16 +21,6 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    def wide(self, name: str) -> DataFrame:
-        """A table ahead of heavy per-row work, spread over the cores if its files give fewer splits.
-
-        A file of one row group is one split, whatever its size. Inputs with at least
-        one split per core, as any large table has, are read as they are.
-        """
-        df = getattr(self, name)
-        cores = self.spark.sparkContext.defaultParallelism
-        return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
 
 def query(name: str, sql: str | None = None) -> Callable[[Callable[[Tables], DataFrame]], Query]:
     """Register a query over `Tables`, with the SQL that must give the same rows."""

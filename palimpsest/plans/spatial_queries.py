@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions import boxes as geo
 from palimpsest.functions.boxes import Box
 from palimpsest.functions.ids import transform_id
-from palimpsest.operators import matching, overlap, regions
+from palimpsest.operators import audit, matching, overlap, regions
 from palimpsest.plans.registry import Tables, query
 from palimpsest.plans.roles import (
     BOXES, CANDIDATES, FRAMES, KNOWN, PAIR_AREA, PAIR_IOU, PAIR_OVERLAP, boxes, candidates, frames, identified, placed)
@@ -180,6 +180,19 @@ def results(t: Tables) -> DataFrame:
     return matching.sample_scores(corpus, pred, truth, found, ["page"])
 
 
+@query("localization_report", f"""WITH RECURSIVE {KNOWN}, {MATCHES}, {SCORES},
+t AS (SELECT count(*) AS sample_count, count(*) FILTER (kind = 'positive') AS positive_count, count(*) FILTER (kind = 'negative') AS negative_count,
+ CAST(sum(true_positive) AS BIGINT) AS true_positive, CAST(sum(false_positive) AS BIGINT) AS false_positive, CAST(sum(false_negative) AS BIGINT) AS false_negative,
+ count(DISTINCT scene_kind) AS scene_count, count(DISTINCT pair_id) AS pair_count, sum(iou_sum) AS s FROM results),
+u AS (SELECT *, true_positive / (true_positive + false_positive) AS p, true_positive / (true_positive + false_negative) AS r FROM t)
+SELECT sample_count, positive_count, negative_count, true_positive, false_positive, false_negative, scene_count, pair_count, round(p, 6) AS precision,
+ round(r, 6) AS recall, round(2 * p * r / (p + r), 6) AS f1, round(s / true_positive, 6) AS mean_matched_iou, p >= 0.75 AND r >= 0.85 AS metric_gate,
+ sample_count >= 20 AND negative_count >= 10 AND scene_count >= 4 AND pair_count >= 7 AS evidence_gate, false AS release_claim_allowed FROM u""")
+def localization_report(t: Tables) -> DataFrame:
+    """The headline figures of the localization audit; the boxes are no model's output, so no claim is allowed."""
+    return audit.localization_report(results(t), "scene_kind", "pair_id", False)
+
+
 BEST = f"""
 best AS (SELECT a.page, coalesce(max(({PAIR_IOU})), 0) AS best_iou,
   coalesce(max(({PAIR_AREA}) / ((b.x1-b.x0)*(b.y1-b.y0))), 0) AS best_detection_containment,

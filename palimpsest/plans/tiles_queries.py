@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,11 +15,12 @@ GRID = px.Grid(8, 8)
 KEY = ["vec_id"]
 
 
-def gray_tiles(t: Tables) -> DataFrame:
-    """Vectors as gray values 0..255, with a 2 x 2 region per tile."""
-    gray = F.transform("embedding", lambda e: F.least(F.greatest(F.floor((e.cast("double") + 1) * 127.5), F.lit(0)), F.lit(255)).cast("int"))
+def gray_tiles(t: Tables, factor: float = 127.5) -> DataFrame:
+    """Vectors as gray values 0..255, with a 2 x 2 region per tile; a larger factor spreads the values around the middle."""
+    gray = F.transform("embedding", lambda e: F.least(F.greatest(F.floor(
+        (e.cast("double") + 1) * factor - (factor - 127.5)), F.lit(0)), F.lit(255)).cast("int"))
     x0, y0 = (F.col("vec_id") % 7).cast("int"), (F.floor(F.col("vec_id") / 7) % 7).cast("int")
-    return t.wide("embeddings").select("vec_id", "label", gray.alias("gray"), x0.alias("x0"), y0.alias("y0"),
+    return t.embeddings.select("vec_id", "label", gray.alias("gray"), x0.alias("x0"), y0.alias("y0"),
                                (x0 + 2).alias("x1"), (y0 + 2).alias("y1"))
 
 
@@ -43,12 +46,16 @@ stats AS (SELECT vec_id, luminance_entropy, color_count, luma_deviation, flat_ra
 """
 
 
-def statistics(t: Tables) -> DataFrame:
+SPREAD_FACTOR = 300.0
+SPREAD = TILES.replace("* 127.5", f"* {SPREAD_FACTOR} - ({SPREAD_FACTOR} - 127.5)")
+
+
+def statistics(t: Tables, factor: float = 127.5) -> DataFrame:
     """Red is the gray value, green and blue are those of the next two positions."""
     def turned(k: int):
         return F.concat(F.slice("gray", k + 1, 64), F.slice("gray", 1, k))
 
-    with_rgb = gray_tiles(t).withColumn("green", turned(1)).withColumn("blue", turned(2))
+    with_rgb = gray_tiles(t, factor).withColumn("green", turned(1)).withColumn("blue", turned(2))
     return px.photo_statistics(with_rgb, KEY, GRID, "gray", ("gray", "green", "blue"))
 
 
@@ -61,7 +68,11 @@ def entropy(t: Tables) -> DataFrame:
 
 @query("color_count", f"WITH {TILES} SELECT vec_id, color_count FROM colors")
 def color_count(t: Tables) -> DataFrame:
-    return statistics(t).select("vec_id", "color_count")
+    gray = F.col("gray")
+    turned = [gray, *[F.concat(F.slice(gray, k + 1, 64), F.slice(gray, 1, k)) for k in (1, 2)]]
+    pixels = px.unroll(gray_tiles(t).withColumns({f"c{i}": c for i, c in enumerate(turned)}), GRID)
+    r, g, b = [F.floor(F.get(f"c{i}", F.col("pos")) / px.COLOR_STEP) for i in range(3)]
+    return px.histograms(pixels, KEY, {"color": r * 256 + g * 16 + b}).groupBy("vec_id").agg(F.count(F.lit(1)).alias("color_count"))
 
 
 @query("luma_sd", f"WITH {TILES} SELECT vec_id, round(luma_deviation, 4) AS luma_sd FROM sds")
@@ -85,24 +96,18 @@ routes AS (SELECT vec_id, concat_ws(',', CASE WHEN luminance_entropy >= 4.5 AND
 """
 
 
-# Vectors of this size spread less than photographs, so contrast is doubled before the routes are tested.
-def contrasted(t: Tables) -> DataFrame:
-    stats = statistics(t)
-    return stats.withColumn("luma_deviation", F.col("luma_deviation") * 1.6)
-
-
-@query("photo_routes", f"WITH {TILES.replace('stddev_pop(gray)', '1.6 * stddev_pop(gray)')}, {ROUTES} SELECT vec_id, routes, routes <> '' AS eligible FROM routes")
+@query("photo_routes", f"WITH {SPREAD}, {ROUTES} SELECT vec_id, routes, routes <> '' AS eligible FROM routes")
 def photo_routes(t: Tables) -> DataFrame:
-    return px.photo_routes(contrasted(t)).select("vec_id", F.array_join("matched_routes", ",").alias("routes"), "eligible")
+    return px.photo_routes(statistics(t, SPREAD_FACTOR)).select("vec_id", F.array_join("matched_routes", ",").alias("routes"), "eligible")
 
 
-@query("gated_call", f"""WITH {TILES.replace('stddev_pop(gray)', '1.6 * stddev_pop(gray)')}, {ROUTES},
+@query("gated_call", f"""WITH {SPREAD}, {ROUTES},
 m AS (SELECT vec_id, max(gray) AS top FROM pixels GROUP BY vec_id)
 SELECT vec_id, CASE WHEN routes <> '' THEN 1::BIGINT ELSE 0 END AS n_boxes, CASE WHEN routes <> '' THEN top ELSE -1 END AS best FROM routes JOIN m USING (vec_id)""")
 def gated_call(t: Tables) -> DataFrame:
     """A stand-in localizer runs on eligible tiles only and marks their brightest value."""
-    gate = px.photo_routes(contrasted(t)).select("vec_id", "eligible")
-    boxes_found = extension.gated(gray_tiles(t).select("vec_id", "gray"), gate, KEY, "eligible", brightest(),
+    gate = px.photo_routes(statistics(t, SPREAD_FACTOR)).select("vec_id", "eligible")
+    boxes_found = extension.gated(gray_tiles(t, SPREAD_FACTOR).select("vec_id", "gray"), gate, KEY, "eligible", brightest(),
                                   "vec_id bigint, x0 double, y0 double, x1 double, y1 double, label string, confidence double")
     return boxes_found.groupBy("vec_id").agg(
         F.count("confidence").alias("n_boxes"), F.coalesce(F.max("confidence").cast("bigint"), F.lit(-1)).alias("best"))
@@ -143,7 +148,8 @@ def texture_p90(t: Tables) -> DataFrame:
     return px.texture_p90(gray_tiles(t), KEY, GRID, "gray").withColumn("texture_score", F.round("texture_score", 4))
 
 
-WEIGHTS = px.smoothing_kernel(64)
+WEIGHTS = [math.exp(-((i - 4) ** 2) / (2 * 1.7**2)) for i in range(9)]  # an eighth of 64 values, made odd
+WEIGHTS = [w / sum(WEIGHTS) for w in WEIGHTS]
 TREND = " + ".join(f"{w!r}::DOUBLE * g[CASE WHEN pos + ({k - 4}) < 0 THEN -(pos + ({k - 4})) WHEN pos + ({k - 4}) > 63 THEN 126 - (pos + ({k - 4})) ELSE pos + ({k - 4}) END + 1]"
                    for k, w in enumerate(WEIGHTS))
 PERIODIC = f"""
@@ -159,19 +165,22 @@ periodic AS (SELECT vec_id, least(1.0, coalesce(max(CASE WHEN e >= 0.001 AND d >
 @query("periodicity", f"WITH {TILES}, {PERIODIC} SELECT vec_id, round(periodicity, 4) AS periodicity FROM periodic")
 def periodicity(t: Tables) -> DataFrame:
     """The whole vector as one signal."""
-    return px.periodicity(gray_tiles(t), KEY, "gray", 64).withColumn("periodicity", F.round("periodicity", 4))
+    return px.periodicity(gray_tiles(t), KEY, "gray").withColumn("periodicity", F.round("periodicity", 4))
 
 
-@query("complexity_level", f"""WITH {TILES}, {TEXTURE}, {PERIODIC}
-SELECT vec_id, CASE WHEN (periodicity >= 0.8 AND texture_score >= 0.1) OR label / 40.0 >= 0.3 OR edge_density >= 0.2 THEN 'high'
+@query("complexity_level", f"""WITH {TILES.replace("vec_id % 7 AS x0, (vec_id // 7) % 7 AS y0", "CASE WHEN label = 0 THEN 0 ELSE vec_id % 7 END AS x0, CASE WHEN label = 0 THEN 0 ELSE (vec_id // 7) % 7 END AS y0")},
+{TEXTURE.replace("x0 + 4", "x0 + CASE WHEN label = 0 THEN 10 ELSE 4 END").replace("y0 + 4", "y0 + CASE WHEN label = 0 THEN 10 ELSE 4 END").replace("SELECT vec_id, x, y, x0, y0, abs", "SELECT vec_id, label, x, y, x0, y0, abs")}
+SELECT e.vec_id, CASE WHEN context_pixels IS NULL THEN 'review' WHEN e.label / 40.0 >= 0.3 OR edge_density >= 0.2 THEN 'high'
  WHEN texture_score >= 0.35 OR edge_density >= 0.08 THEN 'review' ELSE 'low' END AS risk
-FROM texture JOIN edges USING (vec_id) JOIN periodic USING (vec_id) JOIN embeddings USING (vec_id)""")
+FROM embeddings e LEFT JOIN texture USING (vec_id) LEFT JOIN edges USING (vec_id)""")
 def complexity_level(t: Tables) -> DataFrame:
-    """Texture, edges and periodicity of the tile; the structure score is taken from the label column."""
-    source = gray_tiles(t)
+    """Texture, edges and strips around the region, which fills the tile where the label is 0; strips of 8 values are too
+    short to be periodic. The structure score is taken from the label column."""
+    whole = F.col("label") == 0
+    source = gray_tiles(t).withColumns({c: F.when(whole, v).otherwise(F.col(c)) for c, v in (("x0", 0), ("y0", 0), ("x1", 8), ("y1", 8))})
     joined = (px.texture_p90(source, KEY, GRID, "gray").join(px.edge_density(source, KEY, GRID, "gray", 120.0), KEY)
-              .join(px.periodicity(source, KEY, "gray", 64), KEY).join(source.select("vec_id", "label"), KEY))
-    level = px.complexity_level(F.col("texture_score"), F.col("edge_density"), F.col("periodicity"), F.col("label") / 40.0)
+              .join(px.context_periodicity(source, KEY, GRID, "gray"), KEY).join(source.select("vec_id", "label"), KEY))
+    level = px.complexity_level(F.col("texture_score"), F.col("edge_density"), F.col("periodicity"), F.col("label") / 40.0, F.col("context_pixels"))
     return joined.select("vec_id", level.alias("risk"))
 
 
@@ -216,7 +225,7 @@ def recon_metrics(t: Tables) -> DataFrame:
     ready = spot.select(
         "vec_id", "gray", "mask", pick(lambda pos: F.least(own(pos) + 20 + F.col("label"), F.lit(255)), own).alias("marked"),
         pick(lambda pos: F.floor(GRID.weighted(F.col("gray"), pos, cross) / 4), slip).alias("repaired"))
-    return px.reconstruction(ready, KEY, GRID, "gray", "marked", "repaired", "mask")
+    return px.reconstruction(ready, KEY, GRID, ["gray"], ["marked"], ["repaired"], "mask")
 
 
 @query("worst_level", """
@@ -255,7 +264,7 @@ def text_contrast(t: Tables) -> DataFrame:
     vec = F.col("vec_id").cast("int")
     tall = (vec % 3 == 0).cast("int")
     source = gray_tiles(t).withColumns({"x0": vec % 2, "y0": vec % 6, "x1": vec % 2 + 6, "y1": vec % 6 + 1 + tall})
-    return px.text_contrast(source, KEY, GRID, "gray")
+    return px.text_contrast(source, KEY, GRID, ["gray"])
 
 
 @query("neighbourhood", f"""WITH {TILES}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.functions.ids import pseudonym
 from palimpsest.operators import audit, trials as tr
 from palimpsest.plans.registry import Tables, query
 from palimpsest.sources.store import decode_record
@@ -54,17 +55,39 @@ def valid(t: Tables) -> DataFrame:
 
 
 @query("trial_join", """
-WITH s AS (SELECT user_id, hour(ts) AS task, count(*) AS n_corpus FROM (SELECT DISTINCT user_id, ts FROM events WHERE event_type = 'view') GROUP BY ALL),
-r AS (SELECT user_id, hour(ts) AS task, count(*) AS n_predictions FROM events WHERE event_type = 'click' GROUP BY ALL),
+WITH s AS (SELECT user_id, hour(ts) AS task, count(*) AS n_corpus FROM (SELECT DISTINCT user_id, ts FROM events WHERE event_type NOT IN ('click', 'error')) GROUP BY ALL),
+r AS (SELECT user_id, hour(ts) AS task, count(*) AS n_predictions FROM events WHERE event_type IN ('click', 'error') GROUP BY ALL),
 j AS (SELECT user_id, task, coalesce(n_corpus, 0) AS n_corpus, coalesce(n_predictions, 0) AS n_predictions FROM s FULL JOIN r USING (user_id, task))
 SELECT *, CASE WHEN n_corpus > 1 THEN 'DUPLICATE_SAMPLE' WHEN n_predictions > 1 THEN 'DUPLICATE_PREDICTION'
  WHEN n_predictions = 0 THEN 'MISSING_PREDICTION' WHEN n_corpus = 0 THEN 'UNKNOWN_SAMPLE' ELSE 'OK' END AS status FROM j""")
 def trial_join(t: Tables) -> DataFrame:
-    """Views are session tasks (one per user and hour), clicks their results."""
-    def keyed(kind: str) -> DataFrame:
-        return t.events.filter(F.col("event_type") == kind).select("user_id", F.hour("ts").cast("bigint").alias("task"), "ts")
+    """Clicks and errors are results of the session tasks that all other events stand for (one per user and hour)."""
+    rows = t.events.select("user_id", F.hour("ts").cast("bigint").alias("task"), "ts", F.col("event_type").isin("click", "error").alias("result"))
+    tasks, results = rows.filter(~F.col("result")).drop("result").distinct(), rows.filter("result")
+    return audit.align(tasks, results, ["user_id", "task"])
+
+
+TIMING = f"""
+v AS (SELECT * FROM trials WHERE {STATUS} = 'OK'),
+w AS (SELECT workflow, count(*) FILTER (status <> 'completed') / count(*) AS failure_rate, median(total_seconds) FILTER (status = 'completed') AS med FROM v GROUP BY workflow),
+f AS (SELECT count(DISTINCT participant_id) AS participants,
+ (SELECT count(*) FROM (SELECT sample_id FROM v WHERE status = 'completed' GROUP BY ALL HAVING count(DISTINCT workflow) = 3)) AS paired_samples,
+ (SELECT round(max(round(failure_rate, 6)), 6) FROM w) AS failure_rate,
+ (SELECT round(round(max(med) FILTER (workflow = 'refined'), 6) / round(max(med) FILTER (workflow = 'manual'), 6), 6) FROM w) AS to_manual,
+ (SELECT round(round(max(med) FILTER (workflow = 'refined'), 6) / round(max(med) FILTER (workflow = 'box'), 6), 6) FROM w) AS to_box FROM v)
+"""
+
 
-    return audit.align(keyed("view").distinct(), keyed("click"), ["user_id", "task"])
+@query("timing_gates", f"""
+WITH {TRIALS}, {TIMING}
+SELECT 'participants' AS gate, participants::DOUBLE AS value, 3.0::DOUBLE AS threshold, participants >= 3 AS passed FROM f
+UNION ALL SELECT 'paired_samples', paired_samples::DOUBLE, 8.0, paired_samples >= 8 FROM f
+UNION ALL SELECT 'failure_rate', failure_rate, 0.1, failure_rate <= 0.1 FROM f
+UNION ALL SELECT 'to_manual', to_manual, 0.75, coalesce(to_manual <= 0.75, false) FROM f
+UNION ALL SELECT 'to_box', to_box, 0.9, coalesce(to_box <= 0.9, false) FROM f""")
+def timing_gates(t: Tables) -> DataFrame:
+    """The gates of the timing audit, with a sample for every hour of the day."""
+    return tr.timing_report(valid(t))
 
 
 @query("workflow_median", f"""
@@ -105,15 +128,16 @@ def runtime_summary(t: Tables) -> DataFrame:
 
 
 @query("counterbalance", """
-WITH p AS (SELECT DISTINCT user_id, hour(ts) AS sample FROM events),
+WITH p AS (SELECT DISTINCT substr(sha256('trial-1:' || user_id), 1, 16) AS user_id, hour(ts) AS sample FROM events),
 i AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY sha256('s1:' || user_id || ':' || sample)) - 1 AS idx,
- CAST('0x' || substr(sha256(CAST(user_id AS VARCHAR)), 1, 8) AS BIGINT) AS shift FROM p),
+ CAST('0x' || substr(user_id, 1, 8) AS BIGINT) AS shift FROM p),
 b AS (SELECT *, unnest([0, 1, 2]) AS block FROM i),
 w AS (SELECT *, ['manual', 'box', 'refined'][(idx + block + shift) % 3 + 1] AS workflow FROM b)
 SELECT user_id, sample, CAST(block AS BIGINT) AS block, workflow, substr(sha256(user_id || ':s1:' || sample || ':' || workflow), 1, 20) AS task_id FROM w""")
 def counterbalance(t: Tables) -> DataFrame:
     """Every user does the hours seen in the log once per workflow, in a balanced order."""
-    pairs = t.events.select("user_id", F.hour("ts").cast("bigint").alias("sample"))
+    code = pseudonym(F.col("user_id").cast("string"), "trial-1")
+    pairs = t.events.select(code.alias("user_id"), F.hour("ts").cast("bigint").alias("sample"))
     return tr.assignments(pairs, "user_id", "sample", "s1")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,17 +30,31 @@ def build_session(app: str = "palimpsest", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's checkpoint folder; only an unset one (tests) gets a local folder."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(
-            configured or tempfile.mkdtemp(prefix="spark-palimpsest-", dir="/tmp")
-        )
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in spark.checkpoint.dir. Only local masters may do without: executors
+    elsewhere would each see another local folder."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    folder = f"file://{tempfile.mkdtemp(prefix='spark-palimpsest-', dir='/tmp')}"
+    spark.sparkContext.setCheckpointDir(folder)
+    return spark.sparkContext.getCheckpointDir()
+
+
+def working_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared location, removed when the driver ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write a result once to the shared checkpoint folder, so that lost executors
-    and later readers neither recompute it nor see a different version of it."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write a result once as parquet to the shared folder and read it back: lost executors and later readers
+    neither recompute it nor see a different version of it, and later reads take only the columns they need."""
+    path = working_folder(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

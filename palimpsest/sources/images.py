@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """One row per picture; undecodable files are left out."""
-    rows = spark.read.format("image").option("dropInvalid", "true").load(path)
-    return rows.select(F.col("image.origin").alias("image_id"), "image.width", "image.height", "image.nChannels", "image.data")
+    """One row per file with status OK, or IMAGE_UNREADABLE and no size for what cannot be decoded."""
+    rows = spark.read.format("image").option("dropInvalid", "false").load(path).select("image.*")
+    good = F.coalesce(F.col("width") > 0, F.lit(False))
+    return rows.select(F.col("origin").alias("image_id"), *[F.when(good, F.col(c)).alias(c) for c in ("width", "height", "nChannels", "data")],
+                       F.when(good, "OK").otherwise("IMAGE_UNREADABLE").alias("status"))
 
 
 def channel(pos: Column, offset: Column | int) -> Column:
@@ -31,7 +33,7 @@ def luma(r: Column, g: Column, b: Column) -> Column:
 
 def scan_pixels(images: DataFrame) -> DataFrame:
     """One row per pixel with colours and gray value."""
-    pixels = images.withColumn("pos", F.explode(F.sequence(F.lit(0), F.col("width") * F.col("height") - 1)))
+    pixels = images.where("status = 'OK'").withColumn("pos", F.explode(F.sequence(F.lit(0), F.col("width") * F.col("height") - 1)))
     r, g, b = rgb(F.col("pos"))
     placed = pixels.select("image_id", "width", F.col("pos"), r.alias("r"), g.alias("g"), b.alias("b"))
     return placed.select("image_id", F.floor(F.col("pos") / F.col("width")).cast("int").alias("y"), (F.col("pos") % F.col("width")).alias("x"),
@@ -41,4 +43,4 @@ def scan_pixels(images: DataFrame) -> DataFrame:
 def gray_arrays(images: DataFrame) -> DataFrame:
     """Pictures with their gray values as an array in row order, for the tile operators."""
     gray = F.transform(F.sequence(F.lit(0), F.col("width") * F.col("height") - 1), lambda pos: luma(*rgb(pos)))
-    return images.select("image_id", "width", "height", gray.alias("gray"))
+    return images.where("status = 'OK'").select("image_id", "width", "height", gray.alias("gray"))

@@ -2,18 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.session import ensure_checkpoint_dir
-
-
-def working_folder(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared checkpoint location."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+from palimpsest.session import working_folder
 
 
 def read_folder(spark: SparkSession, folder: str, table: str) -> DataFrame:

@@ -106,6 +106,26 @@ def test_workflow_summary_and_pairs(spark):
     assert rows(tr.progress(df, "participant")) == [("p", 7, 7, True)]
 
 
+def test_timing_report(spark):
+    good = [(p, s, w, t, 1.0, "completed", None) for p in range(3) for s in range(8) for w, t in (("manual", 20.0), ("box", 16.0), ("refined", 14.0))]
+    schema = "participant_id int, sample_id int, workflow string, total_seconds double, correction_seconds double, status string, failure_reason string"
+    got = {r.gate: (r.value, r.passed) for r in tr.timing_report(spark.createDataFrame(good, schema)).collect()}
+    assert got == {"participants": (3.0, True), "paired_samples": (8.0, True), "failure_rate": (0.0, True), "to_manual": (0.7, True), "to_box": (0.875, True)}
+    bad = [r for r in good if r[2] != "box" and r[0] < 2] + [(9, 1, "manual", 5.0, 1.0, "failed", "other")] * 9
+    got = {r.gate: r.passed for r in tr.timing_report(spark.createDataFrame(bad, schema)).collect()}
+    assert got == {"participants": True, "paired_samples": False, "failure_rate": False, "to_manual": True, "to_box": False}
+
+
+def test_localization_report(spark):
+    rows_ = [(f"s{i % 4}", i % 7, "positive" if i % 2 else "negative", i % 2, 0, 0, 0.8 * (i % 2)) for i in range(20)]
+    schema = "scene string, pair int, kind string, true_positive int, false_positive int, false_negative int, iou_sum double"
+    got = audit.localization_report(spark.createDataFrame(rows_, schema), "scene", "pair", True).first()
+    assert (got.sample_count, got.negative_count, got.scene_count, got.pair_count, got.mean_matched_iou) == (20, 10, 4, 7, 0.8)
+    assert got.metric_gate and got.evidence_gate and got.release_claim_allowed
+    none = audit.localization_report(spark.createDataFrame([], schema), "scene", "pair", True).first()
+    assert none.mean_matched_iou == 0.0 and not none.evidence_gate and not none.release_claim_allowed
+
+
 def test_assignments_are_balanced(spark):
     pairs = spark.createDataFrame([(p, s) for p in range(4) for s in range(30)], "p int, s int")
     got = tr.assignments(pairs, "p", "s", "seed")

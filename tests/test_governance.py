@@ -63,6 +63,9 @@ def test_reading_order_and_pages(spark):
                                  "task_id int, role string, page_number int, path string")
     assert [r.path for r in gov.reading_order(arts).orderBy("position").collect()] == ["o", "s1", "s2", "r1"]
     assert rows(gov.align_pages(arts)) == [(1, 1, "s1", "r1"), (1, 2, "s2", None)]
+    far = spark.createDataFrame([(1, "source_preview", 1_500_000_000, "s"), (1, "result_preview", 1, "r"), (1, "source_preview", 1_023_999_999, "q")],
+                                "task_id int, role string, page_number int, path string")
+    assert [r.path for r in gov.reading_order(far).orderBy("position").collect()] == ["q", "s", "r"]
 
 
 def test_page_text(spark):

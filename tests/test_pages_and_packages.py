@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.functions import html as markup
@@ -45,14 +46,16 @@ def meta(*pairs):
     return PAGE.format("".join(f'<meta property="{k}" content="{v}">' for k, v in pairs))
 
 
-def status(spark, html):
+def with_media(spark, html):
     page = spark.createDataFrame([(1, "https://h.cdn.test/p", html)], "page int, page_url string, html string")
-    tags = links.classify(links.meta_tags(links.tags(page, ["page", "page_url"], "html"), ["page", "page_url"]))
-    declared = links.attach_dims(tags, ["page", "page_url"])
-    media = links.media_candidates(declared, ["page"], "page_url", "cdn.test")
-    known = F.col("html").contains("og:title")
-    out = links.page_status(page, declared, media, ["page"], known).first()
-    return out.status, out.candidate_count, list(out.diagnostic_codes), media.orderBy("position").collect()
+    rows = page.withColumn("declared", links.attached(links.meta_items(markup.start_tags(F.col("html")))))
+    return rows.withColumn("usable", links.usable_media(F.col("declared"), F.col("page_url"), "cdn.test"))
+
+
+def status(spark, html):
+    rows = with_media(spark, html).withColumn("media", links.top_media(F.col("usable")))
+    out = links.page_status(rows, ["page"], "declared", "media", F.col("html").contains("og:title")).first()
+    return out.status, out.candidate_count, list(out.diagnostic_codes), rows.first().media
 
 
 def test_page_structure(spark):
@@ -144,7 +147,23 @@ def test_pattern_fill_signature(spark):
     assert tuple(d) == (1, 4, 1, 2, 1, 2, 1, 1)
 
 
-def test_nonoverlapping_counts_for_any_chunk(spark):
+def test_pages_with_very_many_media(spark):
+    html = PAGE.format("".join(f'<meta property="og:image" content="https://cdn.test/{i}.png">' for i in range(1200)))
+    rows = with_media(spark, html).withColumn("media", links.dedupe_fill(F.col("usable")))
+    assert links.page_status(rows, ["page"], "declared", "media", F.lit(True)).first().candidate_count == 1200
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_attributes_are_decoded(spark):
+    one = spark.createDataFrame([('<v:shape type="#_x0000_t136"><v:textpath string="A &amp; STRASSE"/></v:shape>',)], "xml string")
+    parts = one.selectExpr("1 AS asset", "'word/header1.xml' AS part_name", "xml")
+    got = pk.shape_candidates(parts, "asset", "a & straße").first()
+    assert (got.content, got.classification) == ("A & STRASSE", "confirmed")
+
+
+@pytest.mark.parametrize("fan", [2, 256])
+def test_nonoverlapping_counts_for_any_chunk(spark, fan, monkeypatch):
+    monkeypatch.setattr(sq, "FAN", fan)
     rng = random.Random(2)
     data = [(p, i, rng.choice((3, 4))) for p in range(3) for i in range(400) if rng.random() < 0.6]
     df = spark.createDataFrame(data, "page int, pos int, length int")

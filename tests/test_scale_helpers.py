@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from palimpsest.operators import quantile
 from palimpsest.operators.identity import number_copies
 from palimpsest.operators.masks import merge_intervals
-from palimpsest.operators.prefix import chunk_of, running
+from palimpsest.operators.prefix import chunk_of, numbered, running
 from palimpsest.operators.skew import spread
 from tests.conftest import rows
 
@@ -31,6 +31,18 @@ def test_running_equals_window_for_any_chunk(spark):
             assert rows(got) == plain
 
 
+def test_running_follows_the_data_without_a_rule(spark):
+    """Range partitions are the chunks: a hot key is shared by many of them."""
+    df = spark.createDataFrame(hot_rows(6000), "k int, pos int, v int").repartition(4)
+    w = Window.partitionBy("k").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    got = running(df, ["k"], [F.col("pos")], None, {"s": ("sum", F.col("v")), "_n": ("sum", F.lit(1))})
+    assert rows(got) == rows(df.select("k", "pos", "v", F.sum("v").over(w), F.count("*").over(w)))
+    down = numbered(df, ["k"], [F.desc("pos")], None, "n")
+    assert rows(down) == rows(df.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy(F.desc("pos"))) - 1))
+    ranged = df.repartitionByRange(8, "k", "pos").withColumn("chunk", F.spark_partition_id())
+    assert ranged.filter("k = 0").groupBy("chunk").count().agg(F.max("count")).first()[0] < 2000
+
+
 def test_copies_are_numbered_without_gaps(spark):
     df = spark.createDataFrame([("a",)] * 25_000 + [("b",)] * 3, "v string")
     got = number_copies(df, ["v"]).groupBy("v").agg(F.count("*"), F.min("copy"), F.max("copy"), F.countDistinct("copy"))

@@ -84,6 +84,7 @@ def test_pixels(spark, tmp_path):
     got = rows(images.scan_pixels(read).select("y", "x", "r", "g", "b", "gray"))
     assert got == [(0, 0, 255, 0, 0, 76), (0, 1, 0, 255, 0, 150), (1, 0, 0, 0, 255, 29), (1, 1, 10, 20, 30, 18), (2, 0, 0, 0, 0, 0), (2, 1, 255, 255, 255, 255)]
     assert list(images.gray_arrays(read).first().gray) == [76, 150, 29, 18, 0, 255]
+    assert sorted((r.image_id[-5:], r.status, r.width) for r in read.collect()) == [("i.png", "OK", 2), ("j.png", "IMAGE_UNREADABLE", None)]
 
 
 def test_store_gains_columns_and_reports_go_stale(spark, tmp_path):

@@ -43,48 +43,63 @@ def test_grid_size_and_salts_do_not_change_pairs(spark, cell, cap):
     assert rows(outside) == sorted((p, x0) for p, x0, *_ in a if (p, x0) not in hit)
 
 
-def greedy(pred, truth, threshold):
-    """The matching rule in plain Python: (confidence desc, id) picks the best free box."""
-    def iou(a, b):
-        w, h = max(0, min(a[2], b[2]) - max(a[0], b[0])), max(0, min(a[3], b[3]) - max(a[1], b[1]))
-        union = (a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - w * h
-        return w * h / union if union else 0.0
-
-    free, found = set(range(len(truth))), []
-    for i in sorted(range(len(pred)), key=lambda i: (-pred[i][4], i)):
-        best = max(((iou(pred[i], truth[j]), j) for j in free), default=(0.0, -1))
-        if best[0] >= threshold:
-            free.remove(best[1])
-            found.append((i, best[1]))
-    return sorted(found)
-
-
-@pytest.mark.parametrize("limit", [10_000, 0])
-def test_matching_equals_the_greedy_rule(spark, limit):
-    rng = random.Random(9)
-    pred = [(float(rng.randrange(12)), float(rng.randrange(12)), 0, 0, rng.randrange(5) / 4) for _ in range(60)]
-    pred = [(x, y, x + 10, y + 10, c) for x, y, _, _, c in pred]
-    truth = [(float(rng.randrange(12)), float(rng.randrange(12)), 0, 0) for _ in range(40)]
-    truth = [(x, y, x + 10, y + 10) for x, y, _, _ in truth]
-    p = spark.createDataFrame([(1, *b, i) for i, b in enumerate(pred)] + [(2, 0.0, 0.0, 4.0, 4.0, 1.0, 99)],
+def assert_greedy(pred, truth, found, threshold):
+    """What defines the matching: one to one, enough overlap, and no prediction that a free box would have suited better.
+
+    `pred` and `truth` are (box, order): the smaller order goes first or is preferred. A box is free for a prediction if no
+    earlier one holds it.
+    """
+    def share(a, b):
+        inner = max(0.0, min(a[2], b[2]) - max(a[0], b[0])) * max(0.0, min(a[3], b[3]) - max(a[1], b[1]))
+        return inner / sum((c[2] - c[0]) * (c[3] - c[1]) for c in (a, b)) if inner == 0 else inner / (
+            sum((c[2] - c[0]) * (c[3] - c[1]) for c in (a, b)) - inner)
+
+    holder = {j: i for i, j in found}
+    taken = dict(found)
+    assert len(holder) == len(taken) == len(found)
+    for i, (box, turn) in enumerate(pred):
+        got = taken.get(i)
+        value = share(box, truth[got][0]) if got is not None else threshold
+        assert value >= threshold
+        for j, (other, rank) in enumerate(truth):
+            if j != got and (j not in holder or pred[holder[j]][1] > turn):
+                better = share(box, other)
+                assert better < value or (better == value and got is not None and rank > truth[got][1])
+
+
+def matched(spark, pred, truth, threshold, **how):
+    """Match random boxes (box, confidence) and (box,); ids follow the place in the list, ranks too."""
+    p = spark.createDataFrame([(1, *b, c, i) for i, (b, c) in enumerate(pred)] + [(2, 0.0, 0.0, 4.0, 4.0, 1.0, 99)],
                               BOX + ", confidence double, pred_id int")
     t = spark.createDataFrame([(1, *b, i, i) for i, b in enumerate(truth)] + [(2, 0.0, 2.0, 4.0, 6.0, 99, 0)],
                               BOX + ", truth_id int, rank int")
-    for threshold in (0.3, 0.5):
-        got = matching.match_boxes(p, t, ["page"], "confidence", "pred_id", "truth_id", "rank", threshold, edges_per_sample=limit)
-        assert rows(got.filter("page = 1").select("pred_id", "truth_id")) == greedy(pred, truth, threshold)
-        assert got.filter("page = 2").count() == (1 if threshold <= 1 / 3 else 0)
-
-
-def test_crowded_samples_in_turns_give_the_same(spark):
-    rng = random.Random(4)
-    pred = [(x, y, x + 10, y + 10, rng.randrange(5) / 4) for x, y in ((float(rng.randrange(9)), float(rng.randrange(9))) for _ in range(50))]
-    truth = [(x, y, x + 10, y + 10) for x, y in ((float(rng.randrange(12)), float(rng.randrange(12))) for _ in range(30))]
-    p = spark.createDataFrame([(1, *b, i) for i, b in enumerate(pred)] + [(2, 0.0, 0.0, 4.0, 4.0, 1.0, 99)], BOX + ", confidence double, pred_id int")
-    t = spark.createDataFrame([(1, *b, i, i) for i, b in enumerate(truth)] + [(2, 0.0, 1.0, 4.0, 5.0, 99, 0)], BOX + ", truth_id int, rank int")
-    got = matching.match_boxes(p, t, ["page"], "confidence", "pred_id", "truth_id", "rank", 0.5, comparisons=100, turn=12)
-    assert rows(got.filter("page = 1").select("pred_id", "truth_id")) == greedy(pred, truth, 0.5)
-    assert got.filter("page = 2").count() == 1
+    got = matching.match_boxes(p, t, ["page"], "confidence", "pred_id", "truth_id", "rank", threshold, **how)
+    assert got.filter("page = 2").count() == (1 if threshold <= 1 / 3 else 0)
+    low = float("inf")
+    assert_greedy([(b, (low if c is None else -c, i)) for i, (b, c) in enumerate(pred)], [(b, -i) for i, b in enumerate(truth)],
+                  [(r.pred_id, r.truth_id) for r in got.filter("page = 1").collect()], threshold)
+    return got.filter("page = 1").count()
+
+
+def square(x, y, side=10.0):
+    return (float(x), float(y), x + side, y + side)
+
+
+WAYS = [{}, {"edges_per_sample": 0}, {"comparisons": 100, "turn": 12}]  # folded in a row, by proposals, in turns
+
+
+@pytest.mark.parametrize("how", WAYS)
+def test_matching_is_greedy(spark, how):
+    rng = random.Random(9)
+    pred = [(square(rng.randrange(9), rng.randrange(9)), rng.choice([0.0, 0.25, 0.5, 1.0])) for _ in range(40)]
+    assert matched(spark, pred, [square(rng.randrange(9), rng.randrange(9)) for _ in range(30)], 0.5, **how) > 10
+
+
+def test_a_chain_of_displacements(spark):
+    """Every prediction likes the box of the one before it better than its own."""
+    truth = [square(0, 7 * i) for i in range(7)]
+    pred = [(square(0, 7 * i + 3), 1 - i / 100) for i in range(6)]
+    assert matched(spark, pred, truth, 0.3, edges_per_sample=0) == 6
 
 
 def test_matchable_keeps_the_result(spark):

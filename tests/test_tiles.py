@@ -77,9 +77,9 @@ def test_periodicity_finds_stripes(spark):
     stripes = [int(100 + 50 * (i % 4 < 2)) for i in range(n)]
     flat = [7] * n
     df = spark.createDataFrame([(0, stripes), (1, flat)], "img int, gray array<int>")
-    got = dict(rows(px.periodicity(df, ["img"], "gray", n)))
+    got = dict(rows(px.periodicity(df, ["img"], "gray")))
     assert got[0] > 0.95 and got[1] == 0.0
-    assert dict(rows(px.periodicity(df, ["img"], "gray", 11))) == {0: 0.0, 1: 0.0}
+    assert dict(rows(px.periodicity(df.withColumn("gray", F.slice("gray", 1, 11)), ["img"], "gray"))) == {0: 0.0, 1: 0.0}
 
 
 def test_reconstruction(spark):
@@ -91,12 +91,12 @@ def test_reconstruction(spark):
     core[3:6, 4:7] = True
     df = spark.createDataFrame([(1, *[[int(v) for v in a.ravel()] for a in (clean, marked, repaired)], [bool(v) for v in mask.ravel()])],
                                "img int, c array<int>, m array<int>, r array<int>, mask array<boolean>")
-    got = px.reconstruction(df, ["img"], px.Grid(W, H), "c", "m", "r", "mask").first()
+    got = px.reconstruction(df, ["img"], px.Grid(W, H), ["c"], ["m"], ["r"], "mask").first()
     error = np.abs(repaired - clean)
     assert got.masked_mae == 3.0 and got.outside_mae == 0.0 and got.grade == "excellent"
     assert got.boundary_mae == error[mask & ~core].mean() and got.changed_mask_ratio == round((repaired != marked)[mask].mean(), 4)
     assert abs(got.masked_psnr_db - round(20 * np.log10(255 / 3), 4)) < 1e-9
-    same = px.reconstruction(df, ["img"], px.Grid(W, H), "c", "c", "c", "mask").first()
+    same = px.reconstruction(df, ["img"], px.Grid(W, H), ["c"], ["c"], ["c"], "mask").first()
     assert (same.masked_psnr_db, same.improvement_percent) == (99.0, 0.0)
     at_corner = mask.copy()
     at_corner[0:4, 0:4] = True
@@ -135,3 +135,74 @@ def test_worst_level_and_neighbours(spark):
     grid = spark.createDataFrame([(1, y, x, 10 * y + x) for y in range(2) for x in range(2)], ["img", "y", "x", "gray"])
     got = px.neighbourhood(grid, ["img"]).filter("y = 0 AND x = 1").select("left", "right", "up", "down").first()
     assert tuple(got) == (0, None, None, 11)
+
+
+def sized(spark, *images, regions):
+    data = [(i, [int(v) for v in img.ravel()], img.shape[1], img.shape[0], *map(float, r)) for i, (img, r) in enumerate(zip(images, regions, strict=True))]
+    return spark.createDataFrame(data, "img int, gray array<int>, w int, h int, x0 double, y0 double, x1 double, y1 double")
+
+
+def context(img, region):
+    """The padded area around a region on whole pixels, its ring mask, and the region inside it."""
+    h, w = img.shape
+    x0, y0, x1, y1 = max(0, int(np.floor(region[0]))), max(0, int(np.floor(region[1]))), min(w, int(np.ceil(region[2]))), min(h, int(np.ceil(region[3])))
+    pad = max(16, round(max(x1 - x0, y1 - y0) * 0.4))
+    ax, ay = max(0, x0 - pad), max(0, y0 - pad)
+    area = img[ay:min(h, y1 + pad), ax:min(w, x1 + pad)]
+    inner = (x0 - ax, y0 - ay, x1 - ax, y1 - ay)
+    ring = np.ones(area.shape, bool)
+    ring[max(0, inner[1] - 2):inner[3] + 2, max(0, inner[0] - 2):inner[2] + 2] = False
+    return area, ring, inner
+
+
+def test_pictures_of_any_size_in_one_table(spark):
+    images = [np.random.default_rng(5).integers(0, 256, size=(40, 70)), np.random.default_rng(6).integers(0, 90, size=(64, 1)), picture(7)]
+    regions = [(30.5, 20.2, 33.0, 22.0), (0, 0, 1, 64), (4, 2, 7, 5)]
+    src, grid = sized(spark, *images, regions=regions), px.Grid("w", "h")
+    stats = {r.img: r for r in px.photo_statistics(src, ["img"], grid, "gray", ("gray", "gray", "gray")).collect()}
+    texture = {r.img: r for r in px.texture_p90(src, ["img"], grid, "gray").collect()}
+    edges = dict(rows(px.edge_density(src, ["img"], grid, "gray", 120.0)))
+    periods = dict(rows(px.context_periodicity(src, ["img"], grid, "gray")))
+    for i, (img, region) in enumerate(zip(images, regions, strict=True)):
+        assert abs(stats[i].luma_deviation - img.std()) < 1e-9
+        area, ring, inner = context(img, region)
+        assert texture[i].context_pixels == ring.sum()
+        if not ring.any():
+            assert texture[i].texture_score == edges[i] == periods[i] == 0.0
+            continue
+        p = np.pad(area, 1, mode="reflect").astype(float)
+        smooth = sum((2 - abs(a)) * (2 - abs(b)) * p[1 + a:1 + a + area.shape[0], 1 + b:1 + b + area.shape[1]] for a in (-1, 0, 1) for b in (-1, 0, 1))
+        q = np.pad(np.floor((smooth + 8) / 16), 1, mode="reflect")
+        lap = np.abs(q[:-2, 1:-1] + q[2:, 1:-1] + q[1:-1, :-2] + q[1:-1, 2:] - 4 * q[1:-1, 1:-1])
+        assert abs(texture[i].texture_score - min(1, np.percentile(lap[ring], 90) / 30)) < 1e-9
+        gx, gy = sobel(area)
+        assert abs(edges[i] - (np.hypot(gx, gy)[ring] >= 120).mean()) < 1e-9
+    level = src.select("img", px.complexity_level(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(0)).alias("risk"))
+    assert {r.risk for r in level.collect()} == {"review"}
+
+
+def test_stripes_beside_a_region(spark):
+    stripes = np.tile(np.where(np.arange(90) % 6 < 3, 40, 200), (60, 1))
+    flat = np.full((60, 90), 9)
+    got = dict(rows(px.context_periodicity(sized(spark, stripes, flat, regions=[(40, 25, 50, 35)] * 2), ["img"], px.Grid("w", "h"), "gray")))
+    assert got[0] > 0.9 and got[1] == 0.0
+
+
+def test_regions_are_whole_pixels(spark):
+    img = picture(8)
+    got = px.luma_delta(sized(spark, img, regions=[(4.5, 2.0, 6.2, 5.0)]), ["img"], px.Grid("w", "h"), "gray").first()
+    inner = np.zeros((H, W), bool)
+    inner[2:5, 4:7] = True
+    assert got.mean_luma_delta == round(abs(img[inner].mean() - img[~inner].mean()) / 255, 4)
+
+
+def test_channels_count_together(spark):
+    clean = [[10, 20, 30, 40]] * 3
+    repaired = [[10, 20, 30, 40], [10, 26, 30, 40], [10, 20, 33, 40]]
+    df = spark.createDataFrame([(1, *clean, *repaired, [False, True, True, False])], "img int, a array<int>, b array<int>, c array<int>, "
+                               "x array<int>, y array<int>, z array<int>, mask array<boolean>")
+    got = px.reconstruction(df, ["img"], px.Grid(2, 2), ["a", "b", "c"], ["a", "b", "c"], ["x", "y", "z"], "mask").first()
+    assert got.masked_mae == 1.5 and got.changed_mask_ratio == 1.0 and got.masked_rmse == round((45 / 6) ** 0.5, 4)
+    one = spark.createDataFrame([(1, [0] * 12, [0, 99] * 6, 0, 0, 12, 1)], "img int, r array<int>, g array<int>, x0 int, y0 int, x1 int, y1 int")
+    assert px.text_contrast(one, ["img"], px.Grid(12, 1), ["r"]).first().text_pixels == 0
+    assert px.text_contrast(one, ["img"], px.Grid(12, 1), ["r", "g"]).first().text_pixels == 12
