@@ -16,7 +16,8 @@ def write(spark, pages, tmp_path, **more):
     return spark.read.parquet(str(tmp_path / "pages"))
 
 
-def test_articles(spark, tmp_path):
+def test_articles(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sst, "DEPTH", 5)
     body = "<article><header>Head</header><h1>A &amp; B &lt;c&gt;</h1><p><b>Bold &am<br>next\n line<p>Two&nbsp; <i>t</i>wo &amp\n<div class='share'>Share</div>" \
            "<ul><li>One<li>Two</ul><p>same</p><p>same</p></article>"
     want = "A & B <c>\nBold &am next line\nTwo two &\nOne\nTwo\nsame\nsame"
