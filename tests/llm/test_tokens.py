@@ -32,7 +32,7 @@ def odd_texts():
 def test_bpe_is_the_librarys(spark, documents):
     texts, lib = odd_texts(), loaded("byte_bpe_50k.json")
     ids = [None, 4, 4, *range(10, len(texts) + 7)]
-    got = bpe.encode_decode(documents(texts, ids, ids="clash", word=1), public_tokenizers.path("byte_bpe_50k.json")).collect()
+    got = bpe.encode_decode(documents(texts, ids, decoded="clash", word=1), public_tokenizers.path("byte_bpe_50k.json")).collect()
     want = [lib.encode(t or "", add_special_tokens=False).ids for t in texts]
     assert sorted((str(r["doc_id"]), r["ids"], r["decoded"]) for r in got) == sorted(
         (str(i), w, lib.decode(w, skip_special_tokens=False)) for i, w in zip(ids, want, strict=True))
