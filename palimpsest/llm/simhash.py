@@ -257,7 +257,7 @@ def _set_keys(shingle_set: np.ndarray) -> list[int]:
 
 def _short(shingle_set: np.ndarray) -> np.ndarray:
     """Sorted distinct 32-bit halves of the hashes."""
-    return np.unique((shingle_set >> np.uint64(32)).astype(np.uint32)).view(np.int32)
+    return np.unique((shingle_set >> np.uint64(32)).astype(np.uint32).view(np.int32))
 
 
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8,
