@@ -122,3 +122,17 @@ def test_one_row_of_near_copies_stays(spark, documents, monkeypatch):
         assert sorted(str(r["doc_id"]) for r in kept.collect()) == plain_near(texts, ids)
         assert kept.exceptAll(table).count() == 0
     assert simhash.keep_one(documents([])).count() == 0
+
+
+def test_near_copies_whose_fingerprints_are_far_apart(spark, documents):
+    """Equal sets with other repeats, and 4 of 5 shingles in common."""
+    rng = random.Random(2)
+    texts = []
+    for n in range(20):
+        own, line = " ".join(f"r{n}x{rng.randrange(10**6)}" for _ in range(200)), " ".join(f"l{n}x{i}" for i in range(8))
+        texts += [f"{own} {line} {line}", own + f" {line}" * 30]
+    for n in range(200):
+        own = [f"s{n}x{rng.randrange(10**6)}" for _ in range(9)]
+        texts += [" ".join(own[:8]), " ".join(own)]
+    kept = sorted(str(r["doc_id"]) for r in simhash.keep_one(documents(texts)).collect())
+    assert kept == plain_near(texts, list(range(len(texts)))) == sorted(str(2 * n) for n in range(220))
