@@ -1,7 +1,8 @@
 """Language identification by compression with per-language zstandard raw-content dictionaries.
 
-The words of a text (its letters, lower-cased) are compressed once with each language's dictionary; the smallest
-result wins. The relative distance to the runner-up is the score; a text below MARGIN is rejected.
+The words of a text (its letters, lower-cased) are compressed with each language's dictionary in pieces of PIECE_BYTES, each with
+the fresh dictionary, because a frame forgets the dictionary after its window; the smallest sum over all pieces wins. The
+relative distance to the runner-up is the score; a text below MARGIN is rejected.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from palimpsest.llm.store import kept_in_worker
 
 PIECES, PIECE_CHARS = 512, 2048  # of labelled text per language: the bound of the learning sample
 LEVEL = 3
+PIECE_BYTES = 1 << 12  # of a text compressed at a time; longer pieces repeat their own words and narrow the margin
 MARGIN = 0.001
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -64,7 +66,8 @@ def identify(docs: DataFrame, content: dict[str, bytes], text: str = "text", pre
                 if not raw or not presses:
                     rows.append(("und", 0.0, True))
                     continue
-                sizes = [len(p.compress(raw)) for p in presses]
+                parts = [raw[at:at + PIECE_BYTES] for at in range(0, len(raw), PIECE_BYTES)]
+                sizes = [sum(len(p.compress(x)) for x in parts) for p in presses]
                 best = min(range(len(sizes)), key=lambda i: (sizes[i], i))
                 second = min((s for i, s in enumerate(sizes) if i != best), default=sizes[best] * 2)
                 score = min(1.0, (second - sizes[best]) / max(second, 1))

@@ -138,3 +138,19 @@ def test_language(spark, documents):
     assert langid.identify(documents(["some text"]), {}).first()["lang_pred"] == "und"
     assert langid.learn(documents([])) == {}
     assert langid.identify(documents([]), content).count() == 0
+
+
+def test_language_of_long_texts(spark, documents):
+    """A text of several MB is told as its parts are, with a like margin."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    content = langid.learn(docs.where(~langid.held_out()))
+    rng = random.Random(8)
+    texts = []
+    for name in content:
+        words = [w for r in docs.where((docs["lang"] == name) & langid.held_out()).collect() for w in (r["text"] or "").split()]
+        texts += [" ".join(rng.choices(words, k=k)) for k in (9_000, 1_500_000)]
+    got = [(r["lang_pred"], r["lang_score"], r["lang_rejected"]) for r in langid.identify(documents(texts), content).orderBy("doc_id").collect()]
+    assert [g[0] for g in got] == [name for name in content for _ in range(2)]
+    for part, whole in zip(got[::2], got[1::2], strict=True):
+        assert not part[2] and not whole[2]
+        assert 0.8 < whole[1] / part[1] < 1.25
