@@ -3,18 +3,20 @@
 Numbers, capitalised words and units become typed placeholders, so a question with other figures and names keeps
 its template. Windows of LENGTH template words of the documents meet those of the benchmark in a hash join. Where
 enough windows of an item are found, the slots behind the placeholders are compared: in a re-parameterised
-question each old value stands for one new value throughout, which chance matches do not keep up.
+question each old value stands for one new value throughout, which chance matches do not keep up. Passages of an item
+and copies in other case are found by the same windows over texts without case.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.store import written
 
 LENGTH = 8  # words of a window; shorter items are one window of their own length
 SHORTEST = 4  # words of an item that can be told from chance
+PASSAGE = 13  # words in a row as they stand in an item that tell it whatever its length
 SHARE = 0.5  # of an item's windows found in a document
 AGREEMENT = 0.8  # of an item's slots that keep to one value for one value
 BROADCAST_ROWS = 200_000  # windows of a benchmark up to which it is sent to all tasks, some 20 MB
@@ -41,6 +43,11 @@ def originals(text: str) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
 
+def folded(text: str) -> Column:
+    """A text without differences of case; the way by upper case makes ss of a sharp s."""
+    return F.lower(F.upper(text))
+
+
 def _windows(rows: DataFrame, length: int) -> DataFrame:
     """`rows` with (at, h) for every window of `length` words in `words`."""
     last = F.size("words") - length
@@ -62,31 +69,59 @@ def benchmark_windows(benchmark: DataFrame, item_id: str = "item_id", text: str
                         F.slice(originals("text"), F.col("at") + 1, F.col("length")).alias("item_values"))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
-                 item_text: str = "text") -> DataFrame:
-    """(doc_id, text_hash, item_id, n_matched, n_windows, share, agreement, verbatim): items of which at least SHARE of the
-    windows are in a document, with their slots in agreement.
-
-    text_hash tells rows of one id apart; equal rows are one. verbatim: every slot has the item's own value. Null and empty
-    texts hold nothing; items below SHORTEST words are not looked for; items with equal text are each found.
-    """
-    windows = written(benchmark_windows(benchmark, item_id, item_text), "windows")
+def _hits(docs: DataFrame, windows: DataFrame, name: str) -> DataFrame:
+    """(doc_id, text_hash, item_id, n_windows, length, j, offset, slots): every window of the rows (doc_id, text_hash, text) that an item has."""
     small = windows.count() <= BROADCAST_ROWS
     lengths = [r["length"] for r in windows.select("length").distinct().collect()]  # at most LENGTH values
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("text is not null").withColumn(
-        "words", template("text"))
+    rows = docs.withColumn("words", template("text"))
     found = []
     for n in lengths or [LENGTH]:
-        side = windows.where(F.col("length") == n).drop("length")
+        side = windows.where(F.col("length") == n)
         hits = _windows(rows, n).join(F.broadcast(side) if small else side, "h")
         values = F.slice(originals("text"), F.col("at") + 1, n)
-        found.append(hits.select("doc_id", F.xxhash64("text").alias("text_hash"), "item_id", "n_windows", "j",
-                                 (F.col("at") - F.col("j")).alias("offset"),
+        found.append(hits.select("doc_id", "text_hash", "item_id", "n_windows", "length", "j", (F.col("at") - F.col("j")).alias("offset"),
                                  F.arrays_zip("template", "item_values", values.alias("doc_values")).alias("slots")))
     hits = found[0]
     for f in found[1:]:
         hits = hits.unionByName(f)
-    hits = written(hits, "hits")
+    return written(hits, name)
+
+
+def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash")).where("text is not null")
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
+                 item_text: str = "text") -> DataFrame:
+    """(doc_id, text_hash, item_id, n_matched, n_windows, share, agreement, verbatim): items of which at least SHARE of the
+    windows are in a document, with their slots in agreement.
+
+    text_hash tells rows of one id apart; equal rows are one. verbatim: every slot has the item's own value. Null and empty
+    texts hold nothing; items below SHORTEST words are not looked for; items with equal text are each found.
+    """
+    windows = written(benchmark_windows(benchmark, item_id, item_text), "windows")
+    return _by_share(_hits(_texts(docs, doc_id, text), windows, "hits"))
+
+
+def passages(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
+             item_text: str = "text") -> DataFrame:
+    """(doc_id, text_hash, item_id): items that a document holds in whatever case, in part or in whole.
+
+    Templates and slots are those of the folded texts, so capitals are no placeholders. An item counts by SHARE as in
+    `contaminated`, or by a passage of at least PASSAGE of its words in a row, numbers and units as they are, however long it is.
+    """
+    windows = written(benchmark_windows(benchmark.withColumn(item_text, folded(item_text)), item_id, item_text), "folded_windows")
+    hits = _hits(_texts(docs, doc_id, text).withColumn("text", folded("text")), windows, "folded_hits")
+    pair = ["doc_id", "text_hash", "item_id"]
+    same = F.forall("slots", lambda s: ~s["template"].isin("P", "N", "U") | F.coalesce(s["item_values"] == s["doc_values"], F.lit(False)))
+    exact = hits.where((F.col("length") == LENGTH) & same).select(*pair, "offset", "j").distinct()
+    turn = F.row_number().over(Window.partitionBy(*pair, "offset").orderBy("j"))
+    runs = exact.withColumn("run", F.col("j") - turn).groupBy(*pair, "offset", "run").count()
+    runs = runs.where(F.col("count") + LENGTH - 1 >= PASSAGE)
+    return _by_share(hits).select(*pair).unionByName(runs.select(*pair)).distinct()
+
+
+def _by_share(hits: DataFrame) -> DataFrame:
     pair = ["doc_id", "text_hash", "item_id"]
     matched = hits.groupBy(*pair).agg(F.countDistinct("j").alias("n_matched"), F.max("n_windows").alias("n_windows"))
     matched = matched.where(F.col("n_matched") >= SHARE * F.col("n_windows"))
@@ -118,8 +153,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents in which no item is found; all their columns stay."""
-    leaks = contaminated(docs, benchmark, doc_id, text).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    """The documents in which no item is found, by templates or as a passage in whatever case; all their columns stay."""
+    pair = [F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")]
+    leaks = contaminated(docs, benchmark, doc_id, text).select(*pair).union(passages(docs, benchmark, doc_id, text).select(*pair)).distinct()
     leaks = written(leaks, "leaks")
     rule = F.col(doc_id).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__hash"))
     return docs.join(leaks, rule, "left_anti")

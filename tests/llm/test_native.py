@@ -13,6 +13,24 @@ ITEMS = [(1, "A train leaves Paris at 7 km per hour and after 3 hours it meets A
          (2, "the quick brown fox jumps over the lazy dog while seven wise owls watch it quietly from above")]
 
 
+def test_passages_and_other_case(spark, documents, monkeypatch):
+    """The half of a long item, copies in other case, and what stays."""
+    words = ["w%s" % "abcdefghij"[i % 10] * (1 + i // 10) for i in range(60)]
+    long = " ".join(words).capitalize() + " costs Anna 5 dollars at Straße 7."
+    bench = spark.createDataFrame([(1, long), (2, ITEMS[0][1])], "item_id long, text string")
+    texts = ["so: " + " ".join(words[20:33]) + " and on", "so: " + " ".join(words[20:32]) + " and on", ITEMS[0][1].lower(), ITEMS[0][1].upper(),
+             " ".join(long.split()[:30]), ITEMS[0][1].upper().replace("7", "9"), "nothing of it", None, "", long.upper(),
+             " ".join(words[20:26]) + " gap " + " ".join(words[26:33])]
+    table = documents(texts, item_id=4)
+    for limit in (200_000, 0):
+        monkeypatch.setattr(dc, "BROADCAST_ROWS", limit)
+        got = {(r["doc_id"], r["item_id"]) for r in dc.passages(table, bench).collect()}
+        assert got == {(0, 1), (2, 2), (3, 2), (4, 1), (5, 2), (9, 1)}
+    left = dc.without_contaminated(table, bench)
+    assert left.columns == table.columns
+    assert sorted(r["doc_id"] for r in left.collect()) == [1, 6, 7, 8, 10]
+
+
 def test_templates(spark):
     frame = spark.createDataFrame([("Mary has 3.5kg, B2B iPhone 5 % $7 and 12 miles!",), ("",)], "text string")
     got = frame.select(dc.template("text").alias("t"), dc.originals("text").alias("o")).collect()
