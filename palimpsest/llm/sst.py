@@ -4,9 +4,10 @@ The pages of a host are merged into one tree: an element node is a path of tags
 counts the presentation styles (sequences of child nodes) it takes over the pages, a text node its different
 texts. Node importance is the entropy of the styles, or one minus the mean entropy of the texts, to the base of the number of
 pages; a node on one page has importance one. The composite importance mixes a node's own with that of its children,
-weighted by how often they stand below it. Branches below THRESHOLD go from each page. Markup settles two
-cases beforehand: elements that say they are navigation, notices, comments and the like have importance zero, and what stands in an
-`article` or `main` is kept; a page that has such text is nothing else.
+weighted by how often they stand below it. Branches below THRESHOLD go from each page. Markup is a prior on that: a
+node in an `article` or `main` counts as if it had been important on PRIOR_PAGES pages, and a page that has such text is nothing else; a node with a
+word of frames in its class, id or role counts for the share of the page's text that stands in it, so a wrapper of the whole page is
+kept and a small box is not. Elements that are frames by their tag, hidden ones and those with a firm word have importance zero.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from palimpsest.llm.store import written
 
 GAMMA = 0.9  # weight of the children, to the power of the number of styles
 THRESHOLD = 0.3
+PRIOR_PAGES = 3  # pages that markup as an article weighs: a block that all pages repeat goes from 9 pages on
 DEPTH = 64  # nodes further down hang on their ancestor at this depth; their text stays
 BLOCK_CHARS = 8 << 20
 
@@ -71,7 +73,7 @@ class Page:
         self.blocks: list[tuple[int, str]] = []
         self._stack: list[int] = [0]
         self._held: list[str] = []
-        self._firm: set[int] = set()  # frames that also hold for articles inside
+        self._soft: set[int] = set()  # elements with a word of frames
         at, n = 0, len(html)
         while at < n:
             m = TAG.search(html, at)
@@ -130,16 +132,16 @@ class Page:
         state = self.states[up]
         firm = tag in FRAME_TAGS or bool(words & FIRM_WORDS) or bool(rest and UNSEEN.search(rest))
         if tag in ("article", "main"):
-            state = FRAME if firm or (state == FRAME and up in self._firm) else ARTICLE
-        elif tag not in ("html", "body") and (firm or words & FRAME_WORDS):
+            state = FRAME if firm or state == FRAME else ARTICLE
+        elif tag not in ("html", "body") and firm:
             state = FRAME
+        elif tag not in ("html", "body") and words & FRAME_WORDS:
+            self._soft.add(len(self.tags))
         self.tags.append(tag)
         self.keys.append(key)
         self.parents.append(up)
         self.depths.append(depth)
         self.states.append(state)
-        if state == FRAME and (firm or up in self._firm):
-            self._firm.add(len(self.tags) - 1)
         if tag not in VOID_TAGS:
             self._stack.append(len(self.tags) - 1)
 
@@ -147,19 +149,33 @@ class Page:
         self._flush()
         self._pop({tag}, frozenset())
 
-    def main(self, importance: dict[int, float], host: str, threshold: float) -> str:
-        """The blocks of articles, or without any the blocks of no frame whose branch is important enough."""
-        article = [t for at, t in self.blocks if self.states[at] == ARTICLE]
-        if article:
-            return "\n".join(article)
-        low = {at for at in range(len(self.keys)) if importance.get(node(host, self.keys[at]), 1.0) < threshold}
+    def main(self, known: dict[int, tuple[float, float]], host: str, threshold: float) -> str:
+        """The blocks whose branch is important enough: those of articles, or without any those of no frame.
+
+        known: (importance, pages) of nodes; others have importance one. Above an article nothing is asked.
+        """
+        wanted = ARTICLE if any(self.states[at] == ARTICLE for at, _ in self.blocks) else OPEN
+        size = [0] * len(self.keys)
+        for at, text in self.blocks:
+            if self.states[at] == wanted:
+                size[at] += len(text)
+        for at in range(len(self.keys) - 1, 0, -1):  # children follow their parents
+            size[self.parents[at]] += size[at]
+
+        def weight(key: str) -> float:
+            value, pages = known.get(node(host, key), (1.0, 1.0))
+            return value if wanted == OPEN else ((pages - 1) * value + PRIOR_PAGES) / (pages - 1 + PRIOR_PAGES)
+
+        low = set()
+        for at in range(len(self.keys)):
+            if self.states[at] == wanted and weight(self.keys[at]) * (size[at] / max(size[0], 1) if at in self._soft else 1) < threshold:
+                low.add(at)
         kept = []
         for at, text in self.blocks:
             up = at
-            while up > 0 and up not in low:
+            while up > 0 and up not in low and self.states[up] == wanted:
                 up = self.parents[up]
-            leaf = importance.get(node(host, self.keys[at] + ">#text"), 1.0)
-            if self.states[at] == OPEN and up <= 0 and leaf >= threshold:
+            if self.states[at] == wanted and (up <= 0 or up not in low) and weight(self.keys[at] + ">#text") >= threshold:
                 kept.append(text)
         return "\n".join(kept)
 
@@ -231,7 +247,7 @@ def _counts(texts: list[str | None]) -> dict[tuple[int, int, int], list]:
 
 
 def importance(counts: DataFrame, gamma: float = GAMMA) -> DataFrame:
-    """(node, importance): composite importances of the merged trees, from the leaves up, level by level."""
+    """(node, importance, m): composite importances of the merged trees, from the leaves up, level by level."""
     whole = written(counts.groupBy("kind", "node", "other").agg(F.max("depth").alias("depth"), F.sum("value").alias("v")), "tree")
 
     def part(kind: int, value: F.Column) -> F.Column:
@@ -252,15 +268,15 @@ def importance(counts: DataFrame, gamma: float = GAMMA) -> DataFrame:
     for depth in range(deepest if deepest is not None else -1, -1, -1):
         level = own.where(F.col("depth") == depth)
         if done is None:
-            now = level.select("node", F.col("single").alias("importance"))
+            now = level.select("node", F.col("single").alias("importance"), "m")
         else:
             below = edges.join(done, "node").groupBy("parent").agg(F.sum(F.col("w") * F.col("importance")).alias("below"))
             mixed = (1 - F.pow(F.lit(gamma), F.col("styles"))) * F.col("single") + F.pow(F.lit(gamma), F.col("styles")) * F.col("below")
             now = level.join(below, level["node"] == below["parent"], "left").select(
-                "node", F.when(F.col("below").isNull(), F.col("single")).otherwise(mixed).alias("importance"))
+                "node", F.when(F.col("below").isNull(), F.col("single")).otherwise(mixed).alias("importance"), "m")
         done = now if done is None else done.unionByName(now)
         done = written(done, "importance")
-    return done if done is not None else own.select("node", F.col("single").alias("importance"))
+    return done if done is not None else own.select("node", F.col("single").alias("importance"), "m")
 
 
 def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", threshold: float = THRESHOLD) -> DataFrame:
@@ -280,14 +296,14 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html
                 yield pd.DataFrame({"block": np.int64(number), "kind": kind, "node": at, "other": other, "depth": depth, "value": value})
 
     counts = written(rows.mapInPandas(count, "block long, kind int, node long, other long, depth int, value double"), "page_counts")
-    low = importance(counts).where(F.col("importance") < threshold)
-    here = counts.where(F.col("kind") == PAGES).select("block", "node").join(low, "node").select("block", "node", "importance")
+    less = importance(counts).where(F.col("importance") < 1)
+    here = counts.where(F.col("kind") == PAGES).select("block", "node").join(less, "node").select("block", "node", "importance", "m")
 
-    def extract(block: pd.DataFrame, low: pd.DataFrame) -> pd.DataFrame:
+    def extract(block: pd.DataFrame, less: pd.DataFrame) -> pd.DataFrame:
         if len(block) != 1:
             raise ValueError("nodes without their block: the input changed between two reads")
         b = block.iloc[0]
-        known = dict(zip(low["node"].tolist(), low["importance"].tolist(), strict=True))
+        known = dict(zip(less["node"].tolist(), zip(less["importance"].tolist(), less["m"].tolist(), strict=True), strict=True))
         urls, texts = [], []
         for raw in unpacked(b["sizes"], b["texts"]):
             address, markup = _parts(None if raw is None else raw.decode("utf-8", "surrogatepass"))

@@ -47,6 +47,24 @@ def test_the_site_tree_finds_what_repeats(spark, tmp_path):
     assert got[30] == "Site name"  # one page tells nothing
 
 
+def test_repeated_blocks_in_articles_and_words_on_wrappers(spark, tmp_path):
+    rng = random.Random(6)
+    pages = []
+    for i in range(24):
+        own = " ".join("w%d" % rng.randrange(10**6) for _ in range(40))
+        rail, box = "<div class=rail><p>Our other sites</p></div>", "<div class=feedback><p>Was this helpful?</p></div>"
+        pages.append((f"https://one.example/{i}", f"<article><h1>t{i}</h1>{rail}<div class=body><p>{own}</p></div>{box}</article>"))
+        pages.append((f"https://two.example/{i}", f"<main>{rail}<article><p>{own}</p></article>{box}</main>"))
+        pages.append((f"https://three.example/{i}", f"<div class='layout with-sidebar'><div class=search><p>Find {i}</p></div><h1>t{i}</h1><p>{own}</p></div>"))
+    pages.append(("https://four.example/", "<div class='page legal'><p>The only page.</p></div><div class=share><p>Tell</p></div>"))
+    got = {r["page_id"]: r["text"] for r in sst.main_text(write(spark, pages, tmp_path)).collect()}
+    for i in range(24):
+        assert got[3 * i].startswith(f"t{i}\nw") and got[3 * i].count("\n") == 1
+        assert got[3 * i + 1].startswith("w") and "\n" not in got[3 * i + 1]
+        assert got[3 * i + 2].startswith(f"t{i}\nw") and got[3 * i + 2].count("\n") == 1
+    assert got[72] == "The only page."
+
+
 def test_given_pages(spark):
     """The articles of the given pages, cut out by their own markup."""
     import re
