@@ -1,9 +1,9 @@
-"""Substring dedup by relative Lempel-Ziv parsing against everything that comes earlier.
+"""Substring dedup by lookups of word runs against everything that comes earlier.
 
 The reference is all earlier text, in blocks, held as an index from runs of `window` words to the place where
-each first starts. A document is parsed greedily against it: a factor begins at a word run that starts earlier and grows
-while the following runs continue at the same place; where it ends, the run at its boundary is looked up anew.
-Factors have at least `window` words by construction, and the words they cover go.
+each first starts. Window lookups stand in for a greedy parse: every run of a document is looked up, the words of those that
+start earlier go, and neighbours whose first places are consecutive are merged to spans. No span grows against reference
+text, so one breaks where the first place of its runs changes. Spans have at least `window` words.
 
 Only runs that can repeat enter the index. Every run has an anchor, the smallest hash of the GRAM-word runs
 inside; equal runs have equal anchors, so runs whose anchor occurs once in all documents are left out exactly.
