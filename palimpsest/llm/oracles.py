@@ -1,6 +1,6 @@
 """SQL that must give the same rows as the queries, where SQL can express them."""
 
-from palimpsest.llm import decontaminate
+from palimpsest.llm import decontaminate, orchard, secretscan
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -109,10 +109,76 @@ WHERE least(coalesce(f.r, 1.0), coalesce(b.r, 1.0)) >= {decontaminate.AGREEMENT}
 """
 
 
+def _matched(name: str, pattern: str) -> str:
+    """A query of (rid, s, e, found): the matches of a pattern in t(rid, text)."""
+    pattern = pattern.replace("'", "''")
+    return f"""{name} AS (
+  SELECT rid, found[i] AS found, CAST(list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS s,
+         CAST(list_sum(list_transform(gaps[1:i], lambda x: length(x))) + list_sum(list_transform(found[1:i], lambda x: length(x))) AS BIGINT) AS e
+  FROM (SELECT rid, found, gaps, unnest(range(1, len(found) + 1)) AS i
+        FROM (SELECT rid, regexp_extract_all(text, '{pattern}') AS found, string_split_regex(text, '{pattern}') AS gaps FROM t)))"""
+
+
+def secrets() -> str:
+    q = secretscan
+    value = f"{q.HEAD}({q.VALUE}+)".replace("'", "''")
+    base = f"{q.ASSIGN}|AKIA[A-Z0-9]{{16}}|[0-9a-f]{{24}}".replace("'", "''")
+    few = f"len(list_distinct(string_split(value, ''))) < {q.DIFFERENT}"
+    return f"""
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS text FROM documents),
+{_matched("m0", q.ASSIGN)},
+{_matched("m1", q.ACCESS)},
+{_matched("m2", q.HEX)},
+{_matched("m3", q.APART)},
+b AS (SELECT rid, s, 0 AS kind, e, regexp_extract(found, '{value}', 1) AS value FROM m0 WHERE length(regexp_extract(found, '{value}', 1)) >= {q.KEPT["assign"]}
+  UNION ALL SELECT rid, s, 1, e, found FROM m1 WHERE length(found) >= {q.KEPT["access"]}
+  UNION ALL SELECT rid, s, 2, e, found FROM m2 WHERE length(found) >= {q.KEPT["hex"]}),
+o AS (SELECT rid, s, CASE WHEN regexp_matches(found, '[A-Z]') AND regexp_matches(found, '[a-z]') AND length(found) >= 20 THEN 4 ELSE 3 END AS kind, e, found AS value
+  FROM m3 WHERE NOT regexp_matches(found, '{base}') AND regexp_matches(found, '[0-9]') AND regexp_matches(found, '[A-Za-z]')
+  AND len(list_distinct(string_split(found, ''))) >= {q.DIFFERENT}),
+a AS (SELECT * FROM b UNION ALL SELECT * FROM o),
+c AS (SELECT value, count(DISTINCT coalesce(source, chr(0))) AS owners, count(DISTINCT (coalesce(source, chr(0)), coalesce(doc_id, -1))) AS repos, bool_or(kind = 0) AS named
+  FROM a JOIN t USING (rid) GROUP BY value),
+j AS (SELECT a.*, named, NOT (owners > {q.OWNERS} OR (owners > 1 AND repos > {q.REPOSITORIES})) AND NOT {few} AS live FROM a JOIN c USING (value)),
+k AS (SELECT *, kind < 3 OR (live AND (kind = 4 OR named)) AS span, ['assign', 'access', 'hex', 'copy', 'opaque'][kind + 1] || ':' || s || ':' || e AS name FROM j),
+g AS (SELECT rid, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex,
+  string_agg(name, ',' ORDER BY s, kind) FILTER (WHERE kind < 3) AS base, string_agg(name, ',' ORDER BY s, kind) FILTER (WHERE span) AS spans,
+  count(*) FILTER (WHERE span AND live) AS n_live, count(*) FILTER (WHERE kind < 3 AND NOT live) AS n_example FROM k GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
+  coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
+FROM t LEFT JOIN g USING (rid)
+"""
+
+
+def codes() -> str:
+    q = orchard
+    distance = "list_sum(list_transform(list_zip(x.piece, b.piece), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    parts = [f"""
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor({q.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+x AS (SELECT r, p, e[p * len(e) // {q.PARTS} + 1:(p + 1) * len(e) // {q.PARTS}] AS piece FROM v, range({q.PARTS}) t(p)),
+f AS (SELECT r, row_number() OVER (ORDER BY vec_id NULLS FIRST, e) - 1 AS i FROM v QUALIFY i < {q.ENTRIES}),
+b0 AS (SELECT p, i, piece FROM f JOIN x USING (r))"""]
+    for n in range(q.ROUNDS + 1):
+        parts.append(f"""a{n} AS MATERIALIZED (SELECT r, x.p, min({{'d': {distance}, 'i': i}}) AS best FROM x JOIN b{n} b ON x.p = b.p GROUP BY ALL)""")
+        if n < q.ROUNDS:
+            parts.append(f"""s{n} AS (SELECT p, best.i AS i, pos, CAST(floor(sum(piece[pos]) / count(*)) AS BIGINT) AS c
+  FROM (SELECT *, unnest(range(1, len(piece) + 1)) AS pos FROM a{n} JOIN x USING (r, p)) GROUP BY ALL),
+b{n + 1} AS MATERIALIZED (SELECT b.p, b.i, coalesce(m.piece, b.piece) AS piece FROM b{n} b LEFT JOIN (SELECT p, i, list(c ORDER BY pos) AS piece FROM s{n} GROUP BY ALL) m ON m.p = b.p AND m.i = b.i)""")
+    return ",\n".join(parts) + f""",
+c AS (SELECT r, string_agg(printf('%02x', best.i), '' ORDER BY p) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM a{q.ROUNDS} GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(array_to_string(piece, ','), ',' ORDER BY p, i)) FROM b{q.ROUNDS}) AS codebooks_sha256
+FROM c JOIN v USING (r)
+"""
+
+
 ORACLES: dict[str, str] = {
     "op4_decontaminate": contaminated(),
     "op5_topk": TOP_K,
     "op7_lines": LINES,
     "op8_quotes": QUOTES,
     "op9_substrings": RUNS,
+    "op11_secrets": secrets(),
+    "op13_orchard": codes(),
 }

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import bpe, decontaminate, langid, lines, quotes, simhash, sst, substrings, tokenfile, topk
+from palimpsest.llm import bpe, decontaminate, langid, lines, orchard, quotes, secretscan, simhash, sst, substrings, tokenfile, topk
 from palimpsest.llm.oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -79,6 +79,16 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "start", (F.length("raw") / 4).cast("long").alias("n_tokens"), F.crc32("raw").alias("ids_crc32"))
 
 
+def op11_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets of every document, with what its owners' own values add; a source is an owner, a document a repository."""
+    return secretscan.digests(secretscan.scan(table(spark, folder, "documents")))
+
+
+def op13_orchard(spark: SparkSession, folder: str) -> DataFrame:
+    """Product code, error and codebooks of every vector."""
+    return orchard.digests(orchard.codes(table(spark, folder, "embeddings")))
+
+
 QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
     "op2_site_tree": op2_site_tree,
@@ -90,4 +100,6 @@ QUERIES: dict[str, Query] = {
     "op8_quotes": op8_quotes,
     "op9_substrings": op9_substrings,
     "op10_token_files": op10_token_files,
+    "op11_secrets": op11_secrets,
+    "op13_orchard": op13_orchard,
 }
