@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import bpe, decontaminate, langid, lines, orchard, quotes, secretscan, simhash, sst, substrings, tokenfile, topk
+from palimpsest.llm import bpe, decontaminate, galloping, langid, lines, orchard, quotes, secretscan, simhash, sst, substrings, tokenfile, topk
 from palimpsest.llm.oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -84,6 +84,11 @@ def op11_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secretscan.digests(secretscan.scan(table(spark, folder, "documents")))
 
 
+def op12_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups, links and pair counts of every document between two vocabularies."""
+    return galloping.align(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op13_orchard(spark: SparkSession, folder: str) -> DataFrame:
     """Product code, error and codebooks of every vector."""
     return orchard.digests(orchard.codes(table(spark, folder, "embeddings")))
@@ -101,5 +106,6 @@ QUERIES: dict[str, Query] = {
     "op9_substrings": op9_substrings,
     "op10_token_files": op10_token_files,
     "op11_secrets": op11_secrets,
+    "op12_alignment": op12_alignment,
     "op13_orchard": op13_orchard,
 }
