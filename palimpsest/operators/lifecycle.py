@@ -30,12 +30,11 @@ def task_marks(events: DataFrame, task: list[str], order: Column) -> DataFrame:
     return marks.withColumn("finished", at).withColumn("finish", kind).drop(*[f"_{kind}" for kind in FINISHES])
 
 
-def state_columns() -> tuple[Column, Column]:
-    """State and the order value at which it was reached, from the columns of `task_marks`.
+def state_columns(started: Column, asked: Column, at: Column, kind: Column) -> tuple[Column, Column]:
+    """State and the order value at which it was reached, from the first start, cancel request and finish and the kind of that.
 
     Events of one moment count in the order start, cancel, finish.
     """
-    started, asked, at, kind = [F.col(c) for c in ("started", "asked", "finished", "finish")]
     finish_first = at.isNotNull() & (asked.isNull() | (at < asked))
     at_once = asked.isNotNull() & ~F.coalesce(started <= asked, F.lit(False))
     state = (F.when(finish_first & (kind == "succeed"), "succeeded").when(finish_first & (kind == "fail"), "failed")
@@ -48,7 +47,7 @@ def state_columns() -> tuple[Column, Column]:
 def task_state(events: DataFrame, task: list[str], order: Column) -> DataFrame:
     """Current state per task. A queued task is cancelled at once, a running one first becomes
     cancelling, and whatever ends it then, it ends cancelled."""
-    state, reached = state_columns()
+    state, reached = state_columns(*[F.col(c) for c in ("started", "asked", "finished", "finish")])
     return task_marks(events, task, order).select(*task, state.alias("state"), reached.alias("reached"))
 
 

@@ -202,11 +202,15 @@ def changed_parts(t: Tables) -> DataFrame:
 
 
 def tasks(t: Tables) -> DataFrame:
+    return tasks_of(t.events)
+
+
+def tasks_of(events: DataFrame) -> DataFrame:
     """Events as tasks; the value is their running time in seconds."""
     states = F.create_map(*[F.lit(v) for v in ("view", "queued", "click", "running", "purchase", "succeeded", "error", "failed", "signup", "cancelled")])
     created = F.col("ts").cast("timestamp")
     error = F.when(F.col("event_type") == "error", F.when(F.col("user_id") % 4 == 0, F.lit('{"message":"m"}')).otherwise(F.lit('{"code":"PROCESSING_FAILED","message":"m"}')))
-    return t.events.select(
+    return events.select(
         F.col("event_id").alias("task_id"), F.col("user_id").alias("plan_id"), states[F.col("event_type")].alias("status"),
         F.when(F.col("event_type").isin("view", "click"), 0.5).otherwise(1.0).alias("progress"), created.alias("created_at"),
         F.timestamp_micros(F.unix_micros(created) + (F.col("value") * 1_000_000).cast("bigint")).alias("updated_at"), error.alias("error_json"))

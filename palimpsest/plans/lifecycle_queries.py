@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.operators import lifecycle as life
-from palimpsest.plans.governance_queries import NOW, TASKS, tasks
+from palimpsest.plans.governance_queries import NOW, TASKS, tasks, tasks_of
 from palimpsest.plans.registry import Tables, query
+from palimpsest.session import cut_lineage
 from palimpsest.streaming import assets as stream_assets
 from palimpsest.streaming import tables as stream_tables
 from palimpsest.streaming import tasks as stream_tasks
+from palimpsest.streaming import timed
 
 KINDS = {"view": "queue", "click": "start", "purchase": "succeed", "error": "fail", "signup": "cancel"}
 TASK = ["user_id", "day"]
@@ -53,9 +55,10 @@ def task_state(t: Tables) -> DataFrame:
 
 @query("task_state_stream", STATE_SQL)
 def task_state_stream(t: Tables) -> DataFrame:
-    """The same states from the event files read as a stream."""
+    """The same states from the event files read as a stream, whose state forgets tasks a day after their end."""
     events = history(stream_tables.read_folder(t.spark, t.folder, "events"))
-    return shown_state(stream_tables.latest(stream_tasks.state_stream(events, TASK, F.col("micros")), TASK, "task-state"))
+    states = timed.state_stream(events, TASK, "at", late="1 hour", keep="1 day").where("reason is null")
+    return shown_state(stream_tables.latest(states.select(*TASK, "state", "reached"), TASK, "task-state"))
 
 
 @query("grace_expired", f"""WITH RECURSIVE {HISTORY}
@@ -76,19 +79,34 @@ def recover(t: Tables) -> DataFrame:
     return life.recover(stored).select("task_id", "status", "progress", "resumable")
 
 
-@query("expire", f"""WITH {TASKS}
+EXPIRED = f"""WITH {TASKS}
 SELECT 'artifact' AS kind, task_id FROM tasks WHERE status = 'succeeded' AND created_at < TIMESTAMP '{NOW}' - INTERVAL 30 DAY
 UNION ALL SELECT 'asset', task_id FROM tasks WHERE status = 'queued' AND created_at < TIMESTAMP '{NOW}' - INTERVAL 20 DAY
-UNION ALL SELECT 'temporary', task_id FROM tasks WHERE status = 'failed' AND created_at < TIMESTAMP '{NOW}' - INTERVAL 400 HOUR""")
+UNION ALL SELECT 'temporary', task_id FROM tasks WHERE status = 'failed' AND created_at < TIMESTAMP '{NOW}' - INTERVAL 400 HOUR"""
+AGES = (("artifact", "succeeded", "30 days"), ("asset", "queued", "20 days"), ("temporary", "failed", "400 hours"))
+
+
+@query("expire", EXPIRED)
 def expire(t: Tables) -> DataFrame:
     """Three kinds of rows with their own age."""
     now, at = F.lit(NOW).cast("timestamp"), F.col("created_at")
-    kinds = (("artifact", "succeeded", "30 days"), ("asset", "queued", "20 days"), ("temporary", "failed", "400 hours"))
     parts = [life.expire(tasks(t).filter(F.col("status") == status), at, now, age).select(F.lit(kind).alias("kind"), "task_id")
-             for kind, status, age in kinds]
+             for kind, status, age in AGES]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+@query("expire_stream", EXPIRED)
+def expire_stream(t: Tables) -> DataFrame:
+    """The same rows from the event files read as a stream; a clock that says the present moves the watermark."""
+    stored = tasks_of(stream_tables.read_folder(t.spark, t.folder, "events"))
+    kind = F.coalesce(*[F.when(F.col("status") == status, kind) for kind, status, _ in AGES])
+    rows = stored.select(kind.alias("kind"), "task_id", "created_at").where("kind is not null")
+    clock = t.spark.range(1).select(F.lit("clock").alias("kind"), F.col("id").alias("task_id"), F.lit(NOW).cast("timestamp").alias("created_at"))
+    ticks = t.spark.readStream.schema(clock.schema).parquet(cut_lineage(clock).inputFiles()[0].rsplit("/", 1)[0])
+    gone = timed.expire_stream(rows.unionByName(ticks), "kind", "task_id", "created_at", {kind: age for kind, _, age in AGES})
+    return stream_tables.appended(gone.where("reason is null").select("kind", "task_id"), "expire")
+
+
 @query("dedupe_assets", "SELECT sha256(text) AS sha256, min(doc_id) AS doc_id, count(*) AS n_copies FROM documents GROUP BY 1")
 def dedupe_assets(t: Tables) -> DataFrame:
     """The first document of each content digest."""
@@ -121,6 +139,21 @@ def outcome_window_stream(t: Tables) -> DataFrame:
     return stream_tables.appended(stream_tasks.outcomes_stream(events, "at", "1 hour"), "outcomes")
 
 
+@query("outcome_late_stream", """
+WITH e AS (SELECT event_id % 3 AS turn, epoch_us(ts) AS us, epoch_us(ts) // 3600000000 AS h, event_type FROM events),
+m AS (SELECT turn, max(us) AS newest FROM e GROUP BY turn),
+w AS (SELECT a.turn, max(b.newest) // 1000 - 3600000 AS mark FROM m a LEFT JOIN m b ON b.turn < a.turn GROUP BY a.turn),
+r AS (SELECT e.*, coalesce((h + 1) * 3600000 <= mark, false) AS late FROM e JOIN w USING (turn))
+SELECT h * 3600 AS window_start, count(*) FILTER (NOT late) AS n_events, count(*) FILTER (NOT late AND event_type = 'purchase') AS n_succeeded,
+ count(*) FILTER (NOT late AND event_type = 'error') AS n_failed, count(*) FILTER (late) AS n_late
+FROM r GROUP BY h HAVING (h + 1) * 3600000 <= (SELECT max(us) // 1000 FROM e) - 3600000""")
+def outcome_late_stream(t: Tables) -> DataFrame:
+    """Hourly windows of events that arrive in three turns over the whole time, with the events that came after their window was told."""
+    events = history(t.events)
+    arrivals = [events.where(F.col("event_id") % 3 == k) for k in range(3)]
+    return timed.outcome_totals(stream_tables.in_turns(arrivals, lambda rows: timed.outcomes_with_late(rows, "at", "1 hour"), "outcomes-late"))
+
+
 @query("session_window", """
 WITH g AS (SELECT user_id, epoch_us(ts) AS us, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) >= 10800000000, true) AS opens FROM events),
 s AS (SELECT *, sum(CAST(opens AS INTEGER)) OVER (PARTITION BY user_id ORDER BY us) AS k FROM g)

@@ -1,4 +1,4 @@
-"""Task states, cancel grace and outcome rates on streams."""
+"""Cancel grace, outcome rates and sessions on streams; what forgets its keys by timers is in `timed`."""
 
 from __future__ import annotations
 
@@ -6,15 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from palimpsest.operators.lifecycle import outcome_rates, task_state
+from palimpsest.operators.lifecycle import outcome_rates
 from palimpsest.operators.trials import progress
 
-__all__ = ["grace_stream", "outcomes_stream", "progress_stream", "sessions_stream", "state_stream"]
-
-
-def state_stream(events: DataFrame, task: list[str], order) -> DataFrame:
-    """Update-mode stream of task states. Three minima per task are kept, in any arrival order."""
-    return task_state(events, task, order)
+__all__ = ["grace_stream", "outcomes_stream", "progress_stream", "sessions_stream"]
 
 
 def progress_stream(trials: DataFrame, participant: str) -> DataFrame:
