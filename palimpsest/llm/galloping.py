@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -22,10 +23,12 @@ from palimpsest.llm.bpe import loaded, pieces
 from palimpsest.llm.store import kept_in_worker, written
 
 BLOCK_CHARS = 4 << 20
-PIECE_CHARS = 1 << 16  # longer texts are encoded in pieces of at least this much
-BATCH_CHARS = 1 << 18  # text encoded at once
+BATCH_CHARS = 1 << 18  # text encoded at once, or one longer document
+KNOWN = 200_000  # words a worker keeps the ids of
+LONG_WORD = 64  # characters of a word that is not kept
 RUN = 32  # ends of the shorter list that start from one place in the longer
 SAFE_CUT = re.compile(r"(?<=\S)(?= \S)")  # neither vocabulary has a token over this place
+OTHER_SPACE = re.compile(r"[^\S \n]")
 SHIFT = 1 << 32  # a pair's key is its A id times this plus its B id
 
 
@@ -44,6 +47,10 @@ class Sides:
         self.a_size, self.b_size = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
         inner = any(re.search("[^▁]▁", self.b.id_to_piece(i)) for i in range(len(self.b_bytes)))
         self.cut = None if inner else SAFE_CUT
+        self.a_of: dict[str, bytes] = {}
+        self.b_of: dict[str, bytes] = {}
+        self.bad: set[str] = set()  # words that one side does not give back
+        self.again: set[str] = set()  # known words asked again since the last were dropped
         # an id with the mark that follows it, so that a document's groups are one join of table entries
         self.marks = [b"%d%c" % (i, m) for m in b",|" for i in range(len(self.a_bytes))] + [b"%d%c" % (i, m) for m in b",;" for i in range(len(self.b_bytes))]
 
@@ -52,45 +59,62 @@ class Sides:
             return bytes([int(self.b.id_to_piece(i)[1:-1], 16)])
         return b"" if self.b.is_control(i) else self.b.id_to_piece(i).replace("▁", " ").encode()
 
-    def parts(self, text: str) -> list[str]:
-        """A text with a space ahead, in pieces that begin with a space and are encoded alike alone and together."""
+    def words(self, text: str) -> list[str]:
+        """A text with a space ahead, in words that begin with a space and are encoded alike alone and together."""
         text = " " + text
-        if len(text) <= PIECE_CHARS or self.cut is None:
+        if self.cut is None:
             return [text]
-        out, begin = [], 0
-        while (m := self.cut.search(text, begin + PIECE_CHARS)) is not None:
-            out.append(text[begin:m.start()])
-            begin = m.start()
-        return [*out, text[begin:]]
+        if "\0" in text or "  " in text or " \n" in text or "\n " in text or text[-1] == " " or OTHER_SPACE.search(text):
+            return self.cut.split(text)
+        return text.replace(" ", "\0 ").split("\0")[1:]
+
+    def learn(self, words: list[str]) -> None:
+        """Encode words that are not known yet. One is bad if its tokens do not join to it."""
+        by_a = [e.ids for e in self.a.encode_batch_fast(words, add_special_tokens=False)]
+        by_b = self.b.encode([w[1:] for w in words], num_threads=1)
+        raw = [w.encode() for w in words]
+        sizes = np.array([len(r) for r in raw], np.int64)
+        good = np.ones(len(words), bool)
+        for lists, of, table, width in ((by_a, self.a_of, self.a_bytes, self.a_size), (by_b, self.b_of, self.b_bytes, self.b_size)):
+            ends = np.cumsum([len(x) for x in lists], dtype=np.int64)
+            flat = np.fromiter(chain.from_iterable(lists), "<u4", int(ends[-1]) if len(ends) else 0)
+            packed, at = flat.tobytes(), (ends * 4).tolist()
+            of.update(zip(words, map(packed.__getitem__, map(slice, [0, *at[:-1]], at)), strict=True))
+            total = np.concatenate([[0], np.cumsum(width[flat])])
+            good &= np.diff(total[np.concatenate([[0], ends])]) == sizes
+            if b"".join(map(table.__getitem__, flat.tolist())) != b"".join(raw):  # some word is another one: look at each
+                good &= [b"".join(map(table.__getitem__, x)) == r for x, r in zip(lists, raw, strict=True)]
+        self.bad.update(words[i] for i in np.flatnonzero(~good))
 
     def encode(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """Ids by A and by B of every text; none where a text is null, empty, or not what its tokens join to."""
-        a: list[list[np.ndarray]] = [[] for _ in texts]
-        b: list[list[np.ndarray]] = [[] for _ in texts]
-        good = [bool(t) for t in texts]
-        group: list[tuple[int, str]] = []
-        size = 0
-
-        def flush() -> None:
-            by_a = self.a.encode_batch_fast([p for _, p in group], add_special_tokens=False)
-            by_b = self.b.encode([p[1:] for _, p in group], num_threads=1)
-            for (i, part), x, y in zip(group, by_a, by_b, strict=True):
-                ids, raw = x.ids, part.encode()
-                good[i] = good[i] and b"".join(map(self.a_bytes.__getitem__, ids)) == raw == b"".join(map(self.b_bytes.__getitem__, y))
-                a[i].append(np.array(ids, np.int64))
-                b[i].append(np.array(y, np.int64))
-            group.clear()
-
-        for i, t in enumerate(texts):
-            for part in self.parts(t) if t else []:
-                group.append((i, part))
-                size += len(part)
-                if size >= BATCH_CHARS:
-                    flush()
-                    size = 0
-        flush()
-        none = np.zeros(0, np.int64)
-        return tuple([np.concatenate(x) if ok and x else none for x, ok in zip(side, good, strict=True)] for side in (a, b))
+        """Ids by A and by B of every text; none where a text is null, empty, or not what its tokens join to. Known words are looked up."""
+        none = np.zeros(0, "<u4")
+        a, b = [none] * len(texts), [none] * len(texts)
+        at = 0
+        while at < len(texts):
+            group, size = [], 0
+            while at < len(texts) and size < BATCH_CHARS:
+                if texts[at]:
+                    group.append((at, self.words(texts[at])))
+                    size += len(texts[at])
+                at += 1
+            asked = set(chain.from_iterable(words for _, words in group))
+            if len(self.a_of) > KNOWN:  # go on with the words that were asked again
+                self.a_of, self.b_of = ({w: of[w] for w in self.again} for of in (self.a_of, self.b_of))
+                self.bad &= self.again
+                self.again = set()
+            fresh = asked - self.a_of.keys()
+            self.again |= asked - fresh
+            self.learn(list(fresh))
+            for i, words in group:
+                if self.bad.isdisjoint(words):
+                    a[i] = np.frombuffer(b"".join(map(self.a_of.__getitem__, words)), "<u4")
+                    b[i] = np.frombuffer(b"".join(map(self.b_of.__getitem__, words)), "<u4")
+            for w in fresh:
+                if len(w) > LONG_WORD:
+                    del self.a_of[w], self.b_of[w]
+                    self.bad.discard(w)
+        return a, b
 
 
 def galloped(short: np.ndarray, long: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -150,7 +174,7 @@ def _block(sides: Sides, texts: list[str | None]) -> dict:
     a, b = sides.encode(texts)
     n_a, n_b = (np.array([len(x) for x in side], np.int64) for side in (a, b))
     none = [np.zeros(0, np.int64)]
-    ids_a, ids_b = np.concatenate(a or none), np.concatenate(b or none)
+    ids_a, ids_b = (np.concatenate(side or none).astype(np.int64) for side in (a, b))
     ends_a, ends_b = np.cumsum(sides.a_size[ids_a]), np.cumsum(sides.b_size[ids_b])
     from_a, from_b = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b
     at_a, at_b, link_a, link_b = aligned(ends_a, ends_b, np.repeat(from_b, n_a), np.repeat(from_a, n_b))

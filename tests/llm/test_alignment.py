@@ -87,10 +87,14 @@ def test_whole_result(spark, documents, sides):
     assert galloping.align(documents([]), A, B).count() == 0
 
 
-def test_pieces_of_long_texts_are_encoded_as_a_whole(sides, monkeypatch):
-    texts = odd_texts(400)
-    whole = sides.encode(texts)
-    monkeypatch.setattr(galloping, "PIECE_CHARS", 3)
-    cut = sides.encode(texts)
-    for x, y in zip(whole, cut, strict=True):
-        assert [i.tolist() for i in x] == [i.tolist() for i in y]
+def test_words_are_encoded_as_a_whole_text(sides, monkeypatch):
+    """Cut at words, with words forgotten and long ones not kept, ids are those of whole texts."""
+    texts = [*odd_texts(400), "a" * 200 + " b " + "c" * 200, "two  spaces", "trailing ", "\0 zero", "tab\tx y"]
+    for known in (0, 10, 200_000):
+        monkeypatch.setattr(galloping, "KNOWN", known)
+        a, b = sides.encode(texts)
+        for t, x, y in zip(texts, a, b, strict=True):
+            whole_a, whole_b = sides.a.encode(" " + t, add_special_tokens=False).ids, sides.b.encode(t)
+            raw = (" " + t).encode()
+            good = b"".join(sides.a_bytes[i] for i in whole_a) == raw == b"".join(sides.b_bytes[i] for i in whole_b)
+            assert (x.tolist(), y.tolist()) == ((whole_a, whole_b) if good else ([], []))
