@@ -12,14 +12,54 @@ from palimpsest.operators.skew import BLOCK, SALTS, spread
 
 BOX = ["x0", "y0", "x1", "y1"]
 CELL = 256
+STEP = 4  # how much wider the cells of the next level are
+PLACE = ["_lx", "_ly", "_tx", "_ty", "_cx", "_cy"]
 
+Levels = list[tuple[int, int]]
 
-def cells(df: DataFrame, box: Box, cell: int) -> DataFrame:
-    """One row per grid cell that the box touches."""
-    def span(low: Column, high: Column) -> Column:
-        return F.explode(F.sequence(F.floor(low / cell), F.greatest(F.ceil(high / cell) - 1, F.floor(low / cell))))
 
-    return df.withColumn("_cx", span(box.x0, box.x1)).withColumn("_cy", span(box.y0, box.y1))
+def level(low: Column, high: Column, cell: int) -> Column:
+    """The first level whose cells are as wide as the span; cells of level n are cell * STEP ** n wide."""
+    size = high - low
+    return F.when(size <= cell, 0).otherwise(F.ceil(F.log(size / cell) / F.log(F.lit(float(STEP)))).cast("int"))
+
+
+def levels_of(left: DataFrame, right: DataFrame, cell: int) -> tuple[Levels, Levels]:
+    """The pairs of levels (across, down) in use on both sides; a few tens where sizes differ by a factor of millions."""
+    def own(df: DataFrame, box: Box, side: int) -> DataFrame:
+        return df.select(F.lit(side).alias("side"), level(box.x0, box.x1, cell).alias("x"), level(box.y0, box.y1, cell).alias("y"))
+
+    used = own(left, Box.of(), 0).unionByName(own(right, Box.of("r_"), 1)).where("x is not null and y is not null").distinct().collect()
+    return tuple([(r["x"], r["y"]) for r in sorted(used) if r["side"] == side] for side in (0, 1))
+
+
+def cells(df: DataFrame, box: Box, cell: int, others: Levels, both: bool) -> DataFrame:
+    """One row per grid cell in which the box can meet a box of the levels `others`, with the columns PLACE.
+
+    A box lives at the level of its width across and of its height down, where it touches two cells each way at most. Two boxes meet
+    at the coarser of their levels, so a box also stands in the cells of coarser levels that the other side uses. Tags
+    keep boxes apart that both stand at a coarser level only: what lives at a level is A on the side that is not `both`, and A and B on
+    the other one; what is there as a guest is B on the first and A on the second.
+    """
+    x, y = level(box.x0, box.x1, cell), level(box.y0, box.y1, cell)
+    met = F.array_distinct(F.array(*[F.struct(F.greatest(x, F.lit(u)).alias("x"), F.greatest(y, F.lit(v)).alias("y")) for u, v in others]))
+    rows = df.withColumn("_l", F.explode(met)) if others else df.withColumn("_l", F.struct(x.alias("x"), y.alias("y"))).where("false")
+    rows = rows.withColumns({"_lx": F.col("_l.x"), "_ly": F.col("_l.y")}).drop("_l")
+
+    def tag(own: Column) -> Column:
+        return F.explode(F.when(own, F.array(F.lit("A"), F.lit("B"))).otherwise(F.array(F.lit("A")))) if both else F.when(own, "A").otherwise("B")
+
+    def span(low: Column, high: Column, name: str) -> Column:
+        size = width(name, cell)
+        return F.explode(F.sequence(F.floor(low / size), F.greatest(F.ceil(high / size) - 1, F.floor(low / size))))
+
+    rows = rows.withColumn("_tx", tag(F.col("_lx") == x)).withColumn("_ty", tag(F.col("_ly") == y))
+    return rows.withColumn("_cx", span(box.x0, box.x1, "_lx")).withColumn("_cy", span(box.y0, box.y1, "_ly"))
+
+
+def width(name: str, cell: int) -> Column:
+    """The width of the cells of the level in a column."""
+    return F.pow(F.lit(float(STEP)), F.col(name)) * cell
 
 
 def box_pairs(
@@ -27,19 +67,20 @@ def box_pairs(
 ) -> DataFrame:
     """Pairs of boxes on one page that overlap with positive area.
 
-    Both sides are cut by a grid, so a crowded page is shared by many tasks and
-    boxes far apart never meet; crowded cells are salted. A pair that shares
+    Both sides are cut by a grid of several levels, so a crowded page is shared by many tasks, boxes
+    far apart never meet, and a box makes a bounded number of rows whatever its size; crowded cells are salted. A pair that shares
     several cells is kept only in the cell with the corner of its overlap, so no
     later de-duplication is needed. Columns of the right side get the prefix r_.
     """
-    keys = [*page, "_cx", "_cy"]
+    keys = [*page, *PLACE]
     renamed = right.select(*page, *[F.col(c).alias(f"r_{c}") for c in right.columns if c not in page])
     a, b = Box.of(), Box.of("r_")
-    salted_left, salted_right = spread(cells(left, a, cell), cells(renamed, b, cell), keys, block)
+    mine, theirs = levels_of(left, renamed, cell)
+    salted_left, salted_right = spread(cells(left, a, cell, theirs, False), cells(renamed, b, cell, mine, True), keys, block)
     joined = salted_left.join(salted_right, [*keys, *SALTS])
-    home = ((F.floor(F.greatest(a.x0, b.x0) / cell) == F.col("_cx"))
-            & (F.floor(F.greatest(a.y0, b.y0) / cell) == F.col("_cy")))
-    return joined.filter(overlaps(a, b) & home).drop("_cx", "_cy", *SALTS)
+    home = ((F.floor(F.greatest(a.x0, b.x0) / width("_lx", cell)) == F.col("_cx"))
+            & (F.floor(F.greatest(a.y0, b.y0) / width("_ly", cell)) == F.col("_cy")))
+    return joined.filter(overlaps(a, b) & home).drop(*PLACE, *SALTS)
 
 
 def region_overlaps(regions: DataFrame, content: DataFrame, page: list[str], cell: int = CELL) -> DataFrame:
@@ -54,10 +95,12 @@ def shapes_meeting(left: DataFrame, right: DataFrame, page: list[str], rule: Cal
 
     A lookup ends at its first hit, so no pairs are listed however crowded a page is.
     """
-    shape, keys = [*page, *BOX], [*page, "_cx", "_cy"]
+    shape, keys = [*page, *BOX], [*page, *PLACE]
+    shapes = left.select(*shape).distinct()
     renamed = right.select(*page, *[F.col(c).alias(f"r_{c}") for c in BOX]).distinct()
     a, b = Box.of(), Box.of("r_")
-    mine, theirs = spread(cells(left.select(*shape).distinct(), a, cell), cells(renamed, b, cell), keys, block)
+    own, others = levels_of(left, renamed, cell)
+    mine, theirs = spread(cells(shapes, a, cell, others, False), cells(renamed, b, cell, own, True), keys, block)
     same_place = [mine[k] == theirs[k] for k in (*keys, *SALTS)]
     hit = rule(Box(*[mine[c] for c in BOX]), Box(*[theirs[f"r_{c}"] for c in BOX]))
     return mine.join(theirs, [*same_place, hit], "left_semi").select(*shape).distinct()

@@ -43,6 +43,44 @@ def test_grid_size_and_salts_do_not_change_pairs(spark, cell, cap):
     assert rows(outside) == sorted((p, x0) for p, x0, *_ in a if (p, x0) not in hit)
 
 
+def sized_boxes(n, seed):
+    """Boxes from a unit to ten million units, thin ones among them, on two pages."""
+    rng = random.Random(seed)
+    out = []
+    for i in range(n):
+        w, h = 10 ** rng.uniform(0, 7), 10 ** rng.uniform(0, 7)
+        x, y = rng.uniform(-1e7, 1e7), rng.uniform(-1e7, 1e7)
+        if i % 3 == 0:  # near the origin, where small boxes meet
+            x, y = rng.uniform(-300, 300), rng.uniform(-300, 300)
+        out.append((i % 2, x, y, x + w, y + h))
+    return [*out, (0, -1e7, -1e7, 1e7, 1e7), (1, 0.0, 0.0, 256.0, 256.0), (1, 256.0, 256.0, 1280.0, 257.0), (0, 5.0, 5.0, 5.0, 9.0)]
+
+
+@pytest.mark.parametrize("block", [8_000, 6])
+def test_boxes_of_all_sizes(spark, block):
+    a, b = sized_boxes(150, 11), sized_boxes(170, 12)
+    left, right = table(spark, a), table(spark, b)
+    wanted = sorted((p, x0, q0) for p, x0, y0, x1, y1 in a for q, q0, r0, q1, r1 in b
+                    if p == q and x0 < q1 and x1 > q0 and y0 < r1 and y1 > r0)
+    assert rows(overlap.box_pairs(left, right, ["page"], block=block).select("page", "x0", "r_x0")) == wanted
+    hit = {(p, x0) for p, x0, _ in wanted}
+    assert rows(overlap.outside(left, right, ["page"], block=block).select("page", "x0")) == sorted((p, x0) for p, x0, *_ in a if (p, x0) not in hit)
+
+
+def test_rows_of_a_box_do_not_grow_with_its_size(spark):
+    sides = [table(spark, sized_boxes(300, seed)) for seed in (1, 2)]
+    renamed = sides[1].select("page", *[F.col(c).alias(f"r_{c}") for c in ("x0", "y0", "x1", "y1")])
+    mine, theirs = overlap.levels_of(sides[0], renamed, overlap.CELL)
+    assert len(mine) <= 81
+    left = overlap.cells(sides[0], Box.of(), overlap.CELL, theirs, False).groupBy("page", "x0", "y0").count()
+    assert left.agg(F.max("count")).first()[0] <= 4 * len(theirs)
+    huge = table(spark, [(1, 0.0, 0.0, 1e9, 1e9)])
+    _, own = overlap.levels_of(huge, huge.select("page", *[F.col(c).alias(f"r_{c}") for c in ("x0", "y0", "x1", "y1")]), overlap.CELL)
+    assert overlap.cells(huge, Box.of(), overlap.CELL, own, False).count() <= 4
+    assert overlap.box_pairs(huge, huge, ["page"]).count() == 1
+    assert overlap.box_pairs(huge, huge.where("false"), ["page"]).count() == overlap.box_pairs(huge.where("false"), huge, ["page"]).count() == 0
+
+
 def assert_greedy(pred, truth, found, threshold):
     """What defines the matching: one to one, enough overlap, and no prediction that a free box would have suited better.
 
