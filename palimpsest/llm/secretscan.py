@@ -29,9 +29,9 @@ NAMES = "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in "(?:password|
 HEAD = NAMES + r"""["']?\x20*[:=]\x20*["']?"""
 VALUE = r"[A-Za-z0-9+/_.=-]"
 ASSIGN = f"{HEAD}{VALUE}+"
-ACCESS = "AKIA[A-Z0-9]+"
-HEX = "[0-9a-f]+"
-KEPT = {"assign": 6, "access": 20, "hex": 24}  # characters of the value, or of the whole match where it is the value
+ACCESS = "AKIA[A-Z0-9]{16,}"  # runs are taken whole, so the shorter ones need not be matched first
+HEX = "[0-9a-f]{24,}"
+ASSIGNED = 6  # characters of an assigned value
 TOKEN = f"{VALUE}{{{SHORTEST},}}"
 APART = f"(?:{ASSIGN})|(?:{TOKEN})"  # an assignment met first takes its value with it
 
@@ -81,15 +81,14 @@ def _shaped(found: Column, kind: int, value: Callable[[Column], Column]) -> Colu
 
 def base_spans(text: str) -> Column:
     """array<struct<start, kind, end, value>> of the base patterns, by start and kind; kind is the place in KINDS."""
-    found = [_shaped(matches(text, ASSIGN), 0, lambda f: F.regexp_extract(f, f"^{HEAD}({VALUE}+)", 1)),
-             _shaped(matches(text, ACCESS), 1, lambda f: f), _shaped(matches(text, HEX), 2, lambda f: f)]
-    shortest = F.array(*map(F.lit, KEPT.values()))
-    return F.array_sort(F.filter(F.concat(*found), lambda s: F.length(s["value"]) >= F.get(shortest, s["kind"])))
+    named = _shaped(matches(text, ASSIGN), 0, lambda f: F.regexp_extract(f, f"^{HEAD}({VALUE}+)", 1))
+    named = F.filter(named, lambda s: F.length(s["value"]) >= ASSIGNED)
+    return F.array_sort(F.concat(named, _shaped(matches(text, ACCESS), 1, lambda f: f), _shaped(matches(text, HEX), 2, lambda f: f)))
 
 
 def other_tokens(text: str) -> Column:
     """array<struct<start, kind, end, value>> of tokens that no base pattern finds; kind 4 looks random by itself, 3 does not."""
-    base = f"{ASSIGN}|AKIA[A-Z0-9]{{16}}|[0-9a-f]{{24}}"
+    base = f"{ASSIGN}|{ACCESS}|{HEX}"
     mixed = F.filter(matches(text, APART), lambda s: ~s["found"].rlike(base) & s["found"].rlike("[0-9]") & s["found"].rlike("[A-Za-z]")
                      & (F.size(F.array_distinct(F.split(s["found"], ""))) >= DIFFERENT))
     return F.transform(mixed, lambda s: F.struct(
