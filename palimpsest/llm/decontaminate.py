@@ -18,7 +18,7 @@ LENGTH = 8  # words of a window; shorter items are one window of their own lengt
 SHORTEST = 4  # words of an item that can be told from chance
 PASSAGE = 13  # words in a row as they stand in an item that tell it whatever its length
 SHARE = 0.5  # of an item's windows found in a document
-AGREEMENT = 0.8  # of an item's slots that keep to one value for one value
+AGREEMENT = 0.8  # more than this share of an item's slots keeps to one value for one value; with five slots one that does not is too many
 BROADCAST_ROWS = 200_000  # windows of a benchmark up to which it is sent to all tasks, some 20 MB
 
 #: Words that are units after a number, and signs that are units anywhere.
@@ -149,7 +149,7 @@ def _by_share(hits: DataFrame) -> DataFrame:
     agreement = F.least(F.coalesce("forth", F.lit(1.0)), F.coalesce("back", F.lit(1.0)))
     return out.select(*pair, "n_matched", F.col("n_windows").cast("long").alias("n_windows"),
                       (F.col("n_matched") / F.col("n_windows")).alias("share"), agreement.alias("agreement"),
-                      F.coalesce("verbatim", F.lit(True)).alias("verbatim")).where(F.col("agreement") >= AGREEMENT)
+                      F.coalesce("verbatim", F.lit(True)).alias("verbatim")).where(F.col("agreement") > AGREEMENT)
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

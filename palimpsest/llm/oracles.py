@@ -105,7 +105,7 @@ FROM g JOIN p ON g.doc_id = p.doc_id AND g.h = p.h AND g.item_id = p.item_id
 LEFT JOIN f ON g.doc_id = f.doc_id AND g.h = f.h AND g.item_id = f.item_id AND p.off = f.off
 LEFT JOIN b ON g.doc_id = b.doc_id AND g.h = b.h AND g.item_id = b.item_id AND p.off = b.off
 LEFT JOIN v ON g.doc_id = v.doc_id AND g.h = v.h AND g.item_id = v.item_id AND p.off = v.off
-WHERE least(coalesce(f.r, 1.0), coalesce(b.r, 1.0)) >= {decontaminate.AGREEMENT}
+WHERE least(coalesce(f.r, 1.0), coalesce(b.r, 1.0)) > {decontaminate.AGREEMENT}
 """
 
 
@@ -127,12 +127,12 @@ def secrets() -> str:
     return f"""
 WITH t AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS text FROM documents),
 {_matched("m0", q.ASSIGN)},
-{_matched("m1", q.ACCESS)},
-{_matched("m2", q.HEX)},
+{_matched("m1", "AKIA[A-Z0-9]+")},
+{_matched("m2", "[0-9a-f]+")},
 {_matched("m3", q.APART)},
-b AS (SELECT rid, s, 0 AS kind, e, regexp_extract(found, '{value}', 1) AS value FROM m0 WHERE length(regexp_extract(found, '{value}', 1)) >= {q.KEPT["assign"]}
-  UNION ALL SELECT rid, s, 1, e, found FROM m1 WHERE length(found) >= {q.KEPT["access"]}
-  UNION ALL SELECT rid, s, 2, e, found FROM m2 WHERE length(found) >= {q.KEPT["hex"]}),
+b AS (SELECT rid, s, 0 AS kind, e, regexp_extract(found, '{value}', 1) AS value FROM m0 WHERE length(regexp_extract(found, '{value}', 1)) >= {q.ASSIGNED}
+  UNION ALL SELECT rid, s, 1, e, found FROM m1 WHERE length(found) >= 20
+  UNION ALL SELECT rid, s, 2, e, found FROM m2 WHERE length(found) >= 24),
 o AS (SELECT rid, s, CASE WHEN regexp_matches(found, '[A-Z]') AND regexp_matches(found, '[a-z]') AND length(found) >= 20 THEN 4 ELSE 3 END AS kind, e, found AS value
   FROM m3 WHERE NOT regexp_matches(found, '{base}') AND regexp_matches(found, '[0-9]') AND regexp_matches(found, '[A-Za-z]')
   AND len(list_distinct(string_split(found, ''))) >= {q.DIFFERENT}),

@@ -53,13 +53,14 @@ def test_contaminated(spark, documents, monkeypatch, limit):
     bench = spark.createDataFrame(ITEMS, "item_id long, text string").withColumnRenamed("text", "question")
     got = dc.contaminated(documents(texts, ids, item_id=9, words="x", at=1), bench, item_text="question").collect()
     found = {(r["doc_id"], r["item_id"]): r for r in got}
-    assert set(found) == {(0, 1), (1, 1), (3, 2), (4, 2), (10, 6), (11, 1), (11, 2), (12, 2), (None, 1)}
+    # document 2 has mixed-up slots; one changed word leaves document 3 with 3 of 11 windows
+    assert set(found) == {(0, 1), (1, 1), (4, 2), (10, 6), (11, 1), (11, 2), (12, 2), (None, 1)}
     assert found[0, 1]["verbatim"] and not found[1, 1]["verbatim"] and found[1, 1]["agreement"] == 1.0
     assert found[0, 1]["share"] == found[1, 1]["share"] == 1.0 and found[4, 2]["share"] < 1
     table = documents(texts, ids, item_id=9, words="x")
     left = dc.without_contaminated(table, bench.withColumnRenamed("question", "text"))
     assert left.columns == table.columns
-    assert sorted(str(r["doc_id"]) for r in left.collect()) == sorted(["2", "5", "6", "7", "8", "9"])
+    assert sorted(str(r["doc_id"]) for r in left.collect()) == ["2", "3", "5", "6", "7", "8", "9"]
     assert dc.contaminated(documents([]), bench, item_text="question").count() == 0
     assert dc.contaminated(documents(texts, ids), bench.where("false"), item_text="question").count() == 0
 
