@@ -11,6 +11,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from hashlib import sha256
 from itertools import chain
 from zlib import crc32
 
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from palimpsest.llm.blocks import cut, grown, packed, parts_for, shrunk, unpacked
 from palimpsest.llm.store import kept_in_worker
 
+BLOCK_CHARS = 4 << 20  # a block's words and ids are held in a worker beside its text
 CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 #: Classes of Latin-1 characters: a letter or digit, a comma or full stop, other white space than space and line end, or else.
 KINDS = bytes((b"a" if chr(i).isalnum() else b"," if chr(i) in ",." else b"?" if chr(i).isspace() and chr(i) not in " \n" else b"#")[0] for i in range(256))
@@ -85,7 +87,7 @@ def distinct_words(docs: DataFrame, parts: int) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         press = zstandard.ZstdCompressor(level=3)
-        for number, _, texts in cut(batches):
+        for number, _, texts in cut(batches, BLOCK_CHARS):
             words: dict[str, None] = {}
             for t in texts:
                 if t:
@@ -106,28 +108,37 @@ def coded_words(words: DataFrame, path: str) -> DataFrame:
     def run(asked: pd.DataFrame) -> pd.DataFrame:
         tokenizer = kept_in_worker(("bpe", path), lambda: loaded(path))
         piece = kept_in_worker(("pieces", path), lambda: pieces(path))
-        lists = [unpacked(grown(s, "<u4").astype(np.int64), w) for s, w in zip(asked["sizes"], asked["words"], strict=True)]
-        table = list(set(chain.from_iterable(lists)))
-        ids: dict[bytes, np.ndarray] = {}
+
+        def lists() -> Iterator[list[bytes]]:
+            """The words of one block after the other; only different ones are kept."""
+            for s, w in zip(asked["sizes"], asked["words"], strict=True):
+                yield unpacked(grown(s, "<u4").astype(np.int64), w)
+
+        table = list(set(chain.from_iterable(lists())))
+        ids: dict[bytes, bytes] = {}
         wrong: dict[bytes, bytes] = {}
         for at in range(0, len(table), 10_000):
             some = table[at:at + 10_000]
             for word, e in zip(some, tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
-                ids[word] = np.array(e.ids, "<u4")
+                ids[word] = np.array(e.ids, "<u4").tobytes()
                 if (back := b"".join(map(piece.__getitem__, e.ids))) != word:
                     wrong[word] = back
-        odd = [[i for i, w in enumerate(own) if w in wrong] for own in lists]
-        return pd.DataFrame({
-            "block": asked["block"], "part": asked["part"], "counts": [shrunk(np.array([len(ids[w]) for w in own], "<u4")) for own in lists],
-            "ids": [shrunk(np.concatenate([ids[w] for w in own])) for own in lists],
-            "odd": odd, "pieces": [[wrong[own[i]] for i in at] for own, at in zip(lists, odd, strict=True)]})
+        counts, coded, odd, pieces_of = [], [], [], []
+        for own in lists():
+            found = [ids[w] for w in own]
+            counts.append(shrunk(np.array([len(i) // 4 for i in found], "<u4")))
+            coded.append(shrunk(np.frombuffer(b"".join(found), "<u4")))
+            odd.append([i for i, w in enumerate(own) if w in wrong] if wrong else [])
+            pieces_of.append([wrong[own[i]] for i in odd[-1]])
+        return pd.DataFrame({"block": asked["block"], "part": asked["part"], "counts": counts, "ids": coded, "odd": odd, "pieces": pieces_of})
 
     return words.groupBy("part").applyInPandas(run, "block long, part int, counts binary, ids binary, odd array<int>, pieces array<binary>")
 
 
-def encode_decode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def encode_decode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", digest: bool = False) -> DataFrame:
     """(doc_id, ids array<int>, decoded): the ids of every whole text and the text they decode to, by a byte-level vocabulary.
 
+    With `digest` the last column is decoded_sha256, so that no decoded text leaves its worker.
     Nulls and empty texts have no ids and decode to an empty text. Every row gives a row, whatever its id.
     `docs` must read the same rows in the same order each time, as files do; a block that does not get its own
     words back fails the job.
@@ -140,32 +151,37 @@ def encode_decode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str
         if len(block) != 1:
             raise ValueError("words without their block: the input changed between two reads")
         b = block.iloc[0]
-        texts = [None if r is None else r.decode("utf-8", "surrogatepass") for r in unpacked(b["sizes"], b["texts"])]
-        split = [words_of(t) if t else [] for t in texts]
+        raw = unpacked(b["sizes"], b["texts"])
+
+        def split() -> Iterator[list[str]]:
+            """The words of one text after the other; only different ones are kept."""
+            for r in raw:
+                yield words_of(r.decode("utf-8", "surrogatepass")) if r else []
+
         own: dict[str, None] = {}
-        for w in split:
+        for w in split():
             own.update(dict.fromkeys(w))
         asked = _parted(own, parts)
         ids: dict[str, bytes] = {}
         wrong: dict[str, bytes] = {}
         for r in code.itertuples():
-            ends, raw, mine = (np.cumsum(grown(r.counts, "<u4").astype(np.int64)) * 4).tolist(), grown(r.ids, "<u4").tobytes(), asked[r.part]
-            ids.update(zip(mine, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
+            ends, packed_ids, mine = (np.cumsum(grown(r.counts, "<u4").astype(np.int64)) * 4).tolist(), grown(r.ids, "<u4").tobytes(), asked[r.part]
+            ids.update(zip(mine, map(packed_ids.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
             wrong.update({mine[i]: p for i, p in zip(r.odd, r.pieces, strict=True)})
         if len(ids) != len(own):
             raise ValueError("a block has other words than before: the input changed between two reads")
-        join, get = b"".join, ids.__getitem__
-        decoded = ["".join(w) for w in split] if not wrong else [
-            join(wrong[x] if x in wrong else x.encode() for x in w).decode("utf-8", "replace") for w in split]
-        return pd.DataFrame({
-            "doc_id": pd.array([None if pd.isna(x) else int(x) for x in b["ids"]], "Int64"),
-            "ids": [np.frombuffer(join(map(get, w)), "<i4") for w in split], "decoded": decoded})
+        coded, decoded = [], []
+        for w in split():
+            coded.append(np.frombuffer(b"".join(map(ids.__getitem__, w)), "<i4"))
+            back = "".join(w) if not wrong else b"".join(wrong[x] if x in wrong else x.encode() for x in w).decode("utf-8", "replace")
+            decoded.append(sha256(back.encode()).hexdigest() if digest else back)
+        return pd.DataFrame({"doc_id": pd.array([None if pd.isna(x) else int(x) for x in b["ids"]], "Int64"), "ids": coded, last: decoded})
 
-    return packed(rows).groupBy("block").cogroup(words).applyInPandas(run, "doc_id long, ids array<int>, decoded string")
+    last = "decoded_sha256" if digest else "decoded"
+    return packed(rows, BLOCK_CHARS).groupBy("block").cogroup(words).applyInPandas(run, f"doc_id long, ids array<int>, {last} string")
 
 
 def digests(coded: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of the result of encode_decode."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of the result of encode_decode with digests."""
     listed = F.array_join(F.col("ids").cast("array<string>"), ",")
-    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"),
-                        F.sha2("decoded", 256).alias("decoded_sha256"))
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), "decoded_sha256")

@@ -32,7 +32,7 @@ def op2_site_tree(spark: SparkSession, folder: str) -> DataFrame:
 
 def op3_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Digests of the ids of every document and of the text they decode to."""
-    return bpe.digests(bpe.encode_decode(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
+    return bpe.digests(bpe.encode_decode(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), digest=True))
 
 
 def op4_decontaminate(spark: SparkSession, folder: str) -> DataFrame:

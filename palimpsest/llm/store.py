@@ -10,6 +10,8 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
+KEPT = 2  # objects a Python worker keeps; no operator needs more in one task
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in spark.checkpoint.dir; a local one only for local masters without the setting."""
@@ -35,8 +37,10 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
 
 
 def kept_in_worker(key: Any, make: Callable[[], Any]) -> Any:
-    """An object made once per Python worker and key, such as a loaded vocabulary."""
+    """An object made once per Python worker and key, such as a loaded vocabulary. A worker keeps the KEPT it used last,
+    so what one operator leaves behind does not stay beside the next one's."""
     box = sys.__dict__.setdefault("_llm_objects", {})
-    if key not in box:
-        box[key] = make()
+    box[key] = box.pop(key) if key in box else make()
+    while len(box) > KEPT:
+        del box[next(iter(box))]
     return box[key]

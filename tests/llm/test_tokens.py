@@ -1,5 +1,6 @@
 """Token ids against the library, files against their bytes, top-k against a full product."""
 
+import hashlib
 import random
 import zlib
 
@@ -37,6 +38,8 @@ def test_bpe_is_the_librarys(spark, documents):
     assert sorted((str(r["doc_id"]), r["ids"], r["decoded"]) for r in got) == sorted(
         (str(i), w, lib.decode(w, skip_special_tokens=False)) for i, w in zip(ids, want, strict=True))
     assert bpe.encode_decode(documents([]), public_tokenizers.path("byte_bpe_50k.json")).count() == 0
+    told = bpe.encode_decode(documents(texts, ids), public_tokenizers.path("byte_bpe_50k.json"), digest=True).collect()
+    assert sorted(r["decoded_sha256"] for r in told) == sorted(hashlib.sha256(r["decoded"].encode()).hexdigest() for r in got)
 
 
 def test_words_cover_a_text():
