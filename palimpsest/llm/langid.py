@@ -21,7 +21,7 @@ PIECES, PIECE_CHARS = 512, 2048  # of labelled text per language: the bound of t
 LEVEL = 3
 PIECE_BYTES = 1 << 12  # of a text compressed at a time; longer pieces repeat their own words and narrow the margin
 MARGIN = 0.001
-LETTERS = re.compile(r"[^\W\d_]+")
+LETTERS = re.compile(r"[^\W\d_]+")  # with numerals such as a raised two, which are no letters and go below
 
 
 def learn(rows: DataFrame, text: str = "text", lang: str = "lang", pieces: int = PIECES, piece_chars: int = PIECE_CHARS) -> dict[str, bytes]:
@@ -42,7 +42,9 @@ def learn(rows: DataFrame, text: str = "text", lang: str = "lang", pieces: int =
 
 def letters(text: str) -> bytes:
     """The runs of letters of a text, lower-cased, with one space between them."""
-    return " ".join(LETTERS.findall(text.lower())).encode("utf-8", "surrogatepass")
+    runs = LETTERS.findall(text.lower())
+    own = [r if r.isalpha() else "".join(filter(str.isalpha, r)) for r in runs]
+    return " ".join(filter(None, own)).encode("utf-8", "surrogatepass")
 
 
 def identify(docs: DataFrame, content: dict[str, bytes], text: str = "text", prefix: str = "lang_", margin: float = MARGIN) -> DataFrame:
