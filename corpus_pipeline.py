@@ -13,31 +13,41 @@ from palimpsest.llm import bpe, decontaminate, langid, lines, simhash
 from palimpsest.llm.store import written
 
 
+SHORT = 20  # letters below which a text is kept whatever its language seems to be
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Only documents whose language is told with a margin; learned from the labelled documents of the input."""
-    return langid.identify(docs, langid.learn(docs), prefix="__").where("not __rejected").select(*docs.columns)
+    """Only documents whose language is told with a margin; learned from the labelled documents of the input.
+
+    A text of fewer than SHORT letters is too short to be judged and stays; null and empty texts and texts without a letter go.
+    Repeated rows are judged alike. Columns of `docs` may have any names but those with two underscores ahead.
+    """
+    judged = langid.identify(docs, langid.learn(docs), prefix="__")
+    n_letters = F.length(F.regexp_replace("text", r"\P{L}+", ""))
+    return judged.where(~F.col("__rejected") | n_letters.between(1, SHORT - 1)).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that ten documents share are gone from every document; n_chars follows the text."""
+    """Lines that ten documents share are gone from every document; n_chars follows the text. A null text becomes an empty
+    one, rows of one id are one document in the count, and every row stays."""
     store = lines.LineStore.empty(spark, lines.shards_for(docs.count())).insert(docs)
     return store.clean(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, similarity 0.8 or more."""
+    """One document of each group of near copies: five-word shingles, similarity 0.8 or more. See `simhash.keep_one` for null and
+    empty texts, repeated ids and ties."""
     return simhash.keep_one(docs, words=5, similarity=0.8)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Only documents that hold no benchmark item, neither as it is nor with other values."""
+    """Only documents that hold no benchmark item, neither as it is nor with other values. Null and empty texts hold none and stay."""
     return decontaminate.without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, ids, decoded_sha256): token ids of every document, and the digest of what they decode to."""
-    coded = bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.json"))
-    return coded.select("doc_id", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    """(doc_id, ids, decoded_sha256): token ids of every row, and the digest of what they decode to. Null and empty texts have no ids."""
+    return bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.json"), digest=True)
 
 
 STAGES = [("language", language), ("line_dedup", line_dedup), ("near_dedup", near_dedup),
