@@ -68,5 +68,5 @@ def with_masks(images: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], im
 def clipped(mask_runs: DataFrame, candidate_blocks: DataFrame, image: list[str]) -> DataFrame:
     """The blocks of refined masks, cut to the candidate boxes (role cand)."""
     blocks = run_blocks(mask_runs, image, "mask").unionByName(candidate_blocks)
-    return (layered(blocks, image, ["mask", "cand"]).select(*image, "bx", "by", both("mask", "cand").alias("bits"))
+    return (layered(blocks, image, ["mask", "cand"]).select(*image, "lv", "bx", "by", "sign", both("mask", "cand").alias("bits"))
             .filter("bits <> 0"))

@@ -1,9 +1,10 @@
-"""Masks as tables of 8 x 8 pixel blocks, and merged intervals.
+"""Masks as trees of pixel blocks, and merged intervals.
 
-A block is one row (image, bx, by) with its 64 pixels as the bits of a whole number,
-bit 8 * row + column. Shapes that cover a block are combined by bit-or before any
-shuffle, set algebra is bit algebra, and sizes are bit counts: no sort, no window and
-no join, and an image of any size is shared by as many tasks as it has blocks.
+A block is one row (image, lv, bx, by). At level 0 it has 8 x 8 pixels as the bits of a whole number, bit
+8 * row + column; a block of level n is 4 ** n times as wide and stands for an area that is full. A
+shape takes full blocks for its inside and bits along its outline, so its rows grow with the outline. Blocks
+are combined by bit-or before any shuffle, set algebra is bit algebra and sizes are bit counts. Where masks
+differ in level, a block adds what its bits change on the full blocks above it; nothing is refined.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from palimpsest.functions.measures import correction_reduction, ratio
 from palimpsest.operators.prefix import running
 
 SIDE = 8
+STEP = 4  # blocks of a level side by side in one of the next
 
 
 def _signed(bits: int) -> int:
@@ -54,9 +56,43 @@ def rect_blocks(boxes: DataFrame, image: list[str], width: Column, height: Colum
     cut = boxes.select(*image, (F.lit(role) if isinstance(role, str) else role).alias("role"), F.greatest(b.x0, F.lit(0)).alias("x0"), F.least(b.x1, width).alias("x1"),
                        F.greatest(b.y0, F.lit(0)).alias("y0"), F.least(b.y1, height).alias("y1")).filter("x0 < x1 AND y0 < y1")
     x0, y0, x1, y1 = Box.of()
-    placed = cut.withColumn("bx", _blocks_along(x0, x1)).withColumn("by", _blocks_along(y0, y1))
+    top = F.greatest(F.floor(F.log(F.least(x1 - x0, y1 - y0) / SIDE) / F.log(F.lit(float(STEP)))), F.lit(0))
+    leveled = cut.withColumn("_top", top.cast("int")).withColumn("lv", F.explode(F.sequence(F.lit(0), F.col("_top"))))
+    strips = leveled.withColumn("_s", F.explode(_ring(x0, y0, x1, y1)))
+    placed = strips.withColumn("bx", F.explode(F.sequence("_s.x0", F.col("_s.x1") - 1))).withColumn(
+        "by", F.explode(F.sequence("_s.y0", F.col("_s.y1") - 1)))
     bits = _band(*_part(x0, x1, "bx"), by_row=False).bitwiseAND(_band(*_part(y0, y1, "by"), by_row=True))
-    return placed.select(*image, "role", "bx", "by", bits.alias("bits"))
+    return placed.select(*image, "role", "lv", "bx", "by", F.when(F.col("lv") == 0, bits).otherwise(-1).alias("bits"))
+
+
+def _ring(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    """The blocks of level `lv` that a box covers (touches, at level 0) and that no full block of the next level covers: four strips
+    around those, or all. The last level `_top` has no next one."""
+    side = F.pow(F.lit(float(STEP)), "lv") * SIDE
+
+    def inside(low: Column, high: Column, width: Column) -> tuple[Column, Column]:
+        return F.ceil(low / width), F.floor(high / width)
+
+    touched = [F.floor(x0 / SIDE), F.floor((x1 - 1) / SIDE) + 1, F.floor(y0 / SIDE), F.floor((y1 - 1) / SIDE) + 1]
+    full = [*inside(x0, x1, side), *inside(y0, y1, side)]
+    outer = [F.when(F.col("lv") == 0, t).otherwise(f) for t, f in zip(touched, full, strict=True)]
+    inner = [v * STEP for v in (*inside(x0, x1, side * STEP), *inside(y0, y1, side * STEP))]
+    hollow = (F.col("lv") < F.col("_top")) & (inner[0] < inner[1]) & (inner[2] < inner[3])
+
+    def strip(a: Column, b: Column, c: Column, d: Column) -> Column:
+        return F.struct(*[v.cast("bigint").alias(n) for v, n in zip((a, b, c, d), ("x0", "x1", "y0", "y1"), strict=True)])
+
+    around = F.array(strip(outer[0], outer[1], outer[2], inner[2]), strip(outer[0], outer[1], inner[3], outer[3]),
+                     strip(outer[0], inner[0], inner[2], inner[3]), strip(inner[1], outer[1], inner[2], inner[3]))
+    return F.filter(F.when(hollow, around).otherwise(F.array(strip(*outer))), lambda s: (s["x0"] < s["x1"]) & (s["y0"] < s["y1"]))
+
+
+def top_level(width: int, height: int) -> int:
+    """The coarsest level that a mask of a picture of this size can have."""
+    n = 0
+    while SIDE * STEP ** (n + 1) <= min(width, height):
+        n += 1
+    return n
 
 
 def run_blocks(runs: DataFrame, image: list[str], role: str) -> DataFrame:
@@ -64,7 +100,7 @@ def run_blocks(runs: DataFrame, image: list[str], role: str) -> DataFrame:
     placed = runs.withColumn("bx", _blocks_along(F.col("x0"), F.col("x1")))
     row = F.col("y") % SIDE
     bits = _band(*_part(F.col("x0"), F.col("x1"), "bx"), by_row=False).bitwiseAND(_band(row, row + 1, by_row=True))
-    return placed.select(*image, F.lit(role).alias("role"), "bx", F.floor(F.col("y") / SIDE).alias("by"), bits.alias("bits"))
+    return placed.select(*image, F.lit(role).alias("role"), F.lit(0).alias("lv"), "bx", F.floor(F.col("y") / SIDE).alias("by"), bits.alias("bits"))
 
 
 def polygon_runs(polys: DataFrame, image: list[str], width: Column, height: Column, role: str) -> DataFrame:
@@ -109,20 +145,41 @@ def polygon_runs(polys: DataFrame, image: list[str], width: Column, height: Colu
                         F.least(F.col("_r.b") + 1, F.col("_w")).alias("x1")).filter("x0 < x1"))
 
 
-def layered(blocks: DataFrame, image: list[str], roles: list[str]) -> DataFrame:
-    """One row per block with the combined bits of each role as a column."""
-    bits = [F.coalesce(F.bit_or(F.when(F.col("role") == r, F.col("bits"))), F.lit(0).cast("bigint")).alias(r) for r in roles]
-    return blocks.groupBy(*image, "bx", "by").agg(*bits)
+def layered(blocks: DataFrame, image: list[str], roles: list[str], top: int | None = None) -> DataFrame:
+    """Blocks with the bits of each role as a column, and a sign: what a bit expression makes of the rows, added by sign, is its mask.
+
+    A row of sign 1 has the block's own bits and the roles that are full in a block above it; where there are
+    such roles, a row of sign -1 takes back what they alone gave the same place. `top` is the coarsest level there can be, measured if not given.
+    """
+    node = [*image, "lv", "bx", "by"]
+    own = blocks.groupBy(*node).agg(*[
+        F.coalesce(F.bit_or(F.when(F.col("role") == r, F.col("bits"))), F.lit(0).cast("bigint")).alias(r) for r in roles])
+    top = (blocks.agg(F.max("lv")).first()[0] or 0) if top is None else top
+    if top == 0:
+        return own.withColumn("sign", F.lit(1))
+    above = F.when(F.col("lv") < top, F.sequence(F.col("lv") + 1, F.lit(top))).otherwise(F.array(F.lit(-1)))
+    asked = own.withColumn("_m", F.explode(above))
+    wide = F.pow(F.lit(float(STEP)), F.col("_m") - F.col("lv"))
+    full = own.where("lv > 0").select(*[F.col(c).alias(f"_{c}") for c in node], *[F.col(r).alias(f"_up_{r}") for r in roles])
+    same = (F.col("_m") == F.col("_lv")) & (F.floor(F.col("bx") / wide) == F.col("_bx")) & (F.floor(F.col("by") / wide) == F.col("_by"))
+    for c in image:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    seen = asked.join(full, same, "left").groupBy(*node).agg(
+        *[F.bit_or(r).alias(r) for r in roles], *[F.coalesce(F.bit_or(f"_up_{r}"), F.lit(0).cast("bigint")).alias(f"_up_{r}") for r in roles])
+    plus = F.struct(F.lit(1).alias("sign"), *[F.col(r).bitwiseOR(F.col(f"_up_{r}")).alias(r) for r in roles])
+    minus = F.struct(F.lit(-1).alias("sign"), *[F.col(f"_up_{r}").alias(r) for r in roles])
+    covered = F.greatest(*[F.col(f"_up_{r}") != 0 for r in roles], F.lit(False))
+    return seen.select(*node, F.explode(F.when(covered, F.array(plus, minus)).otherwise(F.array(plus))).alias("_v")).select(*node, "_v.*")
 
 
 def size(bits: Column) -> Column:
     """Pixels of a block expression, summed over blocks."""
-    return F.sum(F.bit_count(bits)).cast("bigint")
+    return F.sum(F.bit_count(bits) * F.col("sign") * F.pow(F.lit(float(STEP * STEP)), "lv").cast("bigint")).cast("bigint")
 
 
-def set_sizes(blocks: DataFrame, image: list[str], roles: list[str], sets: Mapping[str, Column]) -> DataFrame:
-    """Pixel counts per image of any bit expressions over the roles."""
-    return layered(blocks, image, roles).groupBy(*image).agg(*[size(bits).alias(name) for name, bits in sets.items()])
+def set_sizes(blocks: DataFrame, image: list[str], roles: list[str], sets: Mapping[str, Column], top: int | None = None) -> DataFrame:
+    """Pixel counts per image of any bit expressions over the roles that are empty where all roles are."""
+    return layered(blocks, image, roles, top).groupBy(*image).agg(*[size(bits).alias(name) for name, bits in sets.items()])
 
 
 def without(a: str, b: str) -> Column:
@@ -133,9 +190,9 @@ def both(a: str, b: str) -> Column:
     return F.col(a).bitwiseAND(F.col(b))
 
 
-def effective(blocks: DataFrame, image: list[str], mask: str = "mask", protect: str = "protect") -> DataFrame:
-    """Blocks of the mask without the protected pixels; empty blocks are left out."""
-    return (layered(blocks, image, [mask, protect]).select(*image, "bx", "by", without(mask, protect).alias("bits"))
+def effective(blocks: DataFrame, image: list[str], mask: str = "mask", protect: str = "protect", top: int | None = None) -> DataFrame:
+    """Blocks of the mask without the protected pixels, with their signs; empty blocks are left out."""
+    return (layered(blocks, image, [mask, protect], top).select(*image, "lv", "bx", "by", "sign", without(mask, protect).alias("bits"))
             .filter("bits <> 0"))
 
 
@@ -146,7 +203,10 @@ def mask_state(blocks: DataFrame, image: list[str]) -> DataFrame:
 
 
 def coordinate_sums(blocks: DataFrame, image: list[str]) -> DataFrame:
-    """Pixel count and sums of x and y over set pixels: enough to find a mask's centre, or to compare masks."""
+    """Pixel count and sums of x and y over set pixels: enough to find a mask's centre, or to compare masks. Rows have signs, or are
+    blocks of one mask that do not overlap; images without pixels are left out."""
+    blocks = blocks if "sign" in blocks.columns else blocks.withColumn("sign", F.lit(1))
+
     def weighted(by_row: bool) -> Column:
         total = F.lit(0)
         for k in range(1, SIDE):
@@ -154,27 +214,32 @@ def coordinate_sums(blocks: DataFrame, image: list[str]) -> DataFrame:
             total = total + F.bit_count(F.col("bits").bitwiseAND(F.lit(line))) * k
         return total
 
-    n = F.bit_count("bits")
+    width = F.pow(F.lit(float(STEP)), "lv").cast("bigint") * SIDE
+    n = F.bit_count("bits") * F.pow(F.lit(float(STEP * STEP)), "lv").cast("bigint")
+
+    def total(place: str, by_row: bool) -> Column:
+        within = F.when(F.col("lv") == 0, weighted(by_row)).otherwise(F.floor(n * (width - 1) / 2))
+        return F.sum(F.col("sign") * (F.col(place) * width * n + within)).cast("bigint")
+
     return blocks.groupBy(*image).agg(
-        F.sum(n).cast("bigint").alias("pixels"), F.sum(F.col("bx") * SIDE * n + weighted(False)).cast("bigint").alias("x_sum"),
-        F.sum(F.col("by") * SIDE * n + weighted(True)).cast("bigint").alias("y_sum"))
+        F.sum(F.col("sign") * n).cast("bigint").alias("pixels"), total("bx", False).alias("x_sum"), total("by", True).alias("y_sum")).where("pixels > 0")
 
 
-def coverage(shapes: DataFrame, image: list[str], width: Column, height: Column, protected: Column) -> DataFrame:
+def coverage(shapes: DataFrame, image: list[str], width: Column, height: Column, protected: Column, top: int | None = None) -> DataFrame:
     """Area of the union of rectangles, and of that union without the protected ones."""
     role = F.when(protected, "protect").otherwise("mask")
     return set_sizes(rect_blocks(shapes, image, width, height, role), image, ["mask", "protect"], {
-        "union_area": F.col("mask"), "effective_area": without("mask", "protect")})
+        "union_area": F.col("mask"), "effective_area": without("mask", "protect")}, top)
 
 
-def mask_score(blocks: DataFrame, image: list[str]) -> DataFrame:
+def mask_score(blocks: DataFrame, image: list[str], top: int | None = None) -> DataFrame:
     """Pixel counts and scores per image from the blocks of the roles truth, pred and cand."""
     return with_mask_scores(set_sizes(blocks, image, ["truth", "pred", "cand"], {
         "true_positive_pixels": both("truth", "pred"), "false_positive_pixels": without("pred", "truth"),
         "false_negative_pixels": without("truth", "pred"),
         "candidate_correction_pixels": F.col("cand").bitwiseXOR(F.col("truth")),
         "refined_correction_pixels": F.col("pred").bitwiseXOR(F.col("truth")),
-        "outside_candidate_pixels": without("pred", "cand")}))
+        "outside_candidate_pixels": without("pred", "cand")}, top))
 
 
 def with_mask_scores(counted: DataFrame) -> DataFrame:
@@ -198,7 +263,7 @@ def pixel_blocks(pixels: DataFrame, image: list[str]) -> DataFrame:
     """The blocks of decoded mask pixels (image, y, x, role)."""
     x, y = F.col("x"), F.col("y")
     bits = _band(x % SIDE, x % SIDE + 1, by_row=False).bitwiseAND(_band(y % SIDE, y % SIDE + 1, by_row=True))
-    return pixels.select(*image, "role", F.floor(x / SIDE).alias("bx"), F.floor(y / SIDE).alias("by"), bits.alias("bits"))
+    return pixels.select(*image, "role", F.lit(0).alias("lv"), F.floor(x / SIDE).alias("bx"), F.floor(y / SIDE).alias("by"), bits.alias("bits"))
 
 
 def merge_intervals(df: DataFrame, keys: list[str], start: str = "start", end: str = "end",

@@ -13,6 +13,7 @@ from palimpsest.plans.roles import BOXES, CANDIDATES, boxes, candidates
 
 WIDTH, HEIGHT = 50, 40
 IMAGE = ["page"]
+TOP = masks.top_level(WIDTH, HEIGHT)
 
 
 def blocks(df: DataFrame, role) -> DataFrame:
@@ -33,7 +34,7 @@ SELECT page, count(*) AS effective_pixels, CAST(sum(y * 1000 + x) AS BIGINT) AS
 def mask_algebra(t: Tables) -> DataFrame:
     """Odd lines are masked, even lines protected; pixels left per order and a sum of their positions."""
     shapes = blocks(boxes(t), F.when(F.col("line") % 2 == 1, "mask").otherwise("protect"))
-    return masks.coordinate_sums(masks.effective(shapes, IMAGE), IMAGE).select(
+    return masks.coordinate_sums(masks.effective(shapes, IMAGE, top=TOP), IMAGE).select(
         "page", F.col("pixels").alias("effective_pixels"), (F.col("y_sum") * 1000 + F.col("x_sum")).alias("position_sum"))
 
 
@@ -53,7 +54,7 @@ def mask_polygons(t: Tables) -> DataFrame:
     polys = boxes(t).filter("line % 2 = 1").select("page", shape.alias("points"))
     runs = masks.polygon_runs(polys, IMAGE, F.lit(WIDTH), F.lit(HEIGHT), "mask").drop("role")
     shapes = masks.run_blocks(runs, IMAGE, "mask").unionByName(blocks(boxes(t).filter("line % 2 = 0"), "protect"))
-    return masks.coordinate_sums(masks.effective(shapes, IMAGE), IMAGE).select("page", F.col("pixels").alias("effective_pixels"))
+    return masks.coordinate_sums(masks.effective(shapes, IMAGE, top=TOP), IMAGE).select("page", F.col("pixels").alias("effective_pixels"))
 
 
 @query("mask_clip", f"""
@@ -63,7 +64,7 @@ SELECT page, count(*) AS clipped_pixels FROM (SELECT DISTINCT page, x, y FROM px
 def mask_clip(t: Tables) -> DataFrame:
     """Pixels of an order's lines that lie in its candidate box."""
     shapes = blocks(boxes(t), "mask").unionByName(blocks(candidates(t), "cand"))
-    return masks.set_sizes(shapes, IMAGE, ["mask", "cand"], {"clipped_pixels": masks.both("mask", "cand")}).filter("clipped_pixels > 0")
+    return masks.set_sizes(shapes, IMAGE, ["mask", "cand"], {"clipped_pixels": masks.both("mask", "cand")}, TOP).filter("clipped_pixels > 0")
 
 
 @query("xor_size", f"""
@@ -72,7 +73,7 @@ f AS (SELECT page, x, y, bool_or(line = 1) AS a, bool_or(line <> 1) AS b FROM px
 SELECT page, count(*) FILTER (a <> b) AS xor_pixels FROM f GROUP BY page""")
 def xor_size(t: Tables) -> DataFrame:
     shapes = blocks(boxes(t), F.when(F.col("line") == 1, "a").otherwise("b"))
-    return masks.set_sizes(shapes, IMAGE, ["a", "b"], {"xor_pixels": F.col("a").bitwiseXOR(F.col("b"))})
+    return masks.set_sizes(shapes, IMAGE, ["a", "b"], {"xor_pixels": F.col("a").bitwiseXOR(F.col("b"))}, TOP)
 
 
 MASK_SCORE = f"""
@@ -95,7 +96,7 @@ round(CASE WHEN candidate_correction_pixels = 0 THEN CASE WHEN refined_correctio
 
 def scored(t: Tables) -> DataFrame:
     marks = blocks(boxes(t), F.when(F.col("line") == 1, "truth").otherwise("pred"))
-    return masks.mask_score(marks.unionByName(blocks(candidates(t), "cand")), IMAGE)
+    return masks.mask_score(marks.unionByName(blocks(candidates(t), "cand")), IMAGE, TOP)
 
 
 @query("mask_score", f"WITH {BOXES}, {CANDIDATES}, {MASK_SCORE} SELECT *, {RATES} FROM s")
@@ -148,4 +149,4 @@ WITH {BOXES}, {PIXELS}, f AS (SELECT page, x, y, bool_or(line <> 2) AS m, bool_o
 SELECT page, count(*) FILTER (m) AS union_area, count(*) FILTER (m AND NOT p) AS effective_area FROM f GROUP BY page""")
 def coverage_area(t: Tables) -> DataFrame:
     """Union of an order's boxes, and the same without what its second lines protect."""
-    return masks.coverage(boxes(t), IMAGE, F.lit(WIDTH), F.lit(HEIGHT), F.col("line") == 2)
+    return masks.coverage(boxes(t), IMAGE, F.lit(WIDTH), F.lit(HEIGHT), F.col("line") == 2, TOP)
