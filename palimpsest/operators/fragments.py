@@ -139,7 +139,7 @@ def unchanged(
 ) -> DataFrame:
     """Compare two versions row by row; only selected rows may be missing or differ."""
     def hashed(df: DataFrame, name: str) -> DataFrame:
-        return df.select(*keys, F.sha2(F.col(content).cast("binary"), 256).alias(name))
+        return df.select(*keys, F.coalesce(F.sha2(F.col(content).cast("binary"), 256), F.lit("null")).alias(name))
 
     marks = selected.select(*keys).distinct().withColumn("_selected", F.lit(True))
     joined = (hashed(before, "_b").join(hashed(after, "_a"), keys, "full_outer")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions import ids, text
+from palimpsest.operators import digests
 from palimpsest.operators import fragments as frag
 from palimpsest.operators.audit import key_diff, level_counts
 from palimpsest.operators.governance import sorted_distinct
@@ -245,6 +246,35 @@ def invariance(t: Tables) -> DataFrame:
             .groupBy("lang", "status").agg(F.count(F.lit(1)).alias("n")))
 
 
+EDITED = "doc_id % 50 = 7"
+
+
+@query("invariance_digest", f"""
+WITH {FRAGS}, {CHOSEN},
+m AS (SELECT f.*, c.n_pages IS NOT NULL AND {EDITED} AS sel FROM frags f LEFT JOIN chosen c ON f.source = c.source AND f.norm_text = c.norm_text)
+SELECT lang, CASE WHEN sel THEN 'REMOVED_AS_SELECTED' WHEN content <> norm_text AND {EDITED} THEN 'CHANGED' ELSE 'UNCHANGED' END AS status,
+  count(*) AS n FROM m GROUP BY ALL""")
+def invariance_digest(t: Tables) -> DataFrame:
+    """The same edit in a fiftieth of the documents; the others' fragments stand in equal buckets and are not joined."""
+    keys = ["lang", "doc_id", "occurrence"]
+    selected = cut_lineage(repeats(t).where(EDITED).select(*keys))
+    edited = frag.apply_selection(lines(t).where(EDITED), selected, keys).withColumn("content", text.norm(F.col("content")))
+    after = lines(t).where(f"NOT ({EDITED})").unionByName(edited)
+    return (digests.unchanged_by_digest(lines(t), after, selected, keys, "content")
+            .groupBy("lang", "status").agg(F.count(F.lit(1)).alias("n")))
+
+
+@query("golden_digest", f"""
+WITH {FRAGS}, s AS (SELECT doc_id, occurrence, content FROM frags), g AS (SELECT doc_id, occurrence, CASE WHEN {EDITED} THEN content || '!' ELSE content END AS content FROM frags)
+SELECT *, 'ONLY_STORED' AS status FROM (SELECT * FROM s EXCEPT ALL SELECT * FROM g)
+UNION ALL SELECT *, 'ONLY_RECOMPUTED' FROM (SELECT * FROM g EXCEPT ALL SELECT * FROM s)""")
+def golden_digest(t: Tables) -> DataFrame:
+    """Stored fragments against ones recomputed with another ending in a fiftieth of the documents."""
+    stored = lines(t).select("doc_id", "occurrence", "content")
+    fresh = stored.withColumn("content", F.expr(f"CASE WHEN {EDITED} THEN content || '!' ELSE content END"))
+    return digests.golden_diff_by_digest(fresh, stored, ["doc_id"])
+
+
 @query("changed_pages", f"""
 WITH {FRAGS}, {CHOSEN}
 SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS position
