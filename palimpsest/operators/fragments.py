@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions.ids import digest_id
 from palimpsest.functions.text import collapse, evidence, lexicon_hit, norm, text_match
 from palimpsest.operators.prefix import chunk_of, running
+from palimpsest.operators.sieve import marked, seen_twice
 
 # Default thresholds for repeated text.
 MIN_PAGES, MIN_SHARE, MAX_FRAGMENT = 2, 0.5, 200
@@ -46,11 +47,13 @@ def repeated_text(
     min_share: float = MIN_SHARE,
     target: str | None = None,
     scope: str = "document",
+    slots: int | None = None,
 ) -> DataFrame:
     """Fragments whose normalised text recurs on enough pages of the asset, or holds the target.
 
     `pages` lists every page (it gives the page total). With scope "corpus" pages
-    are counted over all assets together.
+    are counted over all assets together. With `slots` a sieve of that size takes out
+    what stands on one page only, before anything is counted or joined.
     """
     keys = [asset] if scope == "document" else []
     page_key = page if keys else "_page"
@@ -60,6 +63,9 @@ def repeated_text(
         rows = rows.withColumn("_page", F.struct(asset, page))
         listed = pages.withColumn("_page", F.struct(asset, page))
     totals = listed.select(*keys, page_key).distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("_total"))
+    if slots and min_pages > 1:
+        flags = marked(rows, [*keys, "norm_text"], seen_twice(rows, [*keys, "norm_text"], [page_key], slots), "_again", slots)
+        rows = flags.where(F.col("_again") | text_match(F.col("content"), target)).drop("_again")
     repeats = pages_per_value(rows, keys, page_key, "norm_text").filter(F.col("n_pages") >= min_pages)
     joined = repeats.join(totals, keys) if keys else repeats.withColumn("_total", totals.select("_total").scalar())
     chosen = (joined.filter(F.col("n_pages") / F.col("_total") >= min_share)
@@ -81,8 +87,14 @@ def repeated_text(
     )
 
 
-def repeated_objects(uses: DataFrame, asset: str, page: str, ref: str, min_pages: int = 2) -> DataFrame:
-    """Object uses, ambiguous where the same object is used on several pages, else content."""
+def repeated_objects(uses: DataFrame, asset: str, page: str, ref: str, min_pages: int = 2, slots: int | None = None) -> DataFrame:
+    """Object uses, ambiguous where the same object is used on several pages, else content. With `slots` uses that a sieve
+    of that size knows to be on one page are neither counted nor joined."""
+    if slots and min_pages > 1:
+        flags = marked(uses, [asset, ref], seen_twice(uses, [asset, ref], [page], slots), "_again", slots)
+        once = flags.where("NOT _again").drop("_again").select(asset, ref, *[c for c in uses.columns if c not in (asset, ref)])
+        several = repeated_objects(flags.where("_again").drop("_again"), asset, page, ref, min_pages)
+        return several.unionByName(once.withColumn("classification", F.lit("content")).withColumn("n_pages", F.lit(1).cast("bigint")))
     counts = (pages_per_value(uses, [asset], page, ref).filter(F.col("n_pages") >= min_pages))
     return (uses.join(counts, [asset, ref], "left")
             .withColumn("classification",

@@ -11,6 +11,7 @@ from palimpsest.operators import fragments as frag
 from palimpsest.operators.audit import key_diff, level_counts
 from palimpsest.operators.governance import sorted_distinct
 from palimpsest.operators.prefix import chunk_of, numbered
+from palimpsest.operators.sieve import SLOTS
 from palimpsest.plans.registry import Tables, query
 from palimpsest.session import cut_lineage
 from palimpsest.sources.report import golden_diff
@@ -48,16 +49,25 @@ chosen AS (
 """
 
 
-@query("repeated_text", f"""
+REPEATED = f"""
 WITH {FRAGS}, {CHOSEN}
 SELECT 'text-' || substr(sha256(concat_ws('|', source, 'text', doc_id, occurrence, content)), 1, 20) AS candidate_id,
        'ambiguous' AS classification, source, doc_id, line_no, occurrence, norm_text, n_pages,
        'REPEATED_ON_PAGES:' || n_pages || '；POSITION_IS_A_HINT_ONLY' AS evidence
-FROM frags JOIN chosen USING (source, norm_text)""")
+FROM frags JOIN chosen USING (source, norm_text)"""
+CANDIDATE = ["candidate_id", "classification", "source", "doc_id", "line_no", "occurrence", "norm_text", "n_pages", "evidence"]
+
+
+@query("repeated_text", REPEATED)
 def repeated_text(t: Tables) -> DataFrame:
     """Every occurrence of a line that recurs on at least a tenth of its source's documents."""
-    return repeats(t).select("candidate_id", "classification", "source", "doc_id", "line_no", "occurrence",
-                             "norm_text", "n_pages", "evidence")
+    return repeats(t).select(*CANDIDATE)
+
+
+@query("repeated_text_sieve", REPEATED)
+def repeated_text_sieve(t: Tables) -> DataFrame:
+    """The same lines, with all that stand on one page taken out before they are counted."""
+    return frag.repeated_text(lines(t), t.documents, "source", "doc_id", min_share=SHARE, slots=SLOTS).select(*CANDIDATE)
 
 
 @query("fragments", f"""
@@ -160,11 +170,14 @@ def size_guard(t: Tables) -> DataFrame:
     return frag.size_guard(t.documents, "source", "doc_id", F.octet_length("text").cast("bigint"), 100_000)
 
 
-@query("repeated_objects", """
+OBJECT_USES = """
 WITH u AS (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey FROM lineitem),
 c AS (SELECT l_orderkey, l_partkey, count(*) AS n FROM u GROUP BY ALL)
 SELECT l_orderkey, l_linenumber, l_partkey, n AS n_pages,
-  CASE WHEN n >= 2 THEN 'ambiguous' ELSE 'content' END AS classification FROM lineitem JOIN c USING (l_orderkey, l_partkey)""")
+  CASE WHEN n >= 2 THEN 'ambiguous' ELSE 'content' END AS classification FROM lineitem JOIN c USING (l_orderkey, l_partkey)"""
+
+
+@query("repeated_objects", OBJECT_USES)
 def repeated_objects(t: Tables) -> DataFrame:
     """Order = asset, line number = page, part = object."""
     uses = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey")
@@ -172,6 +185,13 @@ def repeated_objects(t: Tables) -> DataFrame:
         "n_pages", F.col("n_pages").cast("bigint"))
 
 
+@query("repeated_objects_sieve", OBJECT_USES)
+def repeated_objects_sieve(t: Tables) -> DataFrame:
+    """The same classes; objects of one page are neither counted nor joined."""
+    uses = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey")
+    return frag.repeated_objects(uses, "l_orderkey", "l_linenumber", "l_partkey", slots=SLOTS).withColumn("n_pages", F.col("n_pages").cast("bigint"))
+
+
 def object_candidates(t: Tables) -> DataFrame:
     return frag.repeated_objects(t.lineitem.select("l_suppkey", "l_linenumber", "l_partkey"),
                                  "l_suppkey", "l_linenumber", "l_partkey").filter("classification <> 'content'")
