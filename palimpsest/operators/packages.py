@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.functions.html import decode
 from palimpsest.functions.ids import digest_id
 from palimpsest.functions.paths import part_path, unsafe
 from palimpsest.functions.text import evidence, fold
+from palimpsest.operators.markup import read_parts
 from palimpsest.operators.prefix import running
 
 # Header and footer part names, the shape type of built-in marks, image relationships.
@@ -59,26 +59,17 @@ def dangling(rels: DataFrame, parts: DataFrame, asset: list[str]) -> DataFrame:
     return placed.join(names, [*asset, "resolved"], "left_anti")
 
 
-def each(xml: Column, tag: str) -> Column:
-    """Elements with a local name, each as its own markup text."""
-    form = rf"(?s)<(?:\w+:)?{tag}\b(?:[^>]*/>|.*?</(?:\w+:)?{tag}\s*>)"
-    return F.regexp_extract_all(xml, F.lit(form), F.lit(0))
-
-
-def attr(element: Column, name: str, tag: str = r"[\w:]+") -> Column:
-    """First value of an attribute by local name on a start tag, entities decoded; null where missing."""
-    form = rf"""<(?:\w+:)?{tag}\b[^>]*?\s(?:\w+:)?{name}\s*=\s*(?:"([^"]*)"|'([^']*)')"""
-    return F.when(element.rlike(form), decode(F.concat(F.regexp_extract(element, form, 1), F.regexp_extract(element, form, 2))))
+def malformed(parts: DataFrame, asset: str) -> DataFrame:
+    """Header and footer parts that are not well-formed, as rejects."""
+    bad = read_parts(select_parts(parts), [asset, "part_name"]).where("kind = 'malformed'")
+    return bad.select(asset, "part_name", F.lit("INVALID_MARKUP").alias("status"))
 
 
 def shape_candidates(parts: DataFrame, asset: str, target: str | None = None) -> DataFrame:
-    """Text shapes in headers: confirmed with the built-in mark shape and exactly the target text."""
-    shapes = select_parts(parts).select(asset, "part_name", F.posexplode(each(F.col("xml"), "shape")).alias("shape_index", "_s"))
-    strings = F.transform(each(F.col("_s"), "textpath"), lambda e: F.trim(F.coalesce(attr(e, "string", "textpath"), F.lit(""))))
-    content = F.nullif(F.array_join(F.filter(strings, lambda v: v != ""), " "), F.lit(""))
-    rows = shapes.filter(F.size(each(F.col("_s"), "textpath")) > 0).select(
-        asset, "part_name", "shape_index", content.alias("content"), attr(F.col("_s"), "type", "shape").alias("shape_type"),
-        attr(F.col("_s"), "style", "shape").alias("style"))
+    """Text shapes in headers: confirmed with the built-in mark shape and exactly the target text. Malformed parts hold none."""
+    shapes = read_parts(select_parts(parts), [asset, "part_name"]).where("kind = 'shape' AND strings IS NOT NULL")
+    content = F.nullif(F.array_join(F.filter(F.transform("strings", lambda v: F.trim(v)), lambda v: v != ""), " "), F.lit(""))
+    rows = shapes.select(asset, "part_name", F.col("idx").alias("shape_index"), content.alias("content"), F.col("type").alias("shape_type"), "style")
     known = F.coalesce(F.col("shape_type") == MARK_SHAPE, F.lit(False))
     same = F.coalesce(fold(F.col("content")) == fold(F.trim(F.lit(target or ""))), F.lit(False)) if target else F.lit(False)
     return rows.withColumns({
@@ -94,17 +85,12 @@ def drawing_candidates(parts: DataFrame, rels: DataFrame, media: DataFrame, asse
     part_name, sha256 and media_type (null where a browser cannot show it). Drawings
     without a usable relationship are dropped.
     """
-    form = r"(?s)<(?:\w+:)?(?:anchor|inline)\b.*?</(?:\w+:)?(?:anchor|inline)\s*>"
-    found = F.regexp_extract_all(F.col("xml"), F.lit(form), F.lit(0))
-    rows = select_parts(parts).select(asset, F.col("part_name").alias("owner"), F.posexplode(found).alias("drawing_index", "_d"))
-    d = F.col("_d")
-    labels = F.array_distinct(F.array_compact(F.flatten(F.transform(
-        F.regexp_extract_all(d, F.lit(r"<(?:\w+:)?(?:docPr|cNvPr)\b[^>]*>"), F.lit(0)),
-        lambda e: F.array(*[F.nullif(F.trim(F.coalesce(attr(e, k), F.lit(""))), F.lit("")) for k in ("title", "descr", "name")])))))
+    rows = read_parts(select_parts(parts), [asset, "part_name"]).where("kind = 'drawing'")
+    labels = F.array_distinct(F.filter(F.transform("labels", lambda v: F.trim(v)), lambda v: v != ""))
     label = F.coalesce(F.nullif(F.array_join(F.slice(labels, 1, 3), " · "), F.lit("")), F.lit("EMBEDDED_IMAGE"))
-    named = rows.select(asset, "owner", "drawing_index", attr(d, "embed", "blip").alias("rel_id"), label.alias("content"),
-                        d.rlike(r"^<(?:\w+:)?anchor\b").alias("_anchor"),
-                        attr(d, "behindDoc", "anchor").isin("1", "true").alias("_behind"))
+    anchor = F.col("type") == "anchor"
+    named = rows.select(asset, F.col("part_name").alias("owner"), F.col("idx").alias("drawing_index"), F.col("embed").alias("rel_id"),
+                        label.alias("content"), anchor.alias("_anchor"), (anchor & F.col("behind").isin("1", "true")).alias("_behind"))
     usable = rels.filter("status = 'OK'").select(asset, "owner", "rel_id", F.col("resolved").alias("media_part"))
     joined = named.join(usable, [asset, "owner", "rel_id"]).join(
         media.select(asset, F.col("part_name").alias("media_part"), "sha256", "media_type"), [asset, "media_part"], "left")

@@ -93,7 +93,7 @@ def test_paths(spark):
     assert values(spark, paths.relationship_part, ["word/header1.xml", "x.xml"]) == ["word/_rels/header1.xml.rels", "_rels/x.xml.rels"]
 
 
-HEADER = """<w:hdr xmlns:v="v"><v:shape id="s1" type="#_x0000_t136" style="w:1"><v:textpath string=" Draft "/></v:shape>
+HEADER = """<w:hdr xmlns:v="urn:schemas-microsoft-com:vml"><v:shape id="s1" type="#_x0000_t136" style="w:1"><v:textpath string=" Draft "/></v:shape>
 <v:shape id="s2" type="#other"><v:textpath string="draft"/></v:shape><v:shape id="s3"><v:fill/></v:shape>
 <wp:anchor behindDoc="1"><wp:extent cx="5" cy="6"/><wp:docPr id="1" name="Logo" descr="ACME mark"/><a:blip r:embed="rId1"/></wp:anchor>
 <wp:inline><wp:docPr id="2" name="Pic"/><a:blip r:embed="rId2"/></wp:inline></w:hdr>"""
@@ -116,6 +116,26 @@ def test_header_shapes_and_drawings(spark):
     assert rows(got) == [(0, "ACME mark · Logo", "HEADER_IMAGE；FLOATING；BEHIND_TEXT；LABEL_HAS_TARGET", 1), (1, "Pic", "HEADER_IMAGE；NOT_PREVIEWABLE", 0)]
 
 
+def test_markup_is_read_as_xml(spark):
+    """Nested shapes, comments, character data, bound prefixes, single quotes, and parts that are no XML."""
+    ns = 'xmlns:v="urn:schemas-microsoft-com:vml" xmlns:o="urn:other"'
+    parts = [
+        (1, "word/header1.xml", f"<w {ns}><v:shape type='#_x0000_t136'><v:group><v:shape><v:textpath string='in'/></v:shape></v:group><v:textpath string=' out '/></v:shape></w>"),
+        (2, "word/header1.xml", f"<w {ns}><!-- <v:shape><v:textpath string='no'/></v:shape> --><![CDATA[<v:shape><v:textpath string='no'/></v:shape>]]><v:shape><v:textpath string='a &#62; b'/></v:shape></w>"),
+        (3, "word/header1.xml", f"<w {ns}><o:shape><o:textpath string='other'/></o:shape><x:shape xmlns:x='urn:schemas-microsoft-com:vml'><x:textpath string='bound'/></x:shape></w>"),
+        (4, "word/header1.xml", "<v:shape><v:textpath string='open'/>"), (5, "word/header1.xml", None), (6, "word/header1.xml", ""),
+        (7, "word/header1.xml", "<!DOCTYPE a [<!ENTITY e 'x'>]><a>&e;</a>"), (8, "word/footer2.xml", "<w/>"), (9, "word/document.xml", "<broken"),
+        (None, "word/header3.xml", "<wp:inline><a:blip/><wp:anchor behindDoc='true'><wp:docPr name='n' title=' t '/><a:blip r:embed='r2'/></wp:anchor><a:blip r:embed='r1'/></wp:inline>"),
+    ]
+    table = spark.createDataFrame(parts, "asset int, part_name string, xml string")
+    shapes = pk.shape_candidates(table, "asset", "out").select("asset", "shape_index", "content", "classification")
+    assert rows(shapes) == [(1, 0, "in out", "ambiguous"), (1, 1, "in", "ambiguous"), (2, 0, "a > b", "ambiguous"), (3, 0, "bound", "ambiguous")]
+    assert rows(pk.malformed(table, "asset")) == [(i, "word/header1.xml", "INVALID_MARKUP") for i in (4, 5, 6, 7)]
+    read = pk.read_parts(table, ["asset"]).where("kind = 'drawing'").select("idx", "type", "embed", "behind", "labels").collect()
+    assert [(r[0], r[1], r[2], r[3], list(r[4])) for r in read] == [(0, "inline", None, None, [" t ", "n"]), (1, "anchor", "r2", "true", [" t ", "n"])]
+    assert pk.shape_candidates(table.where("false"), "asset").count() == 0
+
+
 def test_package_limits_follow_entry_order(spark):
     data = [("ok", 1, "a.xml", 5, False), ("big", 1, "a.xml", 50, False), ("big", 2, "../b.xml", 60, False), ("bad", 1, "/b.xml", 5, True), ("bad2", 1, "x", 99, False), ("bad2", 2, "a/../b", 1, False), ("many", 1, "a", 1, True)] + [("many", i, "a", 1, False) for i in range(2, 6)]
     df = spark.createDataFrame(data, "asset string, no int, part_name string, size_bytes int, encrypted boolean")
