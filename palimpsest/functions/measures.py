@@ -20,6 +20,12 @@ def prf_cols(tp: Column, fp: Column, fn: Column) -> dict[str, Column]:
     }
 
 
+def entropy_cols(n: Column) -> Column:
+    """Base-2 entropy over histogram rows with counts `n`, as an aggregate: log2 N - sum(n log2 n) / N; 0 without rows. Rows without count add nothing."""
+    total = F.sum(F.when(n > 0, n))
+    return F.coalesce(F.log2(total) - F.sum(F.when(n > 0, n * F.log2(n))) / total, F.lit(0.0))
+
+
 def correction_reduction(candidate: Column, refined: Column) -> Column:
     """Share of correction work saved, clamped to [0, 1]; without any work to do, 1."""
     saved = F.lit(1.0) - F.try_divide(refined, candidate)

@@ -9,12 +9,12 @@ tables without arrays have `neighbourhood`, which uses windows over pixel rows.
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.functions.measures import grade
+from palimpsest.functions.measures import entropy_cols, grade
 
 # Thresholds of the photo-evidence routes.
 ENTROPY_MIN, COLORS_MIN, COLOR_STEP = 4.5, 128, 16
@@ -26,7 +26,7 @@ PERIODIC_MIN, PERIODIC_TEXTURE_MIN, STRUCTURE_MIN, EDGE_HIGH = 0.8, 0.1, 0.30, 0
 TEXTURE_REVIEW, EDGE_REVIEW = 0.35, 0.08
 LOW_CONTRAST, LARGE_SELECTION, HUGE_SELECTION = 0.04, 0.10, 0.25
 # Shape and contrast limits of the text test.
-TEXT_ASPECT, TEXT_DELTA = 5.0, 20
+TEXT_ASPECT, TEXT_DELTA, TEXT_BLUR = 5.0, 20, 1.5
 
 
 class Grid:
@@ -146,10 +146,21 @@ def histograms(pixels: DataFrame, image: list[str], bins: Mapping[str, Column])
 
 def entropy_of(kind: str) -> Column:
     """Base-2 entropy from histogram rows of one kind: log2 N - sum(n log2 n) / N; 0 without rows."""
-    mine = F.col("kind") == kind
-    total = F.sum(F.when(mine, F.col("n")))
-    value = F.log2(total) - F.sum(F.when(mine, F.col("n") * F.log2(F.col("n")))) / total
-    return F.coalesce(value, F.lit(0.0))
+    return entropy_cols(F.when(F.col("kind") == kind, F.col("n")))
+
+
+def color_sketches(colors: DataFrame, image: list[str], color: str = "color", precision: int = 12) -> DataFrame:
+    """(image, sketch): a mergeable HyperLogLog sketch of the colours of each picture, some 2 ** precision bytes at most."""
+    return colors.groupBy(*image).agg(F.hll_sketch_agg(color, F.lit(precision)).alias("sketch"))
+
+
+def color_rollup(sketches: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n_images, colors): different colours over all pictures of a group, from their sketches alone.
+
+    With precision 12 the relative standard error is 1.04 / sqrt(4096) = 1.6 %; three times that, 4.9 %, holds for nearly all groups.
+    """
+    merged = sketches.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_images"), F.hll_union_agg("sketch").alias("_all"))
+    return merged.select(*keys, "n_images", F.hll_sketch_estimate("_all").alias("colors"))
 
 
 def gradient_bins() -> dict[str, Column]:
@@ -366,23 +377,48 @@ def worst_level(df: DataFrame, image: list[str], level: str, order: tuple[str, .
     return df.groupBy(*image).agg(F.max_by(level, rank).alias(level))
 
 
-def text_contrast(tiles: DataFrame, image: list[str], grid: Grid, channels: list[str]) -> DataFrame:
-    """Pixels of long boxes that stand out, in any channel, from the 3x3 mean around them inside the box.
+WHOLE = 1 << 16
+
+
+def gaussian_weights(radius: float) -> list[int]:
+    """Whole-number weights of a Gaussian of this standard deviation, out of WHOLE, over three deviations each way; the middle takes the rounding."""
+    reach = math.ceil(3 * radius)
+    raw = [math.exp(-k * k / (2 * radius * radius)) for k in range(-reach, reach + 1)]
+    weights = [round(WHOLE * w / sum(raw)) for w in raw]
+    weights[reach] += WHOLE - sum(weights)
+    return weights
 
-    The box mean stands in for a Gaussian blur of radius 1.5.
+
+def blurred_line(value: Callable[[int], Column], radius: float) -> Column:
+    """One pass of a separable Gaussian, rounded to whole values; `value` gives the neighbour at a distance."""
+    weights = gaussian_weights(radius)
+    total = F.lit(WHOLE // 2)
+    for i, w in enumerate(weights):
+        total = total + value(i - len(weights) // 2) * w
+    return F.floor(total / WHOLE)
+
+
+def text_contrast(tiles: DataFrame, image: list[str], grid: Grid, channels: list[str], radius: float = TEXT_BLUR) -> DataFrame:
+    """Pixels of long boxes that stand out, in any channel, from the Gaussian blur of the box.
+
+    The blur is separable: one pass along the rows, kept as an array beside the picture, and one along the columns. Beyond
+    the box its border pixels are repeated. Each pass is rounded to whole values.
     """
     pos = F.col("pos")
     x0, y0, x1, y1 = [F.col(c) for c in ("x0", "y0", "x1", "y1")]
-    x, y = grid.x(pos), grid.y(pos)
+
+    def within(v: Column, low: Column, high: Column) -> Column:
+        return F.least(F.greatest(v, low), high - 1)
+
+    def across(channel: str) -> Column:
+        return F.transform(grid.positions, lambda p: blurred_line(
+            lambda d: F.get(channel, (grid.y(p) * grid.width + within(grid.x(p) + d, x0, x1)).cast("int")), radius))
 
     def delta(channel: str) -> Column:
-        total = F.lit(0)
-        for dy in (-1, 0, 1):
-            for dx in (-1, 0, 1):
-                cx = F.least(F.greatest(x + dx, x0), x1 - 1)
-                cy = F.least(F.greatest(y + dy, y0), y1 - 1)
-                total = total + F.get(F.col(channel), (cy * grid.width + cx).cast("int"))
-        return F.abs(F.get(F.col(channel), pos) - F.floor(total / 9))
+        blur = blurred_line(lambda d: F.get(f"_blur_{channel}", (within(grid.y(pos) + d, y0, y1) * grid.width + grid.x(pos)).cast("int")), radius)
+        return F.abs(F.get(F.col(channel), pos) - blur)
+
+    tiles = tiles.withColumns({f"_blur_{c}": across(c) for c in channels})
 
     long_box = (x1 - x0) / (y1 - y0) >= TEXT_ASPECT
     hit = long_box & grid.inside(pos, x0, y0, x1, y1) & (F.greatest(F.lit(0), *[delta(c) for c in channels]) >= TEXT_DELTA)

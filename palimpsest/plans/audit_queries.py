@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions.measures import ratio
+from palimpsest.functions.sql import register
 from palimpsest.operators import audit
 from palimpsest.operators.identity import duplicate_keys
 from palimpsest.plans.registry import Tables, query
@@ -48,6 +49,21 @@ def prf(t: Tables) -> DataFrame:
     return audit.prf(rows, ["source"])
 
 
+@query("prf_sql", f"""
+WITH j AS (SELECT source, quality = 1 AS truth, n_chars > 500 AS said FROM labels JOIN documents USING (doc_id)),
+c AS (SELECT source, count(*) FILTER (truth AND said) AS tp, count(*) FILTER (said AND NOT truth) AS fp, count(*) FILTER (truth AND NOT said) AS fn,
+ count(*) FILTER (NOT truth AND NOT said) AS tn, count(*) AS n FROM j GROUP BY source)
+SELECT source, {RATES}, round(-list_sum(list_transform(list_filter([tp, fp, fn, tn], lambda x: x > 0), lambda x: x / n * log2(x / n))), 6) AS entropy FROM c""")
+def prf_sql(t: Tables) -> DataFrame:
+    """The scores of `prf` and the entropy of the four outcomes, asked for in SQL."""
+    register(t.spark)
+    return t.spark.sql("""
+        WITH c AS (SELECT source, count_if(truth AND said) AS tp, count_if(said AND NOT truth) AS fp, count_if(truth AND NOT said) AS fn,
+                          count_if(NOT truth AND NOT said) AS tn FROM {rows} GROUP BY source)
+        SELECT source, round(precision_of(tp, fp), 6) AS precision, round(recall_of(tp, fn), 6) AS recall, round(f1_of(tp, fp, fn), 6) AS f1,
+               round(entropy_of(array(tp, fp, fn, tn)), 6) AS entropy FROM c""", rows=labelled(t))
+
+
 @query("prf_rollup", f"""
 WITH RECURSIVE {KNOWN}, {MATCHES}, {SCORES},
 c AS (SELECT coalesce(scene_kind, '(all)') AS scene_kind, count(*) AS sample_count, count(*) FILTER (kind = 'positive') AS positive_count,

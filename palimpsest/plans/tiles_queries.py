@@ -68,11 +68,31 @@ def entropy(t: Tables) -> DataFrame:
 
 @query("color_count", f"WITH {TILES} SELECT vec_id, color_count FROM colors")
 def color_count(t: Tables) -> DataFrame:
+    pixels, color = colored(t)
+    return px.histograms(pixels, KEY, {"color": color}).groupBy("vec_id").agg(F.count(F.lit(1)).alias("color_count"))
+
+
+def colored(t: Tables):
+    """Pixels of the tiles, and their quantised colour."""
     gray = F.col("gray")
     turned = [gray, *[F.concat(F.slice(gray, k + 1, 64), F.slice(gray, 1, k)) for k in (1, 2)]]
     pixels = px.unroll(gray_tiles(t).withColumns({f"c{i}": c for i, c in enumerate(turned)}), GRID)
     r, g, b = [F.floor(F.get(f"c{i}", F.col("pos")) / px.COLOR_STEP) for i in range(3)]
-    return px.histograms(pixels, KEY, {"color": r * 256 + g * 16 + b}).groupBy("vec_id").agg(F.count(F.lit(1)).alias("color_count"))
+    return pixels, r * 256 + g * 16 + b
+
+
+@query("color_rollup", f"""WITH {TILES}
+SELECT label, count(DISTINCT vec_id) AS n_images, count(DISTINCT (gray // 16) * 256 + (g[(pos + 1) % 64 + 1] // 16) * 16 + g[(pos + 2) % 64 + 1] // 16) AS exact_colors,
+ true AS within_bound FROM near GROUP BY label""")
+def color_rollup(t: Tables) -> DataFrame:
+    """Colours over all tiles of a label from one sketch a tile, held against the exact count and the bound of 4.9 %."""
+    pixels, color = colored(t)
+    every = pixels.select("vec_id", "label", color.cast("bigint").alias("color"))
+    guess = px.color_rollup(px.color_sketches(every, ["vec_id", "label"]), ["label"])
+    exact = every.select("label", "color").distinct().groupBy("label").agg(F.count(F.lit(1)).alias("exact_colors"))
+    other = exact.select(F.col("label").alias("_label"), "exact_colors")
+    return guess.join(other, F.col("label").eqNullSafe(F.col("_label"))).select(
+        "label", "n_images", "exact_colors", (F.abs(F.col("colors") - F.col("exact_colors")) <= 0.049 * F.col("exact_colors")).alias("within_bound"))
 
 
 @query("luma_sd", f"WITH {TILES} SELECT vec_id, round(luma_deviation, 4) AS luma_sd FROM sds")
@@ -253,12 +273,17 @@ def image_warnings(t: Tables) -> DataFrame:
     return px.image_warnings(risk, ["page", "line", "x0", "y0"])
 
 
+def _blur(pick: str) -> str:
+    """A pass of the blur in SQL; `pick` is the neighbour at a distance {d}."""
+    weights = px.gaussian_weights(px.TEXT_BLUR)
+    return "(" + " + ".join(f"{w} * {pick.format(d=k - len(weights) // 2)}" for k, w in enumerate(weights)) + f" + {px.WHOLE // 2}) // {px.WHOLE}"
+
+
 @query("text_contrast", f"""WITH {TILES},
-b AS (SELECT vec_id, x, y, g, gray, vec_id % 2 AS bx0, vec_id % 6 AS by0, vec_id % 2 + 6 AS bx1, vec_id % 6 + 1 + CAST(vec_id % 3 = 0 AS INTEGER) AS by1 FROM near),
-o AS (SELECT unnest([-1, 0, 1]) AS d), n AS (SELECT a.d AS dx, c.d AS dy FROM o a, o c),
-m AS (SELECT vec_id, x, y, any_value(gray) AS gray, sum(g[least(greatest(y + dy, by0), by1 - 1) * 8 + least(greatest(x + dx, bx0), bx1 - 1) + 1]) // 9 AS mean,
-  any_value(bx0) AS bx0, any_value(by0) AS by0, any_value(bx1) AS bx1, any_value(by1) AS by1 FROM b, n GROUP BY vec_id, x, y)
-SELECT vec_id, count(*) FILTER ((bx1 - bx0) / (by1 - by0) >= 5 AND x >= bx0 AND x < bx1 AND y >= by0 AND y < by1 AND abs(gray - mean) >= 20) AS text_pixels FROM m GROUP BY vec_id""")
+b AS (SELECT vec_id, pos, x, y, g, gray, vec_id % 2 AS bx0, vec_id % 6 AS by0, vec_id % 2 + 6 AS bx1, vec_id % 6 + 1 + CAST(vec_id % 3 = 0 AS INTEGER) AS by1 FROM near),
+h AS (SELECT vec_id, list({_blur("g[y * 8 + least(greatest(x + ({d}), bx0), bx1 - 1) + 1]")} ORDER BY pos) AS h FROM b GROUP BY vec_id),
+m AS (SELECT b.*, {_blur("h[least(greatest(y + ({d}), by0), by1 - 1) * 8 + x + 1]")} AS blur FROM b JOIN h USING (vec_id))
+SELECT vec_id, count(*) FILTER ((bx1 - bx0) / (by1 - by0) >= 5 AND x >= bx0 AND x < bx1 AND y >= by0 AND y < by1 AND abs(gray - blur) >= 20) AS text_pixels FROM m GROUP BY vec_id""")
 def text_contrast(t: Tables) -> DataFrame:
     """Boxes of 6 x 1 pixels, and 6 x 2 on every third tile, which are not long enough."""
     vec = F.col("vec_id").cast("int")

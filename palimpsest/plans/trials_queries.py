@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions.ids import pseudonym
 from palimpsest.operators import audit, trials as tr
 from palimpsest.plans.registry import Tables, query
-from palimpsest.sources.store import decode_record
+from palimpsest.sources.store import decode_record, decode_variant
 
 
 def trial_rows(t: Tables) -> DataFrame:
@@ -45,6 +45,21 @@ def props_decode(t: Tables) -> DataFrame:
     return decode_record(t.events, "props", "k bigint", "p").select("event_id", F.col("p.k").alias("k"))
 
 
+@query("props_variant", """
+WITH r AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN props WHEN 1 THEN '{"k": "' || user_id || '", "extra": {"tags": ["a", "' || event_type || '"]}}'
+  WHEN 2 THEN '{"extra": {"tags": []}, "k": 2.5}' WHEN 3 THEN '{"k": ' WHEN 4 THEN '{"k": {"deep": ' || user_id || '}}' END AS text FROM events)
+SELECT event_id, CASE event_id % 6 WHEN 0 THEN CAST(json_extract_string(text, '$.k') AS BIGINT) WHEN 1 THEN CAST(json_extract_string(text, '$.k') AS BIGINT) WHEN 2 THEN 2 END AS k,
+ CASE event_id % 6 WHEN 1 THEN json_extract_string(text, '$.extra.tags[1]') END AS tag, CASE event_id % 6 WHEN 4 THEN CAST(json_extract_string(text, '$.k.deep') AS BIGINT) END AS deep,
+ CASE WHEN text IS NULL THEN 'EMPTY' WHEN NOT json_valid(text) THEN 'MALFORMED' ELSE 'OK' END AS record_status FROM r""")
+def props_variant(t: Tables) -> DataFrame:
+    """Records of several versions: a number, a text, a fraction, cut off, nested, and none."""
+    user = F.col("user_id").cast("string")
+    texts = F.array(F.col("props"), F.concat(F.lit('{"k": "'), user, F.lit('", "extra": {"tags": ["a", "'), F.col("event_type"), F.lit('"]}}')),
+                    F.lit('{"extra": {"tags": []}, "k": 2.5}'), F.lit('{"k": '), F.concat(F.lit('{"k": {"deep": '), user, F.lit("}}")), F.lit(None).cast("string"))
+    rows = t.events.select("event_id", F.get(texts, (F.col("event_id") % 6).cast("int")).alias("text"))
+    return decode_variant(rows, "text", {"k": ("$.k", "bigint"), "tag": ("$.extra.tags[1]", "string"), "deep": ("$.k.deep", "bigint")}).drop("text")
+
+
 @query("trial_status", f"WITH {TRIALS} SELECT event_id, {STATUS} AS status FROM trials")
 def trial_status(t: Tables) -> DataFrame:
     return trial_rows(t).select("event_id", tr.trial_status().alias("status"))

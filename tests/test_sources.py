@@ -107,3 +107,30 @@ def test_part_scan(spark, tmp_path):
     data = [("d", n, 1, False, "<x/>") for n in ("word/header1.xml", "word/footer.xml", "word/document.xml", "word/header1.xml.rels")]
     spark.createDataFrame(data, parts.SCHEMA).write.parquet(str(tmp_path / "p"))
     assert rows(parts.scan_header_parts(spark, str(tmp_path / "p")).select("part_name")) == [("word/footer.xml",), ("word/header1.xml",)]
+
+
+def test_records_of_any_version(spark):
+    from palimpsest.sources.store import decode_variant, record_schema
+
+    deep = '{"a":' * 200 + "1" + "}" * 200
+    data = [(1, '{"k": 1, "t": {"x": "y"}}'), (2, '{"k": "7"}'), (3, '{"k": "no"}'), (4, '{"k": '), (5, None), (6, ""), (7, "[1, 2]"), (8, '{"k": 1e400}'), (9, deep)]
+    df = spark.createDataFrame(data, "id int, doc string")
+    got = decode_variant(df, "doc", {"k": ("$.k", "bigint"), "x": ("$.t.x", "string"), "second": ("$[1]", "int")})
+    assert got.columns == ["id", "doc", "k", "x", "second", "record_status"]
+    by = {r["id"]: (r["k"], r["x"], r["second"], r["record_status"]) for r in got.collect()}
+    assert by[1] == (1, "y", None, "OK") and by[2] == (7, None, None, "OK") and by[3] == (None, None, None, "OK")
+    assert by[4][3] == "MALFORMED" and by[5][3] == "EMPTY" and by[6][3] == "MALFORMED" and by[7] == (None, None, 2, "OK") and by[9][:3] == (None, None, None)
+    shape = record_schema(df.where("id < 7"), "doc").first()
+    assert "k" in shape.record_schema and "x: STRING" in shape.record_schema and (shape.n_records, shape.n_malformed) == (3, 2)
+
+
+def test_scores_in_sql(spark):
+    from palimpsest.functions.measures import entropy_cols
+    from palimpsest.functions.sql import register
+    from pyspark.sql import functions as F
+
+    assert "entropy_of" in register(spark) and register(spark)
+    got = spark.sql("SELECT precision_of(3, 1), recall_of(0, 0), f1_of(3, 1, 1), f1_of(0, 1, 1), entropy_of(array(1D, 1D, 0D, 2D)), entropy_of(array()), safe_ratio(1, 0, NULL)").first()
+    assert tuple(got) == (0.75, 1.0, 0.75, 0.0, 1.5, 0.0, None)
+    counts = spark.createDataFrame([(1,), (1,), (0,), (2,), (None,)], "n int")
+    assert counts.agg(entropy_cols(F.col("n"))).first()[0] == 1.5 and counts.where("false").agg(entropy_cols(F.col("n"))).first()[0] == 0.0

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.operators import extension, tiles as px
@@ -206,3 +207,31 @@ def test_channels_count_together(spark):
     one = spark.createDataFrame([(1, [0] * 12, [0, 99] * 6, 0, 0, 12, 1)], "img int, r array<int>, g array<int>, x0 int, y0 int, x1 int, y1 int")
     assert px.text_contrast(one, ["img"], px.Grid(12, 1), ["r"]).first().text_pixels == 0
     assert px.text_contrast(one, ["img"], px.Grid(12, 1), ["r", "g"]).first().text_pixels == 12
+
+
+def test_the_blur_is_a_separable_gaussian(spark):
+    """Against plain Python on whole numbers: clamped borders, boxes inside a larger picture."""
+    import random
+
+    weights = px.gaussian_weights(1.5)
+    assert sum(weights) == px.WHOLE and weights == weights[::-1] and len(weights) == 11 and weights[5] == max(weights)
+    rng = random.Random(3)
+    w, h, (x0, y0, x1, y1) = 20, 6, (2, 1, 17, 4)
+    g = [rng.randrange(256) for _ in range(w * h)]
+
+    def one(pick):
+        return (sum(k * pick(d - 5) for d, k in enumerate(weights)) + px.WHOLE // 2) // px.WHOLE
+
+    rows_ = [one(lambda d, x=i % w, y=i // w: g[y * w + min(max(x + d, x0), x1 - 1)]) for i in range(w * h)]
+    wanted = sum(abs(g[y * w + x] - one(lambda d, x=x, y=y: rows_[min(max(y + d, y0), y1 - 1) * w + x])) >= 20 for x in range(x0, x1) for y in range(y0, y1))
+    tile = spark.createDataFrame([(1, g, x0, y0, x1, y1)], "img int, r array<int>, x0 int, y0 int, x1 int, y1 int")
+    assert px.text_contrast(tile, ["img"], px.Grid(w, h), ["r"]).first().text_pixels == wanted > 0
+
+
+@pytest.mark.parametrize("n", [0, 1, 200, 4000])
+def test_color_sketches_merge_within_their_bound(spark, n):
+    colors = spark.range(n * 3).selectExpr("id % 4 AS img", "id % 2 AS source", f"cast(id % greatest({n}, 1) AS bigint) AS color")
+    got = px.color_rollup(px.color_sketches(colors, ["img", "source"]), ["source"]).collect()
+    exact = {r[0]: r[1] for r in colors.groupBy("source").agg(F.count_distinct("color")).collect()}
+    assert {r["source"] for r in got} == set(exact)
+    assert all(abs(r["colors"] - exact[r["source"]]) <= 0.049 * exact[r["source"]] + 0.5 for r in got)
