@@ -68,17 +68,38 @@ class Cuckoo:
 
 
 class Filter:
-    """Cuckoo tables of growing size; a full one is followed by one twice as large. No hash inserted and not deleted is missed."""
+    """Cuckoo tables of growing size; a full one is followed by one twice as large. No hash inserted and not deleted is missed.
+
+    In one table equal tags of one bucket stand for each other, so any of them may go. Between tables of different size they do not:
+    `deletable` says whether there is one table only, and where there are more, the filter is built anew from its hashes.
+    """
 
     def __init__(self, tables: list[Cuckoo] | None = None) -> None:
-        self.tables = tables or [Cuckoo(64)]
+        self.tables = tables or [Cuckoo(128)]
+
+    @classmethod
+    def of(cls, values: list[int]) -> Filter:
+        """A filter with these hashes in one table with room for as many again, or more tables where their buckets collide."""
+        buckets = 128
+        while buckets * SLOTS < 2 * len(values):
+            buckets *= 2
+        one = cls([Cuckoo(buckets)])
+        for v in values:
+            one.insert(v)
+        return one
+
+    @property
+    def deletable(self) -> bool:
+        return len(self.tables) == 1
 
     def insert(self, value: int) -> None:
         while not any(t.insert(value) for t in self.tables[-1:]):
             self.tables.append(Cuckoo(2 * (self.tables[-1].mask + 1)))
 
     def delete(self, value: int) -> bool:
-        return any(t.delete(value) for t in self.tables)
+        if not self.deletable:
+            raise ValueError("a filter of several tables is built anew instead")
+        return self.tables[0].delete(value)
 
     def contains(self, hashes: np.ndarray) -> np.ndarray:
         found = np.zeros(len(hashes), bool)

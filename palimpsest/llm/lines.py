@@ -92,12 +92,24 @@ class LineStore:
         total = total.withColumn("docs", F.when(F.col("docs") < 0, F.raise_error(F.lit("a line deleted more often than inserted")).cast("long")).otherwise(F.col("docs")))
         total = written(total.where("docs > 0 or old > 0"), "line_counts")
         was, now = F.col("old") >= self.min_docs, F.col("docs") >= self.min_docs
-        moved = total.where(was != now).select(self._shard(), "h1", now.alias("enters"))
-
-        def run(key: tuple, held: pd.DataFrame, moved: pd.DataFrame) -> pd.DataFrame:
-            one = Filter.from_bytes(held["filter"].iloc[0]) if len(held) else Filter()
-            for h, enters in zip(moved["h1"].to_numpy(np.int64).view(np.uint64).tolist(), moved["enters"].tolist(), strict=True):
-                one.insert(h) if enters else one.delete(h)
+        moved = total.where(was != now).select(self._shard(), "h1", now.alias("enters"), F.lit(False).alias("held"))
+        left = moved.where("NOT enters").select("shard").distinct()  # their filters may have to be built anew, from all their keys
+        held = total.where(now).select(self._shard(), "h1", F.lit(True).alias("enters"), F.lit(True).alias("held")).join(left, "shard", "left_semi")
+        moved = moved.unionByName(held)
+
+        def hashes(rows: pd.DataFrame) -> list[int]:
+            return rows["h1"].to_numpy(np.int64).view(np.uint64).tolist()
+
+        def run(key: tuple, was: pd.DataFrame, moved: pd.DataFrame) -> pd.DataFrame:
+            one = Filter.from_bytes(was["filter"].iloc[0]) if len(was) else Filter()
+            change, every = moved[~moved["held"]], moved[moved["held"]]
+            if not change["enters"].all() and not one.deletable:
+                one = Filter.of(hashes(every))
+            else:
+                for h in hashes(change[~change["enters"]]):
+                    one.delete(h)
+                for h in hashes(change[change["enters"]]):
+                    one.insert(h)
             return pd.DataFrame({"shard": [key[0]], "filter": [one.to_bytes()]})
 
         filters = self.filters.groupBy("shard").cogroup(moved.groupBy("shard")).applyInPandas(run, "shard int, filter binary")

@@ -154,3 +154,37 @@ def test_language_of_long_texts(spark, documents):
     for part, whole in zip(got[::2], got[1::2], strict=True):
         assert not part[2] and not whole[2]
         assert 0.8 < whole[1] / part[1] < 1.25
+
+
+@pytest.mark.parametrize("last_first", [False, True])
+def test_deleting_many_keys_loses_no_other(spark, documents, last_first):
+    """Filters of 20,000 keys; half of them leave in either order, in one table and where tables had to be built anew."""
+    import random
+
+    rng = random.Random(5)
+    values = [rng.getrandbits(64) for _ in range(20_000)]
+    gone = values[10_000:][::-1] if last_first else values[:10_000]
+    kept = sorted(set(values) - set(gone))
+    one = Filter.of(values)
+    assert one.deletable
+    for v in gone:
+        assert one.delete(v)
+    grown = Filter()
+    for v in values:
+        grown.insert(v)
+    assert not grown.deletable
+    with pytest.raises(ValueError, match="anew"):
+        grown.delete(gone[0])
+    for f in (one, Filter.of(kept), Filter.from_bytes(one.to_bytes())):
+        assert f.contains(np.array(kept, np.uint64)).all()
+
+
+def test_a_store_with_many_lines_is_reversible(spark, documents):
+    """Some 3,000 lines become frequent and half of them rare again; what is still frequent goes from the texts."""
+    texts = ["\n".join(f"line {i}" for i in range(3000))] * 2 + ["\n".join(f"line {i}" for i in range(0, 3000, 2))]
+    store = LineStore.empty(spark, 2, min_docs=2).insert(documents(texts[:2])).insert(documents(texts[2:]))
+    back = store.delete(documents(texts[:1]))
+    got = back.clean(documents(texts[:1])).first()
+    assert got["n_dropped"] == 1500 and got["text"] == "\n".join(f"line {i}" for i in range(1, 3000, 2))
+    again = back.insert(documents(texts[:1])).clean(documents(texts[:1])).first()
+    assert again["n_dropped"] == 3000
