@@ -53,7 +53,7 @@ def prf(t: Tables) -> DataFrame:
 WITH j AS (SELECT source, quality = 1 AS truth, n_chars > 500 AS said FROM labels JOIN documents USING (doc_id)),
 c AS (SELECT source, count(*) FILTER (truth AND said) AS tp, count(*) FILTER (said AND NOT truth) AS fp, count(*) FILTER (truth AND NOT said) AS fn,
  count(*) FILTER (NOT truth AND NOT said) AS tn, count(*) AS n FROM j GROUP BY source)
-SELECT source, {RATES}, round(-list_sum(list_transform(list_filter([tp, fp, fn, tn], lambda x: x > 0), lambda x: x / n * log2(x / n))), 6) AS entropy FROM c""")
+SELECT source, {RATES}, round(0.0 - list_sum(list_transform(list_filter([tp, fp, fn, tn], lambda x: x > 0), lambda x: x / n * log2(x / n))), 6) AS entropy FROM c""")
 def prf_sql(t: Tables) -> DataFrame:
     """The scores of `prf` and the entropy of the four outcomes, asked for in SQL."""
     register(t.spark)
