@@ -48,13 +48,15 @@ def working_folder(spark: SparkSession, name: str) -> str:
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(place)  # only what is there can be marked for removal
+    files.deleteOnExit(place)
     return path
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write a result once as parquet to the shared folder and read it back: lost executors and later readers
     neither recompute it nor see a different version of it, and later reads take only the columns they need."""
-    path = working_folder(df.sparkSession, "step")
+    path = working_folder(df.sparkSession, "step") + "/rows"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
