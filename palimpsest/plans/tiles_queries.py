@@ -121,14 +121,23 @@ def photo_routes(t: Tables) -> DataFrame:
     return px.photo_routes(statistics(t, SPREAD_FACTOR)).select("vec_id", F.array_join("matched_routes", ",").alias("routes"), "eligible")
 
 
+BOX_SCHEMA = "vec_id bigint, x0 double, y0 double, x1 double, y1 double, label string, confidence double"
+
+
+@query("localize", f"""WITH {TILES}, m AS (SELECT vec_id, gray, x, y, row_number() OVER (PARTITION BY vec_id ORDER BY gray DESC, pos) AS n FROM pixels)
+SELECT vec_id, x::DOUBLE AS x0, y::DOUBLE AS y0, x + 1.0::DOUBLE AS x1, y + 1.0::DOUBLE AS y1, 'mark' AS label, gray::DOUBLE AS confidence FROM m WHERE n = 1""")
+def localize(t: Tables) -> DataFrame:
+    """A stand-in localizer on all tiles: a box around the brightest pixel, the first one on ties."""
+    return extension.with_boxes(gray_tiles(t).select("vec_id", "gray"), brightest(), BOX_SCHEMA)
+
+
 @query("gated_call", f"""WITH {SPREAD}, {ROUTES},
 m AS (SELECT vec_id, max(gray) AS top FROM pixels GROUP BY vec_id)
 SELECT vec_id, CASE WHEN routes <> '' THEN 1::BIGINT ELSE 0 END AS n_boxes, CASE WHEN routes <> '' THEN top ELSE -1 END AS best FROM routes JOIN m USING (vec_id)""")
 def gated_call(t: Tables) -> DataFrame:
     """A stand-in localizer runs on eligible tiles only and marks their brightest value."""
     gate = px.photo_routes(statistics(t, SPREAD_FACTOR)).select("vec_id", "eligible")
-    boxes_found = extension.gated(gray_tiles(t, SPREAD_FACTOR).select("vec_id", "gray"), gate, KEY, "eligible", brightest(),
-                                  "vec_id bigint, x0 double, y0 double, x1 double, y1 double, label string, confidence double")
+    boxes_found = extension.gated(gray_tiles(t, SPREAD_FACTOR).select("vec_id", "gray"), gate, KEY, "eligible", brightest(), BOX_SCHEMA)
     return boxes_found.groupBy("vec_id").agg(
         F.count("confidence").alias("n_boxes"), F.coalesce(F.max("confidence").cast("bigint"), F.lit(-1)).alias("best"))
 
