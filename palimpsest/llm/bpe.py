@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.blocks import cut, grown, packed, parts_for, shrunk, unpacked
-from palimpsest.llm.store import kept_in_worker
+from palimpsest.llm.store import document_batches, give_back, kept_in_worker
 
 BLOCK_CHARS = 4 << 20  # a block's words and ids are held in a worker beside its text
 CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
@@ -86,6 +86,7 @@ def distinct_words(docs: DataFrame, parts: int) -> DataFrame:
     """(block, part, sizes, words): the different words of every block by part, in order of appearance. docs: (doc_id, text)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        give_back()
         press = zstandard.ZstdCompressor(level=3)
         for number, _, texts in cut(batches, BLOCK_CHARS):
             words: dict[str, None] = {}
@@ -106,6 +107,7 @@ def coded_words(words: DataFrame, path: str) -> DataFrame:
     words (by place) that do not decode to themselves. Every distinct word is encoded and decoded once."""
 
     def run(asked: pd.DataFrame) -> pd.DataFrame:
+        give_back()
         tokenizer = kept_in_worker(("bpe", path), lambda: loaded(path))
         piece = kept_in_worker(("pieces", path), lambda: pieces(path))
 
@@ -144,10 +146,12 @@ def encode_decode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str
     words back fails the job.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    document_batches(docs.sparkSession)
     parts = parts_for(docs.sparkSession)
     words = coded_words(distinct_words(rows, parts), path).groupBy("block")
 
     def run(block: pd.DataFrame, code: pd.DataFrame) -> pd.DataFrame:
+        give_back()
         if len(block) != 1:
             raise ValueError("words without their block: the input changed between two reads")
         b = block.iloc[0]
