@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm import bpe, decontaminate, langid, lines, simhash
-from palimpsest.llm.store import written
+from palimpsest.llm.store import document_batches, written
 
 
 SHORT = 20  # letters below which a text is kept whatever its language seems to be
@@ -22,6 +22,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A text of fewer than SHORT letters is too short to be judged and stays; null and empty texts and texts without a letter go.
     Repeated rows are judged alike. Columns of `docs` may have any names but those with two underscores ahead.
     """
+    document_batches(spark)
     judged = langid.identify(docs, langid.learn(docs), prefix="__")
     n_letters = F.length(F.regexp_replace("text", r"\P{L}+", ""))
     return judged.where(~F.col("__rejected") | n_letters.between(1, SHORT - 1)).select(*docs.columns)
@@ -30,6 +31,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that ten documents share are gone from every document; n_chars follows the text. A null text becomes an empty
     one, rows of one id are one document in the count, and every row stays."""
+    document_batches(spark)
     store = lines.LineStore.empty(spark, lines.shards_for(docs.count())).insert(docs)
     return store.clean(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
@@ -37,6 +39,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five-word shingles, similarity 0.8 or more. See `simhash.keep_one` for null and
     empty texts, repeated ids and ties."""
+    document_batches(spark)
     return simhash.keep_one(docs, words=5, similarity=0.8)
 
 
