@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed value: every character the reference treats as white space when splitting words.
+# Fixed value: every character that counts as white space between words: ASCII and Unicode separators, file to unit separators, next line.
 SPACE = r"[\t-\r\x1c-\x20\x85\p{Z}]+"
 # Words that make a layer name suspicious.
 LEXICON = ("watermark", "draft", "confidential", "sample", "水印", "草稿", "机密")

@@ -3,7 +3,8 @@
 A plain window puts a whole group into one task. Here the order key is cut into
 chunks by a rule on its value, each chunk gets its own window, and what the
 earlier chunks contribute is carried in from a table of chunk totals. The chunk
-is computed from the row alone, so a task that is run again gives the same answer.
+is computed from the row alone or, without a rule, by range partitions that are written once, so a task that is
+run again gives the same answer.
 """
 
 from __future__ import annotations
