@@ -23,7 +23,7 @@ FAN = 16
 
 
 def scaled(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", scale: int = 64) -> DataFrame:
-    """(vec_id, v): components as floor(scale * x); rows with a null id, a null or empty vector or a null or non-finite component go."""
+    """(vec_id, v): components as floor(scale * x); rows with a null id, a null vector or a null or non-finite component go; an empty vector stays and scores 0."""
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return vectors.where(F.col(vec_id).isNotNull() & F.col(vector).isNotNull() & finite).select(
         F.col(vec_id).cast("long").alias("vec_id"),
