@@ -7,7 +7,6 @@ that the watermark sets off. The operators need the state store that `streaming.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
@@ -19,6 +18,7 @@ from palimpsest.operators.lifecycle import FINISHES, state_columns
 NEVER = (1 << 63) - 1  # a time that has not come
 NO_TIME = -(1 << 63)  # a row without a time
 SALTS = 32  # keys over which the rows of a window are spread
+SHARDS = 2048  # keys over which tasks or stored rows are spread
 
 
 def micros(interval: str) -> int:
@@ -38,58 +38,90 @@ def _unkeyed(rows: DataFrame, names: list[str]) -> list[Column]:
     return [F.from_json("key", types)[c].alias(c) for c in names]
 
 
+def _shard(shards: int) -> Column:
+    """The state key of a row: its own key would be one trip between the JVM and Python per row of state, a shard is one for many."""
+    return F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int").alias("shard")
+
+
+def _wake(handle, due: int | None) -> None:
+    """One timer per shard, for what is due first."""
+    timers = list(handle.listTimers())
+    for timer in timers:
+        if timer != due:
+            handle.deleteTimer(timer)
+    if due is not None and due not in timers:
+        handle.registerTimer(due)
+
+
 def task_processor(keep: int) -> StatefulProcessor:
-    """Five minima per task; a final task is forgotten when the watermark is `keep` microseconds past its end."""
+    """Five minima per task of a shard; a final task is forgotten when the watermark is `keep` microseconds past its end."""
+    import numpy as np
     import pandas as pd
 
-    kinds = ("start", "cancel", *FINISHES)
+    kinds = ["start", "cancel", *FINISHES]
+
+    def ends(marks: pd.DataFrame) -> pd.Series:
+        asked, finished = marks["cancel"], marks[list(FINISHES)].min(axis=1)
+        return finished.where(~((asked < marks["start"]) & (asked <= finished)), asked)
 
     class Tasks(StatefulProcessor):
         def init(self, handle) -> None:
             self.handle = handle
-            self.marks = handle.getValueState("marks", ", ".join(f"{k} bigint" for k in kinds))
+            self.marks = handle.getValueState("marks", "key array<string>, " + ", ".join(f"{k} array<bigint>" for k in kinds))
+
+        def load(self) -> pd.DataFrame:
+            key, *columns = self.marks.get() if self.marks.exists() else [[] for _ in range(len(kinds) + 1)]
+            return pd.DataFrame({k: np.array(c, "int64") for k, c in zip(kinds, columns, strict=True)}, index=pd.Index(key, dtype=object))
+
+        def store(self, marks: pd.DataFrame) -> None:
+            if len(marks):
+                self.marks.update((marks.index.tolist(), *[marks[k].tolist() for k in kinds]))
+            elif self.marks.exists():
+                self.marks.clear()
+            end = ends(marks)
+            end = end[end < NEVER]
+            _wake(self.handle, (int(end.min()) + keep) // 1000 + 1 if len(end) else None)
 
         def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
             behind = timerValues.getCurrentWatermarkInMs() * 1000
-            known = self.marks.exists()
-            first = dict(zip(kinds, self.marks.get() if known else [NEVER] * len(kinds), strict=True))
-            some = known
+            marks = self.load()
+            parts, touched = [marks], []
             for frame in rows:
-                lost = frame["at_us"] == NO_TIME
-                late = ~lost & (frame["at_us"] < behind) & (not known)
+                known, lost = frame["key"].isin(marks.index), frame["at_us"] == NO_TIME
+                late = ~lost & ~known & (frame["at_us"] < behind)
                 for which, reason in ((lost, "NO_TIME"), (late, "LATE")):
                     if which.any():
-                        yield self.out(key, frame.loc[which, "kind"], frame.loc[which, "at_us"].where(~lost), reason)
+                        part = frame[which]
+                        at = part["at_us"].astype("Int64").where(~lost[which])
+                        yield self.out(part["key"], part["kind"], at, reason, None)
                 own = frame[~(lost | late)]
-                some = some or len(own) > 0
-                for kind, at in own.groupby("kind")["at_us"].min().items():
-                    first[kind] = min(at, first.get(kind, NEVER))
-            if not some:
+                touched += [own["key"], frame.loc[known, "key"]]
+                first = own["at_us"].groupby([own["key"], own["kind"].fillna("")]).min()
+                if len(first):
+                    parts.append(first.unstack(fill_value=NEVER).reindex(columns=kinds, fill_value=NEVER))
+            told = pd.concat(touched).unique()
+            if not len(told):
                 return
-            marks = tuple(int(first[k]) for k in kinds)
-            self.marks.update(marks)
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            started, asked, finished = marks[0], marks[1], min(marks[2:])
-            end = asked if asked < started and asked <= finished else finished
-            if end < NEVER and end + keep < behind:
-                self.marks.clear()
-            elif end < NEVER:
-                self.handle.registerTimer((end + keep) // 1000 + 1)
-            frame = self.out(key, [None], [None], None)
-            for name, value in zip(kinds, marks, strict=True):
-                frame[f"_{name}"] = pd.array([value if value < NEVER else None], "Int64")
-            yield frame
-
-        def out(self, key, event, at, reason) -> pd.DataFrame:
-            frame = pd.DataFrame({"event": list(event), "at": pd.array(list(at), "Int64"), "reason": reason})
-            frame.insert(0, "key", key[0])
+            marks = pd.concat(parts).groupby(level=0).min()
+            over = ends(marks) < behind - keep
+            self.store(marks[~over])
+            yield self.out(told, None, None, None, marks.loc[told])
+
+        def out(self, key, event, at, reason, marks) -> pd.DataFrame:
+            frame = pd.DataFrame({"key": list(key)})
+            frame["event"] = None if event is None else list(event)
+            frame["at"] = pd.array([None] * len(frame) if at is None else list(at), "Int64")
+            frame["reason"] = reason
             for kind in kinds:
-                frame[f"_{kind}"] = pd.array([None] * len(frame), "Int64")
+                known = None if marks is None else marks[kind].astype("Int64")
+                frame[f"_{kind}"] = pd.array([None] * len(frame), "Int64") if known is None else known.where(known < NEVER).array
             return frame
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-            self.marks.clear()
+            marks = self.load()
+            end = ends(marks)
+            last = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+            self.store(marks[(end == NEVER) | (end >= last * 1000 - keep)])
             yield from ()
 
         def close(self) -> None:
@@ -98,18 +130,21 @@ def task_processor(keep: int) -> StatefulProcessor:
     return Tasks()
 
 
-def state_stream(events: DataFrame, task: list[str], at: str, late: str = "1 hour", keep: str = "1 day") -> DataFrame:
+def state_stream(events: DataFrame, task: list[str], at: str, late: str = "1 hour", keep: str = "1 day",
+                 shards: int = SHARDS) -> DataFrame:
     """Update-mode stream of (task, state, reached, event, at, reason), times in microseconds.
 
     A row without a reason is the state of its task so far, the same as `task_state` has. A final task leaves the state when the watermark
     (`late` behind the newest event) is `keep` past its end. An event behind the watermark counts while its task is kept; otherwise it is a
     reject LATE, with its kind and time, whether its task is forgotten or was never seen. An event ahead of the watermark of a task
     that is not kept opens it. Events without a time are rejects NO_TIME. Null task keys are a task like others. Open tasks stay.
+    A batch reads and writes the states of whole shards, tasks spread by a hash; choose more of them for more than some ten million tasks.
     """
     order = F.coalesce(F.unix_micros(F.col(at).cast("timestamp")), F.lit(NO_TIME))
     rows = events.withWatermark(at, late).select(_key(task), order.alias("at_us"), F.col("event").alias("kind"))
+    rows = rows.withColumn("shard", _shard(shards))
     marks = ", ".join(f"_{k} bigint" for k in ("start", "cancel", *FINISHES))
-    out = rows.groupBy("key").transformWithStateInPandas(
+    out = rows.groupBy("shard").transformWithStateInPandas(
         task_processor(micros(keep)), f"key string, event string, at bigint, reason string, {marks}", "Update", "EventTime")
     finished = F.least(*[F.col(f"_{k}") for k in FINISHES])
     finish = F.coalesce(*[F.when(F.col(f"_{k}") == finished, k) for k in FINISHES])
@@ -119,45 +154,55 @@ def state_stream(events: DataFrame, task: list[str], at: str, late: str = "1 hou
 
 
 def retention_processor(ages: dict[str, int]) -> StatefulProcessor:
-    """The newest time per (kind, key); the timer of its age lets it go."""
+    """The newest time per (kind, key) of a shard and the first millisecond in which it is older than its age; a timer lets it go."""
+    import numpy as np
     import pandas as pd
 
     class Retention(StatefulProcessor):
         def init(self, handle) -> None:
             self.handle = handle
-            self.newest = handle.getValueState("newest", "at bigint")
+            self.held = handle.getValueState("held", "key array<string>, at array<bigint>, due array<bigint>")
+
+        def load(self) -> pd.DataFrame:
+            key, at, due = self.held.get() if self.held.exists() else ([], [], [])
+            return pd.DataFrame({"at": np.array(at, "int64"), "due": np.array(due, "int64")}, index=pd.Index(key, dtype=object))
+
+        def keep(self, held: pd.DataFrame) -> None:
+            if len(held):
+                self.held.update((held.index.tolist(), held["at"].tolist(), held["due"].tolist()))
+            elif self.held.exists():
+                self.held.clear()
+            _wake(self.handle, int(held["due"].min()) if len(held) else None)
 
         def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-            newest = self.newest.get()[0] if self.newest.exists() else NO_TIME
-            lost = 0
+            seen = []
             for frame in rows:
-                newest = max(newest, int(frame["at_us"].max()))
-                lost += int((frame["at_us"] == NO_TIME).sum())
-            age = ages.get(json.loads(key[0]).get("kind"))
-            if age is None:
-                yield self.out(key, [None], "NO_AGE")
-                return
-            if lost:
-                yield self.out(key, [None] * lost, "NO_TIME")
-            if newest == NO_TIME:
-                return
-            due = (newest + age) // 1000 + 1  # the first millisecond in which the row is older than its age
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            if due <= timerValues.getCurrentWatermarkInMs():
-                self.newest.clear()
-                yield self.out(key, [newest], None)
-                return
-            self.newest.update((newest,))
-            self.handle.registerTimer(due)
+                aged = frame["kind"].isin(list(ages))
+                lost = frame[aged & (frame["at_us"] == NO_TIME)]
+                if len(lost):
+                    yield self.out(lost["key"], None, "NO_TIME")
+                seen.append(frame.groupby("key").agg(at=("at_us", "max"), kind=("kind", "first")))
+            rows = pd.concat(seen).groupby(level=0).agg(at=("at", "max"), kind=("kind", "first"))
+            aged = rows["kind"].isin(list(ages))
+            if not aged.all():
+                yield self.out(rows.index[~aged], None, "NO_AGE")
+            rows = rows[aged & (rows["at"] != NO_TIME)]
+            rows = pd.DataFrame({"at": rows["at"], "due": (rows["at"] + np.array([ages[k] for k in rows["kind"]], "int64")) // 1000 + 1})
+            held = pd.concat([self.load(), rows]).groupby(level=0).max()
+            gone = held["due"] <= timerValues.getCurrentWatermarkInMs()
+            gone &= held.index.isin(rows.index)  # what had no row in this batch leaves by its timer
+            self.keep(held[~gone])
+            if gone.any():
+                yield self.out(held.index[gone], held.loc[gone, "at"], None)
 
         def out(self, key, at, reason) -> pd.DataFrame:
-            return pd.DataFrame({"key": [key[0]] * len(at), "at": pd.array(at, "Int64"), "reason": reason})
+            return pd.DataFrame({"key": list(key), "at": pd.array([None] * len(key) if at is None else at.tolist(), "Int64"), "reason": reason})
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-            at = self.newest.get()[0]
-            self.newest.clear()
-            yield self.out(key, [at], None)
+            held = self.load()
+            gone = held["due"] <= max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+            self.keep(held[~gone])
+            yield self.out(held.index[gone], held.loc[gone, "at"], None)
 
         def close(self) -> None:
             pass
@@ -165,16 +210,17 @@ def retention_processor(ages: dict[str, int]) -> StatefulProcessor:
     return Retention()
 
 
-def expire_stream(rows: DataFrame, kind: str, key: str, at: str, ages: dict[str, str], late: str = "0 seconds") -> DataFrame:
+def expire_stream(rows: DataFrame, kind: str, key: str, at: str, ages: dict[str, str], late: str = "0 seconds",
+                  shards: int = SHARDS) -> DataFrame:
     """Append-mode stream of (kind, key, at, reason): what has become older than the age of its kind, when the watermark tells it.
 
     Only the newest time of a row counts, so a row that is written again stays on. A row that is too old on arrival leaves at once. A kind without
-    an age is a reject NO_AGE, rows without a time are rejects NO_TIME. Nothing stays in the state after it has left.
+    an age is a reject NO_AGE, rows without a time are rejects NO_TIME. Nothing stays in the state after it has left. Keys share the state of their shard, as in `state_stream`.
     """
     order = F.coalesce(F.unix_micros(F.col(at).cast("timestamp")), F.lit(NO_TIME))
     named = rows.withColumn("kind", F.col(kind))
-    timed = named.withWatermark(at, late).select(_key(["kind", key]), order.alias("at_us"))
-    out = timed.groupBy("key").transformWithStateInPandas(
+    timed = named.withWatermark(at, late).select(_key(["kind", key]), F.col("kind").cast("string").alias("kind"), order.alias("at_us"))
+    out = timed.withColumn("shard", _shard(shards)).groupBy("shard").transformWithStateInPandas(
         retention_processor({k: micros(v) for k, v in ages.items()}), "key string, at bigint, reason string", "Append", "EventTime")
     named_kind, named_key = _unkeyed(named, ["kind", key])
     return out.select(named_kind.alias(kind), named_key, "at", "reason")

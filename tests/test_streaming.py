@@ -150,3 +150,23 @@ def test_progress_and_recovery(spark, tmp_path):
     retention.recover_stream(source(spark, str(tmp_path / "t"), stored), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     out = spark.read.option("recursiveFileLookup", "true").parquet(str(tmp_path / "out"))
     assert rows(out.select("task_id", "status", "progress")) == [(1, "queued", 0.0), (2, "cancelled", 1.0)]
+
+
+def test_many_tasks_share_the_state_of_a_shard(spark, tmp_path):
+    batches = [[(i, at(i), ("start", "queue")[i % 2]) for i in range(300)], [(i, at(400 + i), ("succeed", "cancel", "fail")[i % 3]) for i in range(0, 300, 2)],
+               [(i, at(4000 + i), "start") for i in range(1, 300, 7)], [(999, at(9000), "queue")], [(999, at(9001), "start")], [(0, at(1), "fail"), (1, at(1), "cancel")]]
+    folder = str(tmp_path)
+    write_batches(spark, folder, EVENTS, *batches)
+    seen, sizes, _ = followed(timed.state_stream(source(spark, folder, EVENTS), ["task"], "at", late="10 minutes", keep="30 minutes", shards=4), "update")
+    assert max(n for _, n in sizes) <= 8  # a shard is one value and one timer, where 301 tasks were one value each
+    table = life.task_state(spark.read.schema(EVENTS).parquet(*[f"{folder}/b{i}" for i in range(5)]), ["task"], F.unix_micros("at"))
+    told = {r[1]: r[2:4] for r in seen if r[-1] is None and r[0] < 5}
+    assert told == {r["task"]: (r["state"], r["reached"]) for r in table.collect()}
+    # 0 is over and forgotten, 1 is open and takes what comes late
+    assert [(r[1], r[2], r[4], r[6]) for r in seen if r[0] >= 5] in ([(0, None, "fail", "LATE"), (1, "cancelled", None, None)], [(1, "cancelled", None, None), (0, None, "fail", "LATE")])
+
+    kept = "kind string, task bigint, at timestamp"
+    write_batches(spark, f"{folder}/k", kept, [("ab"[i % 2], i, at(i)) for i in range(200)], [("a", 0, at(86_400 - 9)), ("c", 0, at(86_400 + 100))], [("c", 1, at(86_400 + 100))])
+    stream = timed.expire_stream(source(spark, f"{folder}/k", kept), "kind", "task", "at", {"a": "1 day", "b": "2 days"}, shards=4)
+    seen, sizes, _ = followed(stream, "append")
+    assert sorted(r[2] for r in seen if r[-1] is None) == list(range(2, 100, 2)) and max(n for _, n in sizes) <= 8
