@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions.boxes import Box, area_ratio, containment, iou, overlaps
-from palimpsest.operators.overlap import BOX, CELL, iou_pairs, shapes_meeting
+from palimpsest.operators.overlap import CELL, iou_pairs, meeting
 from palimpsest.operators.prefix import numbered
 from palimpsest.operators.skew import SALTS, spread
 from palimpsest.session import cut_lineage
@@ -21,13 +21,13 @@ def matchable(pred: DataFrame, truth: DataFrame, sample: list[str], threshold: f
               cell: int = CELL) -> DataFrame:
     """The predicted rows that reach the threshold with any expected box.
 
-    Equal boxes are compared once and a lookup ends at its first hit. All other rows
+    A lookup ends at its first hit. All other rows
     stay unmatched, so identifiers and the matching are only needed for what is left.
     """
     def near(a: Box, b: Box) -> Column:
         return overlaps(a, b) & (iou(a, b) >= threshold)
 
-    return pred.join(shapes_meeting(pred, truth, sample, near, cell), [*sample, *BOX], "left_semi")
+    return meeting(pred, truth, sample, near, "left_semi", cell)
 
 
 def match_boxes(

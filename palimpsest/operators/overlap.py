@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.boxes import Box, intersection, iou, overlaps
 from palimpsest.operators.skew import BLOCK, SALTS, spread
+from palimpsest.session import cut_lineage
 
 BOX = ["x0", "y0", "x1", "y1"]
 CELL = 256
+DIRECT = 250_000  # comparisons on a page, or its rows, from which on it is cut by the grid
 STEP = 4  # how much wider the cells of the next level are
 PLACE = ["_lx", "_ly", "_tx", "_ty", "_cx", "_cy"]
 
@@ -62,18 +64,41 @@ def width(name: str, cell: int) -> Column:
     return F.pow(F.lit(float(STEP)), F.col(name)) * cell
 
 
+def crowded_pages(left: DataFrame, right: DataFrame, page: list[str], block: int) -> DataFrame:
+    """The pages too crowded for comparing all their boxes in one task; few, because each of them has many rows.
+
+    The counts combine before the shuffle, and no row is repeated for its cells to find out.
+    """
+    def rows(df: DataFrame, mine: int) -> DataFrame:
+        return df.select(*page, F.lit(mine).alias("_l"), F.lit(1 - mine).alias("_r"))
+
+    limit = float(min(DIRECT, block * block))
+    sizes = rows(left, 1).unionByName(rows(right, 0)).groupBy(*page).agg(F.sum("_l").alias("_nl"), F.sum("_r").alias("_nr"))
+    many = (F.col("_nl").cast("double") * F.col("_nr") > limit) | (F.col("_nl") + F.col("_nr") > limit)
+    return cut_lineage(sizes.filter(many).select(*page))
+
+
 def box_pairs(
     left: DataFrame, right: DataFrame, page: list[str], cell: int = CELL, block: int = BLOCK
 ) -> DataFrame:
     """Pairs of boxes on one page that overlap with positive area.
 
-    Both sides are cut by a grid of several levels, so a crowded page is shared by many tasks, boxes
+    Boxes of a page are compared with each other, unless it is crowded. Then both sides are cut by a grid of several levels, so a crowded page is shared by many tasks, boxes
     far apart never meet, and a box makes a bounded number of rows whatever its size; crowded cells are salted. A pair that shares
     several cells is kept only in the cell with the corner of its overlap, so no
     later de-duplication is needed. Columns of the right side get the prefix r_.
     """
-    keys = [*page, *PLACE]
     renamed = right.select(*page, *[F.col(c).alias(f"r_{c}") for c in right.columns if c not in page])
+    crowded = crowded_pages(left, renamed, page, block)
+    if crowded.isEmpty():
+        return left.join(renamed, page).filter(overlaps(Box.of(), Box.of("r_")))
+    usual = left.join(crowded, page, "left_anti").join(renamed.join(crowded, page, "left_anti"), page).filter(overlaps(Box.of(), Box.of("r_")))
+    return usual.unionByName(grid_pairs(left.join(crowded, page, "left_semi"), renamed.join(crowded, page, "left_semi"), page, cell, block))
+
+
+def grid_pairs(left: DataFrame, renamed: DataFrame, page: list[str], cell: int, block: int) -> DataFrame:
+    """The pairs of crowded pages, the right side's columns renamed."""
+    keys = [*page, *PLACE]
     a, b = Box.of(), Box.of("r_")
     mine, theirs = levels_of(left, renamed, cell)
     salted_left, salted_right = spread(cells(left, a, cell, theirs, False), cells(renamed, b, cell, mine, True), keys, block)
@@ -106,10 +131,30 @@ def shapes_meeting(left: DataFrame, right: DataFrame, page: list[str], rule: Cal
     return mine.join(theirs, [*same_place, hit], "left_semi").select(*shape).distinct()
 
 
+def meeting(left: DataFrame, right: DataFrame, page: list[str], rule: Callable[[Box, Box], Column], how: str,
+            cell: int = CELL, block: int = BLOCK) -> DataFrame:
+    """The left rows that satisfy a rule with any right box of their page (`left_semi`), or with none (`left_anti`).
+
+    On crowded pages equal boxes are looked up once.
+    """
+    crowded = crowded_pages(left, right, page, block)
+
+    def compared(rows: DataFrame, others: DataFrame) -> DataFrame:
+        renamed = others.select(*[F.col(c).alias(f"r_{c}") for c in (*page, *BOX)])
+        same_page = [F.col(p) == F.col(f"r_{p}") for p in page]
+        return rows.join(renamed, [*same_page, rule(Box.of(), Box.of("r_"))], how)
+
+    if crowded.isEmpty():
+        return compared(left, right)
+    many = left.join(crowded, page, "left_semi")
+    hits = shapes_meeting(many, right.join(crowded, page, "left_semi"), page, rule, cell, block)
+    usual = compared(left.join(crowded, page, "left_anti"), right.join(crowded, page, "left_anti"))
+    return usual.unionByName(many.join(hits, [*page, *BOX], how))
+
+
 def outside(words: DataFrame, masks: DataFrame, page: list[str], cell: int = CELL, block: int = BLOCK) -> DataFrame:
-    """Words that overlap no mask. Equal boxes are looked up once."""
-    touched = shapes_meeting(words, masks, page, overlaps, cell, block)
-    return words.join(touched, [*page, *BOX], "left_anti")
+    """Words that overlap no mask."""
+    return meeting(words, masks, page, overlaps, "left_anti", cell, block)
 
 
 def iou_pairs(pred: DataFrame, truth: DataFrame, sample: list[str], min_iou: float = 0.0, cell: int = CELL) -> DataFrame:

@@ -204,3 +204,24 @@ def test_coverage_cap(spark):
     big = table(spark, [(1, 0.0, 0.0, 3.0, 1.0), (1, 0.0, 0.0, 31.0, 1.0)] + [(2, 0.0, 0.0, 1.0, 1.0)] * 101)
     got = regions.cap_coverage(big, ["page"], F.lit(100.0), F.lit(1.0)).groupBy("page", "status").count()
     assert rows(got) == [(1, "DROPPED_COVERAGE", 1), (1, "OK", 1), (2, "TOO_MANY_BOXES", 101)]
+
+
+def test_usual_pages_are_compared_without_cells(spark):
+    from palimpsest.operators.overlap import box_pairs, outside
+    boxes = "page bigint, line int, x0 bigint, y0 bigint, x1 bigint, y1 bigint"
+    data = [(p, i, i * 13 % 40, i * 11 % 30, i * 13 % 40 + 9, i * 11 % 30 + 6) for p in (1, 2, None) for i in range(5)]
+    data += [(3, i, i * 5 % 37, i * 3 % 29, i * 5 % 37 + 8, i * 3 % 29 + 8) for i in range(40)]
+    df = spark.createDataFrame(data, boxes)
+    mine, theirs = df.filter("line % 2 = 0"), df.filter("line % 2 = 1")
+
+    def meets(a, b):
+        return a[0] is not None and a[0] == b[0] and a[2] < b[4] and a[4] > b[2] and a[3] < b[5] and a[5] > b[3]
+
+    left, right = [r for r in data if r[1] % 2 == 0], [r for r in data if r[1] % 2]
+    for block in (2, 10, 8_000):  # all pages crowded, one of them, none
+        got = box_pairs(mine, theirs, ["page"], 16, block).select("page", "line", "r_line")
+        assert rows(got) == sorted((a[0], a[1], b[1]) for a in left for b in right if meets(a, b))
+        free = outside(mine, theirs, ["page"], 16, block).select("page", "line")
+        assert set(rows(free)) == {(a[0], a[1]) for a in left if not any(meets(a, b) for b in right)}
+    plan = outside(mine, theirs, ["page"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "_cx" not in plan
