@@ -7,7 +7,9 @@ Records are independent, so a reader can start at any of them and, within a bloc
 
 from __future__ import annotations
 
+import json
 import posixpath
+import re
 import struct
 import uuid
 import zlib
@@ -15,6 +17,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -29,21 +33,67 @@ MAGIC = b"RTOK"
 HEAD = "<4sQI"  # magic, length and CRC-32 of the body
 BLOCK_IDS = 1 << 20  # a block holds this many ids, or one longer document
 FILE_IDS = 16 << 20  # ids a file is planned for
+BLOCK_CHARS = 8 << 20  # text whose words are looked up together
 KNOWN_WORDS = 500_000  # words a worker remembers besides those of its block
+JOINED = 1_000  # words of letters that are encoded as one text
+LETTERS = re.compile("[a-zà-öø-ÿ]+").fullmatch
 
 
 def _kind(vocabulary: int) -> str:
     return "<u2" if vocabulary <= 1 << 16 else "<u4"
 
 
-def bare_words(text: str) -> list[str]:
-    """A text in pieces whose encodings, one after the other, are the text's own, for vocabularies that drop white space and
-    case: what stands between spaces and line ends and, where that is safe, before commas and full stops."""
-    if not text:
-        return []
+def bare(text: str) -> str:
+    """A text as pieces with one space between them, whose encodings, one after the other, are the text's own, for vocabularies
+    that drop white space and case: what stands between spaces and line ends and, where that is safe, before commas and full stops."""
     if regular(text) and "<|" not in text:
-        return text.lower().replace(",", " ,").replace(".", " .").split()
-    return [w for w in text.replace("\n", " ").split(" ") if w]
+        return text.lower().replace(",", " ,").replace(".", " .").replace("\n", " ")
+    return " ".join(w for w in text.replace("\n", " ").split(" ") if w)
+
+
+def encoded_words(tokenizer, words: list[str], code: str, last: frozenset[int]) -> dict[str, bytes]:
+    """The ids of each word. Words of small letters are encoded many at a time and told apart by the ids that end a word, `last`;
+    where those are not as many as the words each is encoded alone, and so are other words."""
+    out: dict[str, bytes] = {}
+    plain, alone = [], []
+    for w in words:
+        (plain if last and LETTERS(w) else alone).append(w)
+    groups = [plain[at:at + JOINED] for at in range(0, len(plain), JOINED)]
+    for at in range(0, len(groups), 20):
+        some = groups[at:at + 20]
+        for group, e in zip(some, tokenizer.encode_batch_fast([" ".join(g) for g in some], add_special_tokens=False), strict=True):
+            ids = e.ids
+            ends = [i for i, x in enumerate(ids, 1) if x in last]
+            if len(ends) != len(group) or ends[-1] != len(ids):
+                alone += group
+                continue
+            raw, width = struct.pack(f"<{len(ids)}{code}", *ids), struct.calcsize(f"<{code}")
+            ends = [width * i for i in ends]
+            out.update(zip(group, map(raw.__getitem__, map(slice, [0, *ends], ends)), strict=False))
+    for at in range(0, len(alone), 10_000):
+        some = alone[at:at + 10_000]
+        for word, e in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+            out[word] = struct.pack(f"<{len(e.ids)}{code}", *e.ids)
+    return out
+
+
+def word_ends(tokenizer, path: str) -> frozenset[int]:
+    """The ids that stand at the end of a word and nowhere else; none, if the vocabulary does not mark them."""
+    with open(path, encoding="utf-8") as f:
+        suffix = json.load(f)["model"].get("end_of_word_suffix")
+    return frozenset(i for t, i in tokenizer.get_vocab(with_added_tokens=False).items() if t.endswith(suffix)) if suffix else frozenset()
+
+
+def placed(table: list[bytes], at: np.ndarray, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, ends): the ids of the words at the places `at` of a table, one after the other, and where each word's end."""
+    all_ids = np.frombuffer(b"".join(table), kind)
+    sizes = np.fromiter(map(len, table), np.int64, len(table)) // np.dtype(kind).itemsize
+    starts = np.cumsum(sizes) - sizes
+    own = sizes[at]
+    ends = np.cumsum(own)
+    where = np.repeat(starts[at] - ends + own, own)
+    where += np.arange(len(where))
+    return all_ids[where], ends
 
 
 def tokenise(docs: DataFrame, path: str, end: int | None, kind: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -54,22 +104,24 @@ def tokenise(docs: DataFrame, path: str, end: int | None, kind: str, doc_id: str
     code = {"<u2": "H", "<u4": "I"}[kind]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokenizer = kept_in_worker(("bpe", path), lambda: loaded(path))
+        tokenizer, last = kept_in_worker(("bare", path), lambda: (t := loaded(path), word_ends(t, path)))
         known: dict[str, bytes] = kept_in_worker(("words", path, kind), dict)
         tail = b"" if end is None else struct.pack(f"<{code}", end)
-        for _, names, texts in cut(batches):
-            split = [bare_words(t) if t else [] for t in texts]
-            words = set().union(*split)
+        for _, names, texts in cut(batches, BLOCK_CHARS):
+            flat = [bare(t) if t else "" for t in texts]
+            n_words = np.array([t.count(" ") + 1 if t else 0 for t in flat], np.int64)
+            joined = pa.array([" ".join(t for t in flat if t)], pa.large_string())
+            found = pc.list_flatten(pc.split_pattern(joined, " ")).dictionary_encode()
+            words = found.dictionary.to_pylist()
             new = [w for w in words if w not in known]
             if len(known) + len(new) > KNOWN_WORDS:
-                for w in [w for w in known if w not in words]:
+                kept = set(words)
+                for w in [w for w in known if w not in kept]:
                     del known[w]
-            for at in range(0, len(new), 10_000):
-                some = new[at:at + 10_000]
-                for word, e in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                    known[word] = struct.pack(f"<{len(e.ids)}{code}", *e.ids)
-            get, join = known.__getitem__, b"".join
-            ids = [join(map(get, w)) + tail for w in split]
+            known.update(encoded_words(tokenizer, new, code, last))
+            all_ids, ends = placed([known[w] for w in words], found.indices.to_numpy(), kind)
+            bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(n_words)])].tolist()
+            ids = [all_ids[a:b].tobytes() + tail for a, b in zip(bounds, bounds[1:])]
             yield pd.DataFrame({"doc_id": pd.array(names, "Int64"), "ids": ids, "n": [len(x) // np.dtype(kind).itemsize for x in ids]})
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))

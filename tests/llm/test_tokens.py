@@ -84,6 +84,28 @@ def test_token_files(spark, documents, monkeypatch):
     assert manifest.count() == 0
 
 
+def test_words_of_letters_are_encoded_together():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    lib, rng = loaded("word_bpe_49k.json"), random.Random(3)
+    words = list(dict.fromkeys("".join(rng.choices("abcdefghéàöÿ", k=rng.randint(1, 9))) for _ in range(2500)))
+    words += ["don't", ",", "straße", "µm", "12a", "a\tb", "ΑΣ", "日本", "x" * 5000, "\0"]
+    want = {w: lib.encode(w, add_special_tokens=False).ids for w in words}
+    asked = []
+
+    class Counted:
+        def encode_batch_fast(self, texts, add_special_tokens):
+            asked.extend(texts)
+            return lib.encode_batch_fast(texts, add_special_tokens=add_special_tokens)
+
+    last = tokenfile.word_ends(lib, path)
+    got = tokenfile.encoded_words(Counted(), words, "H", last)
+    assert {w: np.frombuffer(b, "<u2").tolist() for w, b in got.items()} == want
+    assert len(asked) < 20
+    # where the marked ids do not tell the words apart, each is encoded alone
+    got = tokenfile.encoded_words(Counted(), words, "H", last - {want["a"][-1]} if "a" in want else frozenset())
+    assert {w: np.frombuffer(b, "<u2").tolist() for w, b in got.items()} == want
+
+
 def test_damage_is_noticed(spark, documents):
     from pathlib import Path
 
