@@ -13,13 +13,21 @@ from palimpsest.plans.roles import BOXES, CANDIDATES, boxes, candidates
 
 WIDTH, HEIGHT = 50, 40
 IMAGE = ["page"]
-TOP = masks.top_level(WIDTH, HEIGHT)
 
 
 def blocks(df: DataFrame, role) -> DataFrame:
     return masks.rect_blocks(df, IMAGE, F.lit(WIDTH), F.lit(HEIGHT), role)
 
 
+def per_page(shapes: DataFrame, role, solve) -> DataFrame:
+    return masks.per_image(shapes, IMAGE, F.lit(WIDTH), F.lit(HEIGHT), role, solve)
+
+
+def marks(t: Tables, role) -> DataFrame:
+    """Boxes with their role, and candidates."""
+    return boxes(t).withColumn("role", role).drop("line").unionByName(candidates(t).withColumn("role", F.lit("cand")))
+
+
 PIXELS = f"""
 grid AS (SELECT gx.x, gy.y FROM (SELECT unnest(range(0, {WIDTH})) AS x) gx, (SELECT unnest(range(0, {HEIGHT})) AS y) gy),
 px AS (SELECT page, line, x, y FROM boxes JOIN grid ON x >= x0 AND x < x1 AND y >= y0 AND y < y1)
@@ -33,8 +41,8 @@ e AS (SELECT * FROM m EXCEPT SELECT * FROM p)
 SELECT page, count(*) AS effective_pixels, CAST(sum(y * 1000 + x) AS BIGINT) AS position_sum FROM e GROUP BY page""")
 def mask_algebra(t: Tables) -> DataFrame:
     """Odd lines are masked, even lines protected; pixels left per order and a sum of their positions."""
-    shapes = blocks(boxes(t), F.when(F.col("line") % 2 == 1, "mask").otherwise("protect"))
-    return masks.coordinate_sums(masks.effective(shapes, IMAGE, top=TOP), IMAGE).select(
+    role = F.when(F.col("line") % 2 == 1, "mask").otherwise("protect")
+    return per_page(boxes(t), role, lambda b, top: masks.coordinate_sums(masks.effective(b, IMAGE, top=top), IMAGE)).select(
         "page", F.col("pixels").alias("effective_pixels"), (F.col("y_sum") * 1000 + F.col("x_sum")).alias("position_sum"))
 
 
@@ -52,9 +60,10 @@ def mask_polygons(t: Tables) -> DataFrame:
     xm, ym = "floor((x0 + x1) / 2)", "floor((y0 + y1) / 2)"
     shape = F.array(*[corner(x, y) for x, y in (("x0", "y0"), ("x1", "y0"), ("x1", ym), (xm, ym), (xm, "y1"), ("x0", "y1"))])
     polys = boxes(t).filter("line % 2 = 1").select("page", shape.alias("points"))
-    runs = masks.polygon_runs(polys, IMAGE, F.lit(WIDTH), F.lit(HEIGHT), "mask").drop("role")
-    shapes = masks.run_blocks(runs, IMAGE, "mask").unionByName(blocks(boxes(t).filter("line % 2 = 0"), "protect"))
-    return masks.coordinate_sums(masks.effective(shapes, IMAGE, top=TOP), IMAGE).select("page", F.col("pixels").alias("effective_pixels"))
+    protect = boxes(t).filter("line % 2 = 0")
+    shapes = masks.polygon_blocks(polys, IMAGE, F.lit(WIDTH), F.lit(HEIGHT), "mask").unionByName(blocks(protect, "protect"))
+    top = masks.rect_top(protect, F.lit(WIDTH), F.lit(HEIGHT))
+    return masks.coordinate_sums(masks.effective(shapes, IMAGE, top=top), IMAGE).select("page", F.col("pixels").alias("effective_pixels"))
 
 
 @query("mask_clip", f"""
@@ -63,8 +72,8 @@ c AS (SELECT page, x, y FROM cands JOIN grid ON x >= x0 AND x < x1 AND y >= y0 A
 SELECT page, count(*) AS clipped_pixels FROM (SELECT DISTINCT page, x, y FROM px) SEMI JOIN c USING (page, x, y) GROUP BY page""")
 def mask_clip(t: Tables) -> DataFrame:
     """Pixels of an order's lines that lie in its candidate box."""
-    shapes = blocks(boxes(t), "mask").unionByName(blocks(candidates(t), "cand"))
-    return masks.set_sizes(shapes, IMAGE, ["mask", "cand"], {"clipped_pixels": masks.both("mask", "cand")}, TOP).filter("clipped_pixels > 0")
+    return per_page(marks(t, F.lit("mask")), F.col("role"), lambda b, top: masks.set_sizes(
+        b, IMAGE, ["mask", "cand"], {"clipped_pixels": masks.both("mask", "cand")}, top)).filter("clipped_pixels > 0")
 
 
 @query("xor_size", f"""
@@ -72,8 +81,8 @@ WITH {BOXES}, {PIXELS},
 f AS (SELECT page, x, y, bool_or(line = 1) AS a, bool_or(line <> 1) AS b FROM px GROUP BY ALL)
 SELECT page, count(*) FILTER (a <> b) AS xor_pixels FROM f GROUP BY page""")
 def xor_size(t: Tables) -> DataFrame:
-    shapes = blocks(boxes(t), F.when(F.col("line") == 1, "a").otherwise("b"))
-    return masks.set_sizes(shapes, IMAGE, ["a", "b"], {"xor_pixels": F.col("a").bitwiseXOR(F.col("b"))}, TOP)
+    return per_page(boxes(t), F.when(F.col("line") == 1, "a").otherwise("b"), lambda b, top: masks.set_sizes(
+        b, IMAGE, ["a", "b"], {"xor_pixels": F.col("a").bitwiseXOR(F.col("b"))}, top))
 
 
 MASK_SCORE = f"""
@@ -95,8 +104,8 @@ round(CASE WHEN candidate_correction_pixels = 0 THEN CASE WHEN refined_correctio
 
 
 def scored(t: Tables) -> DataFrame:
-    marks = blocks(boxes(t), F.when(F.col("line") == 1, "truth").otherwise("pred"))
-    return masks.mask_score(marks.unionByName(blocks(candidates(t), "cand")), IMAGE, TOP)
+    shapes = marks(t, F.when(F.col("line") == 1, "truth").otherwise("pred"))
+    return per_page(shapes, F.col("role"), lambda b, top: masks.mask_score(b, IMAGE, top))
 
 
 @query("mask_score", f"WITH {BOXES}, {CANDIDATES}, {MASK_SCORE} SELECT *, {RATES} FROM s")
@@ -149,4 +158,4 @@ WITH {BOXES}, {PIXELS}, f AS (SELECT page, x, y, bool_or(line <> 2) AS m, bool_o
 SELECT page, count(*) FILTER (m) AS union_area, count(*) FILTER (m AND NOT p) AS effective_area FROM f GROUP BY page""")
 def coverage_area(t: Tables) -> DataFrame:
     """Union of an order's boxes, and the same without what its second lines protect."""
-    return masks.coverage(boxes(t), IMAGE, F.lit(WIDTH), F.lit(HEIGHT), F.col("line") == 2, TOP)
+    return masks.coverage(boxes(t), IMAGE, F.lit(WIDTH), F.lit(HEIGHT), F.col("line") == 2)
