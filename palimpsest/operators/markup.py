@@ -6,11 +6,15 @@ A pattern cannot follow elements that nest, nor tell markup from comments and ch
 from __future__ import annotations
 
 from collections.abc import Iterator
+from xml.parsers import expat
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 # The namespace of text shapes, and the local names of what is read.
 SHAPES = "urn:schemas-microsoft-com:vml"
+TEXT = ("shape", "textpath")
 DRAWINGS, LABELLED = ("anchor", "inline"), ("docPr", "cNvPr")
 
 FIELDS = ("kind string, idx int, type string, style string, strings array<string>, embed string, behind string, labels array<string>")
@@ -22,8 +26,6 @@ def read_part(xml: str | bytes | None) -> list[dict] | None:
     A document type makes a part not well-formed, so that no entity is expanded. A shape counts if its prefix stands for the namespace of text
     shapes or for none; drawings are told by their local names.
     """
-    from xml.parsers import expat
-
     found: dict[str, list[dict]] = {"shape": [], "drawing": []}
     scopes: list[dict[str, str]] = [{}]
     open_: list[tuple[str, dict] | None] = []
@@ -31,29 +33,29 @@ def read_part(xml: str | bytes | None) -> list[dict] | None:
     def start(name: str, attributes: dict[str, str]) -> None:
         prefix, _, local = name.rpartition(":")
         scope = scopes[-1]
-        bound = {k.partition(":")[2]: v for k, v in attributes.items() if k == "xmlns" or k.startswith("xmlns:")}
-        scope = scope | bound if bound else scope
+        for k in attributes:
+            if k == "xmlns" or k.startswith("xmlns:"):
+                scope = scope | {k.partition(":")[2]: attributes[k]}
         scopes.append(scope)
-        holders = [o for o in open_ if o]
         item = None
-        if local in ("shape", "textpath") and scope.get(prefix, SHAPES) == SHAPES:
+        if local in TEXT and scope.get(prefix, SHAPES) == SHAPES:
             if local == "shape":
                 item = ("shape", {"type": attributes.get("type"), "style": attributes.get("style"), "strings": None})
             else:
-                for kind, holder in holders:
-                    if kind == "shape":
-                        holder["strings"] = [*(holder["strings"] or []), attributes.get("string", "")]
+                for o in open_:
+                    if o and o[0] == "shape":
+                        o[1]["strings"] = [*(o[1]["strings"] or []), attributes.get("string", "")]
         elif local in DRAWINGS:
             item = ("drawing", {"type": local, "behind": attributes.get("behindDoc"), "embed": None, "labels": [], "_seen": False})
         elif local == "blip":
-            for kind, holder in holders:
-                if kind == "drawing" and not holder["_seen"]:
-                    holder["embed"] = next((v for k, v in attributes.items() if k.rpartition(":")[2] == "embed"), None)
-                    holder["_seen"] = True
+            for o in open_:
+                if o and o[0] == "drawing" and not o[1]["_seen"]:
+                    o[1]["embed"] = next((v for k, v in attributes.items() if k.rpartition(":")[2] == "embed"), None)
+                    o[1]["_seen"] = True
         elif local in LABELLED:
-            for kind, holder in holders:
-                if kind == "drawing":
-                    holder["labels"] += [attributes[k] for k in ("title", "descr", "name") if k in attributes]
+            for o in open_:
+                if o and o[0] == "drawing":
+                    o[1]["labels"] += [attributes[k] for k in ("title", "descr", "name") if k in attributes]
         if item:
             found[item[0]].append(item[1])
         open_.append(item)
@@ -62,39 +64,50 @@ def read_part(xml: str | bytes | None) -> list[dict] | None:
         scopes.pop()
         open_.pop()
 
-    def refuse(*_: object) -> None:
-        raise ValueError("document type")
-
     parser = expat.ParserCreate()
-    parser.StartElementHandler, parser.EndElementHandler, parser.StartDoctypeDeclHandler = start, end, refuse
+    parser.StartElementHandler, parser.EndElementHandler, parser.StartDoctypeDeclHandler = start, end, _refuse
     try:
         parser.Parse(xml or "", True)
     except (expat.ExpatError, ValueError):
         return None
-    return [{"kind": kind, "idx": i, **{k: v for k, v in item.items() if k != "_seen"}} for kind, items in found.items() for i, item in enumerate(items)]
+    for item in found["drawing"]:
+        del item["_seen"]
+    return [{"kind": kind, "idx": i, **item} for kind, items in found.items() for i, item in enumerate(items)]
+
+
+def _refuse(*_: object) -> None:
+    raise ValueError("document type")
+
+
+def read_distinct(parts: pa.Array) -> tuple[list[dict], np.ndarray, np.ndarray]:
+    """(rows, place, row): what the different parts hold, and for each row of the result the part's place and the place among `rows`."""
+    coded = parts.dictionary_encode("encode")
+    rows, first = [], [0]
+    for part in coded.dictionary.to_pylist():
+        read = read_part(part)
+        rows += [{"kind": "malformed"}] if read is None else read
+        first.append(len(rows))
+    bounds, which = np.array(first), coded.indices.to_numpy()
+    sizes = np.diff(bounds)[which]
+    place = np.repeat(np.arange(len(which)), sizes)
+    return rows, place, np.arange(len(place)) + np.repeat(bounds[which] - np.cumsum(sizes) + sizes, sizes)
 
 
 def read_parts(parts: DataFrame, keys: list[str], xml: str = "xml") -> DataFrame:
     """(keys, kind, idx, type, style, strings, embed, behind, labels): a row for each shape and drawing, and one of kind malformed
     for a part that cannot be read. A null part is malformed; a part without shapes and drawings gives no row.
 
-    `strings` is null for a shape without a text path. Keys of any type are passed through.
+    `strings` is null for a shape without a text path. Keys of any type are passed through. Equal parts of a batch are read once.
     """
-    import pyarrow as pa
-
     kinds = ", ".join(f"`{k}` {parts.schema[k].dataType.simpleString()}" for k in keys)
     text, many = pa.string(), pa.list_(pa.string())
     types = {"kind": text, "idx": pa.int32(), "type": text, "style": text, "strings": many, "embed": text, "behind": text, "labels": many}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            place, rows = [], []
-            for i, part in enumerate(batch.column(len(keys)).to_pylist()):
-                read = read_part(part)
-                for row in [{"kind": "malformed"}] if read is None else read:
-                    place.append(i)
-                    rows.append(row)
-            own = [batch.column(i).take(pa.array(place, pa.int64())) for i in range(len(keys))]
-            yield pa.RecordBatch.from_arrays([*own, *[pa.array([r.get(n) for r in rows], t) for n, t in types.items()]], [*keys, *types])
+            rows, place, row = read_distinct(batch.column(len(keys)))
+            place, row = pa.array(place), pa.array(row)
+            yield pa.RecordBatch.from_arrays([*[batch.column(i).take(place) for i in range(len(keys))],
+                                              *[pa.array([r.get(n) for r in rows], t).take(row) for n, t in types.items()]], [*keys, *types])
 
     return parts.select(*keys, xml).mapInArrow(run, f"{kinds}, {FIELDS}")

@@ -196,3 +196,19 @@ def test_nonoverlapping_counts_for_any_chunk(spark, fan, monkeypatch):
         wanted[p] = n
     for chunk in (5, 64, 4096):
         assert dict(rows(sq.nonoverlapping(df, ["page"], 4, chunk=chunk))) == wanted
+
+
+def test_equal_parts_of_a_batch_are_read_once(monkeypatch):
+    import pyarrow as pa
+
+    from palimpsest.operators import markup
+
+    one, two = '<h><v:shape type="a"><v:textpath string="x"/></v:shape><inline/></h>', "<h><v:shape/><v:shape/><v:shape/></h>"
+    parts = [one, None, two, "<h>", one, "<h/>", None, one, two]
+    want = [(i, r) for i, p in enumerate(parts) for r in (markup.read_part(p) if markup.read_part(p) is not None else [{"kind": "malformed"}])]
+    read, plain = [], markup.read_part
+    monkeypatch.setattr(markup, "read_part", lambda xml: read.append(xml) or plain(xml))
+    rows, place, row = markup.read_distinct(pa.array(parts))
+    assert [(i, rows[r]) for i, r in zip(place.tolist(), row.tolist(), strict=True)] == want
+    assert len(read) == 5
+    assert [len(x) for x in markup.read_distinct(pa.array([], pa.string()))] == [0, 0, 0]
