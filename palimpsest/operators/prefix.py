@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from palimpsest.session import cut_lineage
 
 CHUNK = 65_536
+MERGE = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
 def chunk_of(position: Column, size: int = CHUNK) -> Column:
@@ -31,17 +32,38 @@ def running(
     chunk: Column | None,
     values: Mapping[str, tuple[str, Column]],
     inclusive: bool = True,
+    whole: int = CHUNK,
 ) -> DataFrame:
     """Add running aggregates per key.
 
-    Without a chunk rule the rows are range-partitioned by key and order, from a sample, and written
-    once; a partition is a chunk then. That follows any distribution but equal order values.
+    Without a chunk rule keys of up to CHUNK rows, counted first, have a plain window. The rows of larger keys are range-partitioned by key and
+    order, from a sample, and written once; a partition is a chunk then. That follows any distribution but equal order values.
 
     `values` maps an output name to ("sum" | "max" | "min", expression). `chunk`
     must not decrease along `order`. Without rows before it, a sum is 0 and a
     max or min is null when the current row is excluded.
     """
-    merge = {"sum": F.sum, "max": F.max, "min": F.min}
+    if chunk is None and keys:
+        large = cut_lineage(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > whole).select(
+            *[F.col(k).alias(f"_{k}") for k in keys]))
+        if large.isEmpty():
+            return _windowed(df, keys, order, values, inclusive)
+        same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+        usual = _windowed(df.join(large, same, "left_anti"), keys, order, values, inclusive)
+        return usual.unionByName(_chunked(df.join(large, same, "left_semi"), keys, order, None, values, inclusive))
+    return _chunked(df, keys, order, chunk, values, inclusive)
+
+
+def _windowed(df: DataFrame, keys: list[str], order: list[Column], values: Mapping[str, tuple[str, Column]], inclusive: bool) -> DataFrame:
+    """Running aggregates of keys that fit in a task."""
+    rows = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    out = {name: MERGE[kind](value).over(rows) for name, (kind, value) in values.items()}
+    return df.select("*", *[(F.coalesce(v, F.lit(0)) if values[name][0] == "sum" else v).alias(name) for name, v in out.items()])
+
+
+def _chunked(df: DataFrame, keys: list[str], order: list[Column], chunk: Column | None, values: Mapping[str, tuple[str, Column]],
+             inclusive: bool) -> DataFrame:
+    """Running aggregates chunk by chunk, with what earlier chunks contribute."""
     if chunk is None:
         ranged = df.repartitionByRange(*[F.col(k) for k in keys], *order)
         source = cut_lineage(ranged.withColumn("_chunk", F.spark_partition_id()))
@@ -50,16 +72,16 @@ def running(
     inside = (Window.partitionBy(*keys, "_chunk").orderBy(*order)
               .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
     local = source.select(
-        "*", *[merge[kind](value).over(inside).alias(f"_in_{name}") for name, (kind, value) in values.items()]
+        "*", *[MERGE[kind](value).over(inside).alias(f"_in_{name}") for name, (kind, value) in values.items()]
     )
     before = (Window.partitionBy(*keys).orderBy("_chunk")
               .rowsBetween(Window.unboundedPreceding, -1))
     totals = source.groupBy(*keys, "_chunk").agg(
-        *[merge[kind](value).alias(f"_all_{name}") for name, (kind, value) in values.items()]
+        *[MERGE[kind](value).alias(f"_all_{name}") for name, (kind, value) in values.items()]
     )
     carried = totals.select(
         *keys, "_chunk",
-        *[merge[kind](F.col(f"_all_{name}")).over(before).alias(f"_pre_{name}")
+        *[MERGE[kind](F.col(f"_all_{name}")).over(before).alias(f"_pre_{name}")
           for name, (kind, _) in values.items()],
     )
     joined = local.join(carried, [*keys, "_chunk"], "left")

@@ -88,3 +88,22 @@ def test_merge_intervals_touching_join_and_chunks_do_not_matter(spark):
     for width in (10.0, 300.0, 1e6):
         assert rows(merge_intervals(df, ["k"], chunk_width=width, sums=("n",))) == wanted
     assert (9, 0, 7, 2) in wanted
+
+
+def test_small_keys_are_numbered_by_a_plain_window(spark):
+    from palimpsest.operators.prefix import running
+
+    data = [(k, i * 7 % n, i) for k, n in (("a", 40), ("b", 3), (None, 5), ("c", 25)) for i in range(n)]
+    df = spark.createDataFrame(data, "k string, o int, v int")
+    want = {}
+    for k in {d[0] for d in data}:
+        so_far, most = 0, None
+        for _, o, v in sorted((d for d in data if d[0] == k), key=lambda d: d[1:]):
+            want[k, o, v] = (so_far, most)
+            so_far, most = so_far + v, v if most is None else max(most, v)
+    values = {"s": ("sum", F.col("v")), "m": ("max", F.col("v"))}
+    for whole in (65_536, 10):
+        got = running(df, ["k"], [F.col("o"), F.col("v")], None, values, inclusive=False, whole=whole)
+        assert {(r["k"], r["o"], r["v"]): (r["s"], r["m"]) for r in got.collect()} == want
+    plan = running(df, ["k"], [F.col("o")], None, values)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
