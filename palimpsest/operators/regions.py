@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.boxes import Box, finite, poly_area
 from palimpsest.operators.identity import mark_duplicates
+from palimpsest.session import room_for
 
 MAX_COVERAGE, MAX_BOXES = 0.30, 100
 
@@ -60,7 +61,7 @@ def mask_status(rects: DataFrame, polys: DataFrame, frames: DataFrame, mask: str
 
 def redaction_status(regions: DataFrame, pages: DataFrame, page: list[str]) -> DataFrame:
     """Regions for execution: unknown pages, bad bounds, and exact duplicates on a page."""
-    joined = regions.join(pages.select(*page, "width", "height"), page, "left")
+    joined = room_for(regions).join(pages.select(*page, "width", "height"), page, "left")
     marked = mark_duplicates(joined, [*page, "x0", "y0", "x1", "y1"], "_dup")
     return marked.withColumn(
         "status", F.when(F.col("width").isNull(), "UNKNOWN_PAGE").when(F.col("_dup"), "DUPLICATE_REGION")

@@ -60,3 +60,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = working_folder(df.sparkSession, "step") + "/rows"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def room_for(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """Let shuffles of this session have a partition for each `rows` rows of a table at least. Adaptive execution joins those that turn out
+    small; without it a task's memory grows with the table where a session is set to few partitions."""
+    conf, name = df.sparkSession.conf, "spark.sql.shuffle.partitions"
+    needed = -(-df.count() // rows)
+    if int(conf.get(name)) < needed:
+        conf.set(name, str(needed))
+    return df

@@ -107,3 +107,23 @@ def test_small_keys_are_numbered_by_a_plain_window(spark):
         assert {(r["k"], r["o"], r["v"]): (r["s"], r["m"]) for r in got.collect()} == want
     plan = running(df, ["k"], [F.col("o")], None, values)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
+def test_shuffles_have_room_for_the_rows(spark):
+    from palimpsest.operators.regions import redaction_status
+    from palimpsest.session import room_for
+
+    name, before = "spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set(name, "2")
+        assert room_for(spark.range(900)).count() == 900 and spark.conf.get(name) == "2"
+        room_for(spark.range(901), 100)
+        assert spark.conf.get(name) == "10"
+        room_for(spark.range(5), 1)
+        assert spark.conf.get(name) == "10"
+        spark.conf.set(name, "2")
+        regions = spark.range(2_500_000).selectExpr("id AS page", "0 AS x0", "0 AS y0", "1 AS x1", "1 AS y1")
+        redaction_status(regions, spark.range(1).selectExpr("id AS page", "5 AS width", "5 AS height"), ["page"])
+        assert spark.conf.get(name) == "3"
+    finally:
+        spark.conf.set(name, before)
