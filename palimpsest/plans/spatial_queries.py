@@ -12,7 +12,7 @@ from palimpsest.operators import audit, matching, overlap, regions
 from palimpsest.plans.registry import Tables, query
 from palimpsest.plans.roles import (
     BOXES, CANDIDATES, FRAMES, KNOWN, PAIR_AREA, PAIR_IOU, PAIR_OVERLAP, boxes, candidates, frames, identified, placed)
-from palimpsest.session import cut_lineage
+from palimpsest.session import cut_lineage, room_for
 
 
 LEAVES = "(x0 < 0 OR y0 < 0 OR x1 > width OR y1 > height OR x0 >= x1 OR y0 >= y1)"
@@ -145,7 +145,7 @@ matches AS (SELECT page, p, t, iou FROM walk WHERE hit)
 
 
 def matched(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
-    rows = placed(t.lineitem)
+    rows = placed(room_for(t.lineitem))
     pred, truth = rows.filter("l_linenumber <> 1"), rows.filter("l_linenumber = 1")
     near = cut_lineage(identified(matching.matchable(pred, truth, ["page"], 0.3)))
     found = matching.match_boxes(

@@ -127,3 +127,23 @@ def test_shuffles_have_room_for_the_rows(spark):
         assert spark.conf.get(name) == "3"
     finally:
         spark.conf.set(name, before)
+
+
+def test_matching_asks_for_room_for_its_lines(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from palimpsest.plans import spatial_queries
+
+    class Asked(Exception):
+        pass
+
+    def ask(df):
+        raise Asked(df.count())
+
+    monkeypatch.setattr(spatial_queries, "room_for", ask, raising=False)
+    try:
+        spatial_queries.matched(SimpleNamespace(lineitem=spark.range(7)))
+    except Asked as asked:
+        assert asked.args == (7,)
+    else:
+        raise AssertionError("no room asked for")
